@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, quality, toxicity
+from . import decontaminate, licenses, pieces, quality, tokenfiles, toxicity
 from .textkit import held_out_column, read, small_batches
 
 
@@ -15,6 +15,22 @@ def op3_toxicity(spark, sf_dir):
     return scored.withColumn("held_out", held_out_column("doc_id", 4, 2)).withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
 
 
+def op4_tokens(spark, sf_dir):
+    import public_tokenizers
+
+    small_batches(spark)
+    folder = tokenfiles.new_folder(spark)
+    files = tokenfiles.write_token_files(read(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
+    return tokenfiles.read_token_files(spark, folder, files, with_ids=False).drop("ids")
+
+
+def op7_pieces(spark, sf_dir):
+    import public_tokenizers
+
+    small_batches(spark)
+    return pieces.encode_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False).drop("ids")
+
+
 def op8_licenses(spark, sf_dir):
     small_batches(spark)
     return licenses.contract(licenses.license_scan(read(spark, sf_dir, "documents")))
@@ -30,7 +46,7 @@ def op10_quality(spark, sf_dir):
     return quality.quality_rules(read(spark, sf_dir, "documents")).drop("repeat_spans")
 
 
-QUERIES = {f.__name__: f for f in (op3_toxicity, op8_licenses, op9_decontaminate, op10_quality)}
+QUERIES = {f.__name__: f for f in (op3_toxicity, op4_tokens, op7_pieces, op8_licenses, op9_decontaminate, op10_quality)}
 
 ORACLE_SQL = {
     "op9_decontaminate": r"""
