@@ -4,10 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, pieces, quality, tokenfiles, toxicity
+from . import chunks, decontaminate, licenses, neardup, pieces, quality, tokenfiles, toxicity
 from .textkit import held_out_column, read, small_batches
 
 
+def op1_neardup(spark, sf_dir):
+    small_batches(spark)
+    return neardup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+def op2_chunks(spark, sf_dir):
+    small_batches(spark)
+    found = chunks.substring_dedup(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_chunks", "n_copied", "n_removed", "n_runs", F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op3_toxicity(spark, sf_dir):
     small_batches(spark)
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
@@ -46,7 +57,7 @@ def op10_quality(spark, sf_dir):
     return quality.quality_rules(read(spark, sf_dir, "documents")).drop("repeat_spans")
 
 
-QUERIES = {f.__name__: f for f in (op3_toxicity, op4_tokens, op7_pieces, op8_licenses, op9_decontaminate, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_neardup, op2_chunks, op3_toxicity, op4_tokens, op7_pieces, op8_licenses, op9_decontaminate, op10_quality)}
 
 ORACLE_SQL = {
     "op9_decontaminate": r"""

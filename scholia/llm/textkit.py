@@ -168,3 +168,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Arrow batches of few rows, for tables with very long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def row_key(id_col, text_col):
+    """The id as a number; a null id gives a negative number drawn from the text, before all real ids."""
+    return F.coalesce(id_col.cast("long"), -F.pmod(F.xxhash64(text_col), F.lit(1 << 40)) - (1 << 62))
