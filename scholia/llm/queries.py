@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chunks, decontaminate, licenses, neardup, pieces, quality, suffixes, tokenfiles, toxicity
+from . import chunks, decontaminate, licenses, mixing, neardup, pieces, quality, suffixes, tokenfiles, toxicity
 from .textkit import held_out_column, read, small_batches
 
 
@@ -40,6 +40,11 @@ def op5_suffixes(spark, sf_dir):
     return suffixes.remove_repeats(read(spark, sf_dir, "documents")).drop("spans")
 
 
+def op6_mixing(spark, sf_dir):
+    small_batches(spark)
+    return mixing.score_documents(read(spark, sf_dir, "documents"))
+
+
 def op7_pieces(spark, sf_dir):
     import public_tokenizers
 
@@ -62,7 +67,7 @@ def op10_quality(spark, sf_dir):
     return quality.quality_rules(read(spark, sf_dir, "documents")).drop("repeat_spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_neardup, op2_chunks, op3_toxicity, op4_tokens, op5_suffixes, op7_pieces, op8_licenses, op9_decontaminate, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_neardup, op2_chunks, op3_toxicity, op4_tokens, op5_suffixes, op6_mixing, op7_pieces, op8_licenses, op9_decontaminate, op10_quality)}
 
 ORACLE_SQL = {
     "op9_decontaminate": r"""
