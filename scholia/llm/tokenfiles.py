@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .textkit import U64, Block, cut, groups, shared_folder, texts_of
-from .units import Store
+from .units import Store, kept_in_worker
 
 MAGIC = b"SCHTOK1\0"
 FILE_TOKENS = 1 << 22
@@ -75,7 +75,7 @@ class Tokens:
 
         self.model = Tokenizer.from_str(spec)
         self.model.encode_special_tokens = True
-        self.store = Store(600_000)
+        self.store = Store()
 
     def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [x.ids for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
@@ -119,7 +119,8 @@ def encode_rows(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        tokens, squeeze = Tokens(spec.value), zstandard.ZstdCompressor(1)
+        tokens = kept_in_worker(("tokens", spec.value), lambda: Tokens(spec.value))
+        squeeze = zstandard.ZstdCompressor(1)
         shard, seq, before = TaskContext.get().partitionId(), 0, 0
         for part in parts:
             texts = texts_of(part.column(1))
@@ -245,7 +246,8 @@ def read_token_files(spark: SparkSession, folder: str, files: DataFrame, with_id
                     "ids": pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(tokens, pa.uint32()).cast(pa.int64())) if with_ids else pa.nulls(len(docs), pa.list_(pa.int64())),
                 })
 
-    return files.select("name").repartition("name").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<long>")
+    n = max(1, files.count() // 2)
+    return files.select("name").repartition(n, "name").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<long>")
 
 
 def new_folder(spark: SparkSession) -> str:

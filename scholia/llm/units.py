@@ -7,6 +7,17 @@ from collections.abc import Callable
 import numpy as np
 
 
+_kept: dict = {}
+
+
+def kept_in_worker(key, make: Callable[[], object]):
+    """The object made before under this key in this Python worker, else a new one; only the last one stays."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
 class Store:
     """Ids of units by 64-bit key; emptied when it holds more than `limit` units, so memory is bounded."""
 
