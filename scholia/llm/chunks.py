@@ -20,6 +20,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -129,14 +130,35 @@ def remove_copies(texts: list[bytes], copied: list, min_run: int = MIN_RUN) -> d
 SCHEMA = "doc_id long, kept_text string, n_bytes long, n_chunks long, n_copied long, n_removed long, n_runs long"
 
 
+def copied_chunks(own: DataFrame) -> DataFrame:
+    """(key, copied): for each (key, text) row the numbers of the chunks that other documents own."""
+    rows = own.select("key", "text").mapInArrow(_digest_rows, "a long, b long, key long, number int")
+    repeated = cut(rows.groupBy("a", "b").agg(F.min("key").alias("owner"), F.max("key").alias("other")).where("owner <> other").select("a", "b", "owner"), "repeated")
+    copies = rows.join(repeated, ["a", "b"]).where("key <> owner")
+    return copies.groupBy("key").agg(F.collect_set("number").alias("copied"))
+
+
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN) -> DataFrame:
+    """docs with the copied stretches taken out of the text column; all columns stay as they are."""
+    key, copied = "_scholia_key", "_scholia_copied"
+    keyed = docs.withColumn(key, row_key(docs[id_col], docs[text_col].cast("string")))
+    lists = copied_chunks(keyed.select(F.col(key).alias("key"), F.col(text_col).cast("string").alias("text")))
+
+    @F.pandas_udf("string")
+    def kept(texts: pd.Series, lists: pd.Series) -> pd.Series:
+        raw, found = [b"" if t is None else t.encode() for t in texts], list(lists)
+        out = [k for a, b in groups(raw) for k in remove_copies(raw[a:b], found[a:b], min_run)["kept"]]
+        return pd.Series([None if t is None else k.decode() for t, k in zip(texts, out, strict=True)], dtype="object")
+
+    joined = keyed.join(lists.select(F.col("key").alias(key), F.col("copied").alias(copied)), key, "left")
+    return joined.withColumn(text_col, kept(F.col(text_col).cast("string"), F.coalesce(copied, F.array().cast("array<int>")))).select(*docs.columns)
+
+
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN) -> DataFrame:
     """One row per document with its remaining text and what was found and removed."""
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     own = own.select(row_key(own.doc_id, own.text).alias("key"), "doc_id", "text")
-    rows = own.select("key", "text").mapInArrow(_digest_rows, "a long, b long, key long, number int")
-    repeated = cut(rows.groupBy("a", "b").agg(F.min("key").alias("owner"), F.max("key").alias("other")).where("owner <> other").select("a", "b", "owner"), "repeated")
-    copies = rows.join(repeated, ["a", "b"]).where("key <> owner")
-    lists = copies.groupBy("key").agg(F.collect_set("number").alias("copied"))
+    lists = copied_chunks(own)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:

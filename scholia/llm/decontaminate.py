@@ -17,14 +17,17 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .textkit import plain_text, texts_of
+from .units import kept_in_worker
 
 WORDS_PER_WINDOW = 10
 #: Bytes of benchmark text in one automaton (about 60 times as much memory).
@@ -76,8 +79,7 @@ def runs(hit: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True))
 
 
-def find_windows(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WORDS_PER_WINDOW) -> DataFrame:
-    """Per document: words, hit words, items found, hit word runs and their character spans in the original."""
+def _window_tables(benchmark: DataFrame, item_col: str, item_text_col: str, size: int) -> list:
     items = benchmark.select(benchmark[item_col].cast("string").alias("i"), benchmark[item_text_col].cast("string").alias("t")).where("i is not null and t is not null")
     blocks: list[list[tuple[str, bytes]]] = [[]]
     room = AUTOMATON_BYTES
@@ -88,8 +90,30 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             room = AUTOMATON_BYTES
         blocks[-1].append((row.i, raw))
         room -= len(raw)
-    spark = docs.sparkSession
-    shared = [spark.sparkContext.broadcast(window_table(b, size)) for b in blocks]
+    return [benchmark.sparkSession.sparkContext.broadcast(window_table(b, size)) for b in blocks]
+
+
+def hit_words_column(benchmark: DataFrame, text, item_col: str = "item_id", item_text_col: str = "text", size: int = WORDS_PER_WINDOW):
+    """The number of hit words as a column of any DataFrame with a text column."""
+    shared = _window_tables(benchmark, item_col, item_text_col, size)
+    name = uuid.uuid4().hex
+
+    @F.pandas_udf("long")
+    def n_hit(texts: pd.Series) -> pd.Series:
+        automata = kept_in_worker(name, lambda: [_automaton(s.value) for s in shared])
+        out = []
+        for t in texts:
+            words = plain_text(b"" if t is None else t.encode())
+            hit = [h for h in (scan(words, found)[1] for found in automata) if len(h)]
+            out.append(int(np.logical_or.reduce(hit).sum()) if hit else 0)
+        return pd.Series(out, dtype="int64")
+
+    return n_hit(text.cast("string"))
+
+
+def find_windows(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WORDS_PER_WINDOW) -> DataFrame:
+    """Per document: words, hit words, items found, hit word runs and their character spans in the original."""
+    shared = _window_tables(benchmark, item_col, item_text_col, size)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automata = [_automaton(s.value) for s in shared]

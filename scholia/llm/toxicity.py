@@ -20,8 +20,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .textkit import PLAIN, U64, Block, groups, held_out_column, mix, texts_of
@@ -153,3 +154,15 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_pydict({"doc_id": ids[a:b]} | {k: pa.array(x, kinds.get(k, pa.int64())) for k, x in out.items()})
 
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, SCHEMA)
+
+
+def score_column(model: Model, text):
+    """The score as a column of any DataFrame with a text column; 0 for null."""
+    shared = SparkSession.active().sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        raw = [b"" if t is None else t.encode() for t in texts]
+        return pd.Series(np.concatenate([score_texts(shared.value, raw[a:b])["score"] for a, b in groups(raw)]) if raw else [], dtype="float64")
+
+    return score(text.cast("string"))
