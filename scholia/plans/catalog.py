@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
+import importlib
+
+from .registry import QUERIES, SQL
+
+MODULES = ("scans", "predicates", "joins")
+
+
+def _load() -> None:
+    for name in MODULES:
+        importlib.import_module(f"{__package__}.{name}")
+
 
 def queries():
-    return {}
+    _load()
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    _load()
+    return dict(SQL)
 
 
 def entry(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+    return queries()["i5_hybrid_search"](spark, sf_dir)
