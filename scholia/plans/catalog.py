@@ -6,7 +6,7 @@ import importlib
 
 from .registry import QUERIES, SQL
 
-MODULES = ("scans", "predicates", "joins")
+MODULES = ("scans", "predicates", "joins", "aggregates", "windows")
 
 
 def _load() -> None:
