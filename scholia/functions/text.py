@@ -5,19 +5,20 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Characters that compatibility normalisation leaves alone; other texts need the UDF.
 _STABLE = "^[\\x00-\\x7F\\u00A1-\\u00A7\\u00A9\\u00AB-\\u00AE\\u00B0\\u00B1\\u00B6\\u00B7\\u00BB\\u00BF-\\u0131\\u0134-\\u013E\\u0141-\\u0148\\u014A-\\u017E]*$"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(texts: pd.Series) -> pd.Series:
     import unicodedata
 
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _casefold(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else t.casefold())
 
@@ -65,7 +66,7 @@ def normalize_arxiv(raw: Column) -> Column:
 
 
 def split_authors(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, ";"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, ";"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def ends_mid_sentence(text: Column) -> Column:
@@ -93,7 +94,7 @@ def naive_sentences(text: Column, least: int = 3, most: int = 120) -> Column:
 def uuid5(namespace_hex: str, name: Column) -> Column:
     """Name-based UUID, version 5, from SHA-1 of the namespace's 16 bytes and the name."""
     h = F.sha1(F.concat(F.unhex(F.lit(namespace_hex)), name.cast("binary")))
-    variant = F.lower(F.hex(F.shiftrightunsigned(F.conv(F.substring(h, 17, 2), 16, 10).cast("int"), F.lit(0).cast("int")).bitwiseAND(0x3F).bitwiseOR(0x80)))
+    variant = F.lower(F.hex(F.conv(F.substring(h, 17, 2), 16, 10).cast("int").bitwiseAND(0x3F).bitwiseOR(0x80)))
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 19, 2)), F.substring(h, 21, 12))
 
 

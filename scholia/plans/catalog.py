@@ -6,7 +6,7 @@ import importlib
 
 from .registry import QUERIES, SQL
 
-MODULES = ("scans", "predicates", "joins", "aggregates", "windows")
+MODULES = ("scans", "predicates", "joins", "aggregates", "windows", "ordering", "scalars", "retrieval")
 
 
 def _load() -> None:
