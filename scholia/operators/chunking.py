@@ -127,14 +127,14 @@ def merge_overlap(left: str, right: str, most: int = 400) -> str:
     return " ".join(a + b)
 
 
-def reconstructed(chunks: DataFrame, key: str) -> DataFrame:
-    """(key, text) from the chunks of each document in order; a document's chunks meet in one row."""
+def reconstructed(chunks: DataFrame, key: str, most: int = 400) -> DataFrame:
+    """(key, text), overlaps of up to `most` words taken out, from the chunks of each document in order; a document's chunks meet in one row."""
 
     @F.udf("string")
     def join(rows):
         out = ""
         for r in rows:
-            out = merge_overlap(out, r["chunk"]) if out else r["chunk"]
+            out = merge_overlap(out, r["chunk"], most) if out else r["chunk"]
         return out
 
     ordered = F.array_sort(F.collect_list(F.struct("ordinal", "chunk")))
