@@ -6,7 +6,7 @@ import importlib
 
 from .registry import QUERIES, SQL
 
-MODULES = ("scans", "predicates", "joins", "aggregates", "windows", "ordering", "scalars", "retrieval", "documents")
+MODULES = ("scans", "predicates", "joins", "aggregates", "windows", "ordering", "scalars", "retrieval", "documents", "evaluation", "streams")
 
 
 def _load() -> None:
