@@ -28,11 +28,11 @@ def first_enqueue(stream: DataFrame, time: str, key: str, within: str = "1 day")
     return stream.withWatermark(time, within).dropDuplicatesWithinWatermark([key]) if stream.isStreaming else stream.dropDuplicates([key])
 
 
-def job_states(stream: DataFrame, key: str, time: str, event: str) -> DataFrame:
+def job_states(stream: DataFrame, key: str, time: str, event: str, lease_ms: int | None = None) -> DataFrame:
     """Job state machine over ordered events of each job: attempts, and the state after its last event.
 
-    In a stream each micro-batch folds its events into the state kept for the job; a lease of ten
-    minutes without an event returns the job to retry_wait.
+    In a stream each micro-batch folds its events into the state kept for the job.  With lease_ms a
+    job without an event for that long returns to retry_wait (such a query never ends by itself).
     """
     import pandas as pd
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -50,11 +50,12 @@ def job_states(stream: DataFrame, key: str, time: str, event: str) -> DataFrame:
                 elif kind == "complete":
                     status = "done"
         state.update((status, attempts))
-        state.setTimeoutDuration(600_000)
+        if lease_ms:
+            state.setTimeoutDuration(lease_ms)
         yield pd.DataFrame({key: [k[0]], "status": [status], "attempts": [attempts]})
 
     kind = stream.schema[key].dataType.simpleString()
-    return stream.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, status string, attempts long", "status string, attempts long", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, status string, attempts long", "status string, attempts long", "update", GroupStateTimeout.ProcessingTimeTimeout if lease_ms else GroupStateTimeout.NoTimeout)
 
 
 def to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
