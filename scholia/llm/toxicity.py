@@ -92,27 +92,30 @@ def score_texts(model: Model, texts: list[bytes], offending_p: float = 0.5) -> d
 def fit(texts: list[bytes], labels: np.ndarray, rounds: int = 120, rate: float = 0.15, decay: float = 1e-5) -> Model:
     """Noisy-or likelihood by Adam, over the words whose share of toxic texts differs clearly from the prior."""
     weights = np.zeros(1 << BITS, np.float64)
-    parts, sentences, docs = [], 0, 0
-    for a, b in groups(texts):
-        _, feature, sentence, owner, _, _ = bags(texts[a:b])
-        pair = np.unique((sentence << BITS) | feature)  # a word counts once in a sentence
-        parts.append((pair & ((1 << BITS) - 1), (pair >> BITS) + sentences, owner + docs))
-        sentences += len(owner)
-        docs += b - a
     y = np.asarray(labels, bool)
+    spread, bad = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    sentences = docs = 0
+    for a, b in groups(texts):  # first the words to learn, then their occurrences: memory follows the few words
+        _, feature, sentence, owner, _, _ = bags(texts[a:b])
+        pair = np.unique((owner[sentence] << BITS) | feature)
+        word, text = pair & ((1 << BITS) - 1), (pair >> BITS) + a
+        spread += np.bincount(word, minlength=1 << BITS)
+        bad += np.bincount(word, y[text], 1 << BITS)
+        sentences, docs = sentences + len(owner), b
     prior = float(np.clip(y.mean() if len(y) else 0.1, 0.01, 0.99))
     bias = float(np.log(prior / max(sentences / max(docs, 1), 1)))
-    if not parts or y.all() or not y.any():
+    if not sentences or y.all() or not y.any():
         return Model(weights.astype(np.float32), bias)
-    feature, sentence, owner = (np.concatenate(x) for x in zip(*parts, strict=True))
-    pair = np.unique((owner[sentence] << BITS) | feature)
-    word, text = pair & ((1 << BITS) - 1), pair >> BITS
-    spread = np.bincount(word, minlength=1 << BITS)
-    bad = np.bincount(word, y[text], 1 << BITS)
     telling = (spread >= MIN_TEXTS) & (np.abs(bad - spread * prior) >= MIN_Z * np.sqrt(np.maximum(spread, 1) * prior * (1 - prior)))
-    use = telling[feature]
-    known, column = np.unique(feature[use], return_inverse=True)
-    sentence = sentence[use]
+    parts, n = [], 0
+    for a, b in groups(texts):
+        _, feature, sentence, owner, _, _ = bags(texts[a:b])
+        use = telling[feature]
+        pair = np.unique((sentence[use] << BITS) | feature[use])  # a word counts once in a sentence
+        parts.append((pair & ((1 << BITS) - 1), (pair >> BITS) + n, owner + a))
+        n += len(owner)
+    feature, sentence, owner = (np.concatenate(x) for x in zip(*parts, strict=True))
+    known, column = np.unique(feature, return_inverse=True)
     theta, m, v = np.zeros(len(known) + 1), np.zeros(len(known) + 1), np.zeros(len(known) + 1)
     theta[-1] = bias
     toxic = y[owner]
