@@ -279,8 +279,11 @@ def _spans(window: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             rows: dict[str, list] = {"kept": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "spans": []}
-            for text, ranges_ in zip(texts_of(part.column(1)), part.column(2).to_pylist(), strict=True):
-                kept, spans = remove(text, [(r["lo"], r["hi"]) for r in ranges_ or []], window)
+            found = part.column(2)
+            lo, hi = (found.values.field(c).to_numpy() for c in range(2))
+            edges = found.offsets.to_numpy()
+            for text, x, y in zip(texts_of(part.column(1)), edges, edges[1:], strict=False):
+                kept, spans = remove(text, lo[x:y], hi[x:y], window)
                 for k, v in zip(rows, (kept, len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), spans), strict=True):
                     rows[k].append(v)
             kinds = {"kept": pa.binary(), "kept_sha256": pa.string(), "spans": pa.list_(pa.list_(pa.int64()))}
@@ -289,14 +292,12 @@ def _spans(window: int):
     return run
 
 
-def remove(text: bytes, starts: list[tuple[int, int]], window: int = WINDOW) -> tuple[bytes, list[list[int]]]:
-    """The text without the windows that start in these ranges, and the removed runs."""
-    spans: list[list[int]] = []
-    for lo, hi in sorted(starts):
-        if spans and lo <= spans[-1][1]:
-            spans[-1][1] = max(spans[-1][1], hi + window)
-        else:
-            spans.append([lo, hi + window])
+def remove(text: bytes, lo: np.ndarray, hi: np.ndarray, window: int = WINDOW) -> tuple[bytes, list[list[int]]]:
+    """The text without the windows that start at lo..hi (many such ranges), and the removed runs."""
+    order = np.argsort(lo)
+    lo, top = lo[order].astype(np.int64), np.maximum.accumulate(hi[order].astype(np.int64) + window)
+    head = np.flatnonzero(np.r_[True, lo[1:] > top[:-1]]) if len(lo) else order
+    spans = [[int(a), int(b)] for a, b in zip(lo[head], top[np.r_[head[1:], len(lo)] - 1], strict=True)]
     edges = [0, *(x for s in spans for x in s), len(text)]
     return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)), spans
 
@@ -318,7 +319,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     hot = texts.mapInArrow(_window_rows(window), "w long, place long, h long, at int")
     repeated = cut(hot.groupBy("w").agg(F.min("place").alias("x"), F.max("place").alias("y")).where("x <> y").select("w"), "windows")
     more = hot.join(repeated, "w").select("h", F.col("at").alias("lo"), F.col("at").alias("hi"))
-    spans = cut(found.union(more).groupBy("h").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")), "spans")
+    spans = cut(found.union(more).groupBy("h").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")), "spans")
     results = texts.join(spans, "h").select("h", "text", "ranges").mapInArrow(_spans(window), "h long, kept binary, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>").drop("kept")
     results = results.dropDuplicates(["h"])
     info = cut(copies.select("h", "n").join(results, "h", "left"), "info")
