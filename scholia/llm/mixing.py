@@ -25,6 +25,7 @@ ignored.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,6 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .textkit import SPACED, U64, Block, cut, groups, held_out_column, mix, texts_of
+from .units import kept_in_worker
 
 ORDERS = 6
 SLOT_BITS = 20
@@ -75,10 +77,6 @@ def slots(gram: np.ndarray, bit: int) -> tuple[list[np.ndarray], np.ndarray, np.
     return out, came, known
 
 
-def _stretch(p):
-    return np.log(p / (1 - p))
-
-
 def _squash(z):
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
@@ -105,7 +103,7 @@ class Model:
         x[:, ORDERS] = 0.3
         seen = np.zeros(len(gram), np.int64)
         for k, at in enumerate(index):
-            zeros, ones = self.zeros[at], self.ones[at]
+            zeros, ones = self.zeros[at].astype(np.float32), self.ones[at].astype(np.float32)
             if without is not None:
                 zeros, ones = np.maximum(zeros - (came == 0), 0), np.maximum(ones - (came == 1), 0)
             x[:, k], total = _inputs(zeros, ones)
@@ -136,6 +134,24 @@ class Model:
         return total
 
 
+class Shared:
+    """A model for the executors: the tables go out once, compressed; weights and refinement are small."""
+
+    def __init__(self, spark, model: Model, tables=None):
+        scale = np.maximum(np.maximum(model.zeros, model.ones) / 60000, 1)  # half-precision holds counts up to this
+        both = lambda: zlib.compress(np.stack([model.zeros / scale, model.ones / scale]).astype("<f2").tobytes(), 1)
+        self.name, self.tables = (uuid.uuid4().hex, spark.sparkContext.broadcast(both())) if tables is None else tables
+        self.small = spark.sparkContext.broadcast((model.weights, model.refine))
+
+    def model(self) -> Model:
+        zeros, ones = kept_in_worker(self.name, lambda: np.frombuffer(zlib.decompress(self.tables.value), "<f2").reshape(2, -1))
+        return Model(zeros, ones, *self.small.value)
+
+    def again(self, spark, model: Model) -> Shared:
+        """The same tables with new weights."""
+        return Shared(spark, model, (self.name, self.tables))
+
+
 class Scorer:
     """log10 of whole texts; the last strings looked up are kept in a table of fixed size."""
 
@@ -218,7 +234,7 @@ def _add_pieces(key, table):
 
 def _learn(shared, rate: float = 0.02):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = shared.model()
         weights, mass = np.full((SETS, ORDERS + 1), 0.3, np.float64), np.zeros(SETS)
         square = np.full((SETS, ORDERS + 1), 1e-3)
         for part in parts:
@@ -244,7 +260,7 @@ def _learn(shared, rate: float = 0.02):
 
 def _adapt(shared):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = shared.model()
         ones, total = np.zeros(256 * STEPS), np.zeros(256 * STEPS)
         for part in parts:
             gram, n = part.column(0).to_numpy().view(np.uint64), part.column(1).to_numpy().astype(np.float64)
@@ -263,7 +279,7 @@ def _adapt(shared):
     return run
 
 
-def train(texts: DataFrame, text_col: str = "text") -> Model:
+def train(texts: DataFrame, text_col: str = "text") -> Shared:
     """A model of all the texts; what reaches the driver has a fixed size."""
     spark = texts.sparkSession
     found = texts.select(texts[text_col].cast("string").alias("text")).mapInArrow(_count_grams, "gram long, n long")
@@ -282,15 +298,15 @@ def train(texts: DataFrame, text_col: str = "text") -> Model:
         x[rows["at"].to_numpy()], y[rows["at"].to_numpy()] = rows["x"].to_numpy(), rows["y"].to_numpy()
         return x, y
 
-    shared = spark.sparkContext.broadcast(model)
+    shared = Shared(spark, model)
     x, _ = total(_learn(shared), SETS * (ORDERS + 2))
     mass = x[SETS * (ORDERS + 1) :]
     trained = mass > 0
     model.weights = model.weights.copy()
     model.weights[trained] = x[: SETS * (ORDERS + 1)].reshape(SETS, -1)[trained] / mass[trained, None]
-    shared = spark.sparkContext.broadcast(model)
+    shared = shared.again(spark, model)
     model.refine = np.stack(total(_adapt(shared), 256 * STEPS), axis=1)
-    return model
+    return shared.again(spark, model)
 
 
 def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -316,13 +332,12 @@ def _block_tokens(key, table):
     return pa.table({"block": pa.array(np.full(len(first), key[0].as_py(), np.int64)), "token": pa.array(token[first].view(np.int64)), "n": pa.array(np.add.reduceat(n, first))})
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: tuple[int, int] = (5, 1), model: Model | None = None) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: tuple[int, int] = (5, 1), shared: Shared | None = None) -> DataFrame:
     """One row per document: base and model log10 probabilities, bits per byte and token counts."""
-    spark = docs.sparkSession
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     own = own.withColumn("held_out", held_out_column("doc_id", *fold))
-    if model is None:
-        model = train(own.where("not held_out"))
+    if shared is None:
+        shared = train(own.where("not held_out"))
     size = own.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     blocks = max(8, -(-size // BLOCK_BYTES))
     dealt = own.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
@@ -332,7 +347,6 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     totals = cut(totals.where("c > 0"), "totals")
     row = totals.where("first").agg(F.sum("c"), F.count("*")).first()
     n_all, n_distinct = row[0] or 0, row[1]
-    shared = spark.sparkContext.broadcast(model)  # tables of fixed size
     base_log = float(np.log10(n_all + 0.5 * (n_distinct + 1)))
 
     def run(key, left, right):
@@ -340,7 +354,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         order = np.argsort(token)
         token, c = token[order], right["c"].to_numpy()[order]
         texts = texts_of(left["text"].combine_chunks()) if left.num_rows else []
-        scorer = Scorer(shared.value)
+        scorer = Scorer(shared.model())
         out: dict[str, list] = {k: [] for k in ("n_bytes", "n_tokens", "n_known", "base_score", "score")}
         for a, b in groups(texts):
             mine, doc = _tokens(texts[a:b])
