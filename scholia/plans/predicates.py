@@ -7,18 +7,20 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from .registry import Tables, query
 
-_YEAR = F.year("o_orderdate")
+
+def _year():
+    return F.year("o_orderdate")
 
 
 @query("SELECT o_orderkey FROM orders WHERE year(o_orderdate) >= 1996 AND year(o_orderdate) <= 1998 AND o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderstatus = 'F' AND NOT (o_totalprice < 1000)")
 def b1_payload_filter(spark, sf):
-    keep = rules.payload_filter(_YEAR, F.col("o_orderpriority"), 1996, 1998, ["1-URGENT", " 2-HIGH ", ""], [F.col("o_orderstatus") == "F", ~(F.col("o_totalprice") < 1000)])
+    keep = rules.payload_filter(_year(), F.col("o_orderpriority"), 1996, 1998, ["1-URGENT", " 2-HIGH ", ""], [F.col("o_orderstatus") == "F", ~(F.col("o_totalprice") < 1000)])
     return Tables(spark, sf).orders.where(keep).select("o_orderkey")
 
 
 @query("SELECT o_orderkey FROM orders WHERE year(o_orderdate) >= 1997")
 def b2_open_bound_filter(spark, sf):
-    return Tables(spark, sf).orders.where(rules.payload_filter(_YEAR, F.col("o_orderpriority"), low=1997)).select("o_orderkey")
+    return Tables(spark, sf).orders.where(rules.payload_filter(_year(), F.col("o_orderpriority"), low=1997)).select("o_orderkey")
 
 
 @query("SELECT d.doc_id FROM documents d JOIN labels l USING (doc_id) WHERE d.lang IN ('en', 'fr') AND l.quality = 1")
@@ -35,17 +37,18 @@ def b4_chunk_filter(spark, sf):
 
 @query("SELECT o_orderkey, coalesce(o_orderstatus = 'F' AND o_totalprice > 0 AND year(o_orderdate) = 1997 AND o_orderpriority = '1-URGENT', false) AS eligible FROM orders")
 def b5_is_eligible(spark, sf):
-    ok = (F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 0) & (_YEAR == 1997) & (F.col("o_orderpriority") == "1-URGENT")
+    ok = (F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 0) & (_year() == 1997) & (F.col("o_orderpriority") == "1-URGENT")
     return Tables(spark, sf).orders.select("o_orderkey", F.coalesce(ok, F.lit(False)).alias("eligible"))
 
 
-_LABEL = F.concat_ws("  ", F.lit("ICX "), F.when(F.col("event_type") == "error", "Withdrawn Submission").when(F.col("event_type") == "view", "Poster").when(F.col("event_type") == "click", "Workshop on X").when(F.col("event_type") == "signup", "Findings").otherwise("Desk Rejected"))
+def _label():
+    return F.concat_ws("  ", F.lit("ICX "), F.when(F.col("event_type") == "error", "Withdrawn Submission").when(F.col("event_type") == "view", "Poster").when(F.col("event_type") == "click", "Workshop on X").when(F.col("event_type") == "signup", "Findings").otherwise("Desk Rejected"))
 
 
 @query("""SELECT event_id, CASE event_type WHEN 'view' THEN 'main' WHEN 'click' THEN 'workshop' WHEN 'signup' THEN 'findings' ELSE 'unknown' END AS track,
  CASE event_type WHEN 'error' THEN 'withdrawn' WHEN 'purchase' THEN 'rejected' ELSE 'accepted' END AS decision FROM events""")
 def b6_classify_track(spark, sf):
-    return Tables(spark, sf).events.select("event_id", rules.classify_track(_LABEL).alias("c")).select("event_id", "c.track", "c.decision")
+    return Tables(spark, sf).events.select("event_id", rules.classify_track(_label()).alias("c")).select("event_id", "c.track", "c.decision")
 
 
 @query("SELECT o_orderkey, CASE WHEN contains(lower(o_orderpriority), 'urgent') THEN 'oral' WHEN contains(lower(o_orderpriority), 'high') THEN 'spotlight' WHEN contains(lower(o_orderpriority), 'low') THEN 'poster' ELSE 'unknown' END AS presentation FROM orders")
@@ -55,7 +58,7 @@ def b7_presentation_type(spark, sf):
 
 @query("SELECT event_id FROM events WHERE event_type = 'view'")
 def b8_eligible_rows(spark, sf):
-    c = rules.classify_track(_LABEL)
+    c = rules.classify_track(_label())
     return Tables(spark, sf).events.where((c["track"] == "main") & (c["decision"] == "accepted")).select("event_id")
 
 
