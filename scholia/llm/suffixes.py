@@ -35,6 +35,8 @@ WINDOW = 200
 GRAM = 32
 HOT = 64
 BLOCK_BYTES = 1 << 20
+#: Texts whose minimisers are found at a time; the arrays of so many fit a core's cache.
+RUN_BYTES = 1 << 18
 COVER, PERIOD = (0, 1, 3, 9), 13
 IN_COVER = np.isin(np.arange(PERIOD), COVER)
 #: The least offset that takes positions of these two residues into the cover.
@@ -47,30 +49,30 @@ def minimiser_runs(block: Block, window: int = WINDOW, gram: int = GRAM):
     none = (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64), np.empty(0, np.int64))
     if n < window:
         return none
-    at = np.arange(n - gram + 1)
-    h = block.hashes(at, at + gram)
-    order = (h & ~U64(0xFFFFFFFF)) | at.astype(np.uint64)
+    h = block.rolling(gram)
+    order = h & ~U64(0xFFFFFFFF)
+    order |= np.arange(len(h), dtype=np.uint64)
     whole = np.full(-(-len(order) // span) * span, np.iinfo(np.uint64).max, np.uint64)
     whole[: len(order)] = order
     tiles = whole.reshape(-1, span)
     ahead = np.minimum.accumulate(tiles, axis=1).reshape(-1)
     behind = np.minimum.accumulate(tiles[:, ::-1], axis=1)[:, ::-1].reshape(-1)
-    count = np.maximum(np.diff(block.offsets) - 1 - window + 1, 0)
-    starts = ranges(block.offsets[:-1], count)
-    if not len(starts):
-        return none
-    doc = np.repeat(np.arange(block.n_docs), count)
-    least = (np.minimum(behind[starts], ahead[starts + span - 1]) & U64(0xFFFFFFFF)).astype(np.int64)
-    head = np.flatnonzero(np.r_[True, (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])])
-    tail = np.r_[head[1:], len(starts)] - 1
-    return starts[head], starts[tail], least[head], h[least[head]], doc[head]
+    least = np.minimum(behind[: n - window + 1], ahead[span - 1 : span + n - window])
+    begin, stop = block.offsets[:-1], block.offsets[1:] - window
+    edge = np.flatnonzero(least[1:] != least[:-1]) + 1
+    edge = edge[edge < stop[np.searchsorted(begin, edge, "right") - 1]]
+    head = np.union1d(edge, begin[begin < stop])
+    doc = np.searchsorted(begin, head, "right") - 1
+    tail = np.minimum(np.r_[head[1:], n], stop[doc]) - 1
+    least = (least[head] & U64(0xFFFFFFFF)).astype(np.int64)
+    return head, tail, least, h[least], doc
 
 
 def _anchor_rows(window: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             names, texts = part.column(0).to_numpy(), texts_of(part.column(1))
-            for x, y in groups(texts):
+            for x, y in groups(texts, RUN_BYTES):
                 block = Block(texts[x:y])
                 first, _, _, anchor, doc = minimiser_runs(block, window)
                 number = np.arange(len(doc)) - np.searchsorted(doc, doc)
@@ -85,7 +87,7 @@ def _bucket_rows(window: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             names, texts, lists = part.column(0).to_numpy(), texts_of(part.column(1)), part.column(2).to_pylist()
-            for x, y in groups(texts):
+            for x, y in groups(texts, RUN_BYTES):
                 block = Block(texts[x:y])
                 first, last, least, anchor, doc = minimiser_runs(block, window)
                 begin = np.searchsorted(doc, np.arange(y - x))
@@ -106,7 +108,7 @@ def _window_rows(window: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             names, texts, lists = part.column(0).to_numpy(), texts_of(part.column(1)), part.column(2).to_pylist()
-            for x, y in groups(texts):
+            for x, y in groups(texts, RUN_BYTES):
                 block = Block(texts[x:y])
                 first, last, _, _, doc = minimiser_runs(block, window)
                 begin = np.searchsorted(doc, np.arange(y - x))
@@ -128,32 +130,44 @@ class CoverSort:
 
     def __init__(self, text: np.ndarray, window: int = WINDOW):
         n = len(text)
-        pad = np.r_[text, np.zeros(8, np.uint8)].astype(np.uint64)
-        key = np.zeros(n + 1, np.uint64)
-        for k in range(8):
-            key |= pad[k : n + 1 + k] << U64(56 - 8 * k)
+        key = np.r_[text, np.zeros(8, np.uint8)].astype(np.uint64)
+        for k in (1, 2, 4):  # each pass doubles the bytes that a key holds
+            key = key[:-k] << U64(8 * k) | key[k:]
         self.key, self.n, self.window = key, n, window
         at = np.flatnonzero(IN_COVER[np.arange(n) % PERIOD])
-        a, b = key[at], key[np.minimum(at + 5, n)]
-        order = np.lexsort((b, a))
-        new = np.r_[True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])]
+        order, new = self._by_first_bytes(key[at], key[np.minimum(at + 5, n)])
         self.levels: list[np.ndarray] = []
         rank = np.zeros(n + 1, np.int64)
         active = self._store(rank, new, at[order], np.zeros(len(at), np.int64), np.ones(len(at), np.int64))
         self.levels.append(rank)
         step = PERIOD
         while len(active) and step < n:  # what is still tied then lies in the padding
-            old = self.levels[-1]
-            rank = old.copy()
+            old = rank
             own = old[active]
             order = np.argsort((own.astype(np.uint64) << U64(32)) | old[np.minimum(active + step, n)].astype(np.uint64))
             active, own = active[order], own[order]
             nxt = old[np.minimum(active + step, n)]
             head = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
             new = np.r_[True, (own[1:] != own[:-1]) | (nxt[1:] != nxt[:-1])]
+            if step <= window:  # same() needs the ranks of lengths up to the window, less() the last ones
+                rank = old.copy()
+                self.levels.append(rank)
             active = self._store(rank, new, active, np.repeat(head, np.diff(np.r_[head, len(own)])), own)
-            self.levels.append(rank)
             step *= 2
+        self.top = rank
+
+    @staticmethod
+    def _by_first_bytes(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Order by bytes 0 to 12 (a holds 0 to 7, b 5 to 12), and which of the ordered differ from the one before."""
+        order = np.argsort(a)
+        a, b = a[order], b[order]
+        number = np.cumsum(np.r_[False, a[1:] != a[:-1]]).astype(np.uint64)
+        if len(number) and number[-1] >> U64(24):
+            inner = np.lexsort((b, number))
+        else:
+            inner = np.argsort(number << U64(40) | b & U64((1 << 40) - 1))
+        a, b = a[inner], b[inner]
+        return order[inner], np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
 
     @staticmethod
     def _store(rank, new, moved, head, old):
@@ -170,7 +184,7 @@ class CoverSort:
             i, j = i[tie], j[tie]
             a, b = self.key[np.minimum(i + 5, self.n)], self.key[np.minimum(j + 5, self.n)]
             d = DELTA[i % PERIOD, j % PERIOD]
-            top = self.levels[-1]
+            top = self.top
             out[tie] = (a < b) | ((a == b) & (top[np.minimum(i + d, self.n)] < top[np.minimum(j + d, self.n)]))
         return out
 

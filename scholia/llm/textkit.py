@@ -101,11 +101,22 @@ class Block:
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """64-bit hashes of byte spans, equal for equal bytes."""
+        prefix, inverse = self._sums()
+        return mix((prefix[ends] - prefix[starts]) * inverse[starts])
+
+    def rolling(self, width: int) -> np.ndarray:
+        """The hashes of all spans of `width` bytes, text borders included."""
+        prefix, inverse = self._sums()
+        h = prefix[width:] - prefix[:-width]
+        h *= inverse[: len(h)]
+        return mix(h)
+
+    def _sums(self) -> tuple[np.ndarray, np.ndarray]:
         pw, inverse = _power_tables(len(self.buf) + 1)
         if self._prefix is None:
             self._prefix = np.zeros(len(self.buf) + 1, np.uint64)
             np.cumsum((self.buf.astype(np.uint64) + U64(1)) * pw[:-1], out=self._prefix[1:])
-        return mix((self._prefix[ends] - self._prefix[starts]) * inverse[starts])
+        return self._prefix, inverse
 
 
 def windows(h: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
