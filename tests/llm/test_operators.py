@@ -135,6 +135,34 @@ def test_substring_dedup(docs):
     assert len(before) - len(after) == got[10].n_removed and after.startswith(before[:60])
 
 
+def test_substring_dedup_finds_whole_passages(spark):
+    """A passage of 51 to 60 words goes from its first to its last byte, whatever stands around it; a short one stays."""
+    r = random.Random(17)
+    some = lambda n: " ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyzé", k=r.randint(2, 9))) for _ in range(n))
+    rows, expected = [], {}
+    for k in range(600):
+        passage = some(51 + k % 10) if k % 6 else some(12)[:100]
+        old, new = [(some(r.randrange(120)), some(r.randrange(120))) for _ in range(2)]
+        first, second = f"{old[0]}A{passage}B{old[1]}", f"{new[0]}C{passage}D{new[1]}"
+        rows += [(2 * k, first), (2 * k + 1, second)]
+        expected |= {2 * k: first, 2 * k + 1: f"{new[0]}CD{new[1]}" if k % 6 else second}
+    long = some(3000)  # found over several pieces of the owner's text, and with an owner that changes within
+    rows += [(5000, some(40) + long[4000:4300] + some(40)), (5001, some(50) + "A" + long + "B" + some(50)), (5002, f"C{long}D")]
+    expected[5002] = "CD"
+    got = {x.doc_id: x.kept_text for x in chunks.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert {k: got[k] for k in expected} == expected
+
+
+def test_substring_dedup_matches_whole_texts_of_owners(spark):
+    """A match that runs on past the pieces of its owner, where other documents own all seeds, still reaches its end."""
+    text = bytes(random.Random(3).choices(b"abcdefgh ", k=9000))
+    seed = [(4000, 32, 4000)]
+    piece = {"owner": 1, "base": 3500, "last": False, "piece": text[3500:4700], "seeds": [{"at": 4000, "size": 32, "start": 4000}]}
+    spans, early = chunks.foreign_spans(text, [piece])
+    assert spans == [(3500, 4700)] and early
+    assert chunks.matches(text, text, 0, seed) == [(0, 0, 9000)]
+
+
 @given(st.lists(st.text(max_size=400), max_size=6))
 @settings(max_examples=30, deadline=None)
 def test_chunks_cover_the_text(many):
