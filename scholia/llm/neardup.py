@@ -7,11 +7,13 @@ dart lands in one of BANDS * ROWS coordinates; the earliest of each coordinate i
 Two texts agree in a coordinate with the probability of their (weighted) Jaccard similarity.
 
 Texts with equal shingle sets are collapsed first.  Equal bands put the rest into buckets; in
-each bucket members are compared with one leader, never with each other, and the exact Jaccard
-similarity of the two texts decides.  The first leader is the least id; later rounds take the
+each bucket members are first compared with leaders, and the exact Jaccard similarity of the two
+texts decides.  The first leader is the least id; later rounds take the
 member with most links and LEADERS - 1 members drawn by hash, and compare only members that are
-not yet in the leader's class, until a round of at least two such has linked nothing new.  Classes are the connected
-components of all links found.
+not yet in the leader's class, until a round of at least two such has linked nothing new.  These
+rounds only save work: of all members of buckets that then still hold two classes, every pair
+that can reach the similarity is compared, found by exact prefix filtering (shingles in order of
+rarity, bounds on sizes and positions).  Classes are the connected components of all links found.
 
 Defined results: texts without words are each a class of their own; a text of one to four words
 has one shingle, all its words; rows that share an id count as one document, of which the least
@@ -34,7 +36,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 4
 LEADERS = 4  # of a bucket in a round after the first
-MAX_ROUNDS = 12
+MAX_ROUNDS = 12  # with leaders, before the rest is compared
 
 
 def shingles(texts: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -181,9 +183,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for turn in range(MAX_ROUNDS):
         pairs = cut(pairs, "pairs")
         tested = pairs if tested is None else tested.union(pairs)
-        left = pairs.join(texts.select(F.col("key").alias("u"), F.col("text").alias("t")), "u")
-        right = left.join(texts.select(F.col("key").alias("v"), F.col("text").alias("s")), "v")
-        new = cut(right.select("u", "v", "t", "s").mapInArrow(_compare, "u long, v long, similarity double").where(F.col("similarity") >= similarity), "new")
+        new = _linked(pairs, texts, similarity)
         found = new.limit(1).count()
         if found:
             links = new if links is None else links.union(new)
@@ -191,9 +191,55 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         elif turn > 1:
             break
         pairs = _next_pairs(turn, shared, labels, links, tested)
+    rest = cut(_rest_pairs(shared, labels, texts, similarity).join(tested, ["u", "v"], "left_anti"), "rest")
+    if rest.limit(1).count():
+        labels = components(_linked(rest, texts, similarity), labels)
     return _result(signed, sets, labels)
 
 
+def _linked(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    left = pairs.join(texts.select(F.col("key").alias("u"), F.col("text").alias("t")), "u")
+    right = left.join(texts.select(F.col("key").alias("v"), F.col("text").alias("s")), "v")
+    return cut(right.select("u", "v", "t", "s").mapInArrow(_compare, "u long, v long, similarity double").where(F.col("similarity") >= similarity), "new")
+
+
+def _shingle_rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in parts:
+        keys, classes, texts = part.column(0).to_numpy(), part.column(1).to_numpy(), texts_of(part.column(2))
+        for x, y in groups(texts):
+            element, owner, _ = shingles(texts[x:y])
+            size = np.bincount(owner, minlength=y - x)
+            yield pa.RecordBatch.from_pydict({"shingle": pa.array(element.view(np.int64)), "key": pa.array(keys[x:y][owner]), "class": pa.array(classes[x:y][owner]), "size": pa.array(size[owner])})
+
+
+def _rest_pairs(shared: DataFrame, labels: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """All pairs of different classes that can reach the similarity, among the members of buckets that hold two classes.
+
+    With shingles in order of rarity, the first that two texts share stands early in both: what
+    follows it must hold all that they share.
+    """
+    classes = shared.select("band", "key").join(labels, "key")
+    mixed = classes.groupBy("band").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("band")
+    members = cut(classes.join(mixed, "band").select("key", "class").distinct(), "unsettled")
+    rows = cut(members.join(texts, "key").select("key", "class", "text").mapInArrow(_shingle_rows, "shingle long, key long, class long, size long"), "shingles")
+    often = rows.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    common = rows.join(often, "shingle")  # a shingle of one text comes before all others and joins nothing
+    by_key = Window.partitionBy("key")
+    place = F.col("size") - F.count("*").over(by_key) + F.row_number().over(by_key.orderBy("n", "shingle"))
+    early = common.withColumn("place", place).where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1)
+    early = cut(early.select("shingle", "key", "class", "size", "place"), "early")
+    met = early.groupBy("shingle").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("shingle")
+    early = cut(early.join(met, "shingle"), "met")
+    share = similarity / (1 + similarity)
+    large = early.select("shingle", *(F.col(c).alias(f"{c}2") for c in ("key", "class", "size", "place")))
+    small = early.where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * (2 * share) - 1e-9) + 1)
+    smaller = (F.col("size") < F.col("size2")) | (F.col("size") == F.col("size2")) & (F.col("key") < F.col("key2"))
+    left = F.least(F.col("size") - F.col("place"), F.col("size2") - F.col("place2")) + 1
+    enough = left >= (F.col("size") + F.col("size2")) * share - 1e-9
+    found = small.join(large, "shingle").where((F.col("class") != F.col("class2")) & smaller & (F.col("size") >= F.col("size2") * similarity - 1e-9) & enough)
+    return found.select(F.least("key", "key2").alias("u"), F.greatest("key", "key2").alias("v")).distinct()
+
+
 def _next_pairs(turn: int, shared: DataFrame, labels: DataFrame, links: DataFrame | None, tested: DataFrame) -> DataFrame:
     """In each bucket that still holds two classes: its members against other leaders."""
     if links is not None:

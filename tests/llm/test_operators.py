@@ -115,6 +115,28 @@ def test_near_duplicates_of_a_star(spark):
     assert len({classes[i] for i in sure}) == 1 and len(sure) > 30
 
 
+@pytest.mark.parametrize("rounds", [1, 12])
+def test_near_duplicates_in_a_crowd(spark, monkeypatch, rounds):
+    """Near pairs among many texts of one template are found whether or not a leader was drawn from them."""
+    monkeypatch.setattr(neardup, "MAX_ROUNDS", rounds)
+    base = words(21, 174, 10**6)
+    rows = []
+    for k in range(120):
+        own = [*base, *words(1000 + k, 26, 10**6)]  # 170 of 196 shingles are the template's
+        rows.append((k, " ".join(own)))
+        if k < 20:
+            rows.append((1000 + k, " ".join([*own[:-17], *words(2000 + k, 17, 10**6)])))
+    sets = {i: shingle_set(t) for i, t in rows}
+    group = {i: i for i in sets}
+    for i, j in itertools.combinations(sorted(sets), 2):
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            a, b = sorted((group[i], group[j]))
+            group = {k: a if g == b else g for k, g in group.items()}
+    assert len(set(group.values())) == 120
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.class_id for r in got.collect()} == group
+
+
 def test_dart_signatures_estimate_weighted_jaccard():
     r = np.random.default_rng(0)
     e = r.integers(0, 2**63, 60, dtype=np.uint64)
