@@ -1,23 +1,26 @@
 """Near-duplicate classes by DartMinHash signatures and banded joins.
 
-Darts are thrown by hash into the region of each element (its weight wide, without end in rank):
-in each dyadic weight band they form a Poisson process along the rank, so a text only draws the
-darts below a rank at which, given its total weight, every coordinate is expected to be hit.  A
-dart lands in one of BANDS * ROWS coordinates; the earliest of each coordinate is the signature.
-Two texts agree in a coordinate with the probability of their (weighted) Jaccard similarity.
-
-Texts with equal shingle sets are collapsed first.  Equal bands put the rest into buckets; in
-each bucket members are first compared with leaders, and the exact Jaccard similarity of the two
-texts decides.  The first leader is the least id; later rounds take the
-member with most links and LEADERS - 1 members drawn by hash, and compare only members that are
-not yet in the leader's class, until a round of at least two such has linked nothing new.  These
-rounds only save work: of all members of buckets that then still hold two classes, every pair
-that can reach the similarity is compared, found by exact prefix filtering (shingles in order of
-rarity, bounds on sizes and positions).  Classes are the connected components of all links found.
-
-Defined results: texts without words are each a class of their own; a text of one to four words
-has one shingle, all its words; rows that share an id count as one document, of which the least
-signature stands for all; null ids come before others (equal texts with null ids share one);
+A text is the weighted set of its five-word shingles, each weighing as often as it occurs.  Darts
+are thrown by hash into the region of each element (its weight wide, without end in rank): in each
+dyadic weight band they form a Poisson process along the rank, so a text only draws the darts
+below a rank at which, given its total weight, every coordinate is expected to be hit.  A dart
+lands in one of BANDS * ROWS coordinates; the earliest of each coordinate is the signature.  Two
+texts agree in a coordinate with the probability of their weighted Jaccard similarity (the sum of
+the lesser weights over the sum of the greater ones).
+
+Texts with equal weighted sets are collapsed first.  Equal bands put the rest into buckets; in
+each bucket members are first compared with leaders, and the exact similarity of the two texts
+decides.  The first leader is the least number; later rounds take the member with most links and
+LEADERS - 1 members drawn by hash, and compare only members that are not yet in the leader's
+class.  These LEADER_ROUNDS only save work: of all members of buckets that then still hold two
+classes, every pair that can reach the similarity is compared, found by exact prefix filtering
+(shingles in order of rarity, bounds on sizes and positions).  Classes are the connected
+components of all links found.
+
+Defined results: a document is a pair of id and text, so rows with one id and different texts are
+different documents, and equal rows are one (n_rows of them); texts without words are each a class
+of their own; a text of one to four words has one shingle, all its words; a class is named by its
+least id that is not null, and the document with it is kept (of several the least text hash);
 extra columns are ignored.
 """
 
@@ -30,13 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textkit import SPACED, U64, Block, cut, groups, mix, row_key, texts_of, windows
+from .textkit import SPACED, U64, Block, cut, groups, mix, texts_of, windows
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 4
 LEADERS = 4  # of a bucket in a round after the first
-MAX_ROUNDS = 12  # with leaders, before the rest is compared
+LEADER_ROUNDS = 4  # before the rest is compared, pair by pair
 
 
 def shingles(texts: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -61,6 +64,15 @@ def shingles(texts: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray, np.nd
     return found[pick][back], owner[pick][back], times[back]
 
 
+def occurrences(element: np.ndarray, owner: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each shingle as often as it occurs, told apart by number: plain Jaccard of these is the weighted one."""
+    number = (np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)).astype(np.uint64)
+    again = np.repeat(element, times)
+    more = np.flatnonzero(number)
+    again[more] = mix(again[more] + number[more] * U64(0x9FB21C651E98DF25))
+    return again, np.repeat(owner, times)
+
+
 def hash_of(h: np.ndarray) -> int:
     total = 0x5107 + len(h)
     for x in h.tolist():
@@ -111,24 +123,24 @@ def bands_of(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarra
 
 def _sign(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in parts:
-        keys, texts = part.column(0), texts_of(part.column(1))
+        texts = texts_of(part.column(3))
         for x, y in groups(texts):
             n = y - x
-            element, owner, _ = shingles(texts[x:y])
-            bands = bands_of(dart_signatures(element, owner, np.ones(len(element)), n)).view(np.int64)
-            size = np.bincount(owner, minlength=n)
-            edge = np.r_[0, np.cumsum(size)]
-            sums = [np.r_[U64(0), np.cumsum(mix(element ^ U64(c)))] for c in (0x1234567, 0xFEDCBA987)]
+            element, owner, times = shingles(texts[x:y])
+            bands = bands_of(dart_signatures(element, owner, times.astype(float), n)).view(np.int64)
+            edge = np.r_[0, np.cumsum(np.bincount(owner, minlength=n))]
+            sums = [np.r_[U64(0), np.cumsum(mix(element ^ U64(c)) * times.astype(np.uint64))] for c in (0x1234567, 0xFEDCBA987)]
             a, b = (s[edge[1:]] - s[edge[:-1]] for s in sums)
+            size = np.bincount(owner, times, n).astype(np.int64)
             yield pa.RecordBatch.from_pydict({
-                "key": keys[x:y], "size": pa.array(size), "a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64)),
+                **{c: part.column(c)[x:y] for c in ("doc_id", "h1", "h2")}, "size": pa.array(size), "a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64)),
                 "bands": pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * BANDS, pa.int32()), pa.array(bands.reshape(-1))),
             })
 
 
 def jaccard(left: list[bytes], right: list[bytes]) -> np.ndarray:
-    """Exact Jaccard similarity of the shingle sets of each pair; 0 for two empty sets."""
-    element, owner, _ = shingles([t for pair in zip(left, right, strict=True) for t in pair])
+    """Exact weighted Jaccard similarity of each pair; 0 for two empty sets."""
+    element, owner = occurrences(*shingles([t for pair in zip(left, right, strict=True) for t in pair]))
     size = np.bincount(owner, minlength=2 * len(left))
     own = element ^ mix((owner // 2).astype(np.uint64) + U64(0xBA1))
     order = np.argsort(own)
@@ -146,54 +158,77 @@ def _compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def components(links: DataFrame, labels: DataFrame) -> DataFrame:
-    """labels (key, class) joined along links (u, v): each key gets the least class that it can reach.
+    """labels (key, class) with all classes joined that links (u, v) connect; a joined class takes the least name.
 
-    Each step takes the least class among neighbours and then the class of that class; written to
-    the shared folder each time, so lineage stays short.  Both joins meet plain scans.
+    The graph is one of classes, not of keys.  Each step takes the least root among neighbours and
+    then the root of that root; tables are written to the shared folder each time, so lineage
+    stays short.  Joins meet plain scans.
     """
-    both = cut(links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v"))), "links")
+    name = lambda side, end: labels.select(F.col("key").alias(side), F.col("class").alias(end))
+    pairs = links.select("u", "v").join(name("u", "a"), "u").join(name("v", "b"), "v").where("a <> b").select("a", "b").distinct()
+    pairs = cut(pairs, "pairs")
+    if not pairs.limit(1).count():
+        return labels
+    both = cut(pairs.union(pairs.select("b", "a")).distinct(), "both")
+    roots = cut(both.select(F.col("a").alias("class")).distinct().select("class", F.col("class").alias("root")), "roots")
     while True:
-        seen = both.join(labels.select(F.col("key").alias("v"), "class"), "v").groupBy("u").agg(F.min("class").alias("near"))
-        step = cut(labels.join(seen.withColumnRenamed("u", "key"), "key", "left").select("key", F.col("class").alias("old"), F.least("class", F.coalesce("near", "class")).alias("class")), "step")
-        if not step.where("class <> old").limit(1).count():
-            return labels
-        root = step.select(F.col("key").alias("class"), F.col("class").alias("root"))
-        labels = cut(step.join(root, "class", "left").select("key", F.least("class", F.coalesce("root", "class")).alias("class")), "labels")
+        near = both.join(roots.select(F.col("class").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("near")).withColumnRenamed("a", "class")
+        step = cut(roots.join(near, "class").select("class", F.col("root").alias("old"), F.least("root", "near").alias("root")), "step")
+        if not step.where("root <> old").limit(1).count():
+            break
+        up = step.select(F.col("class").alias("root"), F.col("root").alias("top"))
+        roots = cut(step.select("class", "root").join(up, "root").select("class", F.least("root", "top").alias("root")), "roots")
+    return cut(labels.join(roots, "class", "left").select("key", F.coalesce("root", "class").alias("class")), "labels")
+
+
+IDENTITY = ["doc_id", "h1", "h2"]
+
+
+def _identified(docs: DataFrame, id_col: str, text_col: str) -> list:
+    text = docs[text_col].cast("string")
+    return [docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")]
+
+
+def _same(left: DataFrame, right: DataFrame):
+    """Two tables hold the same document (null ids are equal)."""
+    return left.doc_id.eqNullSafe(right.doc_id) & (left.h1 == right.h1) & (left.h2 == right.h2)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """One row per document: key (see row_key), doc_id, class_id (the least id of its class; null if that is null), kept, n_rows (rows with its id) and n_copies (other documents with the same shingles)."""
-    own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    own = own.select(row_key(own.doc_id, own.text).alias("key"), "doc_id", "text")
-    signed = own.select("key", "text").mapInArrow(_sign, "key long, size long, a long, b long, bands array<long>")
-    signed = signed.groupBy("key").agg(F.min(F.struct("size", "a", "b", "bands")).alias("s"), F.count("*").alias("n_rows")).select("key", "s.*", "n_rows")
-    signed = cut(signed, "signed")
+    """One row per document: doc_id, h1 and h2 (hashes of its text), class_id, kept, n_rows (equal rows) and n_copies (other documents with the same shingles)."""
+    own = docs.select(*_identified(docs, id_col, text_col), docs[text_col].cast("string").alias("text"))
+    signed = own.mapInArrow(_sign, "doc_id long, h1 long, h2 long, size long, a long, b long, bands array<long>")
+    signed = signed.groupBy(IDENTITY).agg(F.any_value(F.struct("size", "a", "b", "bands")).alias("s"), F.count("*").alias("n_rows"))
+    signed = cut(signed.select(F.monotonically_increasing_id().alias("key"), *IDENTITY, "s.*", "n_rows"), "signed")  # numbered once, as they are written
     some = signed.where("size > 0")
-    sets = cut(some.groupBy("size", "a", "b").agg(F.min("key").alias("rep"), F.count("*").alias("copies")), "sets")
+    lead = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), *IDENTITY)).alias("lead")
+    sets = cut(some.groupBy("size", "a", "b").agg(F.min("key").alias("rep"), F.count("*").alias("copies"), lead), "sets")
     rows = some.select("key", "bands").join(sets.select(F.col("rep").alias("key")), "key").select("key", F.explode("bands").alias("band"))
     rows = cut(rows.select("band", "key"), "rows")
     full = cut(rows.groupBy("band").agg(F.min("key").alias("lead"), F.max("key").alias("last")).where("lead <> last").select("band", "lead"), "full")
     shared = cut(rows.join(full, "band").select("band", "key", "lead"), "shared")
-    wanted = shared.select("key").distinct()
-    texts = cut(own.select("key", "text").join(wanted, "key").groupBy("key").agg(F.min("text").alias("text")), "texts")
+    wanted = cut(shared.select("key").distinct(), "wanted")
+    named = cut(signed.select("key", *IDENTITY).join(wanted, "key"), "named")
+    texts = own.join(named, _same(own, named)).select("key", "text")
+    texts = cut(texts.groupBy("key").agg(F.any_value("text").alias("text")), "texts")
 
-    labels = cut(wanted.select("key", F.col("key").alias("class")), "labels")
+    labels = wanted.select("key", F.col("key").alias("class"))
     links = tested = None
     pairs = shared.where("key <> lead").groupBy("key").agg(F.min("lead").alias("lead")).select(F.col("lead").alias("u"), F.col("key").alias("v"))
-    for turn in range(MAX_ROUNDS):
+    for turn in range(LEADER_ROUNDS):
         pairs = cut(pairs, "pairs")
+        if not pairs.limit(1).count():
+            break
         tested = pairs if tested is None else tested.union(pairs)
         new = _linked(pairs, texts, similarity)
-        found = new.limit(1).count()
-        if found:
-            links = new if links is None else links.union(new)
-            labels = components(new, labels)
-        elif turn > 1:
-            break
-        pairs = _next_pairs(turn, shared, labels, links, tested)
-    rest = cut(_rest_pairs(shared, labels, texts, similarity).join(tested, ["u", "v"], "left_anti"), "rest")
-    if rest.limit(1).count():
-        labels = components(_linked(rest, texts, similarity), labels)
+        links = new if links is None else links.union(new)
+        labels = components(new, labels)
+        if turn < LEADER_ROUNDS - 1:
+            pairs = _next_pairs(turn, shared, labels, links, tested)
+    if tested is not None:
+        rest = cut(_rest_pairs(shared, labels, texts, similarity).join(tested, ["u", "v"], "left_anti"), "rest")
+        if rest.limit(1).count():
+            labels = components(_linked(rest, texts, similarity), labels)
     return _result(signed, sets, labels)
 
 
@@ -207,7 +242,7 @@ def _shingle_rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in parts:
         keys, classes, texts = part.column(0).to_numpy(), part.column(1).to_numpy(), texts_of(part.column(2))
         for x, y in groups(texts):
-            element, owner, _ = shingles(texts[x:y])
+            element, owner = occurrences(*shingles(texts[x:y]))
             size = np.bincount(owner, minlength=y - x)
             yield pa.RecordBatch.from_pydict({"shingle": pa.array(element.view(np.int64)), "key": pa.array(keys[x:y][owner]), "class": pa.array(classes[x:y][owner]), "size": pa.array(size[owner])})
 
@@ -240,14 +275,13 @@ def _rest_pairs(shared: DataFrame, labels: DataFrame, texts: DataFrame, similari
     return found.select(F.least("key", "key2").alias("u"), F.greatest("key", "key2").alias("v")).distinct()
 
 
-def _next_pairs(turn: int, shared: DataFrame, labels: DataFrame, links: DataFrame | None, tested: DataFrame) -> DataFrame:
+def _next_pairs(turn: int, shared: DataFrame, labels: DataFrame, links: DataFrame, tested: DataFrame) -> DataFrame:
     """In each bucket that still holds two classes: its members against other leaders."""
-    if links is not None:
-        ends = links.select(F.col("u").alias("key")).union(links.select(F.col("v").alias("key")))
-        labels = labels.join(ends.groupBy("key").agg(F.count("*").alias("degree")), "key", "left")
-    degree = F.coalesce("degree", F.lit(0)) if links is not None else F.lit(0)
-    drawn = F.xxhash64("key", "band", F.lit(turn))
-    members = cut(shared.select("band", "key").join(labels, "key").select("band", "key", "class", (degree.cast("long") * (1 << 40) + F.pmod(drawn, F.lit(1 << 40))).alias("score")), "members")
+    ends = links.select(F.col("u").alias("key")).union(links.select(F.col("v").alias("key")))
+    named = labels.join(ends.groupBy("key").agg(F.count("*").alias("degree")), "key", "left")
+    drawn = F.pmod(F.xxhash64("key", "band", F.lit(turn)), F.lit(1 << 40))
+    members = shared.select("band", "key").join(named, "key").select("band", "key", "class", (F.coalesce("degree", F.lit(0)).cast("long") * (1 << 40) + drawn).alias("score"))
+    members = cut(members, "members")
     scores = [F.col("score"), *(F.xxhash64("key", "band", F.lit(turn), F.lit(k)) for k in range(1, LEADERS))]
     picks = [F.max_by(c, s).alias(f"{c}{k}") for k, s in enumerate(scores) for c in ("key", "class")]
     mixed = members.groupBy("band").agg(F.min("class").alias("x"), F.max("class").alias("y"), *picks).where("x <> y")
@@ -259,19 +293,26 @@ def _next_pairs(turn: int, shared: DataFrame, labels: DataFrame, links: DataFram
 
 
 def _result(signed: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
-    classes = cut(sets.join(labels.withColumnRenamed("key", "rep"), "rep", "left").select("size", "a", "b", "copies", F.coalesce("class", "rep").alias("class")), "classes")
-    out = signed.select("key", "size", "a", "b", "n_rows").join(classes, ["size", "a", "b"], "left").select("key", "n_rows", F.coalesce("class", "key").alias("class"), (F.coalesce("copies", F.lit(1)) - 1).alias("n_copies"))
-    real = lambda c: F.when(F.col(c) >= -(1 << 61), F.col(c))  # noqa: E731  keys of null ids stay inside
-    return out.select("key", real("key").alias("doc_id"), real("class").alias("class_id"), (F.col("key") == F.col("class")).alias("kept"), "n_rows", "n_copies")
+    classes = cut(sets.join(labels.withColumnRenamed("key", "rep"), "rep", "left").select("size", "a", "b", "copies", "lead", F.coalesce("class", "rep").alias("class")), "classes")
+    heads = cut(classes.groupBy("class").agg(F.min("lead").alias("head")), "heads")
+    found = classes.join(heads, "class").select("size", "a", "b", "copies", "head")
+    out = signed.join(cut(found, "found"), ["size", "a", "b"], "left")
+    alone = F.col("head").isNull()
+    head = lambda c: F.col(f"head.{c}").eqNullSafe(F.col(c))
+    return out.select(
+        *IDENTITY, F.when(alone, F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("class_id"), (alone | head("doc_id") & head("h1") & head("h2")).alias("kept"),
+        "n_rows", (F.coalesce("copies", F.lit(1)) - 1).alias("n_copies"),
+    )
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of docs that stand for their classes, all columns as they are."""
-    key, rows, turn = "_scholia_key", "_scholia_rows", "_scholia_turn"
-    kept = cut(near_duplicates(docs, id_col, text_col, similarity).where("kept").select(F.col("key").alias(key), F.col("n_rows").alias(rows)), "kept")
-    found = docs.withColumn(key, row_key(docs[id_col], docs[text_col].cast("string"))).join(kept, key)
-    if not kept.where(F.col(rows) > 1).limit(1).count():
+    """The rows of docs that stand for their classes, all columns as they are; of equal documents one row."""
+    kept = cut(near_duplicates(docs, id_col, text_col, similarity).where("kept").select(*IDENTITY, "n_rows"), "kept")
+    names = [f"_scholia_{c}" for c in IDENTITY]
+    keyed = docs.withColumns(dict(zip(names, _identified(docs, id_col, text_col), strict=True)))
+    wanted = kept.select(*(F.col(c).alias(f"{n}_kept") for n, c in zip(names, IDENTITY, strict=True)), F.col("n_rows").alias("_scholia_rows"))
+    found = keyed.join(wanted, [F.col(n).eqNullSafe(F.col(f"{n}_kept")) for n in names])
+    if not kept.where("n_rows > 1").limit(1).count():
         return found.select(*docs.columns)
-    first = F.row_number().over(Window.partitionBy(key).orderBy(text_col))
-    several = found.where(F.col(rows) > 1).withColumn(turn, first).where(F.col(turn) == 1)
-    return found.where(F.col(rows) == 1).select(*docs.columns).union(several.select(*docs.columns))
+    several = found.where("_scholia_rows > 1").dropDuplicates(names)
+    return found.where("_scholia_rows = 1").select(*docs.columns).union(several.select(*docs.columns))

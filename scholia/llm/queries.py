@@ -10,7 +10,7 @@ from .textkit import held_out_column, read, small_batches
 
 def op1_neardup(spark, sf_dir):
     small_batches(spark)
-    return neardup.near_duplicates(read(spark, sf_dir, "documents")).drop("key")
+    return neardup.near_duplicates(read(spark, sf_dir, "documents")).drop("h1", "h2")
 
 
 def op2_chunks(spark, sf_dir):

@@ -2,20 +2,25 @@
 
 A byte goes if any string of `window` bytes that covers it starts at another place too.  Every
 window belongs to one suffix bucket, the one of its minimiser: the GRAM-byte string inside it
-that hashes least.  Equal windows have equal minimisers at equal offsets, so buckets that hold one place only
-are dropped after one count, and no match is lost.  The rest are sorted bucket by bucket, in
-blocks of bounded size: suffixes of a block are compared by their first 13 bytes and, if these
-agree, by ranks that were computed before for the cover sample {0, 1, 3, 9} modulo 13 of the
-block's positions.  For any two positions some offset below 13 takes both into the sample, so a
-tie of any length costs one look-up.  Sorted neighbours that agree in `window` bytes are repeats.
-
-Equal texts are collapsed first (a text of at least `window` bytes that occurs twice goes
-entirely).  A bucket of more than HOT places would make one task long; its windows are instead
-counted by 64-bit hash with map-side combination, which is as exact but for hash collisions
-(about the square of the number of such windows over 2**65).
+that hashes least.  A run is a stretch of windows of one text with one minimiser.  Equal windows
+have equal minimisers at equal offsets, so buckets that hold one run only are dropped after one
+count, and no match is lost.
+
+Runs of a bucket with the same bytes (told by 128 bits of hash, counted with map-side combination)
+are repeated as a whole, and one of them stands for all: copies of any number cost one row.  The
+different runs of a bucket are sorted bucket by bucket, in blocks of bounded size: suffixes of a
+block are compared by their first 13 bytes and, if these agree, by ranks that were computed before
+for the cover sample {0, 1, 3, 9} modulo 13 of the block's positions.  For any two positions some
+offset below 13 takes both into the sample, so a tie of any length costs one look-up.  Sorted
+neighbours that agree in `window` bytes are repeats.
+
+A bucket of more than HOT different runs (a passage in ever new surroundings) is trimmed first:
+windows whose 64-bit hash occurs once cannot repeat; the stretches between them are runs again,
+of which those with the same bytes are collapsed as before, and the rest is sorted.  A hash that
+agrees by chance only adds to the sort.
 
 Defined results: null counts as empty; texts shorter than the window stay whole; repeated rows are
-copies of each other; extra columns are ignored.
+copies of each other; texts are told apart by 128 bits of hash; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,15 +30,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import U64, Block, cut, groups, mix, row_key, texts_of
-from .units import ranges
+from .textkit import U64, Block, cut, gathered, groups, mix, texts_of
+from .units import ranges, spans_array
 
 WINDOW = 200
 GRAM = 32
-HOT = 64
+HOT = 1024
 BLOCK_BYTES = 1 << 20
 #: Texts whose minimisers are found at a time; the arrays of so many fit a core's cache.
 RUN_BYTES = 1 << 18
@@ -68,59 +74,98 @@ def minimiser_runs(block: Block, window: int = WINDOW, gram: int = GRAM):
     return head, tail, least, h[least], doc
 
 
-def _anchor_rows(window: int):
+#: What tells a text apart, and which of its copies stands for all.
+TEXT = ["h1", "h2", "key"]
+RUN = "anchor long, d1 long, d2 long, h1 long, h2 long, first int, last int, off int"
+
+
+def _run_batch(block: Block, doc: np.ndarray, first: np.ndarray, last: np.ndarray, off: np.ndarray, anchor: np.ndarray, names: list[np.ndarray], window: int) -> pa.RecordBatch:
+    """Rows of runs that start and end at these places of the block."""
+    raw, digest = block.raw, xxhash.xxh3_128_digest
+    d = np.frombuffer(b"".join([digest(raw[a:b]) for a, b in zip(first.tolist(), (last + window).tolist(), strict=True)]), np.int64).reshape(-1, 2)
+    begin = block.offsets[doc]
+    return pa.RecordBatch.from_pydict({
+        "anchor": pa.array(anchor.view(np.int64)), "d1": pa.array(d[:, 0]), "d2": pa.array(d[:, 1]), "h1": pa.array(names[0][doc]), "h2": pa.array(names[1][doc]),
+        "first": pa.array((first - begin).astype(np.int32)), "last": pa.array((last - begin).astype(np.int32)), "off": pa.array(off.astype(np.int32)),
+    })
+
+
+def _run_rows(window: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            names, texts = part.column(0).to_numpy(), texts_of(part.column(1))
+        for part in gathered(parts, RUN_BYTES):
+            names, texts = [part.column(c).to_numpy() for c in (0, 1)], texts_of(part.column(2))
             for x, y in groups(texts, RUN_BYTES):
                 block = Block(texts[x:y])
-                first, _, _, anchor, doc = minimiser_runs(block, window)
-                number = np.arange(len(doc)) - np.searchsorted(doc, doc)
-                own = names[x:y][doc]
-                place = mix(own.view(np.uint64) + mix((first - block.offsets[doc]).astype(np.uint64)))
-                yield pa.RecordBatch.from_pydict({"anchor": pa.array(anchor.view(np.int64)), "place": pa.array(place.view(np.int64)), "h": pa.array(own), "number": pa.array(number.astype(np.int32))})
+                first, last, least, anchor, doc = minimiser_runs(block, window)
+                yield _run_batch(block, doc, first, last, least - first, anchor, [n[x:y] for n in names], window)
 
     return run
 
 
+def _listed(runs: pa.Array, *fields: str) -> tuple[np.ndarray, ...]:
+    """Of a column of lists of structs: the row of each struct, and its fields."""
+    lengths = np.diff(runs.offsets.to_numpy())
+    flat = runs.flatten()
+    return np.repeat(np.arange(len(runs)), lengths), *(flat.field(f).to_numpy(zero_copy_only=False) for f in fields)
+
+
 def _bucket_rows(window: int):
+    """Of each text the runs that stand for their kind, with their bytes."""
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            names, texts, lists = part.column(0).to_numpy(), texts_of(part.column(1)), part.column(2).to_pylist()
-            for x, y in groups(texts, RUN_BYTES):
-                block = Block(texts[x:y])
-                first, last, least, anchor, doc = minimiser_runs(block, window)
-                begin = np.searchsorted(doc, np.arange(y - x))
-                cold = [np.sort(np.array([v >> 1 for v in own if not v & 1], np.int64)) + begin[d] for d, own in enumerate(lists[x:y])]
-                k = np.concatenate(cold) if cold else np.empty(0, np.int64)
-                size = last[k] - first[k] + window
-                data = pa.Array.from_buffers(pa.binary(), len(k), [None, pa.py_buffer(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.py_buffer(block.buf[ranges(first[k], size)])])
-                yield pa.RecordBatch.from_pydict({
-                    "anchor": pa.array(anchor[k].view(np.int64)), "h": pa.array(names[x:y][doc[k]]), "at": pa.array((first[k] - block.offsets[doc[k]]).astype(np.int32)), "off": pa.array((least[k] - first[k]).astype(np.int32)), "data": data,
-                })
+        for part in gathered(parts, RUN_BYTES):
+            row, first, last, off, anchor, send = _listed(part.column("runs"), "first", "last", "off", "anchor", "send")
+            row, first, last, off, anchor = (x[send] for x in (row, first, last, off, anchor))
+            block = Block(texts_of(part.column("text")))
+            size = (last - first + window).astype(np.int64)
+            data = spans_array(block.buf[ranges(block.offsets[row] + first, size)], np.r_[0, np.cumsum(size)]).cast(pa.binary())
+            names = {c: part.column(c).take(pa.array(row)) for c in TEXT}
+            yield pa.RecordBatch.from_pydict({"anchor": pa.array(anchor)} | names | {"at": pa.array(first), "off": pa.array(off), "data": data})
 
     return run
 
 
 def _window_rows(window: int):
-    """Of the runs in hot buckets, every window: its hash, text and start."""
+    """Every window of the runs in hot buckets: its hash, its text and run, and its start."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            names, texts, lists = part.column(0).to_numpy(), texts_of(part.column(1)), part.column(2).to_pylist()
-            for x, y in groups(texts, RUN_BYTES):
-                block = Block(texts[x:y])
-                first, last, _, _, doc = minimiser_runs(block, window)
-                begin = np.searchsorted(doc, np.arange(y - x))
-                hot = [np.sort(np.array([v >> 1 for v in own if v & 1], np.int64)) + begin[d] for d, own in enumerate(lists[x:y])]
-                k = np.concatenate(hot) if hot else np.empty(0, np.int64)
-                if not len(k):
-                    continue
-                size = last[k] - first[k] + 1
-                s, d = ranges(first[k], size), np.repeat(doc[k], size)
-                own, at = names[x:y][d], s - block.offsets[d]
-                place = mix(own.view(np.uint64) + mix(at.astype(np.uint64)))
-                yield pa.RecordBatch.from_pydict({"w": pa.array(block.hashes(s, s + window).view(np.int64)), "place": pa.array(place.view(np.int64)), "h": pa.array(own), "at": pa.array(at.astype(np.int32))})
+        for part in gathered(parts, RUN_BYTES):
+            row, first, last, off, anchor = _listed(part.column("runs"), "first", "last", "off", "anchor")
+            block = Block(texts_of(part.column("text")))
+            size = (last - first + 1).astype(np.int64)
+            which = np.repeat(np.arange(len(row)), size)
+            at = ranges(first.astype(np.int64), size)
+            place = at + block.offsets[row[which]]
+            prefix, inverse = block._sums()
+            w = mix((prefix[place + window] - prefix[place]) * inverse[place]) ^ mix(anchor.view(np.uint64).copy())[which]
+            yield pa.RecordBatch.from_pydict({
+                "w": pa.array(w.view(np.int64)), "anchor": pa.array(anchor[which]), "h1": part.column("h1").take(pa.array(row[which])), "h2": part.column("h2").take(pa.array(row[which])),
+                "place": pa.array((first + off)[which].astype(np.int32)), "at": pa.array(at.astype(np.int32)),
+            })
+
+    return run
+
+
+def _trimmed_rows(window: int):
+    """Runs made of those starts of a run that are left; `place` is where the minimiser stands."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in gathered(parts, RUN_BYTES):
+            names, texts = [part.column(c).to_numpy() for c in ("h1", "h2")], texts_of(part.column("text"))
+            block = Block(texts)
+            row, anchor, place, starts = _listed(part.column("runs"), "anchor", "place", "starts")
+            if not len(row):
+                continue
+            at = np.concatenate(starts).astype(np.int64)
+            which = np.repeat(np.arange(len(row)), [len(x) for x in starts])
+            order = np.lexsort((at, which))
+            at, which = at[order], which[order]
+            edge = (at[1:] != at[:-1] + 1) | (which[1:] != which[:-1])
+            head, tail = np.flatnonzero(np.r_[True, edge]), np.flatnonzero(np.r_[edge, True])
+            k = which[head]
+            begin = block.offsets[row[k]]
+            order = np.argsort(row[k], kind="stable")
+            yield _run_batch(block, row[k][order], (begin + at[head])[order], (begin + at[tail])[order], (place[k] - at[head])[order], anchor[k].view(np.uint64)[order], names, window)
 
     return run
 
@@ -233,15 +278,17 @@ class CoverSort:
         return items
 
 
-def sort_block(anchors: np.ndarray, offs: np.ndarray, data: list[bytes], window: int = WINDOW) -> np.ndarray:
-    """For the rows of whole buckets: which of all their windows, row after row, occur at two places."""
-    size = np.array([len(x) for x in data], np.int64)
-    text = np.frombuffer(b"".join(data) + bytes(2 * window), np.uint8)
+def sort_block(anchors: np.ndarray, offs: np.ndarray, data: pa.Array, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the runs of whole buckets: which of all their windows, run after run, occur at two places; and each window's run and place in it."""
+    edges = data.offsets.to_numpy() if hasattr(data, "offsets") else np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1]
+    size = np.diff(edges).astype(np.int64)
+    text = np.r_[np.frombuffer(data.buffers()[2], np.uint8)[edges[0] : edges[-1]], np.zeros(2 * window, np.uint8)]
     first = np.cumsum(size) - size
     count = size - window + 1
     at = ranges(first, count)
-    row = np.repeat(np.arange(len(data)), count)
-    bucket = np.cumsum(np.r_[False, anchors[1:] != anchors[:-1]])[row] * (window + 1) + offs[row] - (at - first[row])
+    row = np.repeat(np.arange(len(size)), count)
+    inside = at - first[row]
+    bucket = np.cumsum(np.r_[False, anchors[1:] != anchors[:-1]])[row] * (window + 1) + offs[row] - inside
     order = np.argsort(bucket, kind="stable")
     group = bucket[order]
     several = np.r_[False, group[1:] == group[:-1]]
@@ -256,90 +303,120 @@ def sort_block(anchors: np.ndarray, offs: np.ndarray, data: list[bytes], window:
         index = np.empty(len(text), np.int64)
         index[at] = np.arange(len(at))
         twice[index[items[near]]] = twice[index[items[near + 1]]] = True
-    return twice
+    return twice, row, inside
 
 
 def _sort_buckets(window: int):
+    """Rows come in the order of their buckets; whole buckets of about BLOCK_BYTES are sorted at a time."""
+
+    def sort(table: pa.Table) -> pa.RecordBatch:
+        anchors, offs, starts = (table[c].to_numpy() for c in ("anchor", "off", "at"))
+        twice, row, place = sort_block(anchors, offs.astype(np.int64), table["data"].combine_chunks(), window)
+        new = np.r_[True, row[1:] != row[:-1]]
+        edge = twice & np.r_[True, ~twice[:-1] | new[1:]]
+        stop = twice & np.r_[~twice[1:] | new[1:], True]
+        r = row[edge]
+        names = {c: pa.array(table[c].to_numpy()[r]) for c in TEXT}
+        return pa.RecordBatch.from_pydict(names | {"lo": pa.array((starts[r] + place[edge]).astype(np.int32)), "hi": pa.array((starts[r] + place[stop]).astype(np.int32))})
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: list[pa.RecordBatch] = []
         size = 0
-
-        def flush():
-            anchors, names, starts, offs, data = zip(*held, strict=True)
-            twice = sort_block(np.array(anchors), np.array(offs, np.int64), list(data), window)
-            count = np.array([len(x) - window + 1 for x in data])
-            row = np.repeat(np.arange(len(data)), count)
-            place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-            edge = twice & np.r_[True, ~twice[:-1] | (row[1:] != row[:-1])]
-            stop = twice & np.r_[~twice[1:] | (row[1:] != row[:-1]), True]
-            r = row[edge]
-            start = np.array(starts, np.int64)[r]
-            return pa.RecordBatch.from_pydict({"h": pa.array(np.array(names, np.int64)[r]), "lo": pa.array((start + place[edge]).astype(np.int32)), "hi": pa.array((start + place[stop]).astype(np.int32))})
-
         for part in parts:
-            for row in zip(*(part.column(c).to_pylist() for c in range(5)), strict=True):
-                if size >= BLOCK_BYTES and row[0] != held[-1][0]:
-                    yield flush()
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[4])
+            held.append(part)
+            size += part.nbytes
+            if size >= BLOCK_BYTES:
+                table = pa.Table.from_batches(held).combine_chunks()
+                anchors = table["anchor"].to_numpy()
+                last = int(np.searchsorted(anchors, anchors[-1]))  # the last bucket may go on
+                if last:
+                    yield sort(table.slice(0, last))
+                held = table.slice(last).to_batches()
+                size = sum(x.nbytes for x in held)
         if held:
-            yield flush()
+            yield sort(pa.Table.from_batches(held).combine_chunks())
 
     return run
 
 
 def _spans(window: int):
+    """Texts with their runs that are repeated as a whole, and ranges of window starts found by sorting."""
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            rows: dict[str, list] = {"kept": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "spans": []}
-            found = part.column(2)
-            lo, hi = (found.values.field(c).to_numpy() for c in range(2))
-            edges = found.offsets.to_numpy()
-            for text, x, y in zip(texts_of(part.column(1)), edges, edges[1:], strict=False):
-                kept, spans = remove(text, lo[x:y], hi[x:y], window)
-                for k, v in zip(rows, (kept, len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), spans), strict=True):
-                    rows[k].append(v)
-            kinds = {"kept": pa.binary(), "kept_sha256": pa.string(), "spans": pa.list_(pa.list_(pa.int64()))}
-            yield pa.RecordBatch.from_pydict({"h": part.column(0)} | {k: pa.array(v, kinds.get(k, pa.int64())) for k, v in rows.items()})
+            out: dict[str, list] = {"n_removed": [], "n_spans": [], "kept_sha256": [], "spans": []}
+            row, first, last, whole = _listed(part.column("runs"), "first", "last", "whole")
+            row, first, last = row[whole], first[whole], last[whole]
+            more, lo, hi = _listed(part.column("ranges"), "lo", "hi")
+            a, b = np.searchsorted(row, np.arange(part.num_rows + 1)), np.searchsorted(more, np.arange(part.num_rows + 1))
+            for k, text in enumerate(texts_of(part.column("text"))):
+                own, found = slice(a[k], a[k + 1]), slice(b[k], b[k + 1])
+                kept, spans = remove(text, np.r_[first[own], lo[found]], np.r_[last[own], hi[found]], window)
+                for name, v in zip(out, (len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), spans), strict=True):
+                    out[name].append(v)
+            kinds = {"kept_sha256": pa.string(), "spans": pa.list_(pa.list_(pa.int64()))}
+            yield pa.RecordBatch.from_pydict({"h1": part.column("h1"), "h2": part.column("h2")} | {k: pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()})
 
     return run
 
 
 def remove(text: bytes, lo: np.ndarray, hi: np.ndarray, window: int = WINDOW) -> tuple[bytes, list[list[int]]]:
     """The text without the windows that start at lo..hi (many such ranges), and the removed runs."""
+    if not len(lo):
+        return text, []
     order = np.argsort(lo)
     lo, top = lo[order].astype(np.int64), np.maximum.accumulate(hi[order].astype(np.int64) + window)
-    head = np.flatnonzero(np.r_[True, lo[1:] > top[:-1]]) if len(lo) else order
+    head = np.flatnonzero(np.r_[True, lo[1:] > top[:-1]])
     spans = [[int(a), int(b)] for a, b in zip(lo[head], top[np.r_[head[1:], len(lo)] - 1], strict=True)]
     edges = [0, *(x for s in spans for x in s), len(text)]
     return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)), spans
 
 
+def _marked(live: DataFrame, limit: int | None) -> DataFrame:
+    """Runs that repeat as a whole, that go to the sort (one of each kind in a bucket of several kinds), or that are in a bucket of more than `limit` kinds."""
+    kinds = cut(live.groupBy("anchor", "d1", "d2").agg(F.count("*").alias("n"), F.min(F.struct("h1", "h2", "first")).alias("lead")), "kinds")
+    kinds = cut(kinds.join(kinds.groupBy("anchor").agg(F.count("*").alias("m")), "anchor"), "kinds")
+    send = (F.col("m") > 1) & (F.col("lead") == F.struct("h1", "h2", "first"))
+    hot = send & (F.col("m") > limit) if limit else F.lit(False)
+    found = live.join(kinds, ["anchor", "d1", "d2"]).select("h1", "h2", "anchor", "first", "last", "off", (F.col("n") > 1).alias("whole"), (send & ~hot).alias("send"), hot.alias("hot"))
+    return found.where("whole or send or hot")
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (byte ranges removed)."""
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
-    own = own.select("doc_id", "text", F.xxhash64("text").alias("h"), row_key(own.doc_id, own.text).alias("key"))
-    copies = cut(own.groupBy("h").agg(F.min("key").alias("key"), F.count("*").alias("n")), "copies")
-    rows = own.select("h", "text").mapInArrow(_anchor_rows(window), "anchor long, place long, h long, number int")
-    anchors = rows.groupBy("anchor").agg(F.min("place").alias("x"), F.max("place").alias("y"), F.count("*").alias("n")).where("x <> y")
-    anchors = cut(anchors.select("anchor", (F.col("n") > HOT).cast("int").alias("hot")), "anchors")
-    lists = rows.join(anchors, "anchor").groupBy("h").agg(F.collect_set(F.col("number") * 2 + F.col("hot")).alias("runs"))
-    lists = cut(lists.join(copies.select("h", "key"), "h"), "lists")
-    texts = cut(own.select("h", "key", "text").join(lists, ["h", "key"]).select("h", "text", "runs"), "texts")
-
-    buckets = texts.mapInArrow(_bucket_rows(window), "anchor long, h long, at int, off int, data binary")
-    found = buckets.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sort_buckets(window), "h long, lo int, hi int")
-    hot = texts.mapInArrow(_window_rows(window), "w long, place long, h long, at int")
-    repeated = cut(hot.groupBy("w").agg(F.min("place").alias("x"), F.max("place").alias("y")).where("x <> y").select("w"), "windows")
-    more = hot.join(repeated, "w").select("h", F.col("at").alias("lo"), F.col("at").alias("hi"))
-    spans = cut(found.union(more).groupBy("h").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")), "spans")
-    results = texts.join(spans, "h").select("h", "text", "ranges").mapInArrow(_spans(window), "h long, kept binary, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>").drop("kept")
-    results = results.dropDuplicates(["h"])
-    info = cut(copies.select("h", "n").join(results, "h", "left"), "info")
-    all_rows = own.select("doc_id", "h", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("whole"))
+    own = own.select("doc_id", "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), F.coalesce("doc_id", F.lit(0)).alias("key"))
+    copies = cut(own.groupBy("h1", "h2").agg(F.min("key").alias("key"), F.count("*").alias("n")), "copies")
+    rows = cut(own.select("h1", "h2", "text").mapInArrow(_run_rows(window), RUN), "runs")
+    shared = cut(rows.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "shared")
+    marked = cut(_marked(cut(rows.join(shared, "anchor"), "live"), HOT), "marked")
+
+    def listed(found: DataFrame, *fields: str) -> DataFrame:
+        """One row of each text with its runs."""
+        lists = found.groupBy("h1", "h2").agg(F.collect_set(F.struct(*fields)).alias("runs")).join(copies, ["h1", "h2"])
+        return own.select(*TEXT, "text").join(lists, TEXT)
+
+    if marked.where("hot").limit(1).count():
+        hot = cut(listed(marked.where("hot"), "first", "last", "off", "anchor").select("h1", "h2", "text", "runs"), "hot")
+        windows = cut(hot.mapInArrow(_window_rows(window), "w long, anchor long, h1 long, h2 long, place int, at int"), "windows")
+        twice = cut(windows.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w"), "twice")
+        left = cut(windows.join(twice, "w").groupBy("h1", "h2", "anchor", "place").agg(F.collect_list("at").alias("starts")), "left")
+        trimmed = listed(left, "anchor", "place", "starts").select("h1", "h2", "text", "runs").mapInArrow(_trimmed_rows(window), RUN)
+        marked = marked.where("whole or send").union(_marked(cut(trimmed, "trimmed"), None))
+    needed = F.when(F.col("n") > 1, F.filter("runs", lambda x: x.send)).otherwise(F.col("runs"))  # a text that occurs twice goes as a whole
+    texts = listed(marked, "first", "last", "off", "anchor", "whole", "send").select(*TEXT, "text", needed.alias("runs")).where("size(runs) > 0")
+
+    # the texts are used twice in one plan, so they are shuffled once: spans come back to them by the same key
+    buckets = texts.mapInArrow(_bucket_rows(window), "anchor long, h1 long, h2 long, key long, at int, off int, data binary")
+    found = buckets.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sort_buckets(window), "h1 long, h2 long, key long, lo int, hi int")
+    spans = found.groupBy(*TEXT).agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    none = F.array().cast("array<struct<lo: int, hi: int>>")
+    results = texts.join(spans, TEXT, "left").select("h1", "h2", "text", "runs", F.coalesce("ranges", none).alias("ranges"))
+    results = cut(results.mapInArrow(_spans(window), "h1 long, h2 long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>"), "results").dropDuplicates(["h1", "h2"])
+    info = cut(copies.select("h1", "h2", "n").join(results, ["h1", "h2"], "left"), "info")
+    all_rows = own.select("doc_id", "h1", "h2", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("whole"))
     gone = (F.col("n") > 1) & (F.col("n_bytes") >= window)
-    return all_rows.join(info, "h").select(
+    return all_rows.join(info, ["h1", "h2"]).select(
         "doc_id", "n_bytes", F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(gone, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(gone, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("kept_sha256", "whole")).alias("kept_sha256"),

@@ -13,12 +13,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Texts are handled in groups of about this many bytes (a longer text is a group of its own).
 GROUP_BYTES = 1 << 21
+#: Spans of up to this many bytes are hashed by a polynomial.
+SHORT = 64
 
 #: Words that are separated by ASCII white space only.
 SPACED = np.ones(256, bool)
@@ -72,12 +75,27 @@ def groups(texts: list[bytes], limit: int = GROUP_BYTES) -> Iterator[tuple[int,
         yield start, len(texts)
 
 
+def gathered(parts: Iterator[pa.RecordBatch], limit: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about `limit` bytes (Spark's own hold few rows, in case texts are long)."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for part in parts:
+        held.append(part)
+        size += part.nbytes
+        if size >= limit:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 class Block:
     """Texts as one buffer; `offsets[d]` is where text d starts, `offsets[-1]` the buffer's end."""
 
     def __init__(self, texts: list[bytes], lower: bool = False):
         joined = b"\n".join(texts) + b"\n"
         self.buf = np.frombuffer(joined.translate(LOWER) if lower else joined, np.uint8)
+        self.raw = memoryview(self.buf)
         self.n_docs = len(texts)
         self.offsets = np.zeros(len(texts) + 1, np.int64)
         np.cumsum([len(t) + 1 for t in texts], out=self.offsets[1:])
@@ -100,9 +118,18 @@ class Block:
         return np.bincount(doc, weights, self.n_docs).astype(np.int64)
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """64-bit hashes of byte spans, equal for equal bytes."""
+        """64-bit hashes of byte spans, equal for equal bytes.
+
+        A polynomial modulo 2**64 for short spans; some pairs of long strings have the same value
+        of any such polynomial, so spans of more than SHORT bytes go through xxhash.
+        """
         prefix, inverse = self._sums()
-        return mix((prefix[ends] - prefix[starts]) * inverse[starts])
+        h = mix((prefix[ends] - prefix[starts]) * inverse[starts])
+        long = np.flatnonzero(ends - starts > SHORT)
+        if len(long):
+            raw, digest = self.raw, xxhash.xxh3_64_intdigest
+            h[long] = [digest(raw[a:b]) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+        return h
 
     def rolling(self, width: int) -> np.ndarray:
         """The hashes of all spans of `width` bytes, text borders included."""
@@ -182,5 +209,5 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
 
 
 def row_key(id_col, text_col):
-    """The id as a number; a null id gives a negative number drawn from the text, before all real ids."""
-    return F.coalesce(id_col.cast("long"), -F.pmod(F.xxhash64(text_col), F.lit(1 << 40)) - (1 << 62))
+    """The id as a number; a null id gives a number below -2**62 that is drawn from the text."""
+    return F.coalesce(id_col.cast("long"), -F.pmod(F.xxhash64(text_col), F.lit(1 << 62)) - (1 << 62) - 1)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 
 
 _kept: dict = {}
@@ -18,44 +19,54 @@ def kept_in_worker(key, make: Callable[[], object]):
     return _kept[key]
 
 
+def forget_kept() -> None:
+    """Give back the memory of what an earlier stage left in this worker."""
+    _kept.clear()
+
+
 class Store:
-    """Ids of units by 64-bit key; emptied when it holds more than `limit` units, so memory is bounded."""
-
-    def __init__(self, limit: int = 1_000_000):
-        self.limit = limit
-        self.clear()
-
-    def clear(self) -> None:
-        self.keys = np.empty(0, np.uint64)
-        self.start = np.empty(0, np.int64)
-        self.size = np.empty(0, np.int64)
-        self.flat = np.empty(0, np.int32)
-
-    def spell(self, keys: np.ndarray, make: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the units in order, and each unit's number of ids.
-
-        make(indices) encodes the units at these indices: (ids one after another, number for each).
-        """
-        if len(self.keys) > self.limit:
-            self.clear()
-        order = np.argsort(keys)
-        new = np.r_[True, keys[order][1:] != keys[order][:-1]] if len(keys) else np.zeros(0, bool)
-        unique, first = keys[order][new], order[new]
-        place = np.empty(len(keys), np.int64)
-        place[order] = np.cumsum(new) - 1
-        at = np.searchsorted(self.keys, unique)
-        known = at < len(self.keys)
-        known[known] = self.keys[at[known]] == unique[known]
-        if not known.all():
-            ids, sizes = make(first[~known])
-            begin = len(self.flat) + np.cumsum(sizes) - sizes
-            self.flat = np.concatenate([self.flat, ids.astype(np.int32)])
-            self.keys = np.insert(self.keys, at[~known], unique[~known])
-            self.start = np.insert(self.start, at[~known], begin)
-            self.size = np.insert(self.size, at[~known], sizes)
-            at = np.searchsorted(self.keys, unique)
-        start, size = self.start[at][place], self.size[at][place]
-        return self.flat[ranges(start, size)], size
+    """What was made of units, by their bytes: one or more columns of values, of any number for each unit."""
+
+    def __init__(self, kinds: tuple = (np.int32,), limit: int = 9_000_000):
+        self.kinds, self.limit = kinds, limit
+        self._clear()
+
+    def _clear(self) -> None:
+        self.slot: dict[bytes, int] = {}
+        self.held = 0
+        self.start = [np.empty(0, np.int64) for _ in self.kinds]
+        self.size = [np.empty(0, np.int64) for _ in self.kinds]
+        self.flat = [np.empty(0, k) for k in self.kinds]
+
+    def trim(self) -> None:
+        """Forget everything if more than `limit` bytes of units are held, so memory is bounded; slots given before are void."""
+        if self.held > self.limit:
+            self._clear()
+
+    def slots(self, units: pa.Array, make: Callable[[list[bytes]], list[tuple[np.ndarray, np.ndarray]]]) -> np.ndarray:
+        """The slot of each unit.  make(units) gives, for those not met before, each column's values one after another and their number for each unit."""
+        coded = units.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        new = [u for u in distinct if u not in self.slot]
+        if new:
+            self.slot.update(zip(new, range(len(self.slot), len(self.slot) + len(new)), strict=True))
+            self.held += sum(map(len, new))
+            for k, (values, sizes) in enumerate(make(new)):
+                self.start[k] = np.concatenate([self.start[k], len(self.flat[k]) + np.cumsum(sizes) - sizes])
+                self.size[k] = np.concatenate([self.size[k], sizes])
+                self.flat[k] = np.concatenate([self.flat[k], values.astype(self.kinds[k])])
+        return np.fromiter(map(self.slot.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
+
+    def spell(self, slots: np.ndarray, column: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """All values of the units in these slots in order, and each unit's number of them."""
+        size = self.size[column][slots]
+        return self.flat[column][ranges(self.start[column][slots], size)], size
+
+
+def spans_array(buf: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """buf[edges[0]:edges[1]], buf[edges[1]:edges[2]], ... as binary values."""
+    kind, width = (pa.binary(), np.int32) if len(buf) < 1 << 31 else (pa.large_binary(), np.int64)
+    return pa.Array.from_buffers(kind, len(edges) - 1, [None, pa.py_buffer(np.ascontiguousarray(edges, width)), pa.py_buffer(np.ascontiguousarray(buf))])
 
 
 def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:

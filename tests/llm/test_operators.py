@@ -11,6 +11,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -67,26 +68,37 @@ def test_empty_tables(spark, empty):
     assert [r.count() for r in results] == [0] * 10
 
 
-def shingle_set(t):
+def shingle_counts(t):
     w = t.translate(LOWER).split()
-    return frozenset(tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))) if w else frozenset()
+    return Counter(tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))) if w else Counter()
 
 
-def test_near_duplicates_equal_brute_force(docs):
-    sets = {i: shingle_set(t) for i, t in texts()}
-    root = {i: i for i in sets}
+def brute_classes(rows):
+    """(id, text) -> the least id of its class, over all pairs by weighted Jaccard similarity."""
+    docs = sorted(set(rows), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+    sets = [shingle_counts(t) for _, t in docs]
+    group = list(range(len(docs)))
+    for i, j in itertools.combinations(range(len(docs)), 2):
+        both = (sets[i] & sets[j]).total()
+        if both and both >= 0.8 * (sets[i] | sets[j]).total():
+            a, b = sorted((group[i], group[j]))
+            group = [a if g == b else g for g in group]
+    return {d: docs[g][0] for d, g in zip(docs, group, strict=True)}
+
+
+def found_classes(spark, rows):
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = neardup.near_duplicates(frame).collect()
+    assert len(got) == len(set(rows))
+    names = {(x.h1, x.h2): t for x in frame.selectExpr("xxhash64(text) h1", "xxhash64(1, text) h2", "text").collect() for t in [x.text]}
+    assert all(sum(r.kept for r in own) == 1 for own in [[r for r in got if r.class_id == c and r.n_rows] for c in {r.class_id for r in got} - {None}])
+    return {(r.doc_id, names[r.h1, r.h2] if r.h1 is not None else None): r.class_id for r in got}
 
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
 
-    for a, b in itertools.combinations([i for i in sets if i is not None], 2):
-        if sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
-            x, y = sorted((find(a), find(b)))
-            root[y] = x
+def test_near_duplicates_equal_brute_force(spark, docs):
+    rows = list({(i, t) for i, t in texts()})
+    assert found_classes(spark, rows) == brute_classes(rows)
     got = {r.doc_id: r for r in neardup.near_duplicates(docs).collect()}
-    assert {i: r.class_id for i, r in got.items() if i is not None} == {i: find(i) for i in sets if i is not None}
     assert got[0].n_rows == 2 and got[None].kept
 
 
@@ -97,28 +109,37 @@ def test_one_of_each_keeps_columns(docs):
     assert ids == [0, 3, 4, 5, 6, 8, 9, 10, 11, 12, 13, 14]
 
 
-def test_near_duplicates_of_a_star(spark):
-    """Copies near an original, but not near each other, form one class whatever the original's id is."""
-    base = words(11, 200, 10**6)
+def test_near_duplicates_of_chains_and_odd_ids(spark):
+    """Chains in which only neighbours are near, met in any order; repeated, null and extreme ids."""
     rows = []
-    for k in range(40):
-        r = random.Random(k)
-        own = list(base)
-        for p in r.sample(range(200), 4):
-            own[p] = f"new{k}x{p}"
-        rows.append((k, " ".join(own)))
-    rows.append((99, " ".join(base)))
-    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
-    sets = {i: shingle_set(t) for i, t in rows}
-    sure = {i for i, s in sets.items() if len(s & sets[99]) >= 0.8 * len(s | sets[99])}
-    classes = {r.doc_id: r.class_id for r in got.collect()}
-    assert len({classes[i] for i in sure}) == 1 and len(sure) > 30
+    for c in range(6):
+        own = words(50 + c, 120, 10**6)
+        for k in range(40):
+            rows.append((c * 1000 + (k * 17) % 40, " ".join(own)))
+            own = [*own[:3 * (k % 40)], *own[3 * (k % 40) + 3 :], *words(9000 + 100 * c + k, 3, 10**6)]
+    odd = [-(2**63), -(2**62), -(2**61) - 5, 2**63 - 1]
+    rows += [(i, " ".join(words(77, 50, 10**6))) for i in odd] + [(5, " ".join(words(78, 60, 10**6))), (None, " ".join(words(77, 50, 10**6))), (None, "alone " * 9), (5, " ".join(words(78, 60, 10**6)[:-1]))]
+    rows += [(8000 + k, " ".join(["same"] * (20 + k))) for k in range(12)]  # one shingle of other weights
+    assert found_classes(spark, rows) == brute_classes(rows)
+
+
+def test_near_duplicates_of_random_clusters(spark):
+    r = random.Random(9)
+    rows = []
+    for c in range(40):
+        base = words(300 + c, r.randrange(30, 150), 10**6)
+        for k in range(r.randrange(1, 12)):
+            own = list(base)
+            for p in r.sample(range(len(own)), r.randrange(0, 4)):
+                own[p] = f"n{c}x{k}x{p}"
+            rows.append((1000 * c + k, " ".join(own)))
+    assert found_classes(spark, rows) == brute_classes(rows)
 
 
-@pytest.mark.parametrize("rounds", [1, 12])
+@pytest.mark.parametrize("rounds", [1, 4])
 def test_near_duplicates_in_a_crowd(spark, monkeypatch, rounds):
     """Near pairs among many texts of one template are found whether or not a leader was drawn from them."""
-    monkeypatch.setattr(neardup, "MAX_ROUNDS", rounds)
+    monkeypatch.setattr(neardup, "LEADER_ROUNDS", rounds)
     base = words(21, 174, 10**6)
     rows = []
     for k in range(120):
@@ -126,15 +147,9 @@ def test_near_duplicates_in_a_crowd(spark, monkeypatch, rounds):
         rows.append((k, " ".join(own)))
         if k < 20:
             rows.append((1000 + k, " ".join([*own[:-17], *words(2000 + k, 17, 10**6)])))
-    sets = {i: shingle_set(t) for i, t in rows}
-    group = {i: i for i in sets}
-    for i, j in itertools.combinations(sorted(sets), 2):
-        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
-            a, b = sorted((group[i], group[j]))
-            group = {k: a if g == b else g for k, g in group.items()}
-    assert len(set(group.values())) == 120
-    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert {r.doc_id: r.class_id for r in got.collect()} == group
+    expected = brute_classes(rows)
+    assert len(set(expected.values())) == 120
+    assert found_classes(spark, rows) == expected
 
 
 def test_dart_signatures_estimate_weighted_jaccard():
@@ -230,14 +245,44 @@ def test_token_files_round_trip(spark, docs):
     folder = tokenfiles.new_folder(spark)
     files = tokenfiles.write_token_files(docs, folder, path)
     got = sorted(tokenfiles.read_token_files(spark, folder, files).collect(), key=lambda r: r.start)
-    start = 0
-    for (i, t), r in zip(sorted(texts(), key=lambda x: (x[0] is not None, x[0] or 0, x[1])), got, strict=True):
-        ids = [*model.encode(t, add_special_tokens=False).ids, 2]
+    start, rows = 0, [(i, [*model.encode(t, add_special_tokens=False).ids, 2]) for i, t in texts()]
+    order = lambda x: (x[0] is not None, x[0] or 0, np.uint64(xxhash.xxh3_64_intdigest(np.array(x[1], "<u4").tobytes())).astype(np.int64))
+    for (i, ids), r in zip(sorted(rows, key=order), got, strict=True):
         assert (r.doc_id, r.start, r.n_tokens, r.ids) == (i, start, len(ids), ids)
         assert r.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
         start += len(ids)
 
 
+def thue_morse(n):
+    return "".join("ab"[k.bit_count() % 2] for k in range(n))
+
+
+def test_strings_that_collide_in_polynomial_hashes():
+    """Thue-Morse words and their complements agree under every polynomial hash modulo a power of two."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    model = Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as f:
+        tokens = tokenfiles.Tokens(f.read())
+    a = thue_morse(2048)
+    many = [a, a.translate(str.maketrans("ab", "ba")), f"{a} {a}"]
+    ids, n = tokens.encode([t.encode() for t in many], 2)
+    assert ids.tolist() == [x for t in many for x in [*model.encode(t, add_special_tokens=False).ids, 2]] and n.sum() == len(ids)
+    block = Block([t.encode() for t in many[:2]])
+    assert len(set(block.hashes(block.offsets[:-1], block.offsets[1:] - 1).tolist())) == 2
+
+
+def test_token_files_of_one_hot_id(spark):
+    """Rows of one id are spread over several tasks and still follow one another."""
+    rows = [(7, " ".join(words(k, 40))) for k in range(300)] + [(None, f"null {k}") for k in range(50)] + [(9, "end")]
+    folder = tokenfiles.new_folder(spark)
+    files = tokenfiles.write_token_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), folder, public_tokenizers.path("byte_bpe_50k.json"))
+    got = sorted(tokenfiles.read_token_files(spark, folder, files).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None] * 50 + [7] * 300 + [9]
+    assert [r.start for r in got] == [0, *itertools.accumulate(r.n_tokens for r in got)][:-1]
+
+
 @given(st.lists(st.integers(0, 2**32 - 1), max_size=50))
 def test_codes_round_trip(many):
     control, data = tokenfiles.pack(np.array(many, np.uint32))
@@ -263,9 +308,25 @@ def test_suffixes_equal_brute_force(docs):
     assert sorted([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got], key=str) == repeats(texts())
 
 
-def test_suffixes_with_hot_buckets(spark):
+@pytest.mark.parametrize("n, hot", [(65, 1024), (90, 8), (1000, 64), (1000, 1024)])
+def test_suffixes_with_hot_buckets(spark, monkeypatch, n, hot):
+    """One passage in n surroundings, sorted as it is or, beyond the limit, after trimming."""
+    monkeypatch.setattr(suffixes, "HOT", hot)
     shared = " ".join(words(21, 60))
-    rows = [(i, " ".join(words(100 + i, 10)) + " " + shared + " " + " ".join(words(900 + i, 10))) for i in range(90)]
+    rows = [(i, " ".join(words(10**5 + i, 10, 10**6)) + " " + shared + " " + " ".join(words(2 * 10**5 + i, 10, 10**6))) for i in range(n)]
+    got = suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got], key=str) == repeats(rows)
+
+
+def test_suffixes_of_ten_thousand_places(spark):
+    shared = " ".join(words(21, 30))
+    rows = [(i, f"{i:08x}{shared}{i * 7919:09x}") for i in range(10_000)]
+    got = suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got], key=str) == repeats(rows)
+
+
+def test_suffixes_of_periodic_texts(spark):
+    rows = [(1, "ab" * 400), (2, "abc" * 300), (3, "x" * 199), (4, "x" * 200), (5, "x" * 201 + "y"), (6, "é" * 150 + "ab" * 120), (7, "ab" * 400)]
     got = suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got], key=str) == repeats(rows)
 
