@@ -10,11 +10,12 @@ the lesser weights over the sum of the greater ones).
 
 Texts with equal weighted sets are collapsed first.  Equal bands put the rest into buckets; in
 each bucket members are first compared with leaders, and the exact similarity of the two texts
-decides.  The first leader is the least number; later rounds take the member with most links and
-LEADERS - 1 members drawn by hash, and compare only members that are not yet in the leader's
-class.  These LEADER_ROUNDS only save work: of all members of buckets that then still hold two
-classes, every pair that can reach the similarity is compared, found by exact prefix filtering
-(shingles in order of rarity, bounds on sizes and positions).  Classes are the connected
+decides.  The first leader is the least number; each of LEADER_ROUNDS rounds takes LEADERS members
+that were no leaders yet, in an order drawn by hash, and compares with them all members that are
+not in their class, so small buckets are compared in full.  These rounds only save work: where
+the members that have not been leaders are still of two classes, every pair of these that can
+reach the similarity is compared, found by exact prefix filtering (shingles in order of rarity,
+bounds on sizes and positions).  Classes are the connected
 components of all links found.
 
 Defined results: a document is a pair of id and text, so rows with one id and different texts are
@@ -213,22 +214,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = cut(texts.groupBy("key").agg(F.any_value("text").alias("text")), "texts")
 
     labels = wanted.select("key", F.col("key").alias("class"))
-    links = tested = None
     pairs = shared.where("key <> lead").groupBy("key").agg(F.min("lead").alias("lead")).select(F.col("lead").alias("u"), F.col("key").alias("v"))
-    for turn in range(LEADER_ROUNDS):
-        pairs = cut(pairs, "pairs")
+    pairs = cut(pairs, "pairs")
+    tested, labels = pairs, components(_linked(pairs, texts, similarity), labels)
+    never = F.lit((1 << 63) - 1)
+    members = shared.select("band", "key", *(never.alias(f"last{k}") for k in range(LEADERS)))
+    for _ in range(LEADER_ROUNDS):
+        members, pairs = _next_pairs(members, labels, tested)
         if not pairs.limit(1).count():
-            break
-        tested = pairs if tested is None else tested.union(pairs)
-        new = _linked(pairs, texts, similarity)
-        links = new if links is None else links.union(new)
-        labels = components(new, labels)
-        if turn < LEADER_ROUNDS - 1:
-            pairs = _next_pairs(turn, shared, labels, links, tested)
-    if tested is not None:
-        rest = cut(_rest_pairs(shared, labels, texts, similarity).join(tested, ["u", "v"], "left_anti"), "rest")
-        if rest.limit(1).count():
-            labels = components(_linked(rest, texts, similarity), labels)
+            continue
+        tested, labels = tested.union(pairs), components(_linked(pairs, texts, similarity), labels)
+    rest = cut(_rest_pairs(members, labels, texts, similarity).join(tested, ["u", "v"], "left_anti"), "rest")
+    if rest.limit(1).count():
+        labels = components(_linked(rest, texts, similarity), labels)
     return _result(signed, sets, labels)
 
 
@@ -247,13 +245,13 @@ def _shingle_rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"shingle": pa.array(element.view(np.int64)), "key": pa.array(keys[x:y][owner]), "class": pa.array(classes[x:y][owner]), "size": pa.array(size[owner])})
 
 
-def _rest_pairs(shared: DataFrame, labels: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """All pairs of different classes that can reach the similarity, among the members of buckets that hold two classes.
+def _rest_pairs(members: DataFrame, labels: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """All pairs of different classes that can reach the similarity, among the members that were no leaders of buckets in which these are of two classes.
 
     With shingles in order of rarity, the first that two texts share stands early in both: what
     follows it must hold all that they share.
     """
-    classes = shared.select("band", "key").join(labels, "key")
+    classes = members.where(_waiting()).select("band", "key").join(labels, "key")
     mixed = classes.groupBy("band").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("band")
     members = cut(classes.join(mixed, "band").select("key", "class").distinct(), "unsettled")
     rows = cut(members.join(texts, "key").select("key", "class", "text").mapInArrow(_shingle_rows, "shingle long, key long, class long, size long"), "shingles")
@@ -275,21 +273,30 @@ def _rest_pairs(shared: DataFrame, labels: DataFrame, texts: DataFrame, similari
     return found.select(F.least("key", "key2").alias("u"), F.greatest("key", "key2").alias("v")).distinct()
 
 
-def _next_pairs(turn: int, shared: DataFrame, labels: DataFrame, links: DataFrame, tested: DataFrame) -> DataFrame:
-    """In each bucket that still holds two classes: its members against other leaders."""
-    ends = links.select(F.col("u").alias("key")).union(links.select(F.col("v").alias("key")))
-    named = labels.join(ends.groupBy("key").agg(F.count("*").alias("degree")), "key", "left")
-    drawn = F.pmod(F.xxhash64("key", "band", F.lit(turn)), F.lit(1 << 40))
-    members = shared.select("band", "key").join(named, "key").select("band", "key", "class", (F.coalesce("degree", F.lit(0)).cast("long") * (1 << 40) + drawn).alias("score"))
-    members = cut(members, "members")
-    scores = [F.col("score"), *(F.xxhash64("key", "band", F.lit(turn), F.lit(k)) for k in range(1, LEADERS))]
-    picks = [F.max_by(c, s).alias(f"{c}{k}") for k, s in enumerate(scores) for c in ("key", "class")]
-    mixed = members.groupBy("band").agg(F.min("class").alias("x"), F.max("class").alias("y"), *picks).where("x <> y")
-    leaders = F.array(*[F.struct(F.col(f"key{k}").alias("lead"), F.col(f"class{k}").alias("lead_class")) for k in range(LEADERS)])
-    heads = cut(mixed.select("band", leaders.alias("leaders")), "heads")
-    pairs = members.select("band", "key", "class").join(heads, "band").select("key", "class", F.explode("leaders").alias("l")).where("class <> l.lead_class")
+def _drawn():
+    """The order in which a document becomes a leader, the same in all its buckets, so that few different pairs are compared."""
+    return F.xxhash64("key")
+
+
+def _turn():
+    return F.pmod(_drawn(), F.lit(LEADERS))
+
+
+def _waiting():
+    """Whether a member has not been a leader: in each of LEADERS turns they come in falling order of their draw."""
+    return _drawn() < F.element_at(F.array(*[f"last{k}" for k in range(LEADERS)]), (_turn() + 1).cast("int"))
+
+
+def _next_pairs(members: DataFrame, labels: DataFrame, tested: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members of buckets that still hold two classes, with the new leaders' draws; and each member against these leaders."""
+    members = cut(members.join(labels, "key"), "members")
+    top = [F.max(F.when(_waiting() & (_turn() == k), F.struct(_drawn().alias("drawn"), F.col("key").alias("lead"), F.col("class").alias("lead_class")))).alias(f"top{k}") for k in range(LEADERS)]
+    heads = cut(members.groupBy("band").agg(F.min("class").alias("x"), F.max("class").alias("y"), *top).where("x <> y").drop("x", "y"), "heads")
+    met = cut(members.select("band", "key", "class").join(heads, "band"), "met")
+    last = [F.coalesce(F.col(f"top{k}.drawn"), F.lit(-(1 << 63))).alias(f"last{k}") for k in range(LEADERS)]
+    pairs = met.select("key", "class", F.explode(F.array(*[f"top{k}" for k in range(LEADERS)])).alias("l")).where("l is not null and class <> l.lead_class")
     pairs = pairs.select(F.least("key", "l.lead").alias("u"), F.greatest("key", "l.lead").alias("v")).distinct()
-    return pairs.join(tested, ["u", "v"], "left_anti")
+    return met.select("band", "key", *last), cut(pairs.join(tested, ["u", "v"], "left_anti"), "pairs")
 
 
 def _result(signed: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:

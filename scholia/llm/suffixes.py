@@ -39,8 +39,10 @@ from .units import ranges, spans_array
 
 WINDOW = 200
 GRAM = 32
-HOT = 1024
 BLOCK_BYTES = 1 << 20
+#: What one bucket may hold in the sort (about 60 times as much memory), and so the runs, each of under 2 * WINDOW bytes, that it may have.
+BUCKET_BYTES = 1 << 22
+HOT = BUCKET_BYTES // (2 * WINDOW)
 #: Texts whose minimisers are found at a time; the arrays of so many fit a core's cache.
 RUN_BYTES = 1 << 18
 COVER, PERIOD = (0, 1, 3, 9), 13
@@ -170,6 +172,10 @@ def _trimmed_rows(window: int):
     return run
 
 
+#: From each residue the distance to the cover.
+NEXT = np.array([next(d for d in range(PERIOD) if IN_COVER[(a + d) % PERIOD]) for a in range(PERIOD)])
+
+
 class CoverSort:
     """Suffix comparisons in one text: first bytes, then ranks of the cover sample."""
 
@@ -252,30 +258,42 @@ class CoverSort:
         return ok
 
     def sort(self, items: np.ndarray, group: np.ndarray) -> np.ndarray:
-        """Items in suffix order within each group; groups are contiguous and stay in place."""
-        items = items.copy()
-        head = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-        size = np.diff(np.r_[head, len(items)])
-        begin, count = np.repeat(head, size), np.repeat(size, size)
-        number = np.arange(len(items)) - begin
-        width = 1
-        while (live := np.flatnonzero(count > width)).size:
-            b, c, x = begin[live], count[live], number[live]
-            run = x // width
-            other = np.where(run % 2 == 0, run + 1, run - 1)
-            low, high = np.minimum(other * width, c), np.minimum((other + 1) * width, c)
-            start, own = low.copy(), items[live]
+        """Items in suffix order within each group; groups are contiguous and stay in place.
+
+        Items of one residue have the same distance to the cover, so plain keys order them; the
+        at most PERIOD lists of a group are then merged in pairs by comparisons.
+        """
+        residue = items % PERIOD
+        rank = self.top[np.minimum(items + NEXT[residue], self.n)]
+        order = np.lexsort((rank, self.key[np.minimum(items + 5, self.n)], self.key[items], residue, group))
+        items, residue = items[order], residue[order]
+        new = np.r_[True, (group[1:] != group[:-1]) | (residue[1:] != residue[:-1])]
+        while True:
+            head = np.flatnonzero(new)
+            size = np.diff(np.r_[head, len(items)])
+            own = group[head]
+            start = np.r_[True, own[1:] != own[:-1]]
+            number = np.arange(len(head)) - np.maximum.accumulate(np.where(start, np.arange(len(head)), 0))
+            left = number % 2 == 0
+            paired = np.where(left, np.r_[~start[1:], False], True)
+            if not paired.any():
+                return items
+            partner = np.where(paired, np.arange(len(head)) + np.where(left, 1, -1), 0)
+            which = np.repeat(np.arange(len(head)), size)
+            live = np.flatnonzero(paired[which])
+            lists = which[live]
+            low = head[partner[lists]]
+            high = low + size[partner[lists]]
+            first, mine, even = low.copy(), items[live], left[lists]
             while (open_ := np.flatnonzero(low < high)).size:
                 mid = (low[open_] + high[open_]) // 2
-                met = items[b[open_] + mid]
-                before = np.where(run[open_] % 2 == 0, self.less(met, own[open_]), ~self.less(own[open_], met))
+                met = items[mid]
+                before = np.where(even[open_], self.less(met, mine[open_]), ~self.less(mine[open_], met))
                 low[open_] = np.where(before, mid + 1, low[open_])
                 high[open_] = np.where(before, high[open_], mid)
-            merged = np.empty_like(items)
-            merged[b + (run // 2) * 2 * width + x % width + low - start] = own
-            items[live] = merged[live]
-            width *= 2
-        return items
+            items = items.copy()
+            items[np.where(even, head[lists], first) + (live - head[lists]) + (low - first)] = mine
+            new[head[~left]] = False
 
 
 def sort_block(anchors: np.ndarray, offs: np.ndarray, data: pa.Array, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
