@@ -39,8 +39,8 @@ from .textkit import SPACED, U64, Block, cut, groups, mix, texts_of, windows
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 4
-LEADERS = 4  # of a bucket in a round after the first
-LEADER_ROUNDS = 4  # before the rest is compared, pair by pair
+LEADERS = 4  # of a bucket in a round
+LEADER_ROUNDS = 1  # before the rest is compared, pair by pair
 
 
 def shingles(texts: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
