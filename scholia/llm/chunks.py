@@ -215,9 +215,9 @@ def remove_copies(texts: list[bytes], foreign: list, min_run: int = MIN_RUN) ->
             whole.append((a, b))
         gone = [(a, b) for a, b in whole if b - a >= min_run]
         copied = 0
-        if whole:
+        if gone:
             s, e = (x[begin[d] : begin[d] + count[d]] - block.offsets[d] for x in (starts, ends))
-            left, right = (np.array(x) for x in zip(*whole, strict=True))
+            left, right = (np.array(x) for x in zip(*gone, strict=True))
             k = np.searchsorted(left, s, "right") - 1
             copied = int(((k >= 0) & (e <= right[np.maximum(k, 0)])).sum())
         edges = [0, *(x for span in gone for x in span), len(t)]
@@ -296,7 +296,7 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN) -> DataFrame:
-    """One row per document with its remaining text and what was found and removed."""
+    """One row per document with its remaining text, and how many of its chunks lie in what was removed (n_copied)."""
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     own = own.select(row_key(own.doc_id, own.text).alias("key"), F.xxhash64("text").alias("row"), "doc_id", "text")
     lists = foreign_copies(own.select("key", "row", "text"), min_run)

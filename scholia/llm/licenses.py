@@ -4,10 +4,11 @@ A notice of m characters that occurs with at most k edits holds one of any k + 1
 unchanged (pigeonhole).  All pieces of all notices and the exact phrases are searched in one
 Aho-Corasick pass over the normalised text (lower-cased words, single spaces); around every
 piece found, the regex library matches the whole notice with at most k errors, which verifies
-the edits and gives the span.
+the edits and gives the span.  In each stretch around pieces the best match is taken, then the
+best ones before and behind it, until none is left, so matches of a notice never overlap.
 
 Defined results: null or empty texts have no words, no labels and score 0; repeated rows give
-repeated results; extra columns are ignored.
+repeated results; extra columns are ignored; matches are ordered by place.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .textkit import plain_text, texts_of
+from .units import kept_in_worker
 
 #: Phrases whose exact occurrences count, with their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -90,11 +92,14 @@ class Scanner:
         for n, begins in near.items():
             size, k = len(self.notices[n][1]), edits(self.notices[n][1])
             for a, b in _joined(sorted((x - k, x + size + k) for x in begins)):
-                a = max(a, 0)
-                while (m := self.patterns[n].search(text, a, min(b, len(text)))) and m.end() > m.start():
-                    matches.append((n, *m.span(), sum(m.fuzzy_counts)))
-                    a = m.end()
-        return exact, matches
+                open_ = [(max(a, 0), min(b, len(text)))]
+                while open_:  # the best match of a stretch, then what is before and behind it
+                    a, b = open_.pop()
+                    m = self.patterns[n].search(text, a, b) if b - a >= size - k else None
+                    if m and m.end() > m.start():
+                        matches.append((n, *m.span(), sum(m.fuzzy_counts)))
+                        open_ += [(a, m.start()), (m.end(), b)]
+        return exact, sorted(matches, key=lambda x: (x[1], x[2], x[0]))
 
 
 def _joined(spans):
@@ -111,7 +116,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per document; matches give character spans of the original text. No shuffle."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(phrases, notices)
+        scanner = kept_in_worker(("licences", tuple(phrases.items()), tuple(notices)), lambda: Scanner(phrases, notices))
         fields = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "matches")
         for part in parts:
             rows: dict[str, list] = {k: [] for k in fields}

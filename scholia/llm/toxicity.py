@@ -5,9 +5,10 @@ hashed words; the text's score is their noisy-or, 1 - prod(1 - p).  Only text la
 the gradient of the noisy-or tells each sentence its share, so the model learns which sentences
 are at fault and reports them.
 
-The model is fitted on the driver from at most MAX_LABELLED labelled texts of at most
-MAX_TEXT_BYTES each, taken in an order given by a hash of the id; this bounds the driver's
-memory.  Scoring covers every text in full and shuffles nothing.
+The model is fitted on the driver from labelled texts taken in an order given by a hash of the id:
+at most MAX_LABELLED of them, and only while they hold at most MAX_SAMPLE_BYTES together, which
+bounds the driver's memory; a text of more than a tenth of that is passed over before the count.
+Scoring covers every text in full and shuffles nothing.
 
 Defined results: a null or empty text has no sentences and score 0; a document with several
 labels counts as toxic if any says so; null labels are unlabelled; without labels, or with one
@@ -29,7 +30,7 @@ from .textkit import PLAIN, U64, Block, groups, held_out_column, mix, texts_of
 
 BITS = 18
 MAX_LABELLED = 6000
-MAX_TEXT_BYTES = 1 << 20
+MAX_SAMPLE_BYTES = 1 << 26
 MIN_TEXTS = 3  # texts that a word must be in to be learnt
 MIN_Z = 4.0  # standard errors by which its share of toxic texts must differ from the prior
 THRESHOLD = 0.3
@@ -131,14 +132,19 @@ def fit(texts: list[bytes], labels: np.ndarray, rounds: int = 120, rate: float =
     return Model(weights.astype(np.float32), float(theta[-1]))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = MAX_LABELLED, fold: tuple[int, int] = (4, 2)) -> Model:
-    """Fit on labelled rows outside the held-out fold, at most max_labelled of them."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = MAX_LABELLED, max_bytes: int = MAX_SAMPLE_BYTES, fold: tuple[int, int] = (4, 2)) -> Model:
+    """Fit on labelled rows outside the held-out fold, at most max_labelled of them and max_bytes of text."""
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     given = labels.select(labels[id_col].cast("long").alias("doc_id"), labels[label_col].cast("int").alias("y")).where("doc_id is not null and y is not null")
     pool = given.where(~held_out_column("doc_id", *fold)).groupBy("doc_id").agg(F.max("y").alias("y"))
-    pool = pool.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    rows = own.where(F.octet_length("text") <= MAX_TEXT_BYTES).join(F.broadcast(pool), "doc_id").select("doc_id", "y", "text").toArrow()
-    table = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    sizes = own.where("doc_id is not null").groupBy("doc_id").agg(F.sum(F.octet_length("text").cast("long")).alias("size"))
+    drawn = F.xxhash64("doc_id").alias("drawn")
+    some = pool.join(sizes, "doc_id").where(F.col("size") <= max_bytes // 10).select("doc_id", "y", "size", drawn).orderBy("drawn", "doc_id").limit(max_labelled).toArrow()
+    some = some.sort_by([("drawn", "ascending"), ("doc_id", "ascending")])
+    some = some.filter(pa.array(np.cumsum(some["size"].to_numpy()) <= max_bytes)).select(["doc_id", "y"])  # at most max_labelled rows
+    chosen = docs.sparkSession.createDataFrame(some) if some.num_rows else pool.limit(0)
+    table = own.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text").toArrow()
+    table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
     first = np.r_[True, np.diff(table["doc_id"].to_numpy()) != 0] if table.num_rows else np.zeros(0, bool)
     table = table.filter(pa.array(first))  # of rows with one id, the first text
     return fit(texts_of(table["text"].combine_chunks()) if table.num_rows else [], table["y"].to_numpy() > 0)

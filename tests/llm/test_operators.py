@@ -475,3 +475,155 @@ def test_quality_rules(docs):
         assert r.base_failed == (len(w) < 10 or 100 * len(hit) > 20 * len(w)) and (not r.base_failed or not r.kept)
         assert sum(len(re.sub(r"\s", "", t[a:b])) for a, b in r.repeat_spans) == r.covered_chars
     assert got[3].kept
+
+
+def edit_distance_ends(notice, text):
+    """For each end in text: the least edits of any substring that ends there (Sellers)."""
+    column = list(range(len(notice) + 1))
+    out = [column[-1]]
+    for c in text:
+        before, column = column, [0]
+        for k, x in enumerate(notice, 1):
+            column.append(min(before[k] + 1, column[k - 1] + 1, before[k - 1] + (x != c)))
+        out.append(column[-1])
+    return out
+
+
+def test_license_scan_finds_every_edited_notice():
+    r = random.Random(4)
+    scanner = licenses.Scanner()
+    for _ in range(150):
+        parts, planted = [], 0
+        for _ in range(r.randrange(1, 4)):
+            n = r.randrange(len(licenses.NOTICES))
+            notice = list(licenses.NOTICES[n][1])
+            for _ in range(r.randrange(0, licenses.edits(licenses.NOTICES[n][1]) + 3)):
+                p = r.randrange(1, len(notice) - 1)
+                notice[p : p + 1] = r.choice([[], ["q"], [notice[p], "q"]])
+            parts.append("".join(notice))
+            parts.append(" ".join(words(r.randrange(10**6), r.randrange(0, 3))))
+        text = " " + " ".join(" ".join(parts).split()) + " "
+        _, near = scanner.scan(text)
+        for n, (_, notice) in enumerate(licenses.NOTICES):
+            ends = edit_distance_ends(notice, text)
+            own = [(a, b, e) for k, a, b, e in near if k == n]
+            assert all(e <= licenses.edits(notice) and ends[b] <= e for _, b, e in own)
+            size = len(notice) + licenses.edits(notice)
+            for end in [k for k, d in enumerate(ends) if d <= licenses.edits(notice)]:  # every good end is in or beside a match
+                assert any(a <= end <= b or end - size < b <= end or a <= end + size and a >= end - size for a, b, _ in own)
+
+
+def test_license_scan_takes_adjacent_notices(spark):
+    exact = licenses.NOTICES[4][1]
+    edited = exact.replace("licensed", "licnsed").replace("version", "versoin")
+    rows = [(1, f"{edited} {exact}"), (2, f"{exact} {exact}"), (3, f"{exact} x {edited} y {exact}"), (3, f"{exact} x {edited} y {exact}"), (None, "word " * 200_000 + exact)]
+    got = licenses.license_scan(spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, score int, matches string")).collect()
+    count = lambda r: sum(m.notice == 4 for m in r.matches)
+    assert sorted((r.doc_id or 0, count(r)) for r in got) == [(0, 1), (1, 2), (2, 2), (3, 3), (3, 3)]
+
+
+def test_decontamination_in_blocks(spark, monkeypatch):
+    """A benchmark of several blocks, with null ids, repeated rows and long texts, gives what one automaton gives."""
+    items = [(k, " ".join(words(4000 + k, 14))) for k in range(40)] + [(None, " ".join(words(3999, 12))), (40, "Short item"), (41, None), (42, "")]
+    rows = [(k, " ".join([*words(k, 20), *words(4000 + k, 14)[1:13], *words(k + 1, 5)])) for k in range(0, 60, 2)] + [(1, " ".join(words(3999, 12))), (1, " ".join(words(3999, 12))), (None, None), (7, "a short ITEM"), (8, " ".join(words(1, 30_000) + words(4003, 14)))]
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, n_hit int, item_id string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(map(str, decontaminate.find_windows(docs, bench).collect()))
+    kept = sorted(map(str, decontaminate.without_hits(docs, bench).collect()))
+    monkeypatch.setattr(decontaminate, "AUTOMATON_BYTES", 400)
+    assert sorted(map(str, decontaminate.find_windows(docs, bench).collect())) == whole
+    assert sorted(map(str, decontaminate.without_hits(docs, bench).collect())) == kept
+    got = {r.doc_id: r for r in decontaminate.find_windows(docs, bench).collect()}
+    assert (got[1].n_hit, got[1].item_ids) == (12, []) and got[7].item_ids == ["40"] and got[8].item_ids == ["3"] and len(kept) == 11
+
+
+def plain_agenda(v, unit, key, limit):
+    """One unit merged by scanning for the best candidate each time; a candidate's draw is made when it first comes up."""
+    ids, at = v.characters(np.frombuffer(unit, np.uint8))
+    symbols = [(int(i), int(p)) for i, p in zip(ids, at, strict=True)]
+    ends = [p for _, p in symbols[1:]] + [len(unit)]
+    one = lambda x: np.array([x])
+    while True:
+        best = None
+        for k in range(len(symbols) - 1):
+            (a, p), (b, _) = symbols[k], symbols[k + 1]
+            slot = v.look(one(a), one(b))[0]
+            rank = int(v.slot_rank[slot])
+            if rank == pieces.NONE or pieces._skipped(one(key), pieces._codes(one(p), one(a), one(b)), limit)[0]:
+                continue
+            if best is None or rank < best[0]:
+                best = (rank, k, int(v.slot_id[slot]))
+        if best is None:
+            break
+        _, k, merged = best
+        symbols[k] = (merged, symbols[k][1])
+        del symbols[k + 1]
+        ends[k : k + 2] = [ends[k + 1]]
+    return [x for (i, p), e in zip(symbols, ends, strict=True) for x in ([i] if i >= 0 else v.byte_id[np.frombuffer(unit[p:e], np.uint8)].tolist())]
+
+
+def test_each_occurrence_has_its_own_draws():
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        v = pieces.Vocabulary(f.read())
+    text = (" international" * 300 + " über naïve!").encode()
+    encoder = pieces.Encoder(v, 3, 0.2)
+    ids, _ = encoder.encode([text], np.array([11]))
+    block = np.frombuffer(text + b"\n", np.uint8)
+    edges = np.flatnonzero(np.r_[True, ~v.inside[block[:-1], block[1:]], True])
+    units = [text[a:b] for a, b in zip(edges, edges[1:], strict=False) if a < len(text)]
+    keys = encoder.keys(np.full(len(units), 11), np.arange(len(units)))
+    plain = [plain_agenda(v, u, k, encoder.limit) for u, k in zip(units, keys, strict=True)]
+    assert ids.tolist() == [x for own in plain for x in own]
+    assert len({tuple(own) for u, own in zip(units, plain, strict=True) if u == b" international"}) > 8
+
+
+def test_toxicity_on_labels(spark):
+    """Held-out accuracy on the labelled documents, and the noisy-or of a plain count over sentences."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    scores = {r.doc_id: r.score for r in toxicity.toxicity(docs, model).select("doc_id", "score").collect()}
+    held = [(r.toxic, scores[r.doc_id]) for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
+    good, bad = [s for y, s in held if not y], [s for y, s in held if y]
+    area = sum((b > g) + 0.5 * (b == g) for b in bad for g in good) / (len(bad) * len(good))
+    assert area > 0.95 and len(bad) >= 30
+    texts_ = ["One two three. Four five! grobian six\nseven", "", "no end", "?!."]
+    block, feature, sentence, owner, _, _ = toxicity.bags([t.encode() for t in texts_])
+    small = toxicity.Model(np.linspace(-1, 1, 1 << toxicity.BITS).astype(np.float32), -0.5)
+    expected = []
+    for d in range(len(texts_)):
+        keep = 1.0
+        for s in np.flatnonzero(owner == d):
+            keep *= 1 - 1 / (1 + math.exp(0.5 - sum(float(small.weights[f]) for f, x in zip(feature, sentence, strict=True) if x == s)))
+        expected.append(1 - keep)
+    assert toxicity.score_texts(small, [t.encode() for t in texts_])["score"] == pytest.approx(expected)
+
+
+def test_toxicity_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(i, ("long " * 4000 if i % 2 else "short bad. ") * 3) for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 4 // 2) for i in range(200)], "doc_id long, toxic int")
+    assert isinstance(toxicity.train(docs, labels, max_bytes=20_000), toxicity.Model)
+
+
+@pytest.mark.parametrize("covered, longest", [(0.2, 40), (1.0, 40), (0.2, 10**6), (0.02, 6)])
+def test_quality_verdict(covered, longest):
+    """kept against a plain rule: share of characters in repeats of five words and more, and the longest repeat."""
+    r = random.Random(8)
+    many = [" ".join([*words(k, r.randrange(5, 200)), *(words(k, 60)[: r.randrange(0, 60)] * r.randrange(0, 3)), *words(k + 500, r.randrange(0, 400))]) for k in range(60)]
+    many += [" ".join([*words(900 + k, 3000, 10**6), *words(77, 45 + k)[:39 + k], "mid", *words(77, 45 + k)[:39 + k]]) for k in range(4)]
+    got = quality.rate([t.encode() for t in many], covered, longest)
+    for t, kept, failed in zip(many, got["kept"], got["base_failed"], strict=True):
+        w = t.split()
+        grams: dict = {}
+        for k in range(len(w) - 4):
+            grams.setdefault(tuple(w[k : k + 5]), []).append(k)
+        inside, most = set(), 0
+        for own in grams.values():
+            for a, b in itertools.combinations(own, 2):
+                n = 5
+                while b + n < len(w) and w[a + n] == w[b + n]:
+                    n += 1
+                most = max(most, n)
+            if len(own) > 1:
+                inside |= {p for k in own for p in range(k, k + 5)}
+        share = sum(len(w[p]) for p in inside) / max(sum(map(len, w)), 1)
+        assert kept == (not failed and share <= covered and most <= longest)
