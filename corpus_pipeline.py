@@ -4,8 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 columns of documents.  Stages read only what their predecessor kept.
 
 Defined results: a document with null text passes the toxicity and decontamination stages and
-near-duplicates treat it as a class of its own; of rows that share an id one stays after the
-near-duplicate stage; a text of which nothing is left stays as an empty one; an empty table
+near-duplicates treat it as a class of its own; of equal rows (id and text) one stays after the
+near-duplicate stage, rows with one id and different texts are different documents; a text of which nothing is left stays as an empty one; an empty table
 gives an empty result.
 """
 
@@ -41,7 +41,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that hold a window of a benchmark item."""
     small_batches(spark)
-    return docs.where(decontaminate.hit_words_column(read(spark, sf_dir, "benchmark"), docs.text) == 0)
+    return decontaminate.without_hits(docs, read(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
