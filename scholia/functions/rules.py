@@ -9,16 +9,31 @@ from pyspark.sql import functions as F
 
 from .text import collapse
 
-#: (pattern, track, decision); the first that matches a lower-cased label decides.  Fixed values of the data model.
+# Fixed values of the data model: labels, patterns and names in the order in which they are tried.
+#: (pattern of a lower-cased label, track, decision)
 TRACK_RULES = [
-    ("withdrawn", "unknown", "withdrawn"),
-    ("reject", "unknown", "rejected"),
-    ("workshop", "workshop", "accepted"),
-    ("demo", "demo", "accepted"),
+    ("submitted to|under review", "main", "under_review"),
     ("findings", "findings", "accepted"),
+    ("workshop", "workshop", "accepted"),
+    ("shared task", "shared_task", "accepted"),
+    ("industry track", "industry", "accepted"),
+    ("system demonstration|demonstrations", "demo", "accepted"),
     ("tutorial", "tutorial", "accepted"),
-    ("oral|poster|spotlight|main|accept", "main", "accepted"),
+    ("poster|oral|spotlight|notable top|^accept", "main", "accepted"),
+    ("^main$", "main", "accepted"),
+    (r"^proceedings of the \d+(st|nd|rd|th) annual meeting of the association for computational linguistics \(volume [12]: (long|short) papers\)$", "main", "accepted"),
+    (r"^proceedings of the \d{4} conference on empirical methods in natural language processing$", "main", "accepted"),
+    (r"^proceedings of the \d{4} conference of the (north american chapter|nations of the americas chapter) of the association for computational linguistics: human language technologies \(volume [12]: (long|short) papers\)$", "main", "accepted"),
+    (".", "other", "accepted"),
 ]
+DECISION_RULES = [
+    ("withdraw", "withdrawn"),
+    ("desk.*reject|reject.*desk", "desk_rejected"),
+    ("reject", "rejected"),
+    ("^accept|accepted|oral|spotlight|poster", "accepted"),
+    ("under review|submitted|pending|in review", "under_review"),
+]
+PRESENTATIONS = ["oral", "spotlight", "poster"]
 
 
 def cascade(value: Column, rules: Sequence[tuple[str, object]], otherwise: object) -> Column:
@@ -35,6 +50,15 @@ def classify_track(label: Column) -> Column:
     return F.struct(cascade(flat, [(p, t) for p, t, _ in TRACK_RULES], "unknown").alias("track"), cascade(flat, [(p, d) for p, _, d in TRACK_RULES], "unknown").alias("decision"))
 
 
+def normalize_decision(value: Column) -> Column:
+    """A venue's own decision or label as one of the model's decisions."""
+    return cascade(F.replace(F.lower(F.trim(F.coalesce(value, F.lit("")))), F.lit("_"), F.lit(" ")), DECISION_RULES, "unknown")
+
+
+def presentation_type(value: Column) -> Column:
+    return cascade(F.lower(F.coalesce(value, F.lit(""))), [(x, x) for x in PRESENTATIONS], None)
+
+
 def payload_filter(year: Column, venue: Column, low: int | None = None, high: int | None = None, venues: Sequence[str] | None = None, flags: Sequence[Column] = ()) -> Column:
     """Year range with either bound open, venue set, and further flags; a null year fails a bound."""
     venues = sorted({v.strip() for v in venues if v.strip()}) if venues is not None else None

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from statistics import median
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,8 +13,12 @@ from pyspark.sql import functions as F
 from ..functions.text import words
 
 TARGET, MAXIMUM, CARRY = 200, 320, 2
-#: Abbreviations that end with a stop inside a sentence.  Fixed values of the chunk policy.
-ABBREVIATIONS = {"e.g.", "i.e.", "et al.", "fig.", "figs.", "eq.", "eqs.", "sec.", "cf.", "vs.", "dr.", "no.", "approx."}
+# Fixed values of the chunk policy.
+ABBREVIATIONS = {
+    "al", "e.g", "i.e", "eg", "ie", "fig", "figs", "eq", "eqs", "ref", "refs", "sec", "secs", "tab", "tabs", "cf", "vs", "etc", "approx", "resp", "no",
+    "dr", "prof", "mr", "mrs", "ms", "st", "inc", "ltd", "jr", "sr", "vol",
+}
+SHORT_LINE = 0.85
 
 
 def fixed_windows(docs: DataFrame, key: str, text: str, target: int, overlap: int) -> DataFrame:
@@ -35,38 +40,37 @@ def table_parts(docs: DataFrame, key: str, text: str, cap: int) -> DataFrame:
     return parts.join(n, key).select(key, "ordinal", "token_count", label.alias("fragment"))
 
 
+def ends_sentence(text: str) -> bool:
+    """Whether a text ends like a sentence: not after an abbreviation, an initial or a number with its point."""
+    bare = text.rstrip("\"')]").rstrip()
+    if not bare.endswith("."):
+        return bare.endswith(("!", "?"))
+    m = re.search(r"[\w.]+$", bare[:-1])
+    last = m[0].lower().rstrip(".") if m else None
+    return last is None or not (last in ABBREVIATIONS or last.isdigit() or len(last) == 1)
+
+
 def split_sentences(text: str) -> list[str]:
-    """Cut after . ! ? (and closing quotes) before white space, but not after abbreviations, initials or inside numbers."""
-    out, start = [], 0
-    for m in re.finditer(r"[.!?][\"')\]”]*(?=\s|$)", text):
-        head = text[start : m.end()]
-        last = head.split()[-1].lower() if head.split() else ""
-        pair = " ".join(head.lower().split()[-2:])
-        if last in ABBREVIATIONS or pair in ABBREVIATIONS or re.fullmatch(r"[A-Za-z]\.", last):
-            continue
-        if head.strip():
-            out.append(head.strip())
-        start = m.end()
-    if text[start:].strip():
-        out.append(text[start:].strip())
-    return out
+    """Cut after . ! ? (closing quotes and brackets behind it go) before white space, where a sentence ends."""
+    flat, out, start = " ".join(text.split()), [], 0
+    for m in re.finditer(r"[.!?](?=([\"')\]]*\s))", flat):
+        if ends_sentence(flat[start : m.end()]):
+            out.append(flat[start : m.end()].strip())
+            start = m.end(1)
+    return [*out, flat[start:].strip()] if flat[start:].strip() else out
 
 
 def split_paragraphs(text: str) -> list[str]:
     """At blank lines if there are any; else a line much shorter than the median that ends a sentence closes a paragraph."""
     if re.search(r"\n\s*\n", text):
-        return [p.strip() for p in re.split(r"\n\s*\n", text) if p.strip()]
-    lines = [x for x in text.split("\n") if x.strip()]
+        return [" ".join(p.split()) for p in re.split(r"\n\s*\n", text) if p.strip()]
+    lines = [x.strip() for x in text.splitlines() if x.strip()]
     if len(lines) < 3:
-        return [text.strip()] if text.strip() else []
-    short = 0.85 * sorted(map(len, lines))[len(lines) // 2]
-    out, own = [], []
-    for line in lines:
-        own.append(line.strip())
-        if len(line) < short and re.search(r"[.!?][\"')\]”]*\s*$", line):
-            out.append(" ".join(own))
-            own = []
-    return [*out, " ".join(own)] if own else out
+        return [" ".join(lines)] if lines else []
+    short = SHORT_LINE * median(map(len, lines))
+    last = [len(x) < short and ends_sentence(x) for x in lines]
+    starts = [0, *(k + 1 for k, end in enumerate(last) if end)]
+    return [" ".join(lines[a:b]) for a, b in zip(starts, [*starts[1:], len(lines)], strict=True) if b > a]
 
 
 def pack_paragraphs(text: str, target: int = TARGET, maximum: int = MAXIMUM, carry: int = CARRY) -> list[str]:
@@ -118,6 +122,11 @@ def packed(docs: DataFrame, key: str, text: str, target: int = TARGET, maximum:
     return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(run, f"{key} long, ordinal int, token_count long, chunk string")
 
 
+def replaced(store: DataFrame, fresh: DataFrame, version: str) -> DataFrame:
+    """The store with all chunks of every version in `fresh` replaced by those there."""
+    return store.join(fresh.select(version).distinct(), version, "left_anti").unionByName(fresh)
+
+
 def merge_overlap(left: str, right: str, most: int = 400) -> str:
     """right appended to left without the longest suffix of left's words that right starts with."""
     a, b = left.split(), right.split()

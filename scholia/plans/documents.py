@@ -6,64 +6,69 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import words
-from ..operators import chunking, identity
+from ..operators import chunking, identity, pages
 from .registry import Tables, query
 
 
-def lines(docs):
-    return docs.select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+_PAGE = """SELECT doc_id // 4 AS paper, doc_id % 4 + 1 AS page, concat_ws(chr(10), 'Journal of ' || source || ' studies, vol ' || doc_id, CASE doc_id % 4 WHEN 0 THEN 'Abstract' WHEN 1 THEN '1 I NTRODUCTION' WHEN 2 THEN '2.1. Method and Data' ELSE 'Appendix A' END,
+ text, 'Figure ' || doc_id || ': An overview', 'of what was found.', 'after the figure', CAST(doc_id % 997 AS VARCHAR)) AS text FROM documents"""
 
 
-@query(r"""WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM documents), k AS (SELECT source, lower(trim(regexp_replace(line, '[0-9]+', '', 'g'))) AS key, doc_id FROM l)
-SELECT source, md5(key) AS key_md5, count(DISTINCT doc_id) AS pages FROM k WHERE length(key) >= 12 GROUP BY source, key HAVING count(DISTINCT doc_id) >= 3""")
-def j1_page_furniture(spark, sf):
-    """Line keys that at least three documents of a source share."""
-    key = F.lower(F.trim(F.regexp_replace("line", "\\d+", "")))
-    own = lines(Tables(spark, sf).documents).select("source", "doc_id", key.alias("key")).where(F.length("key") >= 12)
-    return own.groupBy("source", "key").agg(F.countDistinct("doc_id").alias("pages")).where("pages >= 3").select("source", F.md5(F.col("key").cast("binary")).alias("key_md5"), "pages")
+def pages_of(t):
+    """Documents as pages, four to a paper, with running heads, headings, captions and page numbers."""
+    n = F.col("doc_id") % 4
+    head = F.when(n == 0, "Abstract").when(n == 1, "1 I NTRODUCTION").when(n == 2, "2.1. Method and Data").otherwise("Appendix A")
+    text = F.concat_ws(
+        "\n", F.concat(F.lit("Journal of "), "source", F.lit(" studies, vol "), "doc_id"), head, "text",
+        F.concat(F.lit("Figure "), "doc_id", F.lit(": An overview")), F.lit("of what was found."), F.lit("after the figure"), (F.col("doc_id") % 997).cast("string"),
+    )
+    return t.documents.select(F.expr("doc_id div 4").alias("paper"), (n + 1).alias("page"), text.alias("text"))
 
 
-@query(r"""SELECT doc_id, md5(regexp_replace(array_to_string(list_filter(string_split(text, chr(10)), lambda l: NOT regexp_matches(trim(l), '^[0-9]*$')), chr(10)), '([a-z])-\n([a-z])', '\1\2', 'g')) AS digest FROM documents""")
-def j2_page_normalisation(spark, sf):
-    """Without page numbers and blank lines; words cut at a line's end are joined."""
-    kept = F.filter(F.split("text", "\n"), lambda x: ~F.trim(x).rlike("^\\d*$"))
-    return Tables(spark, sf).documents.select("doc_id", F.md5(F.regexp_replace(F.array_join(kept, "\n"), "([a-z])-\\n([a-z])", "$1$2").cast("binary")).alias("digest"))
+@query(rf"""WITH p AS ({_PAGE}), l AS (SELECT paper, page, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS x FROM p), e AS (SELECT paper, unnest(x[1:2] || x[-2:]) AS line FROM l),
+k AS (SELECT paper, lower(trim(regexp_replace(regexp_replace(line, '[0-9]+', '', 'g'), '\s+', ' ', 'g'))) AS key FROM e), n AS (SELECT paper, count(*) AS pages FROM p GROUP BY 1)
+SELECT paper, md5(key) AS key_md5, count(*) AS seen FROM k JOIN n USING (paper) WHERE length(key) >= 12 GROUP BY paper, key, pages HAVING pages >= 3 AND count(*) >= greatest(3, pages // 2)""")
+def j1_page_furniture(spark, sf):
+    """Lines, digits aside, that stand among the first or last two of at least three pages and of half the pages of a paper."""
+    own = pages_of(Tables(spark, sf)).select("paper", F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x != "").alias("x"))
+    edges = F.concat(F.slice("x", 1, pages.EDGE_LINES), F.slice("x", F.greatest(F.size("x") - pages.EDGE_LINES + 1, F.lit(1)), F.lit(pages.EDGE_LINES)))
+    key = F.lower(F.trim(F.regexp_replace(F.regexp_replace("line", "\\d+", ""), "\\s+", " ")))
+    seen = own.select("paper", F.explode(edges).alias("line")).select("paper", key.alias("key")).where(F.length("key") >= pages.FURNITURE_KEY).groupBy("paper", "key").agg(F.count("*").alias("seen"))
+    sizes = own.groupBy("paper").agg(F.count("*").alias("pages")).where(F.col("pages") >= pages.LEAST_PAGES)
+    found = seen.join(sizes, "paper").where(F.col("seen") >= F.greatest(F.lit(pages.LEAST_PAGES), F.floor(F.col("pages") / 2)))
+    return found.select("paper", F.md5(F.col("key").cast("binary")).alias("key_md5"), "seen")
 
 
-def heading_kind(line):
-    """The kind of section that a line opens, or null."""
-    flat = F.lower(F.trim(line))
-    return F.when(flat.rlike("^(\\d+\\.?\\s+)?(abstract|introduction|conclusions?|references)$"), "named").when(flat.rlike("^\\d+(\\.\\d+)*\\.?\\s+\\S.{0,60}$"), "numbered").when((F.length(flat) <= 60) & F.trim(line).rlike("^[\\p{Lu}][^.!?]*$"), "title")
+@query()
+def j2_page_normalisation(spark, sf):
+    """Glyphs repaired, page numbers and furniture gone, words cut at a line's end rejoined unless the paper writes them with a hyphen."""
+    return pages.normalised(pages_of(Tables(spark, sf)), "paper", "page", "text").select("paper", "page", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-@query(r"""SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE regexp_matches(f, '^([0-9]+\.?\s+)?(abstract|introduction|conclusions?|references)$')) AS named,
- count(*) FILTER (WHERE NOT regexp_matches(f, '^([0-9]+\.?\s+)?(abstract|introduction|conclusions?|references)$') AND regexp_matches(f, '^[0-9]+(\.[0-9]+)*\.?\s+\S.{0,60}$')) AS numbered FROM (SELECT doc_id, lower(trim(unnest(string_split(text, chr(10))), ' ')) AS f FROM documents) GROUP BY 1""")
+@query(rf"""WITH l AS (SELECT paper, trim(unnest(string_split(text, chr(10)))) AS raw FROM ({_PAGE})), f AS (SELECT *, regexp_replace(raw, '(^|[^A-Za-z])([A-Z]-?)\s+([A-Z]{{2,}})', '', 'g') AS x FROM l WHERE length(raw) BETWEEN 1 AND 90),
+t AS (SELECT *, trim(regexp_extract(x, '^\d{{1,2}}(\.\d{{1,2}}){{0,3}}\.?\s+([A-Z][^
+]{{0,80}})$', 2)) AS title FROM f),
+k AS (SELECT paper, CASE WHEN regexp_matches(x, '(?i)^abstract[.:]*$') THEN 'abstract' WHEN regexp_matches(x, '(?i)^(references|bibliography)[.:]*$') THEN 'references' WHEN regexp_matches(x, '(?i)^acknowledge?ments[.:]*$') THEN 'acknowledgments'
+ WHEN regexp_matches(x, '(?i)^(table|figure)\s+\d+[a-z]?\s*[:.]') THEN lower(regexp_extract(x, '(?i)^(table|figure)', 1)) WHEN starts_with(x, 'Appendix') THEN 'appendix'
+ WHEN length(title) >= 3 AND NOT ends_with(title, '.') AND NOT regexp_matches(title, '(^|[^A-Za-z-])\d') AND NOT regexp_matches(title, '^\p{{L}}[\p{{L}}\p{{M}}\p{{N}}_''’-]*( \p{{L}}[\p{{L}}\p{{M}}\p{{N}}_''’-]*)?,\s?[A-Z]\.') THEN 'body' END AS kind FROM t)
+SELECT paper, kind, count(*) AS n FROM k WHERE kind IS NOT NULL GROUP BY 1, 2""")
 def j3_heading_classification(spark, sf):
-    own = lines(Tables(spark, sf).documents).withColumn("kind", heading_kind(F.col("line")))
-    return own.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if(F.col("kind") == "named").alias("named"), F.count_if(F.col("kind") == "numbered").alias("numbered"))
-
+    """Headings of each kind in each paper."""
+    own = pages_of(Tables(spark, sf)).select("paper", F.explode(F.transform(F.split("text", "\n"), F.trim)).alias("line")).where("line <> ''")
+    return own.select("paper", pages.heading_kind(F.col("line")).alias("kind")).where("kind is not null").groupBy("paper", "kind").agg(F.count("*").alias("n"))
 
-_SECTION = "sum(CASE WHEN ends_with(line, '.') THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY n)"
 
-
-@query(f"SELECT doc_id, section, count(*) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS n_chars FROM (SELECT doc_id, CAST({_SECTION} AS BIGINT) AS section, line FROM (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents))) GROUP BY 1, 2")
+@query()
 def j4_sections(spark, sf):
-    """A line without a final stop opens a section; sections are numbered along the document."""
-    opens = F.when(F.col("line").endswith("."), 0).otherwise(1)
-    own = lines(Tables(spark, sf).documents).withColumn("section", F.sum(opens).over(Window.partitionBy("doc_id").orderBy("n")))
-    return own.groupBy("doc_id", "section").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("n_chars"))
+    """Sections before merging: headings, captions that interrupt, appendix."""
+    found = pages.sections(pages_of(Tables(spark, sf)), "paper", "page", "text", merge=False)
+    return found.withColumn("text", F.md5(F.col("text").cast("binary")))
 
 
-@query(r"""WITH RECURSIVE s AS (SELECT doc_id, x, len(x) AS n FROM (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda l: CAST(len(regexp_extract_all(l, '\S+')) AS BIGINT)) AS x FROM documents)),
-f AS (SELECT doc_id, x, n, 1 AS i, x[1] AS own, CAST([] AS BIGINT[]) AS done FROM s UNION ALL SELECT doc_id, x, n, i + 1, CASE WHEN own < 40 THEN own + x[i + 1] ELSE x[i + 1] END, CASE WHEN own < 40 THEN done ELSE list_append(done, own) END FROM f WHERE i < n)
-SELECT doc_id, list_append(done, own) AS sizes FROM f WHERE i = n""")
+@query()
 def j5_merge_small_sections(spark, sf):
-    """Lines are joined until a section has 40 words; the sizes of the sections."""
-    sizes = F.transform(F.split("text", "\n"), lambda x: F.size(words(x)).cast("long"))
-    start = F.struct(F.element_at(sizes, 1).alias("own"), F.array().cast("array<long>").alias("done"))
-    step = lambda s, x: F.when(s["own"] < 40, F.struct((s["own"] + x).alias("own"), s["done"].alias("done"))).otherwise(F.struct(x.alias("own"), F.concat(s["done"], F.array(s["own"])).alias("done")))
-    rest = F.slice(sizes, F.lit(2), F.greatest(F.size(sizes) - 1, F.lit(0)))
-    return Tables(spark, sf).documents.select("doc_id", F.aggregate(rest, start, step, lambda s: F.concat(s["done"], F.array(s["own"]))).alias("sizes"))
+    """Sections whose interrupted halves and small fragments have been joined."""
+    return pages.sections(pages_of(Tables(spark, sf)), "paper", "page", "text").withColumn("text", F.md5(F.col("text").cast("binary")))
 
 
 _W = r"SELECT doc_id, regexp_extract_all(text, '\S+') AS w FROM documents"
@@ -84,6 +89,19 @@ def j8_paragraph_packing(spark, sf):
     return chunking.packed(Tables(spark, sf).documents, "doc_id", "text").withColumn("chunk", F.md5(F.col("chunk").cast("binary")))
 
 
+@query(f"""WITH w AS ({_W}), a AS (SELECT doc_id, w, unnest(generate_series(0, CAST(greatest(ceil((len(w) - 128) / 112.0), 0) AS BIGINT))) AS o FROM w WHERE len(w) > 0 AND doc_id % 3 <> 0),
+b AS (SELECT doc_id, w, unnest(generate_series(0, CAST(greatest(ceil((len(w) - 200) / 200.0), 0) AS BIGINT))) AS o FROM w WHERE len(w) > 0 AND doc_id % 3 = 0)
+SELECT doc_id, CAST(o AS INTEGER) AS ordinal, md5(array_to_string(w[o * 112 + 1 : o * 112 + 128], ' ')) AS chunk FROM a UNION ALL SELECT doc_id, CAST(o AS INTEGER), md5(array_to_string(w[o * 200 + 1 : o * 200 + 200], ' ')) FROM b""")
+def j9_store_parsed_document(spark, sf):
+    """All chunks of the versions that were parsed again (every third) are replaced; storing them twice changes nothing."""
+    docs = Tables(spark, sf).documents
+    store = chunking.fixed_windows(docs, "doc_id", "text", 128, 16).drop("token_count")
+    fresh = chunking.fixed_windows(docs.where("doc_id % 3 = 0"), "doc_id", "text", 200, 0).drop("token_count")
+    for _ in range(2):
+        store = chunking.replaced(store, fresh, "doc_id")
+    return store.withColumn("chunk", F.md5(F.col("chunk").cast("binary")))
+
+
 @query(f"SELECT doc_id, len(w) AS words FROM ({_W}) WHERE len(w) > 0")
 def j10_reconstruct_documents(spark, sf):
     """Overlapping windows stitched back give the document's words."""

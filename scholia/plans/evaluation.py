@@ -296,3 +296,131 @@ def p17_content_addressed_write(spark, sf):
 @query("SELECT vec_id, len(embedding) AS dimension, len(embedding) = 64 AS ok FROM embeddings")
 def p18_check_shape(spark, sf):
     return Tables(spark, sf).embeddings.select("vec_id", F.size("embedding").cast("long").alias("dimension"), (F.size("embedding") == 64).alias("ok"))
+
+
+@query("""WITH c AS (SELECT conv_id, turn, role, text, md5(text) AS k FROM conversations), a AS (SELECT u.conv_id, u.turn, u.k AS asked, r.k AS answered, r.text = u.text AS leaks FROM c u JOIN c r ON r.conv_id = u.conv_id AND r.turn = u.turn + 1 WHERE u.role = 'user' AND r.role = 'assistant')
+SELECT conv_id, turn, asked, answered, md5(asked || ':' || answered) AS rewrite_digest FROM a WHERE NOT leaks""")
+def p11_build_conversations(spark, sf):
+    """Question and answer turns paired, leaking pairs dropped, and on reading only the rows whose stored digest is that of their texts."""
+    c = Tables(spark, sf).conversations.select("conv_id", "turn", "role", "text", F.md5(F.col("text").cast("binary")).alias("k"))
+    asked = c.where("role = 'user'").select("conv_id", "turn", F.col("k").alias("asked"), F.col("text").alias("question"))
+    answers = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("k").alias("answered"), F.col("text").alias("answer"))
+    built = asked.join(answers, ["conv_id", "turn"]).where("question <> answer")
+    digest = F.md5(F.concat_ws(":", "asked", "answered").cast("binary"))
+    stored = built.select("conv_id", "turn", "question", "answer", "asked", "answered", digest.alias("rewrite_digest"))
+    again = F.md5(F.concat_ws(":", F.md5(F.col("question").cast("binary")), F.md5(F.col("answer").cast("binary"))).cast("binary"))
+    return stored.where(F.col("rewrite_digest") == again).drop("question", "answer")
+
+
+@query("""WITH t AS (SELECT conv_id, max(turn) AS last FROM conversations WHERE role = 'user' GROUP BY 1), s AS (SELECT c.conv_id, c.turn, c.text, lag(text) OVER (PARTITION BY c.conv_id ORDER BY c.turn) AS before, last FROM conversations c JOIN t USING (conv_id) WHERE role = 'user')
+SELECT conv_id, unnest(['last_turn', 'with_history', 'rewrite']) AS source, unnest([md5(text), md5(coalesce(before || chr(10), '') || text), md5(lower(text))]) AS query_md5 FROM s WHERE turn = last""")
+def p3_mtrag_queries(spark, sf):
+    """Three queries of each conversation's last question: the question, with the one before it, and rewritten (lower-cased here)."""
+    own = Tables(spark, sf).conversations.where("role = 'user'")
+    last = own.withColumn("before", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))).withColumn("last", F.max("turn").over(Window.partitionBy("conv_id"))).where("turn = last")
+    history = F.concat(F.coalesce(F.concat("before", F.lit("\n")), F.lit("")), "text")
+    digest = lambda x: F.md5(x.cast("binary"))
+    sources = F.create_map(F.lit("last_turn"), digest(F.col("text")), F.lit("with_history"), digest(history), F.lit("rewrite"), digest(F.lower("text")))
+    return last.select("conv_id", F.explode(sources).alias("source", "query_md5"))
+
+
+@query("""WITH a AS (SELECT doc_id, quality, CASE WHEN doc_id % 5 = 0 THEN 'test' WHEN doc_id % 5 = 1 THEN 'dev' ELSE 'train' END AS split FROM labels)
+SELECT d.doc_id AS case_id, split, quality, md5(text) AS question, row_number() OVER (PARTITION BY split ORDER BY d.doc_id) AS position FROM documents d JOIN a USING (doc_id) WHERE split <> 'train' AND quality IS NOT NULL""")
+def p6_load_cases(spark, sf):
+    """Labelled cases of the assigned splits, numbered in the order of their ids."""
+    t = Tables(spark, sf)
+    n = F.col("doc_id") % 5
+    assigned = t.labels.where("quality is not null").select("doc_id", "quality", F.when(n == 0, "test").when(n == 1, "dev").otherwise("train").alias("split")).where("split <> 'train'")
+    position = F.row_number().over(Window.partitionBy("split").orderBy("doc_id")).cast("long")
+    return t.documents.join(assigned, "doc_id").select(F.col("doc_id").alias("case_id"), "split", "quality", F.md5(F.col("text").cast("binary")).alias("question"), position.alias("position"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, o_orderkey AS paper FROM (SELECT l_orderkey, l_linenumber, regexp_replace(printf('24%02d.%05dv%d', l_linenumber, l_partkey, l_linenumber), 'v[0-9]+$', '') AS stem FROM lineitem)
+JOIN (SELECT DISTINCT o_orderkey, printf('24%02d.%05d', o_orderkey % 7 + 1, o_custkey) AS stem FROM orders) USING (stem)""")
+def p7_paper_ids_for(spark, sf):
+    """Versioned ids mapped by their stem to the papers that carry it (one stem, many papers)."""
+    from ..functions.text import normalize_arxiv
+
+    t = Tables(spark, sf)
+    cited = t.lineitem.select("l_orderkey", "l_linenumber", normalize_arxiv(F.format_string("24%02d.%05dv%d", "l_linenumber", "l_partkey", "l_linenumber"))["id"].alias("stem"))
+    known = t.orders.select(F.col("o_orderkey").alias("paper"), normalize_arxiv(F.format_string("24%02d.%05d", F.col("o_orderkey") % 7 + 1, "o_custkey"))["id"].alias("stem"))
+    return cited.join(known, "stem").select("l_orderkey", "l_linenumber", "paper")
+
+
+@query("""WITH a AS (SELECT l_orderkey, l_linenumber, l_returnflag AS first FROM lineitem), b AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 25 THEN l_returnflag ELSE 'N' END AS second FROM lineitem WHERE l_linenumber <= 4)
+SELECT first, second, count(*) AS n FROM a LEFT JOIN b USING (l_orderkey, l_linenumber) GROUP BY 1, 2""")
+def p15_second_judge(spark, sf):
+    """Stored verdicts joined to those of a second judge, as a table of both; verdicts that were not judged again keep a null."""
+    own = Tables(spark, sf).lineitem
+    again = own.where("l_linenumber <= 4").select("l_orderkey", "l_linenumber", F.when(F.col("l_quantity") > 25, F.col("l_returnflag")).otherwise("N").alias("second"))
+    stored = own.select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("first"))
+    return stored.join(again, ["l_orderkey", "l_linenumber"], "left").groupBy("first", "second").agg(F.count("*").alias("n"))
+
+
+_SETTINGS = "CASE WHEN l_linenumber <> 1 THEN '\"depth\":' || l_linenumber END, CASE WHEN l_returnflag <> 'N' THEN '\"mode\":\"' || l_returnflag || '\"' END, CASE WHEN l_linestatus <> 'O' THEN '\"source\":\"' || l_linestatus || '\"' END"
+
+
+def _identity(**settings):
+    """Digest of canonical JSON (keys in order) of the settings that differ from their defaults: name -> (value, default)."""
+    parts = [F.when(value != default, F.concat(F.lit(f'"{name}":'), F.to_json(F.struct(value.alias("x"))).substr(F.lit(6), F.length(F.to_json(F.struct(value.alias("x")))) - 6))) for name, (value, default) in sorted(settings.items())]
+    return F.sha2(F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")).cast("binary"), 256)
+
+
+@query(f"SELECT l_orderkey, l_linenumber, sha256('{{' || concat_ws(',', {_SETTINGS}) || '}}') AS identity FROM lineitem")
+def i19_ordering_identity(spark, sf):
+    """The identity of an ordering: only settings that are not the default count, so a new setting changes no old identity."""
+    return Tables(spark, sf).lineitem.select("l_orderkey", "l_linenumber", _identity(depth=(F.col("l_linenumber"), F.lit(1)), mode=(F.col("l_returnflag"), F.lit("N")), source=(F.col("l_linestatus"), F.lit("O"))).alias("identity"))
+
+
+@query(f"SELECT search_digest, count(*) AS runs, min(l_orderkey) AS first_run FROM (SELECT l_orderkey, sha256('{{' || concat_ws(',', {_SETTINGS}) || '}}') AS search_digest FROM lineitem) GROUP BY 1")
+def p16_search_digest(spark, sf):
+    """Runs that searched alike, by the digest of their search settings."""
+    digest = _identity(depth=(F.col("l_linenumber"), F.lit(1)), mode=(F.col("l_returnflag"), F.lit("N")), source=(F.col("l_linestatus"), F.lit("O")))
+    return Tables(spark, sf).lineitem.groupBy(digest.alias("search_digest")).agg(F.count("*").alias("runs"), F.min("l_orderkey").alias("first_run"))
+
+
+@query("""WITH d AS (SELECT o_custkey AS paper, sha256('7:' || o_custkey) AS draw FROM (SELECT DISTINCT o_custkey FROM orders)), s AS (SELECT paper, CASE WHEN r * 5 <= n THEN 'test' ELSE 'dev' END AS split FROM (SELECT paper, row_number() OVER (ORDER BY draw) AS r, count(*) OVER () AS n FROM d)),
+q AS (SELECT o_orderkey, o_custkey AS paper, row_number() OVER (PARTITION BY o_custkey ORDER BY sha256('7:' || o_orderkey)) AS r FROM orders)
+SELECT a.o_orderkey AS first, b.o_orderkey AS second, a.paper, split FROM q a JOIN q b ON a.paper = b.paper AND a.r % 2 = 1 AND b.r = a.r + 1 JOIN s ON s.paper = a.paper""")
+def l23_split_and_pair_by_paper(spark, sf):
+    """Seeded draws: a fifth of the papers for test, and each paper's questions paired in drawn order; all questions of a paper share its split."""
+    orders = Tables(spark, sf).orders
+    drawn = lambda c: F.sha2(F.concat(F.lit("7:"), F.col(c)).cast("binary"), 256)
+    papers = orders.select(F.col("o_custkey").alias("paper")).distinct().withColumn("draw", drawn("paper"))
+    count = papers.count()
+    last = papers.orderBy("draw").limit(count // 5).agg(F.max("draw")).first()[0]  # one value
+    split = papers.select("paper", F.when(F.col("draw") <= F.lit(last), "test").otherwise("dev").alias("split"))
+    number = F.row_number().over(Window.partitionBy("paper").orderBy(drawn("o_orderkey")))
+    asked = orders.select("o_orderkey", F.col("o_custkey").alias("paper")).withColumn("r", number)
+    second = F.lead("o_orderkey").over(Window.partitionBy("paper").orderBy("r"))
+    pairs = asked.withColumn("second", second).where("r % 2 = 1 and second is not null")
+    return pairs.join(split, "paper").select(F.col("o_orderkey").alias("first"), "second", "paper", "split")
+
+
+@query("""WITH f AS (SELECT 'nation' AS name, sha256(string_agg(sha256(n_nationkey || '|' || n_name || '|' || n_regionkey), '' ORDER BY n_nationkey)) AS d FROM nation UNION ALL SELECT 'region', sha256(string_agg(sha256(r_regionkey || '|' || r_name), '' ORDER BY r_regionkey)) FROM region
+UNION ALL SELECT 'mktsegments', sha256(string_agg(sha256(c_mktsegment || '|' || n), '' ORDER BY c_mktsegment)) FROM (SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1))
+SELECT sha256(string_agg(name || chr(9) || d || chr(10), '' ORDER BY name)) AS dataset_digest FROM f""")
+def l24_dataset_digest(spark, sf):
+    """One digest over three files of a dataset (of a fixed size here), each by its rows in the order of their keys."""
+    t = Tables(spark, sf)
+    hexed = lambda x: F.sha2(x.cast("binary"), 256)
+
+    def of(name, df, key, *cols):
+        rows = F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), hexed(F.concat_ws("|", *cols)).alias("d"))))
+        return df.agg(rows.alias("x")).select(F.lit(name).alias("name"), hexed(F.array_join(F.transform("x", lambda r: r["d"]), "")).alias("d"))
+
+    files = of("nation", t.nation, "n_nationkey", "n_nationkey", "n_name", "n_regionkey").union(of("region", t.region, "r_regionkey", "r_regionkey", "r_name"))
+    files = files.union(of("mktsegments", t.customer.groupBy("c_mktsegment").agg(F.count("*").alias("n")), "c_mktsegment", "c_mktsegment", "n"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("name", "d"))), lambda r: F.concat(r["name"], F.lit("\t"), r["d"], F.lit("\n")))
+    return files.agg(hexed(F.array_join(lines, "")).alias("dataset_digest"))
+
+
+@query("""SELECT condition, count(*) AS turns, CAST(sum(calls * (ceil(length(text) / 3.0) * 2 + 512 * 8)) AS BIGINT) AS worst_micro, sum(calls * (ceil(length(text) / 3.0) * 2 + 512 * 8)) > 100000 AS over_cap
+FROM conversations, (VALUES ('condensed', 2), ('raw', 1), ('oracle', 1)) AS c(condition, calls) WHERE role = 'user' GROUP BY 1""")
+def l27_preflight_spend(spark, sf):
+    """Worst-case cost of each chat condition, before a run: every call at its full prompt and the longest answer, against a cap."""
+    asked = Tables(spark, sf).conversations.where("role = 'user'")
+    calls = F.explode(F.create_map(F.lit("condensed"), F.lit(2), F.lit("raw"), F.lit(1), F.lit("oracle"), F.lit(1))).alias("condition", "calls")
+    cost = (F.ceil(F.length("text") / 3.0) * 2 + 512 * 8).cast("long")
+    own = asked.select(cost.alias("cost"), calls).groupBy("condition").agg(F.count("*").alias("turns"), F.sum(F.col("calls") * F.col("cost")).alias("worst_micro"))
+    return own.withColumn("over_cap", F.col("worst_micro") > 100000)

@@ -41,25 +41,46 @@ def b5_is_eligible(spark, sf):
     return Tables(spark, sf).orders.select("o_orderkey", F.coalesce(ok, F.lit(False)).alias("eligible"))
 
 
-def _label():
-    return F.concat_ws("  ", F.lit("ICX "), F.when(F.col("event_type") == "error", "Withdrawn Submission").when(F.col("event_type") == "view", "Poster").when(F.col("event_type") == "click", "Workshop on X").when(F.col("event_type") == "signup", "Findings").otherwise("Desk Rejected"))
+#: Labels, and by hand what the rules must make of them.
+TRACKS = {
+    "ICX 2024  Poster": ("main", "accepted"), "Submitted to ICX 2024": ("main", "under_review"), "ICX 2024 Workshop on Things Poster": ("workshop", "accepted"),
+    "Findings of the Association": ("findings", "accepted"), "Proceedings of the Workshop on X": ("workshop", "accepted"), "Shared Task Overview": ("shared_task", "accepted"),
+    "Industry Track Papers": ("industry", "accepted"), "System Demonstrations": ("demo", "accepted"), "Tutorial Abstracts": ("tutorial", "accepted"), "main": ("main", "accepted"), "Main volume": ("other", "accepted"),
+    "Proceedings of the 61st Annual Meeting of the Association for Computational Linguistics (Volume 1: Long Papers)": ("main", "accepted"),
+    "Proceedings of the 2023 Conference on Empirical Methods in Natural Language Processing": ("main", "accepted"),
+    "Proceedings of the 2023 Conference on Empirical Methods": ("other", "accepted"), "": ("unknown", "unknown"), "notable top 5%": ("main", "accepted"), "Accept (findings)": ("findings", "accepted"),
+}
+DECISIONS = {
+    "Accept (Oral)": ("accepted", "oral"), "Desk_Rejected": ("desk_rejected", None), "Reject": ("rejected", None), "Withdrawn submission": ("withdrawn", None), "ICX 2024 poster": ("accepted", "poster"),
+    "notable spotlight or oral": ("accepted", "oral"), "Under Review": ("under_review", None), "pending": ("under_review", None), "": ("unknown", None), "main": ("unknown", None), "Rejected after desk check": ("desk_rejected", None),
+}
 
 
-@query("""SELECT event_id, CASE event_type WHEN 'view' THEN 'main' WHEN 'click' THEN 'workshop' WHEN 'signup' THEN 'findings' ELSE 'unknown' END AS track,
- CASE event_type WHEN 'error' THEN 'withdrawn' WHEN 'purchase' THEN 'rejected' ELSE 'accepted' END AS decision FROM events""")
+def _table(values: dict[str, tuple], *names: str) -> str:
+    """SQL for a table of labels, numbered, with what the model makes of each, as stated by hand."""
+    rows = ", ".join(f"({k}, {', '.join('NULL' if v is None else repr(v) for v in own)})" for k, own in enumerate(values.values()))
+    return f"(VALUES {rows}) AS expected(n, {', '.join(names)})"
+
+
+def _numbered_label(t, values: dict[str, tuple]):
+    return t.events.select("event_id", F.element_at(F.array(*[F.lit(x) for x in values]), (F.col("event_id") % len(values) + 1).cast("int")).alias("label"))
+
+
+@query(f"SELECT event_id, track, decision FROM events JOIN {_table(TRACKS, 'track', 'decision')} ON event_id % {len(TRACKS)} = n")
 def b6_classify_track(spark, sf):
-    return Tables(spark, sf).events.select("event_id", rules.classify_track(_label()).alias("c")).select("event_id", "c.track", "c.decision")
+    return _numbered_label(Tables(spark, sf), TRACKS).select("event_id", rules.classify_track(F.col("label")).alias("c")).select("event_id", "c.track", "c.decision")
 
 
-@query("SELECT o_orderkey, CASE WHEN contains(lower(o_orderpriority), 'urgent') THEN 'oral' WHEN contains(lower(o_orderpriority), 'high') THEN 'spotlight' WHEN contains(lower(o_orderpriority), 'low') THEN 'poster' ELSE 'unknown' END AS presentation FROM orders")
+@query(f"SELECT event_id, decision, presentation FROM events JOIN {_table(DECISIONS, 'decision', 'presentation')} ON event_id % {len(DECISIONS)} = n")
 def b7_presentation_type(spark, sf):
-    return Tables(spark, sf).orders.select("o_orderkey", rules.cascade(F.lower("o_orderpriority"), [("urgent", "oral"), ("high", "spotlight"), ("low", "poster")], "unknown").alias("presentation"))
+    own = _numbered_label(Tables(spark, sf), DECISIONS)
+    return own.select("event_id", rules.normalize_decision(F.col("label")).alias("decision"), rules.presentation_type(F.col("label")).alias("presentation"))
 
 
-@query("SELECT event_id FROM events WHERE event_type = 'view'")
+@query(f"SELECT event_id FROM events JOIN {_table(TRACKS, 'track', 'decision')} ON event_id % {len(TRACKS)} = n WHERE track = 'main' AND decision = 'accepted'")
 def b8_eligible_rows(spark, sf):
-    c = rules.classify_track(_label())
-    return Tables(spark, sf).events.where((c["track"] == "main") & (c["decision"] == "accepted")).select("event_id")
+    c = rules.classify_track(F.col("label"))
+    return _numbered_label(Tables(spark, sf), TRACKS).where((c["track"] == "main") & (c["decision"] == "accepted")).select("event_id")
 
 
 @query("SELECT d.doc_id FROM documents d LEFT JOIN labels l USING (doc_id) WHERE d.source IS DISTINCT FROM 'src0' AND l.quality IS NOT DISTINCT FROM 1")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scholia.functions import rules, stats, text
-from scholia.operators import chunking, dense, evidence, identity, lexical, metrics, ranking
+from scholia.operators import chunking, dense, evidence, identity, lexical, metrics, pages, ranking
 from scholia.sources import readers
 from scholia.streaming import stateful
 
@@ -34,8 +34,8 @@ def test_nfkc_and_titles(spark):
 
 
 def test_tracks_and_filters(spark):
-    got = one(spark, rules.classify_track(F.lit("  Oral   Presentation (Withdrawn)")))
-    assert tuple(got) == ("unknown", "withdrawn")
+    assert tuple(one(spark, rules.classify_track(F.lit("  Oral   Presentation")))) == ("main", "accepted")
+    assert one(spark, rules.normalize_decision(F.lit("Oral Presentation (Withdrawn)"))) == "withdrawn"
     with pytest.raises(ValueError):
         rules.payload_filter(F.lit(1), F.lit("a"), 5, 4)
     assert one(spark, rules.payload_filter(F.lit(None).cast("int"), F.lit("a"), low=1)) is False
@@ -143,3 +143,48 @@ def test_streams(spark, tmp_path):
     assert sorted(r.job for r in first) == [1, 2]
     batch = spark.read.parquet(f"{tmp_path}/log")
     assert tuple(stateful.capped_spend(batch, ["job"], ["ts"], F.col("cost"), 5.0).where("job = 1").first()) == (1, 4.0, 2, 2)
+
+
+def test_sentences_and_paragraphs():
+    text = 'See Fig. 3 of Smith et al. for it. J. Doe said "yes." Then 0.5 was\nenough! Is it? Yes (it is.) End'
+    assert chunking.split_sentences(text) == ["See Fig. 3 of Smith et al. for it.", 'J. Doe said "yes.', "Then 0.5 was enough!", "Is it?", "Yes (it is.", "End"]
+    assert chunking.split_sentences("It was 3. Then more. A b. C d.") == ["It was 3. Then more.", "A b. C d."]
+    long = "word " * 12
+    assert chunking.split_paragraphs(f"{long}\n{long}\nends here.\n{long}\n{long}") == [f"{long.strip()} {long.strip()} ends here.", f"{long.strip()} {long.strip()}"]
+    assert chunking.split_paragraphs("a\nb\n \n c  d") == ["a b", "c d"] and chunking.split_paragraphs("") == []
+
+
+def test_pages_are_repaired():
+    many = [f"Journal of things {k}\n{c * 9}\nwell-known methods\nthe well-\nknown and infor-\nmation ﬁeld\0\nlast {c * 9}\n{k}" for k, c in enumerate("abcd")]
+    assert pages.clean_pages(many) == [f"{c * 9}\nwell-known methods\nthe well-known and information field\nlast {c * 9}" for c in "abcd"]
+    assert pages.clean_pages(many[:2])[0].startswith("Journal of things 0")
+
+
+HEADINGS = {
+    "ABSTRACT": ("Abstract", "abstract"), "1 I NTRODUCTION": ("INTRODUCTION", "body"), "2.1. Method and Data": ("Method and Data", "body"), "7 References": ("References", "references"),
+    "Table 3: Results": ("Table 3: Results", "table"), "figure 2a. Overview": ("figure 2a. Overview", "figure"), "Appendix B. Proofs": ("Appendix B. Proofs", "appendix"), "Acknowledgements.": ("Acknowledgments", "acknowledgments"),
+    "2. Barron, J.T., Mildenhall, B.": None, "3 Rows with 12 cells": None, "4 GPT-4 results": ("GPT-4 results", "body"), "5 This ends.": None, "plain text": None, "1 " + "A" * 95: None,
+}
+
+
+def test_headings(spark):
+    assert {k: pages.heading(k) for k in HEADINGS} == HEADINGS
+    got = spark.createDataFrame([(k,) for k in HEADINGS], "line string").select("line", pages.heading_kind(F.col("line")).alias("kind")).collect()
+    assert {r.line: r.kind for r in got} == {k: v and v[1] for k, v in HEADINGS.items()}
+
+
+def test_sections():
+    text = [
+        (1, "A Title\nAbstract\nWe do it.\n1 Introduction\nIt begins here and goes on for a while, so that it is no fragment at all."),
+        (2, "Figure 1: What is seen\nin two lines.\nand goes on after the figure.\nTable 2: One line.\nThe end of it.\n2 Bits\ntiny"),
+        (3, "Appendix A\nproof\n3 More Proofs\nThis is a body heading inside the appendix, and long enough to stay apart."),
+    ]
+    raw = pages.raw_sections(text)
+    assert [(s.name, s.kind, s.first, s.last) for s in raw] == [
+        ("Front matter", "front", 1, 1), ("Abstract", "abstract", 1, 1), ("Introduction", "body", 1, 1), ("Figure 1: What is seen", "figure", 2, 2), ("Introduction", "body", 2, 2),
+        ("Table 2: One line.", "table", 2, 2), ("Introduction", "body", 2, 2), ("Bits", "body", 2, 2), ("Appendix A", "appendix", 3, 3), ("More Proofs", "appendix", 3, 3),
+    ]
+    merged = pages.merged_sections(raw)
+    assert [(s.name, s.first, s.last, len(s.lines)) for s in merged] == [
+        ("Front matter", 1, 1, 1), ("Abstract", 1, 1, 1), ("Introduction", 1, 2, 4), ("Figure 1: What is seen", 2, 2, 2), ("Table 2: One line.", 2, 2, 1), ("Appendix A", 3, 3, 1), ("More Proofs", 3, 3, 1),
+    ]
