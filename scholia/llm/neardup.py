@@ -210,6 +210,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = cut(rows.join(full, "band").select("band", "key", "lead"), "shared")
     wanted = cut(shared.select("key").distinct(), "wanted")
     named = cut(signed.select("key", *IDENTITY).join(wanted, "key"), "named")
+    named = named.hint("merge")  # one plan at every size: nothing that grows with the input is broadcast
     texts = own.join(named, _same(own, named)).select("key", "text")
     texts = cut(texts.groupBy("key").agg(F.any_value("text").alias("text")), "texts")
 
@@ -267,11 +268,12 @@ def _rest_pairs(members: DataFrame, labels: DataFrame, texts: DataFrame, similar
     large = early.select("shingle", *(F.col(c).alias(f"{c}2") for c in ("key", "class", "size", "place")))
     small = early.where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * (2 * share) - 1e-9) + 1)
     smaller = (F.col("size") < F.col("size2")) | (F.col("size") == F.col("size2")) & (F.col("key") < F.col("key2"))
-    found = small.join(large, "shingle").where((F.col("class") != F.col("class2")) & smaller & (F.col("size") >= F.col("size2") * similarity - 1e-9))
-    # what a pair shares up to its last match here has been counted; behind it at most the rest of either text is shared
+    rest = F.least(F.col("size") - F.col("place"), F.col("size2") - F.col("place2"))
+    least = (F.col("size") + F.col("size2")) * share - 1e-9
+    found = small.join(large, "shingle").where((F.col("class") != F.col("class2")) & smaller & (F.col("size") >= F.col("size2") * similarity - 1e-9) & (rest + 1 >= least))
+    # if a match is early enough, so are all before it: what a pair shares up to the last of these has been counted, behind it at most the rest of either text is shared
     met = found.groupBy("key", "key2").agg(F.count("*").alias("n"), F.max("place").alias("place"), F.max("place2").alias("place2"), F.max("size").alias("size"), F.max("size2").alias("size2"))
-    most = F.col("n") + F.least(F.col("size") - F.col("place"), F.col("size2") - F.col("place2"))
-    met = met.where(most >= (F.col("size") + F.col("size2")) * share - 1e-9)
+    met = met.where(F.col("n") + rest >= least)
     return met.select(F.least("key", "key2").alias("u"), F.greatest("key", "key2").alias("v"))
 
 
