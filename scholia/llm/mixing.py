@@ -1,22 +1,26 @@
 """Language-model scores by logistic context mixing of hashed-context bit predictors.
 
 A text is coded byte by byte, ended by a byte that UTF-8 never uses; each byte is eight binary
-decisions.  For each decision the contexts of the last 0 to 5 bytes (hashed together with the
-bits already known) give counts of zeros and ones; their log-odds are mixed by weights that a
-gate selects (which bit, and the longest context that has been seen), and the result is refined
-by a table over (bits known, mixed probability) that is adapted to what actually came.  The sum
-of -log2 p is the text's cost; bits per byte and log10 p follow.
-
-Training covers every training text: distinct six-byte strings are counted with map-side
-combination; predictor tables of fixed size are summed from these counts; the mixing weights are
-learnt online, pass by pass over mini-batches of the counted strings in every partition, each
-string seen as if it had not been counted itself, and averaged over the partitions; the
-refinement counts are gathered in a last pass.  Since all a decision depends on is the last six
-bytes, scoring looks each distinct six-byte string up once.
-
-The unigram base needs the training count of every word of a text.  Texts are dealt into blocks
-of about BLOCK_BYTES; each block sends its distinct words once, receives their total counts, and
-meets its texts again: no table of all words is ever in one place.
+decisions.  For each decision the contexts of the last 0 to 5 bytes (together with the bits already
+known) give counts of zeros and ones in the training texts; their log-odds are mixed by weights that
+a gate selects (which bit, how many contexts have been seen, how often the longest of them), and the
+result is refined by a table over (bits known, mixed probability) adapted to what actually came.
+Along a text, TEMPERS sharper and flatter forms of this are mixed by weights that follow, byte by
+byte, how well each has predicted the text so far; the product of these steps equals the mean of the
+forms' whole-text probabilities, which is how it is computed.  bits per byte and log10 p follow.
+
+The model grows with the input: every six-byte string of all texts is kept with its training count.
+The strings are dealt into cells by a hash of their last three context bytes, about CELL strings a
+cell, so that all contexts of three to five bytes are counted exactly inside one cell (three bytes
+leave room for 2**24 strings at most).  Shorter contexts come from the counts of three-byte strings,
+which are broadcast: 2**24 strings of 12 bytes at most, far fewer in UTF-8.  Mixing weights are
+learnt online, cell by cell in an order fixed by hash, each string seen as if one occurrence of it
+had not been counted, and averaged over the cells; the refinement is gathered in a second pass, and
+a third prices each distinct string once.  None of this depends on the number of partitions.
+
+Texts are dealt into blocks of about BLOCK_BYTES; each block sends its distinct words and strings
+once, receives the words' counts and the strings' prices, and meets its texts again: no table of all
+words or strings is ever in one place.  Rows that are equal in id and text share a block.
 
 Defined results: null or empty texts are the end byte and the end token alone; without training
 texts all predictors say one half; repeated rows count as often as they occur; extra columns are
@@ -26,8 +30,6 @@ ignored.
 from __future__ import annotations
 
 import uuid
-import zlib
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,14 +41,16 @@ from .textkit import SPACED, U64, Block, cut, groups, held_out_column, mix, text
 from .units import kept_in_worker
 
 ORDERS = 6
-SLOT_BITS = 20
-CHUNK = 1 << 16
+LOW = 3  # orders below this come from three-byte strings
+CELL = 1 << 17
 BLOCK_BYTES = 1 << 24
 END_TOKEN = np.uint64(0x0E4D0E4D0E4D0E4D)
-END_BYTE = 0xFF
 STEPS = 33  # of the refinement table, over log-odds from -8 to 8
-SETS = 8 * (ORDERS + 1)
-BATCH = 1 << 14
+LEVELS = 4  # of how often the longest context has been seen
+SETS = 8 * (ORDERS + 1) * LEVELS
+BATCH = 512
+SLICE = 1 << 16
+TEMPERS = (0.8, 1.0, 1.25)
 
 
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -64,249 +68,183 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return packed[real], count
 
 
-def slots(gram: np.ndarray, bit: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Slots of all orders for one decision, the bit that came, and the bits known before it."""
-    byte = gram & U64(0xFF)
-    known = ((byte | U64(0x100)) >> U64(8 - bit)).astype(np.int64)
-    came = ((byte >> U64(7 - bit)) & U64(1)).astype(np.int64)
-    out = []
-    for order in range(ORDERS):
-        context = (gram >> U64(8)) & U64((1 << (8 * order)) - 1)
-        h = mix((context << U64(8) | known.astype(np.uint64)) + U64(order * 0x9E3779B97F4A7C15 % (1 << 64)))
-        out.append((h >> U64(64 - SLOT_BITS)).astype(np.int64) + (order << SLOT_BITS))
-    return out, came, known
+def summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, with their summed numbers."""
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    return key[first], np.add.reduceat(n, first) if len(first) else n
+
+
+class Level:
+    """Counts of the strings of one length; a context's zeros and ones are ranges of the sorted strings."""
+
+    def __init__(self, key: np.ndarray, n: np.ndarray, order: int):
+        self.mask = U64((1 << (8 * (order + 1))) - 1)
+        self.key, n = summed(key & self.mask, n)
+        self.cum = np.r_[0, np.cumsum(n)]
+
+    def split(self, gram: np.ndarray, bit: int) -> tuple[np.ndarray, np.ndarray]:
+        low = gram & self.mask & ~U64((1 << (8 - bit)) - 1)
+        a, b, c = (self.cum[np.searchsorted(self.key, low + U64(x))] for x in (0, 1 << (7 - bit), 1 << (8 - bit)))
+        return b - a, c - b
+
+
+def levels(key: np.ndarray, n: np.ndarray, orders: range) -> list[Level]:
+    seen = n > 0
+    return [Level(key[seen], n[seen], k) for k in orders]
 
 
 def _squash(z):
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _inputs(zeros: np.ndarray, ones: np.ndarray):
-    """Log-odds and confidence inputs, and the number of longest contexts seen."""
-    total = zeros + ones
-    odds = np.log((ones + 0.1) / (zeros + 0.1))
-    odds *= total > 0
-    return odds, total
+def inputs(known_levels: list[Level], gram: np.ndarray, bit: int, without: bool = False):
+    """Mixer inputs (n x ORDERS + 1), gates, bits that came, bits known; `without` leaves one occurrence out."""
+    byte = gram & U64(0xFF)
+    known = ((byte | U64(0x100)) >> U64(8 - bit)).astype(np.int64)
+    came = ((byte >> U64(7 - bit)) & U64(1)).astype(np.int64)
+    x = np.empty((len(gram), ORDERS + 1))
+    x[:, ORDERS] = 0.3
+    seen, longest = np.zeros(len(gram), np.int64), np.zeros(len(gram), np.int64)
+    for k, level in enumerate(known_levels):
+        zeros, ones = level.split(gram, bit)
+        if without:
+            zeros, ones = np.maximum(zeros - (came == 0), 0), np.maximum(ones - (came == 1), 0)
+        total = zeros + ones
+        x[:, k] = np.log((ones + 0.1) / (zeros + 0.1)) * (total > 0)
+        seen += total > 0
+        longest = np.where(total > 0, total, longest)
+    often = np.searchsorted(np.array([2, 4, 16]), longest, side="right")
+    return x, (bit * (ORDERS + 1) + seen) * LEVELS + often, came, known
 
 
 @dataclass
-class Model:
-    zeros: np.ndarray  # float32, ORDERS << SLOT_BITS
-    ones: np.ndarray
+class Mixer:
     weights: np.ndarray  # SETS x (ORDERS + 1)
     refine: np.ndarray  # 256 * STEPS x 2: ones, all
 
-    def inputs(self, gram, bit, without: np.ndarray | None = None):
-        """Mixer inputs (n x ORDERS + 1), gates, bits that came, bits known; `without` leaves one occurrence out."""
-        index, came, known = slots(gram, bit)
-        x = np.empty((len(gram), ORDERS + 1), np.float32)
-        x[:, ORDERS] = 0.3
-        seen = np.zeros(len(gram), np.int64)
-        for k, at in enumerate(index):
-            zeros, ones = self.zeros[at].astype(np.float32), self.ones[at].astype(np.float32)
-            if without is not None:
-                zeros, ones = np.maximum(zeros - (came == 0), 0), np.maximum(ones - (came == 1), 0)
-            x[:, k], total = _inputs(zeros, ones)
-            seen += total > 0
-        return x, bit * (ORDERS + 1) + np.maximum(seen, 0), came, known
-
     def mixed(self, x, gate):
-        return np.clip(np.einsum("ij,ij->i", x, self.weights[np.minimum(gate, SETS - 1)]), -12, 12)
+        return np.clip(np.einsum("ij,ij->i", x, self.weights[gate]), -12, 12)
 
-    def refined(self, z, known):
+    @staticmethod
+    def cells(z, known):
+        """The two neighbouring places of the refinement table, with their shares."""
         place = (np.clip(z, -8, 8) + 8) * ((STEPS - 1) / 16)
         low = np.minimum(place.astype(np.int64), STEPS - 2)
-        part = place - low
+        return (known * STEPS + low, 1 - (place - low)), (known * STEPS + low + 1, place - low)
+
+    def refined(self, z, known):
         p = _squash(z)
         got = np.zeros(len(z))
-        for k, share in ((low, 1 - part), (low + 1, part)):
-            cell = self.refine[known * STEPS + k]
+        for at, share in self.cells(z, known):
+            cell = self.refine[at]
             got += share * (cell[:, 0] + 8 * p) / (cell[:, 1] + 8)
         return np.clip((p + got) / 2, 1e-6, 1 - 1e-6)
 
-    def log10(self, gram: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each string's last byte, given the five before."""
-        total = np.zeros(len(gram))
+    def prices(self, known_levels: list[Level], gram: np.ndarray) -> np.ndarray:
+        """log10 of the probability of each string's last byte, given the five before, in each of the TEMPERS (a row each)."""
+        total = np.zeros((len(TEMPERS), len(gram)))
         for bit in range(8):
-            x, gate, came, known = self.inputs(gram, bit)
+            x, gate, came, known = inputs(known_levels, gram, bit)
             p = self.refined(self.mixed(x, gate), known)
-            total += np.log10(np.where(came == 1, p, 1 - p))
+            odds = np.where(came == 1, 1, -1) * np.log(p / (1 - p))
+            for k, temper in enumerate(TEMPERS):
+                total[k] -= np.log1p(np.exp(-temper * odds)) / np.log(10)
         return total
 
 
-class Shared:
-    """A model for the executors: the tables go out once, compressed; weights and refinement are small."""
-
-    def __init__(self, spark, model: Model, tables=None):
-        scale = np.maximum(np.maximum(model.zeros, model.ones) / 60000, 1)  # half-precision holds counts up to this
-        both = lambda: zlib.compress(np.stack([model.zeros / scale, model.ones / scale]).astype("<f2").tobytes(), 1)
-        self.name, self.tables = (uuid.uuid4().hex, spark.sparkContext.broadcast(both())) if tables is None else tables
-        self.small = spark.sparkContext.broadcast((model.weights, model.refine))
+def text_score(prices: np.ndarray) -> np.ndarray:
+    """log10 of the mean of the forms' probabilities of each text (forms x texts)."""
+    top = prices.max(axis=0)
+    return top + np.log10(np.mean(10.0 ** (prices - top), axis=0))
+
+
+def learn(known_levels: list[Level], gram: np.ndarray, n: np.ndarray, rate: float = 0.02) -> tuple[np.ndarray, np.ndarray]:
+    """Weights learnt online over the strings, in an order fixed by their hashes, and the mass each set has seen."""
+    weights, mass = np.full((SETS, ORDERS + 1), 0.3), np.zeros(SETS)
+    square = np.full((SETS, ORDERS + 1), 1e-3)
+    order = np.argsort(mix(gram.copy()))
+    for start in range(0, len(order), SLICE):
+        part = order[start : start + SLICE]
+        ready = [inputs(known_levels, gram[part], bit, without=True)[:3] for bit in range(8)]
+        for a in range(0, len(part), BATCH):
+            some = slice(a, a + BATCH)
+            own_n = n[part[some]].astype(np.float64)
+            for x, gate, came in ((x[some], gate[some], came[some]) for x, gate, came in ready):
+                pull = own_n * (came - _squash(np.einsum("ij,ij->i", x, weights[gate])))
+                sets, at = np.unique(gate, return_inverse=True)
+                own = np.bincount(at, own_n)
+                slope = np.stack([np.bincount(at, pull * x[:, j]) for j in range(ORDERS + 1)], axis=1) / own[:, None]
+                square[sets] = 0.95 * square[sets] + 0.05 * slope**2
+                weights[sets] += rate * slope / np.sqrt(square[sets] + 1e-9)
+                mass[sets] += own
+    return weights, mass
+
+
+def adapt(known_levels: list[Level], mixer: Mixer, gram: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts for the refinement table: ones and all."""
+    ones, total = np.zeros(256 * STEPS), np.zeros(256 * STEPS)
+    for a in range(0, len(gram), SLICE):
+        g, w = gram[a : a + SLICE], n[a : a + SLICE]
+        for bit in range(8):
+            x, gate, came, known = inputs(known_levels, g, bit, without=True)
+            for cell, share in mixer.cells(mixer.mixed(x, gate), known):
+                total += np.bincount(cell, w * share, 256 * STEPS)
+                ones += np.bincount(cell, w * share * came, 256 * STEPS)
+    return ones, total
 
-    def model(self) -> Model:
-        zeros, ones = kept_in_worker(self.name, lambda: np.frombuffer(zlib.decompress(self.tables.value), "<f2").reshape(2, -1))
-        return Model(zeros, ones, *self.small.value)
 
-    def again(self, spark, model: Model) -> Shared:
-        """The same tables with new weights."""
-        return Shared(spark, model, (self.name, self.tables))
+def _in_cells(counted: DataFrame, run, low, schema: str) -> DataFrame:
+    """run(levels, strings, training counts) -> arrays, for each cell."""
+    name = uuid.uuid4().hex
+    strings = max(1, counted.count())
+    cell = F.pmod(F.xxhash64(F.shiftrightunsigned("key", 8).bitwiseAND(F.lit(0xFFFFFF))), F.lit(-(-strings // CELL)))
 
+    def of_cell(table):
+        gram, n = table["key"].to_numpy().view(np.uint64), table["n"].to_numpy()
+        order = np.argsort(gram)
+        gram, n = gram[order], n[order]
+        short = kept_in_worker(name, lambda: levels(*low.value, range(LOW)))
+        return pa.table(run(short + levels(gram, n, range(LOW, ORDERS)), gram, n))
 
-class Scorer:
-    """log10 of whole texts; the last strings looked up are kept in a table of fixed size."""
+    return counted.withColumn("cell", cell).groupBy("cell").applyInArrow(of_cell, schema)
 
-    def __init__(self, model: Model, bits: int = 20):
-        self.model, self.mask = model, U64((1 << bits) - 1)
-        self.key = np.full(1 << bits, np.iinfo(np.uint64).max, np.uint64)
-        self.value = np.zeros(1 << bits)
 
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        gram, count = grams(texts)
-        at = (mix(gram.copy()) & self.mask).astype(np.int64)
-        value = self.value[at]
-        miss = np.flatnonzero(self.key[at] != gram)
-        if len(miss):
-            fresh, back = np.unique(gram[miss], return_inverse=True)
-            own = self.model.log10(fresh)
-            value[miss] = own[back]
-            slot = (mix(fresh.copy()) & self.mask).astype(np.int64)
-            self.key[slot] = fresh
-            same = self.key[slot] == fresh
-            self.value[slot[same]] = own[same]
-        return np.add.reduceat(value, np.cumsum(count) - count) if len(count) else value
-
-
-def _count_grams(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple] = []
-
-    def merge():
-        key = np.concatenate([k for k, _ in held])
-        order = np.argsort(key)
-        key, n = key[order], np.concatenate([n for _, n in held])[order]
-        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        return key[first], np.add.reduceat(n, first)
-
-    for part in parts:
-        texts = texts_of(part.column(0))
-        for a, b in groups(texts, 1 << 22):
-            key = np.sort(grams(texts[a:b])[0])
-            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            held.append((key[first], np.diff(np.r_[first, len(key)])))
-            if sum(len(k) for k, _ in held) > 4_000_000:
-                held = [merge()]
-                if len(held[0][0]) > 2_000_000:
-                    yield _gram_batch(*held.pop())
-    if held:
-        yield _gram_batch(*merge())
-
-
-def _gram_batch(key, n):
-    return pa.RecordBatch.from_pydict({"gram": pa.array(key.view(np.int64)), "n": pa.array(n)})
-
-
-def _tables(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """This partition's counts as compressed pieces (order and place, zeros and ones)."""
-    size = ORDERS << SLOT_BITS
-    total = np.zeros((2, size))
-    some = False
-    for part in parts:
-        gram, n = part.column(0).to_numpy().view(np.uint64), part.column(1).to_numpy().astype(np.float64)
-        for bit in range(8):
-            index, came, _ = slots(gram, bit)
-            for at in index:
-                for value in (0, 1):
-                    pick = came == value
-                    np.add.at(total[value], at[pick], n[pick])
-        some |= bool(len(gram))
-    if some:
-        for piece in range(size // CHUNK):
-            own = total[:, piece * CHUNK : (piece + 1) * CHUNK]
-            if own.any():
-                yield pa.RecordBatch.from_pydict({"piece": pa.array([piece], pa.int32()), "data": pa.array([zlib.compress(own.astype("<f8").tobytes(), 1)], pa.binary())})
-
-
-def _add_pieces(key, table):
-    total = np.zeros(2 * CHUNK)
-    for raw in table["data"].to_pylist():
-        total += np.frombuffer(zlib.decompress(raw), "<f8")
-    return pa.table({"piece": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([zlib.compress(total.astype("<f4").tobytes(), 1)], pa.binary())})
-
-
-def _learn(shared, rate: float = 0.02):
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.model()
-        weights, mass = np.full((SETS, ORDERS + 1), 0.3, np.float64), np.zeros(SETS)
-        square = np.full((SETS, ORDERS + 1), 1e-3)
-        for part in parts:
-            gram, n = part.column(0).to_numpy().view(np.uint64), part.column(1).to_numpy().astype(np.float64)
-            order = np.argsort(mix(gram.copy()))
-            for a in range(0, len(order), BATCH):
-                k = order[a : a + BATCH]
-                for bit in range(8):
-                    x, gate, came, _ = model.inputs(gram[k], bit, without=n[k])
-                    gate = np.minimum(gate, SETS - 1)
-                    p = _squash(np.einsum("ij,ij->i", x, weights[gate]))
-                    own = np.bincount(gate, n[k], SETS)
-                    pull = n[k] * (came - p)
-                    slope = np.stack([np.bincount(gate, pull * x[:, j], SETS) for j in range(ORDERS + 1)], axis=1) / np.maximum(own, 1)[:, None]
-                    square = np.where(own[:, None] > 0, 0.95 * square + 0.05 * slope**2, square)
-                    weights += rate * slope / np.sqrt(square + 1e-9)
-                    mass += own
-        flat = (weights * mass[:, None]).reshape(-1)
-        yield pa.RecordBatch.from_pydict({"at": pa.array(np.arange(len(flat) + SETS)), "x": pa.array(np.r_[flat, mass]), "y": pa.array(np.zeros(len(flat) + SETS))})
-
-    return run
-
-
-def _adapt(shared):
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.model()
-        ones, total = np.zeros(256 * STEPS), np.zeros(256 * STEPS)
-        for part in parts:
-            gram, n = part.column(0).to_numpy().view(np.uint64), part.column(1).to_numpy().astype(np.float64)
-            for a in range(0, len(gram), 1 << 16):
-                g, w = gram[a : a + (1 << 16)], n[a : a + (1 << 16)]
-                for bit in range(8):
-                    x, gate, came, known = model.inputs(g, bit, without=w)
-                    place = (np.clip(model.mixed(x, gate), -8, 8) + 8) * ((STEPS - 1) / 16)
-                    low = np.minimum(place.astype(np.int64), STEPS - 2)
-                    for cell, share in ((low, 1 - (place - low)), (low + 1, place - low)):
-                        total += np.bincount(known * STEPS + cell, w * share, 256 * STEPS)
-                        ones += np.bincount(known * STEPS + cell, w * share * came, 256 * STEPS)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"at": pa.array(some), "x": pa.array(ones[some]), "y": pa.array(total[some])})
-
-    return run
-
-
-def train(texts: DataFrame, text_col: str = "text") -> Shared:
-    """A model of all the texts; what reaches the driver has a fixed size."""
-    spark = texts.sparkSession
-    found = texts.select(texts[text_col].cast("string").alias("text")).mapInArrow(_count_grams, "gram long, n long")
-    counted = cut(found.groupBy("gram").agg(F.sum("n").alias("n")), "grams")
-    pieces = counted.mapInArrow(_tables, "piece int, data binary").groupBy("piece").applyInArrow(_add_pieces, "piece int, data binary")
-    zeros, ones = np.zeros(ORDERS << SLOT_BITS, np.float32), np.zeros(ORDERS << SLOT_BITS, np.float32)
-    table = pieces.toArrow()
-    for piece, raw in zip(table["piece"].to_pylist(), table["data"].to_pylist(), strict=True):
-        own = np.frombuffer(zlib.decompress(raw), "<f4").reshape(2, CHUNK)
-        zeros[piece * CHUNK : (piece + 1) * CHUNK], ones[piece * CHUNK : (piece + 1) * CHUNK] = own
-    model = Model(zeros, ones, np.full((SETS, ORDERS + 1), 0.3), np.zeros((256 * STEPS, 2)))
+def train(counted: DataFrame) -> DataFrame:
+    """The price of every string of `counted` (key, n: training count); what reaches the driver has a bounded size."""
+    spark = counted.sparkSession
+    three = counted.where("n > 0").groupBy(F.col("key").bitwiseAND(F.lit(0xFFFFFF)).alias("key")).agg(F.sum("n").alias("n")).toArrow()
+    low = spark.sparkContext.broadcast((three["key"].to_numpy().astype(np.uint64), three["n"].to_numpy()))
 
     def total(run, size):
-        rows = counted.mapInArrow(run, "at long, x double, y double").groupBy("at").agg(F.sum("x").alias("x"), F.sum("y").alias("y")).toArrow()
+        def sums(known_levels, gram, n):
+            seen = n > 0
+            x, y = run(known_levels, gram[seen], n[seen])
+            at = np.flatnonzero(y)
+            return {"at": at, "x": x[at], "y": y[at]}
+
+        rows = _in_cells(counted, sums, low, "at long, x double, y double").groupBy("at").agg(F.sum("x").alias("x"), F.sum("y").alias("y")).toArrow()
         x, y = np.zeros(size), np.zeros(size)
         x[rows["at"].to_numpy()], y[rows["at"].to_numpy()] = rows["x"].to_numpy(), rows["y"].to_numpy()
         return x, y
 
-    shared = Shared(spark, model)
-    x, _ = total(_learn(shared), SETS * (ORDERS + 2))
-    mass = x[SETS * (ORDERS + 1) :]
-    trained = mass > 0
-    model.weights = model.weights.copy()
-    model.weights[trained] = x[: SETS * (ORDERS + 1)].reshape(SETS, -1)[trained] / mass[trained, None]
-    shared = shared.again(spark, model)
-    model.refine = np.stack(total(_adapt(shared), 256 * STEPS), axis=1)
-    return shared.again(spark, model)
+    def weighed(known_levels, gram, n):
+        weights, mass = learn(known_levels, gram, n)
+        mass = np.repeat(mass, ORDERS + 1)
+        return weights.reshape(-1) * mass, mass
+
+    weights, mass = total(weighed, SETS * (ORDERS + 1))
+    weights = np.where(mass > 0, weights / np.maximum(mass, 1), 0.3).reshape(SETS, -1)
+    mixer = Mixer(weights, np.zeros((256 * STEPS, 2)))
+    mixer = Mixer(weights, np.stack(total(lambda known_levels, gram, n: adapt(known_levels, mixer, gram, n), 256 * STEPS), axis=1))
+
+    def priced(known_levels, gram, n):
+        parts = [mixer.prices(known_levels, gram[a : a + SLICE]) for a in range(0, len(gram), SLICE)]
+        found = np.concatenate(parts, axis=1) if parts else np.zeros((len(TEMPERS), 0))
+        return {"key": gram.view(np.int64)} | {f"p{k}": row for k, row in enumerate(found)}
+
+    return _in_cells(counted, priced, low, "key long, " + ", ".join(f"p{k} double" for k in range(len(TEMPERS))))
 
 
 def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -316,59 +254,101 @@ def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.r_[block.hashes(starts, ends), np.full(len(texts), END_TOKEN)], np.r_[doc, np.arange(len(texts))]
 
 
-def _block_tokens(key, table):
-    texts, train_ = texts_of(table["text"].combine_chunks()), ~table["held_out"].to_numpy(zero_copy_only=False)
-    found = []
+def _block_counts(key, table):
+    """The block's distinct words and six-byte strings, with their numbers in its training texts."""
+    texts, train_ = texts_of(table["text"].combine_chunks()), table["training"].to_numpy(zero_copy_only=False)
+    found: dict[bool, list] = {True: [], False: []}
     for a, b in groups(texts):
         token, doc = _tokens(texts[a:b])
-        order = np.argsort(token)
-        token, weight = token[order], train_[a:b][doc[order]].astype(np.int64)
-        first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-        found.append((token[first], np.add.reduceat(weight, first)))
-    token, n = (np.concatenate(x) for x in zip(*found, strict=True))
-    order = np.argsort(token)
-    token, n = token[order], n[order]
-    first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-    return pa.table({"block": pa.array(np.full(len(first), key[0].as_py(), np.int64)), "token": pa.array(token[first].view(np.int64)), "n": pa.array(np.add.reduceat(n, first))})
-
-
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: tuple[int, int] = (5, 1), shared: Shared | None = None) -> DataFrame:
-    """One row per document: base and model log10 probabilities, bits per byte and token counts."""
-    own = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
-    own = own.withColumn("held_out", held_out_column("doc_id", *fold))
-    if shared is None:
-        shared = train(own.where("not held_out"))
+        found[True].append(summed(token, train_[a:b][doc].astype(np.int64)))
+        for own in (True, False):
+            some = [t for t, is_training in zip(texts[a:b], train_[a:b], strict=True) if is_training == own]
+            if some:
+                gram = np.sort(grams(some)[0])
+                first = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
+                found[False].append((gram[first], np.diff(np.r_[first, len(gram)]) * own))
+    parts = [(word, *summed(*(np.concatenate(x) for x in zip(*rows, strict=True)))) for word, rows in found.items()]
+    size = [len(k) for _, k, _ in parts]
+    return pa.table({
+        "block": pa.array(np.full(sum(size), key[0].as_py(), np.int64)), "word": pa.array(np.repeat([w for w, _, _ in parts], size)),
+        "key": pa.array(np.concatenate([k for _, k, _ in parts]).view(np.int64)), "n": pa.array(np.concatenate([n for _, _, n in parts])),
+    })
+
+
+class Prices:
+    """The prices of a block's strings: by a table of hash places, and by bisection where two share a place."""
+
+    def __init__(self, key: np.ndarray, prices: list[np.ndarray]):
+        order = np.argsort(key)
+        self.key, self.prices = key[order], [p[order] for p in prices]
+        bits = max(4, int(4 * len(key)).bit_length())
+        self.shift = U64(64 - bits)
+        self.place = np.zeros(1 << bits, np.int32)
+        self.place[self._slot(self.key)] = np.arange(len(key))
+
+    def _slot(self, gram):
+        return (gram * U64(0x9E3779B97F4A7C15)) >> self.shift
+
+    def of_texts(self, texts: list[bytes]) -> np.ndarray:
+        """Forms x texts."""
+        gram, count = grams(texts)
+        at = self.place[self._slot(gram)]
+        miss = np.flatnonzero(self.key[at] != gram)
+        at[miss] = np.searchsorted(self.key, gram[miss])
+        start = np.cumsum(count) - count
+        return np.stack([np.add.reduceat(p[at], start) for p in self.prices])
+
+
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: tuple[int, int] = (5, 1), training: DataFrame | None = None) -> DataFrame:
+    """One row per document: base and model log10 probabilities, bits per byte and token counts.
+
+    Learns from the documents outside the fold, or from `training` (a table with text_col), if given; then all of docs are held out.
+    """
+    own = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"), F.lit(True).alias("scored"))
+    own = own.withColumn("held_out", held_out_column("doc_id", *fold) if training is None else F.lit(True)).withColumn("training", ~F.col("held_out"))
+    if training is not None:
+        more = training.select(F.lit(None).cast("long").alias("doc_id"), F.coalesce(training[text_col].cast("string"), F.lit("")).alias("text"))
+        own = own.unionByName(more.withColumn("scored", F.lit(False)).withColumn("held_out", F.lit(False)).withColumn("training", F.lit(True)))
     size = own.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     blocks = max(8, -(-size // BLOCK_BYTES))
     dealt = own.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
-    tokens = dealt.groupBy("block").applyInArrow(_block_tokens, "block long, token long, n long")
-    by_token = Window.partitionBy("token")  # a token has one row for each block at most
-    totals = tokens.select("block", "token", F.sum("n").over(by_token).alias("c"), (F.min("block").over(by_token) == F.col("block")).alias("first"))
+    entries = cut(dealt.groupBy("block").applyInArrow(_block_counts, "block long, word boolean, key long, n long"), "entries")
+    by_token = Window.partitionBy("key")  # a token has one row for each block at most
+    totals = entries.where("word").select("block", "key", F.sum("n").over(by_token).alias("c"), (F.min("block").over(by_token) == F.col("block")).alias("first"))
     totals = cut(totals.where("c > 0"), "totals")
     row = totals.where("first").agg(F.sum("c"), F.count("*")).first()
     n_all, n_distinct = row[0] or 0, row[1]
     base_log = float(np.log10(n_all + 0.5 * (n_distinct + 1)))
 
+    strings = entries.where("not word").select("block", "key", "n")
+    priced = cut(train(cut(strings.groupBy("key").agg(F.sum("n").alias("n")), "strings")), "priced")
+    names = [f"p{k}" for k in range(len(TEMPERS))]
+    words = totals.select("block", "key", F.col("c").cast("double").alias(names[0]), *(F.lit(None).cast("double").alias(x) for x in names[1:]))
+    told = words.withColumn("word", F.lit(True)).unionByName(strings.select("block", "key").join(priced, "key").withColumn("word", F.lit(False)))
+
     def run(key, left, right):
-        token = right["token"].to_numpy().view(np.uint64)
+        word, known = right["word"].to_numpy(), right["key"].to_numpy().view(np.uint64)
+        columns = [right[x].to_numpy() for x in names]
+        token, c = known[word], columns[0][word]
         order = np.argsort(token)
-        token, c = token[order], right["c"].to_numpy()[order]
+        token, c = token[order], c[order]
+        prices = Prices(known[~word], [x[~word] for x in columns])
+        left = left.filter(left["scored"])
         texts = texts_of(left["text"].combine_chunks()) if left.num_rows else []
-        scorer = Scorer(shared.model())
         out: dict[str, list] = {k: [] for k in ("n_bytes", "n_tokens", "n_known", "base_score", "score")}
         for a, b in groups(texts):
             mine, doc = _tokens(texts[a:b])
             at = np.minimum(np.searchsorted(token, mine), max(len(token) - 1, 0))
-            count = np.where(token[at] == mine, c[at], 0) if len(token) else np.zeros(len(mine), np.int64)
+            count = np.where(token[at] == mine, c[at], 0) if len(token) else np.zeros(len(mine))
             n = np.bincount(doc, minlength=b - a)
             out["n_bytes"].append(np.array([len(t) for t in texts[a:b]], np.int64))
             out["n_tokens"].append(n)
             out["n_known"].append(np.bincount(doc[count > 0], minlength=b - a))
             out["base_score"].append(np.bincount(doc, np.log10(count + 0.5) - base_log, b - a))
-            out["score"].append(scorer.score(texts[a:b]))
+            out["score"].append(text_score(prices.of_texts(texts[a:b])))
         return pa.table({"doc_id": left["doc_id"], "held_out": left["held_out"]} | {k: pa.array(np.concatenate(v) if v else np.zeros(0), pa.float64() if "score" in k else pa.int64()) for k, v in out.items()})
 
     schema = "doc_id long, held_out boolean, n_bytes long, n_tokens long, n_known long, base_score double, score double"
-    scored = dealt.groupBy("block").cogroup(totals.select("block", "token", "c").groupBy("block")).applyInArrow(run, schema)
+    scored = dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, schema)
     bits = -F.col("score") * float(np.log2(10))
     return scored.withColumn("train_tokens", F.lit(n_all).cast("long")).withColumn("bits_per_byte", bits / (F.col("n_bytes") + 1))

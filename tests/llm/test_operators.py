@@ -359,20 +359,78 @@ def test_mixing_base_and_model(docs):
         assert r.base_score == pytest.approx(base) and r.score < 0
 
 
-def test_mixing_is_a_distribution():
-    """Over all next bytes the probabilities sum to one."""
-    r = np.random.default_rng(0)
-    size = mixing.ORDERS << mixing.SLOT_BITS
-    model = mixing.Model(r.integers(0, 9, size).astype(np.float32), r.integers(0, 9, size).astype(np.float32), r.normal(0.3, 0.1, (mixing.SETS, mixing.ORDERS + 1)), np.abs(r.normal(5, 2, (256 * mixing.STEPS, 1))) * [0.5, 1.0])
-    gram = np.arange(256, dtype=np.uint64) | np.uint64(0x6162636400)
-    assert (10 ** model.log10(gram)).sum() == pytest.approx(1)
+def random_mixer(r):
+    return mixing.Mixer(r.normal(0.3, 0.1, (mixing.SETS, mixing.ORDERS + 1)), np.abs(r.normal(5, 2, (256 * mixing.STEPS, 1))) * [0.5, 1.0])
 
 
-def test_mixing_learns(spark):
+def test_mixing_is_a_distribution():
+    """Over all next bytes the probabilities of each form sum to one, whatever the context."""
+    r = np.random.default_rng(0)
+    gram, n = np.unique(mixing.grams([" ".join(words(i, 40, 20)).encode() for i in range(20)])[0], return_counts=True)
+    known = mixing.levels(gram, n, range(mixing.ORDERS))
+    for context in (int(gram[7]) & ~0xFF, 0x6162636400):
+        prices = random_mixer(r).prices(known, np.arange(256, dtype=np.uint64) | np.uint64(context))
+        assert (10**prices).sum(axis=1) == pytest.approx(1)
+
+
+def test_mixing_counts_equal_plain_counts():
+    """Zeros and ones of each context and order, counted bit by bit in a dictionary; one occurrence left out where asked."""
+    gram, n = np.unique(mixing.grams([" ".join(words(i, 40, 20)).encode() for i in range(8)])[0], return_counts=True)
+    plain = Counter()
+    for g, k in zip(gram.tolist(), n.tolist(), strict=True):
+        for order in range(mixing.ORDERS):
+            for bit in range(8):
+                plain[order, g >> 8 & (1 << 8 * order) - 1, bit, (g & 0xFF | 0x100) >> 8 - bit, g >> 7 - bit & 1] += k
+    known = mixing.levels(gram, n, range(mixing.ORDERS))
+    probe = np.r_[gram, gram ^ np.uint64(1), gram ^ np.uint64(0x400)]
+    for order in range(mixing.ORDERS):
+        for bit in range(8):
+            zeros, ones = known[order].split(probe, bit)
+            want = [[plain[order, g >> 8 & (1 << 8 * order) - 1, bit, (g & 0xFF | 0x100) >> 8 - bit, v] for v in (0, 1)] for g in probe.tolist()]
+            assert np.stack([zeros, ones], axis=1).tolist() == want
+    for bit in range(8):
+        x, gate, came, _ = mixing.inputs(known, gram, bit, without=True)
+        for row, g, gt, c in zip(x.tolist(), gram.tolist(), gate.tolist(), came.tolist(), strict=True):
+            pairs = [[plain[o, g >> 8 & (1 << 8 * o) - 1, bit, (g & 0xFF | 0x100) >> 8 - bit, v] - (v == c) for v in (0, 1)] for o in range(mixing.ORDERS)]
+            assert row[:-1] == pytest.approx([math.log((b + 0.1) / (a + 0.1)) if a + b else 0.0 for a, b in pairs])
+            seen = [a + b for a, b in pairs if a + b]
+            assert gt == (bit * (mixing.ORDERS + 1) + len(seen)) * mixing.LEVELS + sum((seen or [0])[-1] >= k for k in (2, 4, 16))
+
+
+def test_mixing_adapts_along_a_text():
+    """The closed form equals weights updated after every byte."""
+    r = np.random.default_rng(1)
+    step = np.log10(r.uniform(0.05, 0.9, (len(mixing.TEMPERS), 200)))
+    weight, total = np.full(len(step), 1 / len(step)), 0.0
+    for p in 10**step.T:
+        total += math.log10(weight @ p)
+        weight = weight * p / (weight @ p)
+    assert mixing.text_score(step.sum(axis=1, keepdims=True))[0] == pytest.approx(total)
+
+
+def test_mixing_prices_equal_lookups():
+    r = np.random.default_rng(2)
+    found = [" ".join(words(i, 30, 20)).encode() for i in range(30)] + [b""]
+    key = np.unique(mixing.grams(found)[0])
+    value = r.normal(size=(3, len(key)))
+    by = {k: value[:, i] for i, k in enumerate(key.tolist())}
+    shuffled = r.permutation(len(key))
+    got = mixing.Prices(key[shuffled], [v[shuffled] for v in value]).of_texts(found)
+    for t, sums in zip(found, got.T, strict=True):
+        assert sums == pytest.approx(sum(by[g] for g in mixing.grams([t])[0].tolist()))
+
+
+def test_mixing_learns(spark, monkeypatch):
     rows = [(i, " ".join(words(i, 60, 30))) for i in range(120)]
-    got = mixing.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").collect()
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = mixing.score_documents(table).where("held_out").collect()
     bits = -sum(r.score for r in got) * math.log2(10) / sum(r.n_bytes + 1 for r in got)
     assert bits < 3
+    by_fold = {r.doc_id: r.score for r in got}
+    monkeypatch.setattr(mixing, "BLOCK_BYTES", 1 << 12)  # many blocks, other partitions, training texts of their own: the same scores
+    is_out = mixing.held_out_column("doc_id", 5, 1)
+    again = mixing.score_documents(table.where(is_out).repartition(7), training=table.where(~is_out).repartition(3)).collect()
+    assert all(r.held_out for r in again) and {r.doc_id: r.score for r in again} == pytest.approx(by_fold, rel=1e-9)
 
 
 def test_pieces_are_lossless_and_seeded(docs):
