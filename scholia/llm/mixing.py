@@ -18,9 +18,11 @@ learnt online, cell by cell in an order fixed by hash, each string seen as if on
 had not been counted, and averaged over the cells; the refinement is gathered in a second pass, and
 a third prices each distinct string once.  None of this depends on the number of partitions.
 
-Texts are dealt into blocks of about BLOCK_BYTES; each block sends its distinct words and strings
-once, receives the words' counts and the strings' prices, and meets its texts again: no table of all
-words or strings is ever in one place.  Rows that are equal in id and text share a block.
+Texts are dealt into blocks of about BLOCK_BYTES, words and strings by hash into as many buckets.
+Each block sends its distinct words and strings once, packed into a row for each bucket, receives
+the words' counts and the strings' prices in the same way, and meets its texts again: no table of
+all words or strings is ever in one place, and a common word is one key of each block.  Rows that
+are equal in id and text share a block.
 
 Defined results: null or empty texts are the end byte and the end token alone; without training
 texts all predictors say one half; repeated rows count as often as they occur; extra columns are
@@ -30,11 +32,13 @@ ignored.
 from __future__ import annotations
 
 import uuid
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .textkit import SPACED, U64, Block, cut, groups, held_out_column, mix, texts_of
@@ -43,14 +47,14 @@ from .units import kept_in_worker
 ORDERS = 6
 LOW = 3  # orders below this come from three-byte strings
 CELL = 1 << 17
-BLOCK_BYTES = 1 << 24
+BLOCK_BYTES = 1 << 25
 END_TOKEN = np.uint64(0x0E4D0E4D0E4D0E4D)
 STEPS = 33  # of the refinement table, over log-odds from -8 to 8
 LEVELS = 4  # of how often the longest context has been seen
 SETS = 8 * (ORDERS + 1) * LEVELS
 BATCH = 512
 SLICE = 1 << 16
-TEMPERS = (0.8, 1.0, 1.25)
+TEMPERS = (0.85, 1.15)
 
 
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -211,8 +215,8 @@ def _in_cells(counted: DataFrame, run, low, schema: str) -> DataFrame:
     return counted.withColumn("cell", cell).groupBy("cell").applyInArrow(of_cell, schema)
 
 
-def train(counted: DataFrame) -> DataFrame:
-    """The price of every string of `counted` (key, n: training count); what reaches the driver has a bounded size."""
+def train(counted: DataFrame, buckets: int) -> DataFrame:
+    """The price of every string of `counted` (key, n: training count), with its bucket; what reaches the driver has a bounded size."""
     spark = counted.sparkSession
     three = counted.where("n > 0").groupBy(F.col("key").bitwiseAND(F.lit(0xFFFFFF)).alias("key")).agg(F.sum("n").alias("n")).toArrow()
     low = spark.sparkContext.broadcast((three["key"].to_numpy().astype(np.uint64), three["n"].to_numpy()))
@@ -242,9 +246,9 @@ def train(counted: DataFrame) -> DataFrame:
     def priced(known_levels, gram, n):
         parts = [mixer.prices(known_levels, gram[a : a + SLICE]) for a in range(0, len(gram), SLICE)]
         found = np.concatenate(parts, axis=1) if parts else np.zeros((len(TEMPERS), 0))
-        return {"key": gram.view(np.int64)} | {f"p{k}": row for k, row in enumerate(found)}
+        return {"bucket": bucket_of(gram, buckets), "key": gram.view(np.int64)} | {f"p{k}": row.astype(np.float32) for k, row in enumerate(found)}
 
-    return _in_cells(counted, priced, low, "key long, " + ", ".join(f"p{k} double" for k in range(len(TEMPERS))))
+    return _in_cells(counted, priced, low, "bucket int, key long, " + ", ".join(f"p{k} float" for k in range(len(TEMPERS))))
 
 
 def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -254,25 +258,86 @@ def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.r_[block.hashes(starts, ends), np.full(len(texts), END_TOKEN)], np.r_[doc, np.arange(len(texts))]
 
 
-def _block_counts(key, table):
-    """The block's distinct words and six-byte strings, with their numbers in its training texts."""
-    texts, train_ = texts_of(table["text"].combine_chunks()), table["training"].to_numpy(zero_copy_only=False)
-    found: dict[bool, list] = {True: [], False: []}
-    for a, b in groups(texts):
-        token, doc = _tokens(texts[a:b])
-        found[True].append(summed(token, train_[a:b][doc].astype(np.int64)))
-        for own in (True, False):
-            some = [t for t, is_training in zip(texts[a:b], train_[a:b], strict=True) if is_training == own]
-            if some:
-                gram = np.sort(grams(some)[0])
-                first = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
-                found[False].append((gram[first], np.diff(np.r_[first, len(gram)]) * own))
-    parts = [(word, *summed(*(np.concatenate(x) for x in zip(*rows, strict=True)))) for word, rows in found.items()]
-    size = [len(k) for _, k, _ in parts]
-    return pa.table({
-        "block": pa.array(np.full(sum(size), key[0].as_py(), np.int64)), "word": pa.array(np.repeat([w for w, _, _ in parts], size)),
-        "key": pa.array(np.concatenate([k for _, k, _ in parts]).view(np.int64)), "n": pa.array(np.concatenate([n for _, _, n in parts])),
-    })
+def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(key.copy()) % U64(buckets)).astype(np.int32)
+
+
+def pack(x: np.ndarray) -> bytes:
+    """Ascending keys as differences, other numbers as they are."""
+    return zlib.compress((np.diff(x, prepend=U64(0)) if x.dtype == np.uint64 else x).tobytes(), 1)
+
+
+def unpack(raws: list[bytes], kind) -> list[np.ndarray]:
+    found = [np.frombuffer(zlib.decompress(raw), kind) for raw in raws]
+    return [np.cumsum(x, dtype=np.uint64) for x in found] if kind == np.uint64 else found
+
+
+def joined(parts: list[np.ndarray], kind) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
+
+
+def _block_counts(buckets: int):
+    """The block's distinct words and six-byte strings, with their numbers in its training texts, a row for each bucket."""
+
+    def run(key, table):
+        texts, train_ = texts_of(table["text"].combine_chunks()), table["training"].to_numpy(zero_copy_only=False)
+        found: dict[bool, list] = {True: [], False: []}
+        for a, b in groups(texts):
+            token, doc = _tokens(texts[a:b])
+            found[True].append(summed(token, train_[a:b][doc].astype(np.int64)))
+            for own in (True, False):
+                some = [t for t, is_training in zip(texts[a:b], train_[a:b], strict=True) if is_training == own]
+                if some:
+                    gram = np.sort(grams(some)[0])
+                    first = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
+                    found[False].append((gram[first], np.diff(np.r_[first, len(gram)]) * own))
+        rows = []
+        for word, parts in found.items():
+            token, n = summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            home = bucket_of(token, buckets)
+            order = np.argsort(home, kind="stable")
+            bounds = np.searchsorted(home[order], np.arange(buckets + 1))
+            for k in np.flatnonzero(np.diff(bounds)).tolist():
+                pick = order[bounds[k] : bounds[k + 1]]
+                rows.append((key[0].as_py(), k, word, pack(token[pick]), pack(n[pick].astype(np.uint32))))
+        return pa.table(dict(zip(("block", "bucket", "word", "keys", "n"), zip(*rows, strict=True), strict=True)), _ENTRIES)
+
+    return run
+
+
+_ENTRIES = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("word", pa.bool_()), ("keys", pa.binary()), ("n", pa.binary())])
+_TOLD = pa.schema([("block", pa.int64()), ("word", pa.bool_()), ("keys", pa.binary()), *((f"x{k}", pa.binary()) for k in range(len(TEMPERS))), ("tokens", pa.int64()), ("kinds", pa.int64())])
+TOLD = "block long, word boolean, keys binary, " + ", ".join(f"x{k} binary" for k in range(len(TEMPERS))) + ", tokens long, kinds long"
+
+
+def _word_totals(table):
+    """Each block's known words of this bucket with their training counts; and a row without a block of the bucket's sums."""
+    keys, n = unpack(table["keys"].to_pylist(), np.uint64), unpack(table["n"].to_pylist(), np.uint32)
+    token, c = summed(np.concatenate(keys), np.concatenate(n).astype(np.int64))
+    token, c = token[c > 0], c[c > 0]
+    unused = [None] * (len(TEMPERS) - 1)
+    rows = [(None, True, None, None, *unused, int(c.sum()), len(c))]
+    for block, key in zip(table["block"].to_pylist(), keys, strict=True):
+        key = key[np.isin(key, token, assume_unique=True)]
+        rows.append((block, True, pack(key), pack(c[np.searchsorted(token, key)]), *unused, None, None))
+    return pa.table(dict(zip(_TOLD.names, zip(*rows, strict=True), strict=True)), _TOLD)
+
+
+def _string_totals(table):
+    key, n = summed(np.concatenate(unpack(table["keys"].to_pylist(), np.uint64)), np.concatenate(unpack(table["n"].to_pylist(), np.uint32)).astype(np.int64))
+    return pa.table({"key": key.view(np.int64), "n": n})
+
+
+def _tell_prices(left, right):
+    """The prices of each block's strings of this bucket, in the order of their keys."""
+    known = right["key"].to_numpy().view(np.uint64)
+    order = np.argsort(known)
+    known, prices = known[order], [right[f"p{k}"].to_numpy()[order] for k in range(len(TEMPERS))]
+    rows = []
+    for block, raw in zip(left["block"].to_pylist(), left["keys"].to_pylist(), strict=True):
+        at = np.searchsorted(known, unpack([raw], np.uint64)[0])
+        rows.append((block, False, raw, *(pack(p[at]) for p in prices), None, None))
+    return pa.table(dict(zip(_TOLD.names, zip(*rows, strict=True), strict=True)), _TOLD) if rows else _TOLD.empty_table()
 
 
 class Prices:
@@ -296,7 +361,7 @@ class Prices:
         miss = np.flatnonzero(self.key[at] != gram)
         at[miss] = np.searchsorted(self.key, gram[miss])
         start = np.cumsum(count) - count
-        return np.stack([np.add.reduceat(p[at], start) for p in self.prices])
+        return np.stack([np.add.reduceat(p[at], start, dtype=np.float64) for p in self.prices])
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: tuple[int, int] = (5, 1), training: DataFrame | None = None) -> DataFrame:
@@ -312,34 +377,33 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     size = own.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     blocks = max(8, -(-size // BLOCK_BYTES))
     dealt = own.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
-    entries = cut(dealt.groupBy("block").applyInArrow(_block_counts, "block long, word boolean, key long, n long"), "entries")
-    by_token = Window.partitionBy("key")  # a token has one row for each block at most
-    totals = entries.where("word").select("block", "key", F.sum("n").over(by_token).alias("c"), (F.min("block").over(by_token) == F.col("block")).alias("first"))
-    totals = cut(totals.where("c > 0"), "totals")
-    row = totals.where("first").agg(F.sum("c"), F.count("*")).first()
-    n_all, n_distinct = row[0] or 0, row[1]
+    entries = cut(dealt.groupBy("block").applyInArrow(_block_counts(blocks), "block long, bucket int, word boolean, keys binary, n binary"), "entries")
+    strings = entries.where("not word")
+    counted = cut(strings.groupBy("bucket").applyInArrow(_string_totals, "key long, n long"), "strings")
+    priced = cut(train(counted, blocks), "priced")
+    words = cut(entries.where("word").groupBy("bucket").applyInArrow(_word_totals, TOLD), "words")
+    row = words.where("block is null").agg(F.sum("tokens"), F.sum("kinds")).first()
+    n_all, n_distinct = row[0] or 0, row[1] or 0
     base_log = float(np.log10(n_all + 0.5 * (n_distinct + 1)))
-
-    strings = entries.where("not word").select("block", "key", "n")
-    priced = cut(train(cut(strings.groupBy("key").agg(F.sum("n").alias("n")), "strings")), "priced")
-    names = [f"p{k}" for k in range(len(TEMPERS))]
-    words = totals.select("block", "key", F.col("c").cast("double").alias(names[0]), *(F.lit(None).cast("double").alias(x) for x in names[1:]))
-    told = words.withColumn("word", F.lit(True)).unionByName(strings.select("block", "key").join(priced, "key").withColumn("word", F.lit(False)))
+    prices_told = strings.select("block", "bucket", "keys").groupBy("bucket").cogroup(priced.groupBy("bucket")).applyInArrow(_tell_prices, TOLD)
+    told = words.where("block is not null").unionByName(prices_told).drop("tokens", "kinds")
 
     def run(key, left, right):
-        word, known = right["word"].to_numpy(), right["key"].to_numpy().view(np.uint64)
-        columns = [right[x].to_numpy() for x in names]
-        token, c = known[word], columns[0][word]
+        rows = {is_word: right.filter(pa.compute.equal(right["word"], is_word)) for is_word in (True, False)}
+        token = joined(unpack(rows[True]["keys"].to_pylist(), np.uint64), np.uint64)
+        c = joined(unpack(rows[True]["x0"].to_pylist(), np.int64), np.int64)
         order = np.argsort(token)
         token, c = token[order], c[order]
-        prices = Prices(known[~word], [x[~word] for x in columns])
+        string = joined(unpack(rows[False]["keys"].to_pylist(), np.uint64), np.uint64)
+        found = [joined(unpack(rows[False][f"x{k}"].to_pylist(), np.float32), np.float32) for k in range(len(TEMPERS))]
+        prices = Prices(string, found)
         left = left.filter(left["scored"])
         texts = texts_of(left["text"].combine_chunks()) if left.num_rows else []
         out: dict[str, list] = {k: [] for k in ("n_bytes", "n_tokens", "n_known", "base_score", "score")}
         for a, b in groups(texts):
             mine, doc = _tokens(texts[a:b])
             at = np.minimum(np.searchsorted(token, mine), max(len(token) - 1, 0))
-            count = np.where(token[at] == mine, c[at], 0) if len(token) else np.zeros(len(mine))
+            count = np.where(token[at] == mine, c[at], 0) if len(token) else np.zeros(len(mine), np.int64)
             n = np.bincount(doc, minlength=b - a)
             out["n_bytes"].append(np.array([len(t) for t in texts[a:b]], np.int64))
             out["n_tokens"].append(n)
