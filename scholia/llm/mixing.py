@@ -52,6 +52,7 @@ END_TOKEN = np.uint64(0x0E4D0E4D0E4D0E4D)
 STEPS = 33  # of the refinement table, over log-odds from -8 to 8
 LEVELS = 4  # of how often the longest context has been seen
 SETS = 8 * (ORDERS + 1) * LEVELS
+TALLY = 1 << 19  # keys that wait to be summed, at least
 BATCH = 512
 SLICE = 1 << 16
 TEMPERS = (0.85, 1.15)
@@ -80,6 +81,24 @@ def summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key[first], np.add.reduceat(n, first) if len(first) else n
 
 
+class Tally:
+    """Numbers summed by key, in memory of about three times the distinct keys."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = [summed(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+        self.held = 0
+
+    def add(self, key: np.ndarray, n: np.ndarray) -> None:
+        self.parts.append((key, n))
+        self.held += len(key)
+        if self.held > len(self.parts[0][0]) + TALLY:
+            self.sums()
+
+    def sums(self) -> tuple[np.ndarray, np.ndarray]:
+        self.parts, self.held = [summed(*(np.concatenate(x) for x in zip(*self.parts, strict=True)))], 0
+        return self.parts[0]
+
+
 class Level:
     """Counts of the strings of one length; a context's zeros and ones are ranges of the sorted strings."""
 
@@ -276,24 +295,32 @@ def joined(parts: list[np.ndarray], kind) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, kind)
 
 
+def parts_of(table: pa.Table):
+    """The table's texts group by group, each with its rows; only one group's texts are copied at a time."""
+    for part in table.to_batches():
+        texts = texts_of(part["text"])
+        for a, b in groups(texts):
+            yield texts[a:b], part[a:b]
+
+
 def _block_counts(buckets: int):
     """The block's distinct words and six-byte strings, with their numbers in its training texts, a row for each bucket."""
 
     def run(key, table):
-        texts, train_ = texts_of(table["text"].combine_chunks()), table["training"].to_numpy(zero_copy_only=False)
-        found: dict[bool, list] = {True: [], False: []}
-        for a, b in groups(texts):
-            token, doc = _tokens(texts[a:b])
-            found[True].append(summed(token, train_[a:b][doc].astype(np.int64)))
+        found = {True: Tally(), False: Tally()}
+        for texts, part in parts_of(table):
+            train_ = part["training"].to_numpy(zero_copy_only=False)
+            token, doc = _tokens(texts)
+            found[True].add(*summed(token, train_[doc].astype(np.int64)))
             for own in (True, False):
-                some = [t for t, is_training in zip(texts[a:b], train_[a:b], strict=True) if is_training == own]
+                some = [t for t, is_training in zip(texts, train_, strict=True) if is_training == own]
                 if some:
                     gram = np.sort(grams(some)[0])
                     first = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
-                    found[False].append((gram[first], np.diff(np.r_[first, len(gram)]) * own))
+                    found[False].add(gram[first], np.diff(np.r_[first, len(gram)]) * own)
         rows = []
-        for word, parts in found.items():
-            token, n = summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        for word, tally in found.items():
+            token, n = tally.sums()
             home = bucket_of(token, buckets)
             order = np.argsort(home, kind="stable")
             bounds = np.searchsorted(home[order], np.arange(buckets + 1))
@@ -398,18 +425,17 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = [joined(unpack(rows[False][f"x{k}"].to_pylist(), np.float32), np.float32) for k in range(len(TEMPERS))]
         prices = Prices(string, found)
         left = left.filter(left["scored"])
-        texts = texts_of(left["text"].combine_chunks()) if left.num_rows else []
         out: dict[str, list] = {k: [] for k in ("n_bytes", "n_tokens", "n_known", "base_score", "score")}
-        for a, b in groups(texts):
-            mine, doc = _tokens(texts[a:b])
+        for texts, _ in parts_of(left):
+            mine, doc = _tokens(texts)
             at = np.minimum(np.searchsorted(token, mine), max(len(token) - 1, 0))
             count = np.where(token[at] == mine, c[at], 0) if len(token) else np.zeros(len(mine), np.int64)
-            n = np.bincount(doc, minlength=b - a)
-            out["n_bytes"].append(np.array([len(t) for t in texts[a:b]], np.int64))
+            n = np.bincount(doc, minlength=len(texts))
+            out["n_bytes"].append(np.array([len(t) for t in texts], np.int64))
             out["n_tokens"].append(n)
-            out["n_known"].append(np.bincount(doc[count > 0], minlength=b - a))
-            out["base_score"].append(np.bincount(doc, np.log10(count + 0.5) - base_log, b - a))
-            out["score"].append(text_score(prices.of_texts(texts[a:b])))
+            out["n_known"].append(np.bincount(doc[count > 0], minlength=len(texts)))
+            out["base_score"].append(np.bincount(doc, np.log10(count + 0.5) - base_log, len(texts)))
+            out["score"].append(text_score(prices.of_texts(texts)))
         return pa.table({"doc_id": left["doc_id"], "held_out": left["held_out"]} | {k: pa.array(np.concatenate(v) if v else np.zeros(0), pa.float64() if "score" in k else pa.int64()) for k, v in out.items()})
 
     schema = "doc_id long, held_out boolean, n_bytes long, n_tokens long, n_known long, base_score double, score double"
