@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chunks, decontaminate, licenses, mixing, neardup, pieces, quality, suffixes, tokenfiles, toxicity
+from . import branchmerge, chunks, decontaminate, licenses, mixing, neardup, pieces, quality, sharding, suffixes, tokenfiles, toxicity, whitening
 from .textkit import held_out_column, read, small_batches
 
 
@@ -67,7 +67,20 @@ def op10_quality(spark, sf_dir):
     return quality.quality_rules(read(spark, sf_dir, "documents")).drop("repeat_spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_neardup, op2_chunks, op3_toxicity, op4_tokens, op5_suffixes, op6_mixing, op7_pieces, op8_licenses, op9_decontaminate, op10_quality)}
+def op11_merge(spark, sf_dir):
+    return branchmerge.contract(branchmerge.merge_branches(read(spark, sf_dir, "documents")))
+
+
+def op12_whitening(spark, sf_dir):
+    small_batches(spark, 4096)
+    return whitening.whitened(read(spark, sf_dir, "embeddings"))
+
+
+def op13_sharding(spark, sf_dir):
+    return sharding.contract(sharding.shards(read(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op1_neardup, op2_chunks, op3_toxicity, op4_tokens, op5_suffixes, op6_mixing, op7_pieces, op8_licenses, op9_decontaminate, op10_quality, op11_merge, op12_whitening, op13_sharding)}
 
 ORACLE_SQL = {
     "op9_decontaminate": r"""
