@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import lexical
+from ..operators.ordinals import order_statistics
 from .registry import Tables, query
 
 
@@ -151,9 +152,9 @@ def d19_chunk_statistics(spark, sf):
     from ..functions.text import ends_mid_sentence, words
 
     rows = Tables(spark, sf).documents.select("lang", F.size(words(F.col("text"))).cast("long").alias("n"), ends_mid_sentence(F.col("text")).alias("mid"))
-    n = F.count("*")
-    p90 = F.element_at(F.sort_array(F.collect_list("n")), (F.floor(0.9 * n) + 1).cast("int"))
-    return rows.groupBy("lang").agg(n.alias("chunks"), F.round(F.percentile("n", 0.5), 6).alias("median"), F.round(F.avg("n"), 6).alias("mean"), p90.alias("p90"), F.max("n").alias("longest"), F.round(100 * F.avg(F.when(F.col("mid"), 1.0).otherwise(0.0)), 6).alias("mid_end"))
+    own = rows.groupBy("lang").agg(F.count("*").alias("chunks"), F.round(F.avg("n"), 6).alias("mean"), F.max("n").alias("longest"), F.round(100 * F.avg(F.when(F.col("mid"), 1.0).otherwise(0.0)), 6).alias("mid_end"))
+    placed = order_statistics(rows, ["lang"], "n", {"median": (0.5, "linear"), "p90": (0.9, "index")}).withColumnRenamed("lang", "l")
+    return own.join(placed, F.col("lang").eqNullSafe(F.col("l")), "left").drop("l").withColumn("median", F.round("median", 6))
 
 
 @query("""SELECT policy, count(*) AS chunks, CAST(sum(n) AS BIGINT) AS tokens, max(n) AS longest FROM (
@@ -184,8 +185,7 @@ def d23_coverage_summary(spark, sf):
 
 @query("SELECT event_type, list_sort(list(value))[CAST(floor(0.95 * count(*)) AS BIGINT) + 1] AS p95_index, max(value) AS worst FROM events GROUP BY 1")
 def d24_latency_by_index(spark, sf):
-    n = F.count("*")
-    return Tables(spark, sf).events.groupBy("event_type").agg(F.element_at(F.sort_array(F.collect_list("value")), (F.floor(0.95 * n) + 1).cast("int")).alias("p95_index"), F.max("value").alias("worst"))
+    return order_statistics(Tables(spark, sf).events, ["event_type"], "value", {"p95_index": (0.95, "index"), "worst": (1.0, "index")})
 
 
 @query("SELECT c_nationkey AS family, count(DISTINCT c_mktsegment) AS splits, count(*) AS n, count(DISTINCT c_mktsegment) = 1 AS ok FROM customer GROUP BY 1")

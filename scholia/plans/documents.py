@@ -6,7 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import words
-from ..operators import chunking, identity, pages
+from ..operators import chunking, identity, pages, resolution
+from ..sources import versions
+from ..sources.readers import scratch
 from .registry import Tables, query
 
 
@@ -203,3 +205,32 @@ def k9_follow_roots(spark, sf):
 def k10_replay_is_idempotent(spark, sf):
     docs = Tables(spark, sf).documents.select("doc_id", F.md5(F.col("text").cast("binary")).alias("k"))
     return docs.union(docs).groupBy("k").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("seen"))
+
+
+def client_records(clients):
+    """Shop clients as source records: the e-mail is the strong identifier, the name the title, the nation the year, the city the author."""
+    key = F.when(F.col("email").isNotNull(), F.array(F.struct(F.lit("doi").alias("ns"), F.lower("email").alias("value"))))
+    return clients.select(
+        F.col("client_id").alias("id"), F.struct("updated_at", "source", "client_id").alias("at"), key.alias("keys"), F.lower(F.trim("name")).alias("title_key"), F.col("nation_id").alias("year"),
+        F.array(F.lower("city")).alias("authors"),
+    )
+
+
+@query()
+def k1_resolve_papers(spark, sf):
+    """Clients resolved in order of arrival, with conflicts; tests replay the records one after another."""
+    return resolution.resolve(client_records(Tables(spark, sf).clients.where("client_id is not null").dropDuplicates(["client_id"]))).withColumnsRenamed({"id": "client_id", "paper": "resolved_to"})
+
+
+@query(r"""WITH w AS (SELECT doc_id, len(regexp_extract_all(text, '\S+')) AS w FROM documents) SELECT doc_id, CASE WHEN w = 0 THEN 0 ELSE 1 + greatest(CAST(ceil((w - 64) / 56.0) AS BIGINT), 0) END AS chunks, doc_id % 4 = 1 AS replaced FROM w WHERE w > 0 AND doc_id % 4 <> 3""")
+def j9_replace_versions(spark, sf):
+    """Chunks stored by document, then a quarter parsed anew (in capitals) and a quarter parsed to nothing; the second replacement of the same versions changes nothing."""
+    docs = Tables(spark, sf).documents.select("doc_id", "text")
+    path, order = scratch(spark), ["doc_id", "ordinal"]
+    versions.write_versions(chunking.fixed_windows(docs, "doc_id", "text", 64, 8), path, "doc_id", order)
+    renewed = docs.where("doc_id % 4 in (1, 3)")
+    fresh = chunking.fixed_windows(docs.where("doc_id % 4 = 1").withColumn("text", F.upper("text")), "doc_id", "text", 64, 8)
+    for _ in range(2):
+        versions.replace_versions(spark, path, fresh, renewed, "doc_id", order)
+    stored = versions.read_versions(spark, path)
+    return stored.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.min(F.col("chunk") == F.upper("chunk")).alias("capitals")).select("doc_id", "chunks", (F.col("doc_id") % 4 == 1).alias("replaced"))

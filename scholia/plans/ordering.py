@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import ranking
+from ..operators import ordinals, ranking
 from ..operators.digests import ordered_digest
 from .registry import Tables, query
 from .windows import _RANKED, supplier_ranking
@@ -83,8 +83,10 @@ def f11_canaries(spark, sf):
 
 @query("SELECT l_returnflag, round(quantile_cont(l_quantity, 0.5), 6) AS median, round(quantile_cont(l_extendedprice, 0.95), 4) AS p95_linear, list_sort(list(l_extendedprice))[CAST(floor(0.95 * count(*)) AS BIGINT) + 1] AS p95_index FROM lineitem GROUP BY 1")
 def f12_percentiles(spark, sf):
-    index = F.element_at(F.sort_array(F.collect_list("l_extendedprice")), (F.floor(0.95 * F.count("*")) + 1).cast("int"))
-    return Tables(spark, sf).lineitem.groupBy("l_returnflag").agg(F.round(F.percentile("l_quantity", 0.5), 6).alias("median"), F.round(F.percentile("l_extendedprice", 0.95), 4).alias("p95_linear"), index.alias("p95_index"))
+    lines, by = Tables(spark, sf).lineitem, ["l_returnflag"]
+    median = ordinals.order_statistics(lines, by, "l_quantity", {"median": (0.5, "linear")})
+    price = ordinals.order_statistics(lines, by, "l_extendedprice", {"p95_linear": (0.95, "linear"), "p95_index": (0.95, "index")})
+    return median.join(price, "l_returnflag").select("l_returnflag", F.round("median", 6).alias("median"), F.round("p95_linear", 4).alias("p95_linear"), "p95_index")
 
 
 @query("""WITH pool AS (SELECT l_suppkey AS q, l_partkey AS d FROM lineitem WHERE l_linestatus = 'F' UNION SELECT l_suppkey, l_partkey FROM lineitem WHERE l_discount >= 0.05), rel AS (SELECT DISTINCT l_suppkey AS q, l_partkey AS d FROM lineitem WHERE l_returnflag = 'R')

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..operators import dense, evidence, lexical, ranking
-from ..sources.readers import round_trip
+from ..operators import dense, evidence, lexical, ranking, releases
+from ..sources.readers import round_trip, scratch
+from ..sources.stored import write_json
 from .ordering import _BRANCHES, branches
 from .registry import Tables, query
 
@@ -208,3 +209,106 @@ def i24_precision_comparison(spark, sf):
     return Tables(spark, sf).embeddings.select("label", c.alias("c")).groupBy("label").agg(F.count("*").alias("n"), F.round(F.min("c"), 6).alias("low"), F.round(F.avg("c"), 6).alias("mean"))
 
 
+
+
+def staged_release(spark, sf, folder: str, name: str, papers, chunks, limit: int | None = None) -> dict:
+    """A release built from two tables (id, text), staged with its build records."""
+    store = releases.Releases(spark, folder)
+    manifest = f"{folder}/{name}/manifest.json"
+    digest = releases.write_manifest(spark, manifest, {"papers": papers, "chunks": chunks})
+    store.stage(name, f"{folder}/{name}/papers", f"{folder}/{name}/chunks", "angles-1", manifest, digest)
+    for kind, docs in (("papers", papers), ("chunks", chunks)):
+        store.record_build(name, kind, releases.build(docs, f"{folder}/{name}/{kind}", "angles-1", limit))
+    return store.load(name)
+
+
+def release_tables(spark, sf):
+    t = Tables(spark, sf)
+    return t.documents.select(F.col("doc_id").alias("id"), "text"), t.benchmark.select(F.col("item_id").alias("id"), "text")
+
+
+@query("""SELECT * FROM (VALUES ('intact', 0, ''), ('other model', 1, 'model angles-1 is not angles-2'), ('changed manifest', 1, 'snapshot manifest changed since staging'), ('added point', 1, (SELECT 'papers: ' || (count(*) + 1) || ' points, built ' || count(*) || ', snapshot ' || count(*) FROM documents)),
+ ('changed vectors', 5, 'papers: dense canary 0 ranking changed'), ('changed statistics', 1, 'chunks: term statistics missing or altered'), ('not built', 1, 'chunks: not built')) AS v("case", problems, first)""")
+def i21_release_gate(spark, sf):
+    """What the release check finds in an intact index and in altered ones."""
+    folder, found = scratch(spark), []
+    papers, chunks = release_tables(spark, sf)
+    release = staged_release(spark, sf, folder, "r1", papers, chunks)
+
+    def look(case, release=release, model="angles-1"):
+        problems = releases.release_problems(spark, release, model)
+        found.append((case, len(problems), problems[0] if problems else ""))
+
+    def altered(kind, table, change):
+        """The release with another folder for one kind, whose table is changed."""
+        other = f"{folder}/altered-{len(found)}"
+        for name in ("points", "postings", "vocabulary"):
+            rows = spark.read.parquet(f"{release[kind]}/{name}")
+            rows = change(rows) if name == table else rows
+            (rows.write.partitionBy("bucket") if name == "postings" else rows.write).parquet(f"{other}/{name}")
+        return release | {kind: other}
+
+    look("intact")
+    look("other model", model="angles-2")
+    look("not built", release | {"builds": {"papers": release["builds"]["papers"]}})
+    look("added point", altered("papers", "points", lambda p: p.union(spark.sql("select -1L, array(0d, 0d)"))))
+    look("changed vectors", altered("papers", "points", lambda p: p.withColumn("vector", F.transform("vector", lambda x: -x))))
+    look("changed statistics", altered("chunks", "vocabulary", lambda v: v.withColumn("df", F.col("df") + 1)))
+    write_json(spark, release["manifest"], spark.read.json(release["manifest"], multiLine=True).first().asDict(recursive=True) | {"note": "later"})
+    look("changed manifest")
+    return spark.createDataFrame(found, "case string, problems int, first string")
+
+
+@query("""WITH n AS (SELECT count(*) AS a, (SELECT count(*) FROM documents WHERE doc_id % 2 = 0) AS b FROM documents) SELECT * FROM (
+ SELECT 1 AS step, 'captured before any' AS event, NULL AS release, NULL AS status, CAST(NULL AS BIGINT) AS points FROM n UNION ALL SELECT 2, 'activated', 'r1', 'active', a FROM n UNION ALL SELECT 3, 'limited build refused', 'r1', 'active', a FROM n UNION ALL SELECT 4, 'activated', 'r3', 'active', b FROM n
+ UNION ALL SELECT 5, 'captured at step 2', 'r1', 'superseded', a FROM n UNION ALL SELECT 6, 'drop of the active refused', 'r3', 'active', b FROM n UNION ALL SELECT 7, 'dropped', 'r1', 'release_unknown', NULL FROM n)""")
+def i22_release_switch(spark, sf):
+    """Three releases staged, activated, refused and dropped; a job keeps what it captured."""
+    folder, log = scratch(spark), []
+    store = releases.Releases(spark, folder)
+    papers, chunks = release_tables(spark, sf)
+    valid = lambda r: releases.release_problems(spark, r, "angles-1")
+
+    def note(event, release, status=None):
+        own = None if release is None or status else store.load(release["id"])
+        points = None if own is None else spark.read.parquet(f"{own['papers']}/points").count()
+        log.append((len(log) + 1, event, release and release["id"], status or (own and own["status"]), points))
+
+    def refused(action, *args):
+        try:
+            action(*args)
+        except releases.ReleaseError:
+            return True
+        raise AssertionError("not refused")
+
+    note("captured before any", store.capture())
+    staged_release(spark, sf, folder, "r1", papers, chunks)
+    store.activate("r1", valid)
+    first = store.capture()
+    note("activated", first)
+    staged_release(spark, sf, folder, "r2", papers, chunks, limit=10)
+    refused(store.activate, "r2", valid)
+    note("limited build refused", store.capture())
+    staged_release(spark, sf, folder, "r3", papers.where("id % 2 = 0"), chunks)
+    store.activate("r3", valid)
+    note("activated", store.capture())
+    note("captured at step 2", first)
+    refused(store.drop, "r3")
+    note("drop of the active refused", store.capture())
+    store.drop("r1")
+    refused(store.load, "r1")
+    note("dropped", first, "release_unknown")
+    return spark.createDataFrame(log, "step int, event string, release string, status string, points long")
+
+
+@query(rf"""WITH pos AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) - 1 AS p, greatest(count(*) OVER () // 5, 1) AS step FROM documents), c AS (SELECT doc_id AS item_id, array_to_string(regexp_extract_all(text, '\S+')[1:12], ' ') AS text FROM pos WHERE p % step = 0 AND p < 5 * step),
+ {_BM25.replace("WITH tok", "tok", 1).replace("FROM benchmark", "FROM c")}, {_FIX.replace("FROM benchmark", "FROM c")}
+ SELECT item_id AS canary, 'sparse' AS branch, doc_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS r2 FROM s) JOIN bm USING (item_id, doc_id, score) WHERE rank <= 10
+ UNION ALL SELECT item_id, 'dense', doc_id, rank, round(score, 6) FROM de JOIN (SELECT item_id, doc_id, fd.x * fq.x + fd.y * fq.y AS score FROM fd, fq) USING (item_id, doc_id) WHERE rank <= 10""")
+def f11_canary_rankings(spark, sf):
+    """Documents at every (N // 5)-th position, with the exact results that the index build stores for them."""
+    folder = scratch(spark)
+    docs = release_tables(spark, sf)[0]
+    built = releases.build(docs, folder, "angles-1")
+    rows = [(c["id"], b, i, k + 1, s) for c in built["canaries"] for b in ("sparse", "dense") for k, (i, s) in enumerate(c[b])]
+    return spark.createDataFrame(rows, "canary long, branch string, doc_id long, rank long, score double").withColumn("score", F.round("score", 6))
