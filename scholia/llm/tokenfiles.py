@@ -85,7 +85,8 @@ class Tokens:
     begins a new match: before a single space between two characters that are no white space,
     where a run of ASCII letters or digits ends at another visible ASCII character, and around a
     line break between such characters.  With any other file, and where a text has other than
-    ASCII white space, texts are encoded whole.
+    ASCII white space or holds one of the file's added tokens (which the library takes as such,
+    wherever they stand), texts are encoded whole.
     """
 
     def __init__(self, spec: str):
@@ -93,10 +94,10 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_str(spec)
-        self.model.encode_special_tokens = True
         own = json.loads(spec)
+        self.added = [t["content"].encode() for t in own.get("added_tokens") or []]
         first = own.get("pre_tokenizer") or {}
-        self.may_cut = own.get("normalizer") is None and first.get("type") == "ByteLevel" and first.get("use_regex") is True and not first.get("add_prefix_space")
+        self.may_cut = own.get("normalizer") is None and first.get("type") == "ByteLevel" and first.get("use_regex") is True and not first.get("add_prefix_space") and not any(b"\n" in t for t in self.added)
         self.line = self.model.encode("\n", add_special_tokens=False).ids
         self.store = Store()
 
@@ -140,7 +141,7 @@ class Tokens:
     def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by end_id, and each text's number of them."""
         self.store.trim()
-        whole = {k for k, t in enumerate(texts) if self.may_cut and not t.isascii() and _WIDE_SPACE.search(t.decode())}
+        whole = {k for k, t in enumerate(texts) if self.may_cut and (any(a in t for a in self.added) or not t.isascii() and _WIDE_SPACE.search(t.decode()))}
         block = Block([b"" if k in whole else t for k, t in enumerate(texts)] if whole else texts)
         edges = self._edges(block)
         slots = self.store.slots(spans_array(block.buf, edges), self._units)
@@ -319,5 +320,7 @@ def read_token_files(spark: SparkSession, folder: str, files: DataFrame, with_id
 
 
 def new_folder(spark: SparkSession) -> str:
-    folder = shared_folder(spark) + "/tokens"
-    return folder if "://" in folder else f"file://{os.path.abspath(folder.removeprefix('file:'))}"
+    """A new path in the shared folder, with the file system that Spark takes it to be on."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark) + "/tokens")
+    full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub("^file:/+", "file:///", full)
