@@ -16,7 +16,8 @@ leave room for 2**24 strings at most).  Shorter contexts come from the counts of
 which are broadcast: 2**24 strings of 12 bytes at most, far fewer in UTF-8.  Mixing weights are
 learnt online, cell by cell in an order fixed by hash, each string seen as if one occurrence of it
 had not been counted, and averaged over the cells; the refinement is gathered in a second pass, and
-a third prices each distinct string once.  None of this depends on the number of partitions.
+a third prices each distinct string once, in cells of its own.  What is learnt comes from the training
+strings alone, their number included, and none of this depends on the number of partitions.
 
 Texts are dealt into blocks of about BLOCK_BYTES, words and strings by hash into as many buckets.
 Each block sends its distinct words and strings once, packed into a row for each bucket, receives
@@ -247,7 +248,7 @@ def train(counted: DataFrame, buckets: int) -> DataFrame:
             at = np.flatnonzero(y)
             return {"at": at, "x": x[at], "y": y[at]}
 
-        rows = _in_cells(counted, sums, low, "at long, x double, y double").groupBy("at").agg(F.sum("x").alias("x"), F.sum("y").alias("y")).toArrow()
+        rows = _in_cells(counted.where("n > 0"), sums, low, "at long, x double, y double").groupBy("at").agg(F.sum("x").alias("x"), F.sum("y").alias("y")).toArrow()
         x, y = np.zeros(size), np.zeros(size)
         x[rows["at"].to_numpy()], y[rows["at"].to_numpy()] = rows["x"].to_numpy(), rows["y"].to_numpy()
         return x, y

@@ -1,5 +1,6 @@
 """Each operator against a plain version on small tables with nulls, empties, ties, repeats and clashing columns."""
 
+import functools
 import hashlib
 import itertools
 import math
@@ -241,7 +242,6 @@ def test_token_files_round_trip(spark, docs):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     model = Tokenizer.from_file(path)
-    model.encode_special_tokens = True
     folder = tokenfiles.new_folder(spark)
     files = tokenfiles.write_token_files(docs, folder, path)
     got = sorted(tokenfiles.read_token_files(spark, folder, files).collect(), key=lambda r: r.start)
@@ -253,6 +253,33 @@ def test_token_files_round_trip(spark, docs):
         start += len(ids)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["<|endoftext|>", "<|endoftext", "|>", "endoftext", "<|", " ", "\n", "word", "a1", "é", "\u00a0", "!", "'s"]), max_size=12).map("".join) | st.text(max_size=40), min_size=1, max_size=6))
+def test_encoding_equals_an_unmodified_tokenizer(many):
+    """Also texts with the added tokens of the file, whole, in part and side by side."""
+    model, tokens = _tokenizers()
+    ids, n = tokens.encode([t.encode() for t in many], 2)
+    assert ids.tolist() == [x for t in many for x in [*model.encode(t, add_special_tokens=False).ids, 2]] and n.sum() == len(ids)
+
+
+@functools.cache
+def _tokenizers():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    with open(path, encoding="utf-8") as f:
+        return Tokenizer.from_file(path), tokenfiles.Tokens(f.read())
+
+
+def test_token_files_of_added_tokens(spark):
+    rows = [(1, "hello <|endoftext|> world"), (2, "<|endoftext|><|endoftext|>"), (3, "x<|endoftext|")]
+    folder = tokenfiles.new_folder(spark)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    got = tokenfiles.read_token_files(spark, folder, tokenfiles.write_token_files(spark.createDataFrame(rows, "doc_id long, text string"), folder, path)).collect()
+    assert {r.doc_id: r.ids for r in got} == {i: [*_tokenizers()[0].encode(t, add_special_tokens=False).ids, 2] for i, t in rows}
+    assert [r.ids for r in got if r.doc_id == 1] == [[31373, 220, 50256, 995, 2]]
+
+
 def thue_morse(n):
     return "".join("ab"[k.bit_count() % 2] for k in range(n))
 
@@ -420,6 +447,18 @@ def test_mixing_prices_equal_lookups():
         assert sums == pytest.approx(sum(by[g] for g in mixing.grams([t])[0].tolist()))
 
 
+def test_held_out_texts_change_no_other_score(spark, monkeypatch):
+    """With several cells, whose number follows the training strings only."""
+    monkeypatch.setattr(mixing, "CELL", 1 << 8)
+    rows = [(i, " ".join(words(i, 30, 40))) for i in range(60)]
+    held = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 5 == 1]
+    some = lambda r: {x.doc_id: x.score for x in mixing.score_documents(spark.createDataFrame(r, "doc_id long, text string")).collect()}
+    every, few = some(rows), some([r for r in rows if r[0] not in held[1:]])
+    strings = np.unique(mixing.grams([t.encode() for i, t in rows if i not in held])[0])
+    assert len(strings) > 4 * mixing.CELL and len(held) > 5
+    assert all(every[i] == pytest.approx(few[i], rel=1e-12) for i in few)
+
+
 def test_mixing_learns(spark, monkeypatch):
     rows = [(i, " ".join(words(i, 60, 30))) for i in range(120)]
     table = spark.createDataFrame(rows, "doc_id long, text string")
