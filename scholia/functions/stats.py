@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordinals import numbered
+
 Z_95 = 1.959964
+#: Draws of a bootstrap that are in memory at once.
+DRAWS = 1 << 20
 
 
 def wilson(hits: Column, n: Column, z: float = Z_95) -> tuple[Column, Column]:
@@ -39,16 +46,55 @@ def bootstrap_draws(seed: int, families: int, resamples: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, families, (resamples, families))
 
 
-def family_bootstrap(values: DataFrame, family: str, value: str, seed: int = 20240601, resamples: int = 1000) -> DataFrame:
-    """Mean of family means with its percentile interval; families are ordered by name.
+def resampled(units: DataFrame, order: list[str], values: list[str], seed: int, resamples: int = 1000, piece: int = DRAWS) -> tuple[DataFrame, int]:
+    """(replicate, sums of values) over as many units, drawn with replacement as bootstrap_draws() does; and the number of units.
 
-    Draws are made on the driver (families x resamples numbers, checked to be moderate) and turned
-    into how often each family is drawn, so the join is families x resamples at most.
+    Units are numbered in the given order.  Each task holds a range of them, runs through the same
+    stream of draws a piece at a time, and sums what it holds for each replicate; tasks give a row
+    for each replicate.  Nothing that grows with the units is on the driver or in a broadcast.
     """
-    means = values.groupBy(family).agg(F.avg(value).alias("m")).orderBy(family).toPandas()
-    if len(means) * resamples > 50_000_000:
-        raise ValueError("too many families for a driver-side bootstrap")
-    m = means["m"].to_numpy(dtype=float)
-    found = m[bootstrap_draws(seed, len(m), resamples)].mean(axis=1) if len(m) else np.array([])
-    row = (float(m.mean()), *(float(x) for x in np.percentile(found, [2.5, 97.5])), len(m)) if len(m) else (None, None, None, 0)
-    return values.sparkSession.createDataFrame([row], "mean double, low double, high double, families long")
+    placed = numbered(units.select(*order, *[F.coalesce(F.col(v).cast("double"), F.lit(0.0)).alias(v) for v in values]), *order, name="_unit")
+    count = placed.count()
+    names = [f"s{k}" for k in range(len(values))]
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(p.column(0).to_numpy(), *(p.column(1 + k).to_numpy() for k in range(len(values)))) for p in parts if p.num_rows]
+        if not held:
+            return
+        at, *own = (np.concatenate(x) for x in zip(*held, strict=True))
+        low = int(at.min())
+        table = np.zeros((len(values), int(at.max()) - low + 1))
+        for k, v in enumerate(own):
+            table[k, at - low] = v
+        rng, sums = np.random.default_rng(seed), np.zeros((resamples, len(values)))
+        for r in range(resamples):
+            for start in range(0, count, piece):
+                drawn = rng.integers(0, count, min(piece, count - start)) - low
+                drawn = drawn[(drawn >= 0) & (drawn < table.shape[1])]
+                sums[r] += table[:, drawn].sum(axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(range(resamples), pa.int64()), *(pa.array(x) for x in sums.T)], names=["replicate", *names])
+
+    # contiguous numbers in each task: the rows come in the order of one range shuffle
+    ranged = placed.select("_unit", *values).repartitionByRange("_unit")
+    found = ranged.mapInArrow(run, "replicate long, " + ", ".join(f"{n} double" for n in names))
+    return found.groupBy("replicate").agg(*[F.sum(n).alias(v) for n, v in zip(names, values, strict=True)]), count
+
+
+def percentile_interval(replicates: DataFrame, value: Column, tail: float = 2.5) -> DataFrame:
+    """(low, high): linear percentiles of a value of each replicate; one row of as many values as there are resamples."""
+    return replicates.agg(F.percentile(value, tail / 100).alias("low"), F.percentile(value, 1 - tail / 100).alias("high"))
+
+
+def family_bootstrap(values: DataFrame, family: str, value: str, seed: int = 20240601, resamples: int = 1000) -> DataFrame:
+    """(mean, low, high, families): the mean of family means with its percentile interval; families are ordered by name."""
+    means = values.groupBy(family).agg(F.avg(value).alias("m")).where("m is not null")
+    replicates, count = resampled(means, [family], ["m"], seed, resamples)
+    interval = percentile_interval(replicates, F.col("m") / F.lit(max(count, 1)))
+    return means.agg(F.avg("m").alias("mean"), F.count("*").alias("families")).crossJoin(interval).select("mean", "low", "high", "families")  # one row each
+
+
+def rate_bootstrap(groups: DataFrame, order: list[str], first: tuple[str, str], second: tuple[str, str], seed: int = 0, resamples: int = 1000) -> DataFrame:
+    """(low, high, groups): interval of the difference of two rates (hits, trials), groups resampled and items averaged; a rate without trials is 0."""
+    replicates, count = resampled(groups, order, [*first, *second], seed, resamples)
+    rate = lambda hits, n: F.col(hits) / F.greatest(F.col(n), F.lit(1.0))
+    return percentile_interval(replicates, rate(*first) - rate(*second)).withColumn("groups", F.lit(count).cast("long"))

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 #: Characters that compatibility normalisation leaves alone; other texts need the UDF.
-_STABLE = "^[\\x00-\\x7F\\u00A1-\\u00A7\\u00A9\\u00AB-\\u00AE\\u00B0\\u00B1\\u00B6\\u00B7\\u00BB\\u00BF-\\u0131\\u0134-\\u013E\\u0141-\\u0148\\u014A-\\u017E]*$"
+_STABLE = "^[\\x00-\\x7F\\u00A1-\\u00A7\\u00A9\\u00AB-\\u00AE\\u00B0\\u00B1\\u00B6\\u00B7\\u00BB\\u00BF-\\u0131\\u0134-\\u013E\\u0141-\\u0148\\u014A-\\u017E\\u0391-\\u03A1\\u03A3-\\u03CE\\u0400-\\u0482\\u048A-\\u052F\\u2010\\u2012-\\u2016\\u2018-\\u2023\\u2030-\\u2032\\u20AC\\u3041-\\u3096\\u30A1-\\u30FA\\u4E00-\\u9FFF\\uAC00-\\uD7A3]*$"
 
 
 @F.pandas_udf(StringType())
@@ -29,7 +29,7 @@ def nfkc(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Runs of ASCII letters and digits of normalised text, lower-cased; accented letters separate."""
+    """Runs of ASCII letters and digits, lower-cased; accented letters separate.  The text is taken as it is."""
     return F.regexp_extract_all(F.lower(text), F.lit("[0-9a-z]+"), F.lit(0))
 
 
@@ -112,3 +112,17 @@ def parse_permutation(answer: Column, n: Column) -> Column:
     found = F.transform(F.regexp_extract_all(answer, F.lit("\\d+"), F.lit(0)), lambda x: x.cast("int"))
     valid = F.array_distinct(F.filter(found, lambda x: (x >= 1) & (x <= n)))
     return F.concat(valid, F.array_except(F.sequence(F.lit(1), n), valid))
+
+
+def format_history(turns: DataFrame, key: str, turn: str, role: str, text: str, limit: int) -> DataFrame:
+    """(key, history): `Role: text` lines of each conversation, oldest first, cut from the front to `limit` characters.
+
+    A line has more than three characters, so that only the last limit / 4 turns can be in the result;
+    no conversation is gathered beyond them.
+    """
+    line = F.concat(F.initcap(role), F.lit(": "), collapse(F.coalesce(text, F.lit(""))))
+    back = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(turn)))
+    few = turns.withColumn("_n", back).where(F.col("_n") <= limit // 4 + 1)
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(turn).alias("t"), line.alias("x")))), lambda r: r["x"]), "\n")
+    cut = F.right(F.col("_w"), F.lit(limit))
+    return few.groupBy(key).agg(whole.alias("_w")).select(key, F.when(F.startswith(cut, F.lit("\n")), F.substr(cut, F.lit(2))).otherwise(cut).alias("history"))

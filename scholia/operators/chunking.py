@@ -139,12 +139,15 @@ def merge_overlap(left: str, right: str, most: int = 400) -> str:
 def reconstructed(chunks: DataFrame, key: str, most: int = 400) -> DataFrame:
     """(key, text), overlaps of up to `most` words taken out, from the chunks of each document in order; a document's chunks meet in one row."""
 
-    @F.udf("string")
-    def join(rows):
-        out = ""
-        for r in rows:
-            out = merge_overlap(out, r["chunk"], most) if out else r["chunk"]
-        return out
-
-    ordered = F.array_sort(F.collect_list(F.struct("ordinal", "chunk")))
-    return chunks.groupBy(key).agg(ordered.alias("rows")).select(key, join("rows").alias("text"))
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            texts = []
+            for own in part.column(1).to_pylist():
+                out = ""
+                for chunk in own:
+                    out = merge_overlap(out, chunk, most) if out else chunk
+                texts.append(out)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], names=[key, "text"])
+
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "chunk"))), lambda r: r["chunk"])
+    return chunks.groupBy(key).agg(ordered.alias("rows")).mapInArrow(run, f"{key} {chunks.schema[key].dataType.simpleString()}, text string")

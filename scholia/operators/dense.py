@@ -28,10 +28,11 @@ def _matrix(column) -> np.ndarray:
     return m / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-300)
 
 
-def search(vectors: DataFrame, queries: DataFrame, doc: str, vector: str, query: str, k: int, keep_self: bool = True) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, doc: str, vector: str, query: str, k: int, keep_self: bool = True, digits: int | None = None) -> DataFrame:
     """Top k by cosine of every query: each partition keeps its own k for each query, then one merge.
 
     Queries are read in blocks of bounded size, each broadcast; every vector is compared with each.
+    With `digits`, scores that agree in so many decimals are ties; ties are broken by id.
     """
     spark = vectors.sparkSession
     blocks, room = [[]], QUERY_BYTES
@@ -45,18 +46,23 @@ def search(vectors: DataFrame, queries: DataFrame, doc: str, vector: str, query:
     shared = [spark.sparkContext.broadcast((np.array([q for q, _ in b], np.int64), _matrix(pa.array([list(v) for _, v in b])))) for b in blocks if b]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict = {}
+        best: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        none = np.zeros(0, np.int64), np.zeros(0)
         for part in parts:
             ids, m = part.column(0).to_numpy(), _matrix(part.column(1))
             for n, block in enumerate(shared):
                 q, v = block.value
                 for start in range(0, len(q), 256):
                     scores = v[start : start + 256] @ m.T
+                    if digits is not None:
+                        scores = np.round(scores, digits)
                     if not keep_self:
                         scores[q[start : start + 256, None] == ids[None, :]] = -np.inf
-                    for r in range(len(scores)):
-                        old = best.get((n, start + r), (np.zeros(0, np.int64), np.zeros(0)))
-                        i, s = np.r_[old[0], ids], np.r_[old[1], scores[r]]
+                    for r, own in enumerate(scores):
+                        old = best.get((n, start + r), none)
+                        # only what reaches the k-th of the new scores can be among the first k
+                        at = np.flatnonzero(own >= np.partition(own, -k)[-k]) if len(own) > k else np.arange(len(own))
+                        i, s = np.r_[old[0], ids[at]], np.r_[old[1], own[at]]
                         top = np.lexsort((i, -s))[:k]
                         best[n, start + r] = (i[top], s[top])
         for (n, r), (i, s) in best.items():

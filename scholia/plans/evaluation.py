@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..operators import metrics
+from ..operators import followups, metrics
 from .registry import Tables, query
 
 _RUN = "run AS (SELECT l_orderkey AS q, l_partkey AS d, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_partkey) AS rank FROM lineitem), qr AS (SELECT l_orderkey AS q, l_partkey AS d, max(CASE l_returnflag WHEN 'R' THEN 3 WHEN 'A' THEN 1 ELSE 0 END) AS grade FROM lineitem GROUP BY 1, 2)"
@@ -111,15 +111,10 @@ def l11_promotion_rule(spark, sf):
 @query()
 def l12_group_bootstrap(spark, sf):
     """Difference of rates, groups resampled and items averaged."""
-    import numpy as np
-
-    flag = F.when(F.col("value") > 10, 1.0).otherwise(0.0)
-    own = Tables(spark, sf).events.where("event_type in ('view', 'click')").groupBy("user_id", "event_type").agg(F.sum(flag).alias("s"), F.count("*").alias("n"))
-    g = own.groupBy("user_id").pivot("event_type", ["view", "click"]).agg(F.first("s").alias("s"), F.first("n").alias("n")).orderBy("user_id").toPandas().fillna(0)
-    pick = stats.bootstrap_draws(0, len(g), 1000) if len(g) else np.zeros((0, 0), int)
-    rate = lambda c: g[f"{c}_s"].to_numpy()[pick].sum(axis=1) / np.maximum(g[f"{c}_n"].to_numpy()[pick].sum(axis=1), 1)
-    low, high = np.percentile(rate("view") - rate("click"), [2.5, 97.5])
-    return spark.createDataFrame([(float(low), float(high), len(g))], "low double, high double, groups long")
+    own = Tables(spark, sf).events.where("event_type in ('view', 'click')")
+    hit, is_kind = F.col("value") > 10, lambda k: F.col("event_type") == k
+    g = own.groupBy("user_id").agg(*[f(is_kind(k) & c).alias(f"{k}_{n}") for k in ("view", "click") for f, c, n in ((F.count_if, hit, "hits"), (F.count_if, F.lit(True), "n"))])
+    return stats.rate_bootstrap(g, ["user_id"], ("view_hits", "view_n"), ("click_hits", "click_n"))
 
 
 @query("""WITH c AS (SELECT l_suppkey, count(*) FILTER (WHERE l_returnflag = 'R' AND l_linestatus = 'F') % 20 AS a, count(*) FILTER (WHERE l_returnflag = 'A' AND l_linestatus = 'O') % 20 AS b FROM lineitem GROUP BY 1), k AS (SELECT *, a + b AS n, least(a, b) AS low FROM c)
@@ -195,21 +190,13 @@ def l21_regressions(spark, sf):
 
 @query()
 def l22_round_robin_sample(spark, sf):
-    """Seeded shuffle of each language's good documents on the driver, at most two from a source, 40 of each language."""
-    import random
+    """Good documents by language, at most two from a source, 40 in all and 40 more; then a second sample without the sources of the development rows."""
+    from ..operators import sampling
 
     t = Tables(spark, sf)
-    ids = t.documents.join(t.labels.where("quality = 1"), "doc_id").select("lang", "source", "doc_id").orderBy("lang", "doc_id").toPandas()
-    rows = []
-    for lang, own in ids.groupby("lang"):
-        order = list(own.itertuples(index=False))
-        random.Random(f"7:{lang}").shuffle(order)
-        used: dict = {}
-        for r in order:
-            if used.get(r.source, 0) < 2 and sum(x[0] == lang for x in rows) < 40:
-                used[r.source] = used.get(r.source, 0) + 1
-                rows.append((lang, r.source, int(r.doc_id)))
-    return spark.createDataFrame(rows, "lang string, source string, doc_id long")
+    rows = t.documents.join(t.labels.where("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.col("lang").alias("stratum"), F.concat_ws("/", "source", (F.col("doc_id") % 20).cast("string")).alias("document"))
+    first = sampling.assigned(rows, 7, 24, 8, 2)
+    return sampling.second_sample(first, "7:2", 8, 2).select(F.col("id").alias("doc_id"), F.col("stratum").alias("lang"), F.col("document").alias("source"), "role")
 
 
 @query("SELECT conv_id, CAST(count(*) AS BIGINT) AS turns, list(role ORDER BY turn) AS roles, CASE WHEN conv_id % 3 = 0 THEN 'dev' ELSE 'test' END AS split FROM conversations GROUP BY 1")
@@ -424,3 +411,191 @@ def l27_preflight_spend(spark, sf):
     cost = (F.ceil(F.length("text") / 3.0) * 2 + 512 * 8).cast("long")
     own = asked.select(cost.alias("cost"), calls).groupBy("condition").agg(F.count("*").alias("turns"), F.sum(F.col("calls") * F.col("cost")).alias("worst_micro"))
     return own.withColumn("over_cap", F.col("worst_micro") > 100000)
+
+
+_LINES = """x AS (SELECT DISTINCT vendor_id AS paper, sale_id || '-' || line_no || ' Was item I-' || item_id || ' ' || coalesce(flag, 'sent') || ' at D' || CAST(quantity AS INTEGER) || '?' AS id, 'Was item I-' || item_id || ' ' || coalesce(flag, 'sent') || ' at D' || CAST(quantity AS INTEGER) || '?' AS text FROM sale_lines WHERE vendor_id IS NOT NULL AND sale_id IS NOT NULL AND line_no IS NOT NULL AND item_id IS NOT NULL AND quantity IS NOT NULL),
+w AS (SELECT paper, id, text, sha256('7:' || id) AS key, list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9.-]*[A-Za-z0-9]|[A-Za-z0-9]'), lambda t: lower(t))) AS words, list_distinct(list_transform(list_filter(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9.-]*[A-Za-z0-9]|[A-Za-z0-9]'), lambda t: regexp_matches(t, '[A-Z].*[A-Z]|[0-9]|-')), lambda t: lower(t))) AS names FROM x),
+h AS (SELECT * FROM (SELECT paper, id, key, term, row_number() OVER (PARTITION BY paper, term ORDER BY key, id) AS n FROM (SELECT paper, id, key, unnest(words) AS term FROM w)) WHERE n <= 2),
+b AS (SELECT q.paper, q.key, q.id, min({'k': h.key, 'i': h.id}) AS a FROM (SELECT paper, id, key, unnest(names) AS term FROM w) q JOIN h ON q.paper = h.paper AND q.term = h.term AND q.id <> h.id GROUP BY 1, 2, 3),
+p AS (SELECT paper, a.i AS first, id AS second FROM b QUALIFY row_number() OVER (PARTITION BY paper ORDER BY key, id) = 1),
+s AS (SELECT *, CASE WHEN row_number() OVER (ORDER BY sha256('7:' || paper), paper) <= 25 THEN 'development' ELSE 'frozen' END AS split FROM p QUALIFY row_number() OVER (ORDER BY sha256('7:' || paper), paper) <= 225)"""
+
+
+def line_questions(sale_lines):
+    """A question for each line of a sale, about its item; the vendor is the paper."""
+    whole = F.col("quantity").cast("int").cast("string")
+    text = F.concat(F.lit("Was item I-"), F.col("item_id").cast("string"), F.lit(" "), F.coalesce("flag", F.lit("sent")), F.lit(" at D"), whole, F.lit("?"))
+    key = F.concat(F.col("sale_id").cast("string"), F.lit("-"), F.col("line_no").cast("string"), F.lit(" "), text)
+    return sale_lines.select(F.col("vendor_id").alias("paper"), key.alias("id"), text.alias("text")).where("paper is not null and id is not null and text is not null").distinct()
+
+
+@query(f"WITH {_LINES} SELECT paper, first, second, split FROM s")
+def l23_pairs_sharing_names(spark, sf):
+    """Of each vendor's questions a pair whose second has a name from the first, in a seeded split."""
+    return followups.split_pairs(followups.pairs_sharing_names(line_questions(Tables(spark, sf).sale_lines), 7), 7, 25, 200)
+
+
+@query(f"""WITH {_LINES}, c AS (SELECT s.*, a.text AS ta, b.text AS tb, b.names AS nb, a.words AS wa, CASE WHEN s.paper % 3 = 0 THEN b.text WHEN s.paper % 3 = 1 THEN regexp_replace(b.text, 'item I-[0-9]+', 'it') ELSE 'Was it so?' END AS followup FROM s JOIN w a ON a.paper = s.paper AND a.id = s.first JOIN w b ON b.paper = s.paper AND b.id = s.second),
+f AS (SELECT *, list_transform(regexp_extract_all(followup, '[A-Za-z0-9][A-Za-z0-9.-]*[A-Za-z0-9]|[A-Za-z0-9]'), lambda t: lower(t)) AS wf FROM c),
+k AS (SELECT split, CASE WHEN len(list_intersect(list_intersect(nb, wa), wf)) > 0 THEN 'leaks' WHEN len(list_filter(nb, lambda t: len(t) > 1 AND NOT list_contains(wa, t) AND NOT list_contains(wf, t))) > 0 THEN 'drops_subject' END AS problem FROM f)
+SELECT split, problem, count(*) AS n FROM k GROUP BY 1, 2""")
+def p11_build_followups(spark, sf):
+    """Follow-ups of the pairs by three ways of rewriting, with what is wrong with them; those kept are registered and read back against their digests."""
+    from ..sources.readers import scratch
+
+    t = Tables(spark, sf)
+    asked = line_questions(t.sale_lines)
+    pairs = followups.split_pairs(followups.pairs_sharing_names(asked, 7), 7, 25, 200)
+    text = lambda name: asked.select("paper", F.col("id").alias(name), F.col("text").alias(f"{name}_text"))
+    both = pairs.join(text("first"), ["paper", "first"]).join(text("second"), ["paper", "second"])
+    way, item = F.col("paper") % 3, F.regexp_replace("second_text", "item I-[0-9]+", "it")
+    own = both.select(F.concat_ws("+", "first", "second").alias("conversation_id"), "split", F.lit("").alias("title"), F.col("first_text").alias("first"), F.col("second_text").alias("second"), F.when(way == 0, F.col("second_text")).when(way == 1, item).otherwise("Was it so?").alias("followup"))
+    path, texts = scratch(spark), scratch(spark)
+    followups.kept(own).write.parquet(texts)
+    found = spark.read.parquet(texts)
+    good = found.where("problem is null")
+    followups.register(good, path)
+    registered = spark.read.parquet(path)
+    read = followups.read_registered(registered, good.drop("split"), "development").withColumn("split", F.lit("development")).unionByName(followups.read_registered(registered, good.drop("split"), "frozen").withColumn("split", F.lit("frozen")))
+    return read.unionByName(found.where("problem is not null")).groupBy("split", "problem").agg(F.count("*").alias("n"))
+
+
+def select_split(cases, split: str, frozen: bool):
+    """The cases of a split: `test` is scored once, under the frozen flag; `all` is a development read and forbids it."""
+    if split not in ("development", "test", "all"):
+        raise ValueError(f"unknown_split: {split}")
+    if split == "test" and not frozen:
+        raise ValueError("frozen_flag_required: the test split is scored once")
+    if split == "all" and frozen:
+        raise ValueError("frozen_not_allowed: the all split is a development read")
+    return cases if split == "all" else cases.where(F.col("split") == split)
+
+
+@query("""WITH c AS (SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 'test' ELSE 'development' END AS split FROM orders)
+SELECT 'test' AS asked, count(*) AS n, max(o_orderkey) AS last FROM c WHERE split = 'test' UNION ALL SELECT 'development', count(*), max(o_orderkey) FROM c WHERE split = 'development' UNION ALL SELECT 'all', count(*), max(o_orderkey) FROM c""")
+def p4_split_guard(spark, sf):
+    """Cases of each split under the flag that it needs; the wrong flag is refused (tested)."""
+    cases = Tables(spark, sf).orders.select("o_orderkey", F.when(F.col("o_orderpriority") == "1-URGENT", "test").otherwise("development").alias("split"))
+    counted = lambda split: select_split(cases, split, split == "test").agg(F.count("*").alias("n"), F.max("o_orderkey").alias("last")).select(F.lit(split).alias("asked"), "n", "last")
+    return counted("test").union(counted("development")).union(counted("all"))
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY sha256('42:' || doc_id), doc_id) - 1 AS position, CAST(NULL AS BOOLEAN) AS equivalent FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL")
+def p9_blind_sheet(spark, sf):
+    """Judged cases in a seeded order, their verdict left out."""
+    from ..operators.ordinals import numbered
+
+    keyed = Tables(spark, sf).labels.where("quality is not null and doc_id is not null").select("doc_id", followups.draw(42, F.col("doc_id")).alias("key"))
+    return numbered(keyed, "key", "doc_id").select("doc_id", "position", F.lit(None).cast("boolean").alias("equivalent"))
+
+
+@query("""WITH c AS (SELECT l_orderkey AS q, l_suppkey AS paper, row_number() OVER (PARTITION BY l_orderkey ORDER BY min(l_linenumber), l_suppkey) AS rank FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1, 2), g AS (SELECT l_orderkey AS q, arg_max(l_suppkey, (l_extendedprice, -l_linenumber)) AS gold FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1)
+SELECT o_orderkey, CASE WHEN gold IS NOT NULL THEN coalesce(round(1.0 / rank, 6), 0.0) END AS cited_map FROM orders LEFT JOIN g ON g.q = o_orderkey LEFT JOIN c ON c.q = o_orderkey AND c.paper = gold""")
+def p1_cited_map(spark, sf):
+    """Average precision of the cited papers (each once, in the order of citation) against the one gold paper; null without gold."""
+    t = Tables(spark, sf)
+    cited = t.lineitem.where("l_returnflag <> 'N'").groupBy("l_orderkey", "l_suppkey").agg(F.min("l_linenumber").alias("at"))
+    ranked = cited.withColumn("rank", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("at", "l_suppkey"))).select(F.col("l_orderkey").alias("q"), F.col("l_suppkey").alias("paper"), "rank")
+    gold = t.lineitem.where("l_linestatus = 'F'").groupBy(F.col("l_orderkey").alias("q")).agg(F.max_by("l_suppkey", F.struct("l_extendedprice", -F.col("l_linenumber"))).alias("paper"))
+    own = gold.join(ranked, ["q", "paper"], "left").select(F.col("q").alias("o_orderkey"), F.coalesce(F.round(1.0 / F.col("rank"), 6), F.lit(0.0)).alias("cited_map"))
+    return t.orders.select("o_orderkey").join(own, "o_orderkey", "left")
+
+
+@query("""WITH d AS (SELECT max(l_returnflag) AS l_returnflag, max(l_quantity) AS l_quantity FROM lineitem WHERE l_linenumber <= 4 GROUP BY l_orderkey, l_linenumber, l_partkey, l_suppkey), v AS (SELECT l_returnflag = 'R' AS a, CASE WHEN l_quantity > 25 THEN l_returnflag = 'R' ELSE false END AS b FROM d), n AS (SELECT count(*) AS n, count(*) FILTER (WHERE a = b) AS same, avg(a::INT) AS pa, avg(b::INT) AS pb FROM v)
+SELECT n, same, round(same / n, 6) AS agreement, round(CASE WHEN pa * pb + (1 - pa) * (1 - pb) = 1 THEN 1.0 ELSE (same / n - (pa * pb + (1 - pa) * (1 - pb))) / (1 - (pa * pb + (1 - pa) * (1 - pb))) END, 6) AS kappa FROM n""")
+def p15_judge_agreement(spark, sf):
+    """Stored verdicts joined to a second judge's: agreement and its part beyond chance, over what both judged."""
+    key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    own = Tables(spark, sf).lineitem.where("l_linenumber <= 4").groupBy(*key).agg(F.max("l_returnflag").alias("l_returnflag"), F.max("l_quantity").alias("l_quantity"))
+    first = own.select(*key, (F.col("l_returnflag") == "R").alias("a"))
+    second = own.select(*key, (F.col("l_returnflag").eqNullSafe("R") & (F.col("l_quantity") > 25)).alias("b"))
+    both = first.join(second, key)
+    count = lambda c: F.count_if(c).cast("double")
+    a, b = F.col("a"), F.col("b")
+    total = both.agg(F.count("*").alias("n"), F.count_if(a == b).alias("same"), count(a & b).alias("both"), count(~a & ~b).alias("neither"), count(a).alias("first"), count(b).alias("second"))
+    kappa = stats.cohen_kappa(*[F.col(c) for c in ("both", "neither", "first", "second", "n")])
+    return total.select("n", "same", F.round(F.col("same") / F.col("n"), 6).alias("agreement"), F.round(kappa, 6).alias("kappa"))
+
+
+_TURN = """u AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations WHERE role = 'user'), lq AS (SELECT * FROM u WHERE turn = last),
+ src AS (SELECT conv_id, unnest(['last_turn', 'with_history', 'rewrite', 'answer']) AS source, unnest([text, coalesce(before || chr(10), '') || text, array_to_string(list_distinct(regexp_extract_all(lower(text), '[0-9a-z]+')), ' '), answer]) AS text FROM lq LEFT JOIN (SELECT conv_id, arg_max(text, turn) AS answer FROM conversations WHERE role = 'assistant' GROUP BY 1) USING (conv_id))"""
+
+
+def turn_sources(conversations):
+    """(conv_id, source, text): the last question, the same after the one before it, its distinct terms as a rewrite, and the last answer."""
+    from ..functions.text import tokens
+
+    asked = conversations.where("role = 'user'")
+    w = Window.partitionBy("conv_id")
+    last = asked.withColumn("before", F.lag("text").over(w.orderBy("turn"))).withColumn("last", F.max("turn").over(w)).where("turn = last")
+    answers = conversations.where("role = 'assistant'").groupBy("conv_id").agg(F.max_by("text", "turn").alias("answer"))
+    texts = {"last_turn": F.col("text"), "with_history": F.concat(F.coalesce(F.concat("before", F.lit("\n")), F.lit("")), "text"), "rewrite": F.array_join(F.array_distinct(tokens(F.col("text"))), " "), "answer": F.col("answer")}
+    return last.join(answers, "conv_id", "left").select("conv_id", F.explode(F.create_map(*[x for name, t in texts.items() for x in (F.lit(name), t)])).alias("source", "q"))
+
+
+def retrieval_turns(spark, sf):
+    """(source, conv_id, recall and ndcg at 5 and 10) of each conversation's last question by each way of asking it.
+
+    Documents are found by BM25; every seventh has no passage and leaves the ranking.  Relevant are
+    the passages of the three documents that the answer itself finds; turns without any are left out.
+    """
+    from ..operators import lexical
+
+    t = Tables(spark, sf)
+    asked = turn_sources(t.conversations).select(F.concat_ws("/", "source", F.col("conv_id").cast("string")).alias("ask"), "source", "conv_id", F.col("q").alias("text"))
+    found = lexical.search(t.documents, asked.where("text is not null").select("ask", "text"), "doc_id", "text", "ask", "text", 20, digits=9).select("ask", "doc_id", "rank").join(asked.select("ask", "source", "conv_id"), "ask")
+    passages = t.documents.where("doc_id % 7 <> 6").select("doc_id", F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("passage"))
+    mapped = found.join(passages, "doc_id")
+    relevant = mapped.where("source = 'answer' and rank <= 3").select("conv_id", "passage")
+    ranked = mapped.where("source <> 'answer' and rank <= 10").withColumn("rank", F.row_number().over(Window.partitionBy("ask").orderBy("rank")))
+    every = None
+    for source in ("last_turn", "with_history", "rewrite"):
+        own = ranked.where(F.col("source") == source).select("conv_id", "passage", "rank")
+        at = lambda k, own=own: metrics.passage_metrics(own, relevant, "conv_id", "passage", k).select("conv_id", F.col("recall").alias(f"recall{k}"), F.col("ndcg").alias(f"ndcg{k}"))
+        row = at(5).join(at(10), "conv_id").withColumn("source", F.lit(source))
+        every = row if every is None else every.unionByName(row)
+    return every
+
+
+@query(f"""WITH {_TURN}, c AS (SELECT source || '/' || conv_id AS item_id, text FROM src WHERE text IS NOT NULL), tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[0-9a-z]+')) AS term FROM documents), p AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY 1, 2), dl AS (SELECT doc_id, len(regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z]+')) AS l FROM documents),
+ df AS (SELECT term, count(*) AS df FROM p GROUP BY 1), st AS (SELECT count(*) AS n, avg(l) AS avgdl FROM dl), q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[0-9a-z]+')) AS term FROM c),
+ s AS (SELECT item_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / avgdl))) AS score FROM q JOIN df USING (term) JOIN p USING (term) JOIN dl USING (doc_id), st GROUP BY 1, 2),
+ bm AS (SELECT split_part(item_id, '/', 1) AS source, CAST(split_part(item_id, '/', 2) AS BIGINT) AS conv_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s),
+ rel AS (SELECT conv_id, doc_id FROM bm WHERE source = 'answer' AND rank <= 3 AND doc_id % 7 <> 6), n AS (SELECT conv_id, count(*) AS n FROM rel GROUP BY 1),
+ m AS (SELECT source, conv_id, doc_id, row_number() OVER (PARTITION BY source, conv_id ORDER BY rank) AS rank FROM bm WHERE source <> 'answer' AND rank <= 10 AND doc_id % 7 <> 6),
+ h AS (SELECT source, conv_id, count(*) FILTER (WHERE rank <= 5) AS h5, count(*) AS h10, coalesce(sum(1 / log2(rank + 1)) FILTER (WHERE rank <= 5), 0) AS d5, sum(1 / log2(rank + 1)) AS d10 FROM m JOIN rel USING (conv_id, doc_id) GROUP BY 1, 2),
+ e AS (SELECT source, conv_id, n, coalesce(h5, 0) AS h5, coalesce(h10, 0) AS h10, coalesce(d5, 0) AS d5, coalesce(d10, 0) AS d10, list_sum(list_transform(range(1, n + 1), lambda i: 1 / log2(i + 1))) AS ideal FROM n CROSS JOIN (SELECT unnest(['last_turn', 'with_history', 'rewrite']) AS source) LEFT JOIN h USING (source, conv_id))
+SELECT source, count(*) AS turns, round(avg(h5 / n), 6) AS recall5, round(avg(h10 / n), 6) AS recall10, round(avg(d5 / ideal), 6) AS ndcg5, round(avg(d10 / ideal), 6) AS ndcg10 FROM e GROUP BY 1""")
+def p3_retrieval_run(spark, sf):
+    """Means of the retrieval metrics by the way of asking."""
+    means = [F.round(F.avg(c), 6).alias(c) for c in ("recall5", "recall10", "ndcg5", "ndcg10")]
+    return retrieval_turns(spark, sf).groupBy("source").agg(F.count("*").alias("turns"), *means)
+
+
+@query()
+def p3_retrieval_interval(spark, sf):
+    """The interval of ndcg at 10 over resampled conversations, for the last question as it is; tests compare the draws with one matrix."""
+    own = retrieval_turns(spark, sf).where("source = 'last_turn'")
+    return stats.family_bootstrap(own, "conv_id", "ndcg10", seed=42)
+
+
+def _usd(p, chars, out=512):
+    return f"(({-(-chars // 3)} * {p} + {out} * {p} * 4) / 1e6)"
+
+
+_ANSWER, _JUDGE = _usd("price", 2000 * 4 + 2000), _usd("1.5", 4000, 200)
+_AGENT = f"(8 * {_usd('price', 4 * (2000 * 4 + 3000))} + {_usd('price', 4000)} + 4 * {_ANSWER})"
+
+
+@query(f"""WITH n AS (SELECT item_id, count(*) AS cases FROM sale_lines GROUP BY 1) SELECT item_id, cases, round(cases * 2 * (2 * {_ANSWER} + 2 * {_JUDGE} + {_ANSWER}) + cases * {_AGENT}, 4) AS questions,
+ round(cases * 3 * ({_usd('price', 8000)} + 2 * {_ANSWER} + {_JUDGE}) + cases * 3 * ({_AGENT} + 2 * {_ANSWER} + {_JUDGE}), 4) AS turns, round(cases * (({_usd('price', 6000)} + 4 * {_ANSWER}) * 2 + 3 * {_JUDGE}), 4) AS conversations FROM n JOIN items USING (item_id) WHERE price IS NOT NULL""")
+def l27_run_estimates(spark, sf):
+    """The worst cost of three kinds of runs, with each item as a model at its price and its sales as cases."""
+    from ..functions import preflight as P
+
+    t = Tables(spark, sf)
+    own = t.sale_lines.groupBy("item_id").agg(F.count("*").alias("cases")).join(t.items.where("price is not null").select("item_id", "price"), "item_id")
+    price, cases = F.col("price"), F.col("cases")
+    model, judge, agent = P.Model(price, 4 * price, 512), P.Model(F.lit(1.5), F.lit(6.0), 200), P.Agent(planned=True, checked=True)
+    runs = {"questions": P.questions_usd(cases, 2, model, judge, 2000, model, (agent,)), "turns": P.turns_usd(cases, 3, (None, agent), model, judge, 2000), "conversations": P.conversations_usd(cases, model, judge, 2000, 6000)}
+    return own.select("item_id", "cases", *[F.round(v, 4).alias(k) for k, v in runs.items()])

@@ -131,8 +131,9 @@ _TERMS = "SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp
 SELECT item_id, doc_id, CAST(sum(tf) AS BIGINT) AS dot FROM q JOIN p USING (term) GROUP BY 1, 2""")
 def c15_sparse_dot(spark, sf):
     t = Tables(spark, sf)
-    asked = t.benchmark.select("item_id", F.explode(F.array_distinct(lexical.tokens(F.col("text")))).alias("term"))
-    return lexical.postings(t.documents, "doc_id", "text").join(asked, "term").groupBy("item_id", "doc_id").agg(F.sum("tf").alias("dot"))
+    asked = lexical.asked_terms(t.benchmark, "item_id", "text")
+    posted = lexical.asked_postings(t.documents, "doc_id", "text", asked)
+    return posted.join(asked, "term").groupBy("item_id", "doc_id").agg(F.sum("tf").alias("dot"))
 
 
 _DENSE = """WITH n AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, d.vec_id, list_dot_product(q.e, d.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(d.e, d.e))) AS score FROM n q, n d WHERE q.vec_id % 100 = 0)"""
@@ -149,12 +150,10 @@ def c16_dense_scores(spark, sf):
 b AS (SELECT query_id, list(vec_id) AS v FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 2) DESC, vec_id) AS r FROM s WHERE query_id <> vec_id) WHERE r <= 10 GROUP BY 1)
 SELECT query_id, CAST(len(list_intersect(a.v, b.v)) AS INTEGER) AS overlap FROM a JOIN b USING (query_id)""")
 def c17_neighbour_overlap(spark, sf):
-    from ..operators.ranking import ranked
-
     e = Tables(spark, sf).embeddings
-    every = dense.search(e, e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), "vec_id", "embedding", "query_id", 1 << 30, keep_self=False).drop("rank")
-    top = lambda df, name: ranked(df, "query_id", "vec_id", "score", 10).groupBy("query_id").agg(F.collect_list("vec_id").alias(name))
-    return top(every, "a").join(top(every.withColumn("score", F.round("score", 2)), "b"), "query_id").select("query_id", F.size(F.array_intersect("a", "b")).alias("overlap"))
+    asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    top = lambda name, digits: dense.search(e, asked, "vec_id", "embedding", "query_id", 10, keep_self=False, digits=digits).groupBy("query_id").agg(F.collect_list("vec_id").alias(name))
+    return top("a", None).join(top("b", 2), "query_id").select("query_id", F.size(F.array_intersect("a", "b")).alias("overlap"))
 
 
 @query("SELECT o_orderkey % 8 AS shard, count(*) AS n FROM orders GROUP BY 1")

@@ -19,8 +19,7 @@ _BM25 = """WITH tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[
 
 def bm25(t: Tables, k: int):
     """Top k documents of every benchmark item."""
-    scores = lexical.search(t.documents, t.benchmark, "doc_id", "text", "item_id", "text", 1 << 30).drop("rank").withColumn("order", F.round("score", 9))
-    return ranking.ranked(scores, "item_id", "doc_id", "order", k).drop("order")
+    return lexical.search(t.documents, t.benchmark, "doc_id", "text", "item_id", "text", k, digits=9)
 
 
 @query(f"{_BM25} SELECT item_id, doc_id, round(score, 6) AS score, rank FROM bm WHERE rank <= 10")
@@ -34,7 +33,7 @@ def i2_sparse_decomposition(spark, sf):
     t = Tables(spark, sf)
     stored, df, stats = lexical.weighted_postings(t.documents, "doc_id", "text")
     stored = round_trip(stored, "parquet")
-    asked = t.benchmark.select("item_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    asked = lexical.asked_terms(t.benchmark, "item_id", "text")
     half = asked.join(df, "term").crossJoin(F.broadcast(stats)).select("item_id", "term", lexical.idf(F.col("documents"), F.col("df")).alias("q"))
     scores = stored.join(half, "term").groupBy("item_id", "doc_id").agg(F.sum(F.col("q") * F.col("weight")).alias("score")).withColumn("order", F.round("score", 9))
     return ranking.ranked(scores, "item_id", "doc_id", "order", 10).select("item_id", "doc_id", F.round("score", 6).alias("score"))
@@ -44,9 +43,9 @@ _COS = """WITH n AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM
  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)"""
 
 
-def nearest(t: Tables, k: int, keep_self: bool = True):
+def nearest(t: Tables, k: int, keep_self: bool = True, digits: int | None = None):
     e = t.embeddings
-    return dense.search(e, e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), "vec_id", "embedding", "query_id", k, keep_self)
+    return dense.search(e, e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), "vec_id", "embedding", "query_id", k, keep_self, digits)
 
 
 @query(f"{_COS} SELECT query_id, vec_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10")
@@ -62,11 +61,8 @@ def i4_rrf(spark, sf):
 
 def fixture_hits(t: Tables, k: int):
     """Dense branch on digest-angle embeddings: every document against every benchmark item."""
-    docs, asked = evidence.fixture_embedding(t.documents, "doc_id", "text"), evidence.fixture_embedding(t.benchmark, "item_id", "text").select("item_id", F.col("x").alias("u"), F.col("y").alias("v"))
-    # the query side is the benchmark, in blocks of one broadcast each; every document meets each query once
-    scores = docs.crossJoin(F.broadcast(asked)) if asked.count() <= 100_000 else docs.crossJoin(asked)
-    scores = scores.select("item_id", "doc_id", F.round(F.col("x") * F.col("u") + F.col("y") * F.col("v"), 9).alias("score"))
-    return ranking.ranked(scores, "item_id", "doc_id", "score", k)
+    side = lambda rows, key, name: evidence.fixture_embedding(rows, key, "text").select(F.col(key).alias(name), F.array("x", "y").alias("v"))
+    return dense.search(side(t.documents, "doc_id", "doc_id"), side(t.benchmark, "item_id", "item_id"), "doc_id", "v", "item_id", k, digits=9)
 
 
 _FIX = """fx AS (SELECT doc_id, sum(cos(a)) AS x, sum(sin(a)) AS y FROM (SELECT doc_id, CAST(('0x' || left(sha256(term), 8))::BIGINT AS DOUBLE) / 4294967296.0 * 6.283185307179586 AS a FROM tok) GROUP BY 1), fd AS (SELECT doc_id, x / sqrt(x * x + y * y) AS x, y / sqrt(x * x + y * y) AS y FROM fx),
@@ -140,9 +136,8 @@ def i14_related(spark, sf):
 @query(f"{_BM25}, lab AS (SELECT DISTINCT doc_id FROM labels) SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s JOIN lab USING (doc_id) QUALIFY rank <= 40")
 def i15_named_paper_candidates(spark, sf):
     t = Tables(spark, sf)
-    scores = lexical.search(t.documents, t.benchmark, "doc_id", "text", "item_id", "text", 1 << 30).drop("rank")
-    named = scores.join(t.labels.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("score", F.round("score", 9))
-    return ranking.ranked(named, "item_id", "doc_id", "score", 40).select("item_id", "doc_id", F.col("rank").cast("long").alias("rank"))
+    named = lexical.search(t.documents, t.benchmark, "doc_id", "text", "item_id", "text", 40, digits=9, within=t.labels)
+    return named.select("item_id", "doc_id", F.col("rank").cast("long").alias("rank"))
 
 
 @query()
@@ -197,9 +192,9 @@ def i22_release_lifecycle(spark, sf):
 
 @query(f"{_COS}, t AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 3) DESC, vec_id) AS rank FROM s) SELECT r.query_id, count(t.vec_id) AS same FROM r LEFT JOIN t ON r.query_id = t.query_id AND r.vec_id = t.vec_id AND t.rank <= 10 WHERE r.rank <= 10 GROUP BY 1")
 def i23_oracle_comparison(spark, sf):
-    every = nearest(Tables(spark, sf), 1 << 30)
-    rough = ranking.ranked(every.drop("rank").withColumn("score", F.round("score", 3)), "query_id", "vec_id", "score", 10).select("query_id", "vec_id", F.lit(1).alias("y"))
-    return every.where("rank <= 10").join(rough, ["query_id", "vec_id"], "left").groupBy("query_id").agg(F.count("y").alias("same"))
+    t = Tables(spark, sf)
+    rough = nearest(t, 10, digits=3).select("query_id", "vec_id", F.lit(1).alias("y"))
+    return nearest(t, 10).join(rough, ["query_id", "vec_id"], "left").groupBy("query_id").agg(F.count("y").alias("same"))
 
 
 @query("SELECT label, count(*) AS n, round(min(c), 6) AS low, round(avg(c), 6) AS mean FROM (SELECT label, list_dot_product(e, r) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(r, r))) AS c FROM (SELECT label, CAST(embedding AS DOUBLE[]) AS e, list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(x * 16 + 0.5) / 16) AS r FROM embeddings)) GROUP BY 1")

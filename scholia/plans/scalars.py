@@ -212,13 +212,10 @@ def h26_check_claims(spark, sf):
     return own.select("l_orderkey", (F.size("ids") == 0).alias("uncited"), F.exists("ids", lambda x: x > 90).alias("unknown"), (F.size(F.array_distinct("ids")) < F.size("ids")).alias("duplicate"))
 
 
-@query()
+@query(r"""WITH l AS (SELECT conv_id, string_agg(upper(left(role, 1)) || substr(role, 2) || ': ' || trim(regexp_replace(text, '\s+', ' ', 'g')), chr(10) ORDER BY turn) AS x FROM conversations GROUP BY 1) SELECT conv_id, CASE WHEN starts_with(right(x, 500), chr(10)) THEN right(x, 499) ELSE right(x, 500) END AS history FROM l""")
 def h27_format_history(spark, sf):
-    """The latest turns of each conversation within 500 characters, oldest first."""
-    rows = F.reverse(F.array_sort(F.collect_list(F.struct("turn", F.concat_ws(": ", "role", "text").alias("x")))))
-    fits = lambda s, r: F.length(s) + F.length(r["x"]) + 1 <= 500
-    fold = F.aggregate(rows, F.lit(""), lambda s, r: F.when(fits(s, r), F.concat(r["x"], F.lit("\n"), s)).otherwise(s))
-    return Tables(spark, sf).conversations.groupBy("conv_id").agg(F.rtrim(fold).alias("history"))
+    """The turns of each conversation, oldest first, cut from the front to 500 characters."""
+    return T.format_history(Tables(spark, sf).conversations, "conv_id", "turn", "role", "text", 500)
 
 
 @query("SELECT conv_id, left(trim(text), 40) AS title FROM conversations WHERE turn = 0")

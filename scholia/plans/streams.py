@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import backoff_seconds
-from ..streaming import stateful
+from ..sources.readers import scratch
+from ..streaming import live, stateful
 from .registry import Tables, query
 
 
@@ -96,3 +97,45 @@ def m12_sessions(spark, sf):
     own = _events(spark, sf).withColumn("us", F.unix_micros("ts"))
     opens = F.coalesce(F.col("us") - F.lag("us").over(w) > 6 * 3_600_000_000, F.lit(True))
     return own.select("user_id", opens.alias("o")).where("o").groupBy("user_id").agg(F.count("*").alias("sessions"))
+
+
+def _click_events(rows, key, kind, ref, amount=None):
+    """Clicks as events of live folds, by the time at which they happened."""
+    amount = F.lit(None).cast("double") if amount is None else amount
+    return rows.select(key.cast("string").alias("key"), F.col("ts").cast("timestamp").alias("at"), F.col("click_id").alias("id"), kind.alias("kind"), ref.cast("string").alias("ref"), amount.alias("amount"))
+
+
+def _replayed(spark, sf, fold, events):
+    """The stream form of a fold over the clicks, started twice on one checkpoint; nothing comes later than ten days."""
+    path = f"{sf}/clicks.parquet"
+    stream = lambda: events(spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*"))  # noqa: E731  a file, or a folder of them
+    return live.replay(spark, fold, stream, scratch(spark), "10 days")
+
+
+@query()
+def m2_live_leases(spark, sf):
+    """Each client's job: views lease it, clicks extend, purchases complete, errors fail; timers end what nobody ends."""
+    names = F.create_map(*[F.lit(x) for x in ("view", "lease", "click", "heartbeat", "purchase", "complete", "error", "fail")])
+    events = lambda c: _click_events(c, F.col("client_id"), names[F.col("kind")], F.lit(None))
+    return _replayed(spark, sf, live.Leases(), events).withColumnRenamed("key", "client")
+
+
+_RESERVED = "SELECT day, a, row_number() OVER (PARTITION BY day ORDER BY ts, click_id) AS n FROM (SELECT DISTINCT ts, click_id, CAST(ts AS DATE) AS day, CAST(round(greatest(value, 0) * 1000000) AS BIGINT) AS a FROM clicks WHERE ts IS NOT NULL AND value IS NOT NULL)"
+
+
+@query(f"""WITH RECURSIVE x AS ({_RESERVED}), f AS (SELECT day, n, CASE WHEN a <= 900000000 THEN a ELSE 0 END AS used, CASE WHEN a <= 900000000 THEN 1 ELSE 0 END AS acc FROM x WHERE n = 1
+ UNION ALL SELECT f.day, x.n, CASE WHEN used + a <= 900000000 THEN used + a ELSE used END, acc + CASE WHEN used + a <= 900000000 THEN 1 ELSE 0 END FROM f JOIN x ON x.day = f.day AND x.n = f.n + 1)
+SELECT CAST(day AS VARCHAR) AS day, CAST(max(acc) AS BIGINT) AS accepted, CAST(max(n) - max(acc) AS BIGINT) AS refused, arg_max(used, n) / 1000000.0 AS spent FROM f GROUP BY 1""")
+def m4_live_spend(spark, sf):
+    """The day's cap as a stream: each click reserves its value, what does not fit is refused."""
+    events = lambda c: _click_events(c, F.to_date("ts"), F.lit("reserve"), F.col("click_id"), F.when(F.col("value") > 0, F.col("value")).when(F.col("value").isNotNull(), 0.0))
+    out = _replayed(spark, sf, live.Spend(900.0), events)
+    return out.groupBy(F.col("key").alias("day")).agg(F.count_if(F.col("verdict") == "accepted").alias("accepted"), F.count_if(F.col("verdict") == "refused").alias("refused"), F.max("spent").alias("spent"))
+
+
+@query()
+def m6_live_codes(spark, sf):
+    """Sign-in codes of each client: clicks and errors issue one, views try the last digit of their id, purchases the right one's."""
+    kind = F.when(F.col("kind").isin("click", "error"), "issue").when(F.col("kind").isin("view", "purchase"), "verify")
+    events = lambda c: _click_events(c, F.col("client_id"), kind, F.col("click_id") % 3)
+    return _replayed(spark, sf, live.Codes(), events).withColumnRenamed("key", "client")

@@ -7,16 +7,27 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .stored import remove
 
-def scratch(spark: SparkSession) -> str:
-    """A new path in the cluster's shared folder; one of our own only where none is set."""
+
+def _own_folder(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         import tempfile
 
         base = "file://" + tempfile.mkdtemp(prefix="scholia-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/scholia-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/scholia-{spark.sparkContext.applicationId}"
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in this application's folder below the one that the cluster shares; one of our own only where none is set."""
+    return f"{_own_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def clean(spark: SparkSession) -> bool:
+    """Delete all that this application wrote to scratch(); for the end of a job, when no result is read any more."""
+    return remove(spark, _own_folder(spark))
 
 
 def read_registry(spark: SparkSession, path: str, columns: list[str], equal: dict, order: str) -> DataFrame:
