@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import U64, Block, cut, groups, mix, row_key, texts_of
+from .textkit import U64, Block, cut, groups, lean, mix, row_key, texts_of
 
 MIN_CHUNK = 32  # not less than the 32 bytes that the rolling hash sees
 MASK_BITS = 4
@@ -40,6 +40,8 @@ MAX_CHUNK = 192
 MIN_RUN = 128
 WINDOW = 32  # what the rolling hash sees
 CELL, MARGIN = 1024, 512
+#: Texts are chunked in groups of about this many bytes.
+GROUP = 1 << 19
 
 GEAR = (mix(np.arange(1, 257, dtype=np.uint64) * U64(0x9E3779B97F4A7C15)) >> U64(32)).astype(np.uint32)
 
@@ -115,7 +117,7 @@ def _seed_rows(min_run: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             keys, texts = part.column(0).to_numpy(), texts_of(part.column(1))
-            for x, y in groups(texts):
+            for x, y in groups(texts, GROUP):
                 digest, doc, at, size, *_ = _seeds(texts[x:y], min_run)
                 yield pa.RecordBatch.from_pydict({"digest": pa.array(digest.view(np.int64)), "key": pa.array(keys[x:y][doc]), "at": pa.array(at.astype(np.int32)), "size": pa.array(size.astype(np.int16))})
 
@@ -256,18 +258,18 @@ def _spans(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def foreign_copies(own: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     """(key, row, foreign): for each (key, row, text), row a hash of text, the stretches that other documents own."""
-    rows = own.select("key", "text").mapInArrow(_seed_rows(min_run), "digest long, key long, at int, size short")
+    rows = own.select("key", "text").mapInArrow(lean(_seed_rows(min_run)), "digest long, key long, at int, size short")
     repeated = rows.groupBy("digest").agg(F.min(F.struct("key", "at")).alias("o"), F.max("key").alias("other")).where("o.key <> other")
     repeated = cut(repeated.select("digest", F.col("o.key").alias("owner"), F.col("o.at").alias("start")), "repeated")
     cells = repeated.groupBy(F.col("owner").alias("key")).agg(F.collect_set(F.expr(f"cast(start div {CELL} as int)")).alias("cells"))
-    pieces = cut(own.select("key", "text").join(cells, "key").select("key", "text", "cells").mapInArrow(_pieces, PIECE), "pieces")
+    pieces = cut(own.select("key", "text").join(cells, "key").select("key", "text", "cells").mapInArrow(lean(_pieces), PIECE), "pieces")
     copies = rows.join(repeated, "digest").where("key <> owner")
     seeds = F.collect_list(F.struct("at", "size", "start")).alias("seeds")
     copies = cut(copies.groupBy("key", "owner", F.expr(f"cast(start div {CELL} as int)").alias("cell")).agg(seeds), "copies")
 
     def spans(copies: DataFrame, pieces: DataFrame, on: list[str]) -> DataFrame:
         met = copies.join(pieces, on).groupBy("key").agg(F.collect_list(F.struct("owner", "base", "last", "piece", "seeds")).alias("pieces"))
-        return cut(own.join(met, "key").select("key", "row", "text", "pieces").mapInArrow(_spans, "key long, row long, spans array<int>, early array<struct<owner: long, at: int, size: short, start: int>>"), "spans")
+        return cut(own.join(met, "key").select("key", "row", "text", "pieces").mapInArrow(lean(_spans), "key long, row long, spans array<int>, early array<struct<owner: long, at: int, size: short, start: int>>"), "spans")
 
     found = spans(copies, pieces, ["owner", "cell"])
     early = found.select("key", F.explode("early").alias("e")).select("key", "e.*").groupBy("key", "owner").agg(F.collect_set(F.struct("at", "size", "start")).alias("seeds"))
@@ -288,7 +290,7 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     @F.pandas_udf("string")
     def kept(texts: pd.Series, lists: pd.Series) -> pd.Series:
         raw, found = [b"" if t is None else t.encode() for t in texts], list(lists)
-        out = [k for a, b in groups(raw) for k in remove_copies(raw[a:b], found[a:b], min_run)["kept"]]
+        out = [k for a, b in groups(raw, GROUP) for k in remove_copies(raw[a:b], found[a:b], min_run)["kept"]]
         return pd.Series([None if t is None else k.decode() for t, k in zip(texts, out, strict=True)], dtype="object")
 
     joined = keyed.join(lists.select(F.col("key").alias(key), F.col("row").alias(row), F.col("foreign").alias(copied)), [key, row], "left")
@@ -305,9 +307,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for part in parts:
             ids, texts, copied = part.column(0), texts_of(part.column(1)), part.column(2).to_pylist()
             nulls = part.column(1).is_null().to_pylist()
-            for x, y in groups(texts):
+            for x, y in groups(texts, GROUP):
                 out = remove_copies(texts[x:y], copied[x:y], min_run)
                 kept = [None if n and not k else k for n, k in zip(nulls[x:y], out.pop("kept"), strict=True)]
                 yield pa.RecordBatch.from_pydict({"doc_id": ids[x:y], "kept_text": pa.array(kept, pa.binary()).cast(pa.string())} | {k: pa.array(v, pa.int64()) for k, v in out.items()})
 
-    return own.join(lists, ["key", "row"], "left").select("doc_id", "text", "foreign").mapInArrow(run, SCHEMA)
+    return own.join(lists, ["key", "row"], "left").select("doc_id", "text", "foreign").mapInArrow(lean(run), SCHEMA)

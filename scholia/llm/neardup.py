@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textkit import SPACED, U64, Block, cut, groups, mix, texts_of, windows
+from .textkit import SPACED, U64, Block, cut, groups, lean, mix, texts_of, windows
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -198,7 +198,7 @@ def _same(left: DataFrame, right: DataFrame):
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row per document: doc_id, h1 and h2 (hashes of its text), class_id, kept, n_rows (equal rows) and n_copies (other documents with the same shingles)."""
     own = docs.select(*_identified(docs, id_col, text_col), docs[text_col].cast("string").alias("text"))
-    signed = own.mapInArrow(_sign, "doc_id long, h1 long, h2 long, size long, a long, b long, bands array<long>")
+    signed = own.mapInArrow(lean(_sign), "doc_id long, h1 long, h2 long, size long, a long, b long, bands array<long>")
     signed = signed.groupBy(IDENTITY).agg(F.any_value(F.struct("size", "a", "b", "bands")).alias("s"), F.count("*").alias("n_rows"))
     signed = cut(signed.select(F.monotonically_increasing_id().alias("key"), *IDENTITY, "s.*", "n_rows"), "signed")  # numbered once, as they are written
     some = signed.where("size > 0")
@@ -234,7 +234,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _linked(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     left = pairs.join(texts.select(F.col("key").alias("u"), F.col("text").alias("t")), "u")
     right = left.join(texts.select(F.col("key").alias("v"), F.col("text").alias("s")), "v")
-    return cut(right.select("u", "v", "t", "s").mapInArrow(_compare, "u long, v long, similarity double").where(F.col("similarity") >= similarity), "new")
+    return cut(right.select("u", "v", "t", "s").mapInArrow(lean(_compare), "u long, v long, similarity double").where(F.col("similarity") >= similarity), "new")
 
 
 def _shingle_rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +255,7 @@ def _rest_pairs(members: DataFrame, labels: DataFrame, texts: DataFrame, similar
     classes = members.where(_waiting()).select("band", "key").join(labels, "key")
     mixed = classes.groupBy("band").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("band")
     members = cut(classes.join(mixed, "band").select("key", "class").distinct(), "unsettled")
-    rows = cut(members.join(texts, "key").select("key", "class", "text").mapInArrow(_shingle_rows, "shingle long, key long, class long, size long"), "shingles")
+    rows = cut(members.join(texts, "key").select("key", "class", "text").mapInArrow(lean(_shingle_rows), "shingle long, key long, class long, size long"), "shingles")
     often = rows.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
     common = rows.join(often, "shingle")  # a shingle of one text comes before all others and joins nothing
     by_key = Window.partitionBy("key")

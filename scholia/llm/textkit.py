@@ -7,9 +7,11 @@ bytes gives the same words as working on code points.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +42,7 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
-        size = max(n, 2 * GROUP_BYTES)
+        size = max(1 << n.bit_length(), 1 << 20)
         for k, base in enumerate((_BASE, _INVERSE)):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
@@ -89,6 +91,21 @@ def gathered(parts: Iterator[pa.RecordBatch], limit: int = 1 << 22) -> Iterator[
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, giving back at a task's end what its Python worker would else keep for the next: workers outlive their stage."""
+
+    def task(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(parts)
+        finally:
+            _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(AttributeError, OSError):  # the C library of Linux has this call
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return task
+
+
 class Block:
     """Texts as one buffer; `offsets[d]` is where text d starts, `offsets[-1]` the buffer's end."""
 
