@@ -13,14 +13,11 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
 from ..sources.stored import exists, read_json, remove, write_json
 from . import dense, evidence, lexical, ordinals, ranking
 from .digests import ranged_digest
 
 KINDS = ("papers", "chunks")
-#: Posting tables are split by a hash of the term, so that a query reads the buckets of its terms only.
-TERM_BUCKETS = 64
 # Fixed values of canary rankings: how many, how long, words of a query, results read beyond, and the tie.
 CANARIES, CANARY_LIMIT, CANARY_TERMS, CANARY_SLACK, TIE = 5, 10, 12, 20, 1e-6
 
@@ -124,15 +121,12 @@ def build(docs: DataFrame, folder: str, model: str, limit: int | None = None) ->
         docs = docs.orderBy("id").limit(limit)
     points = evidence.fixture_embedding(docs, "id", "text").select("id", F.array("x", "y").alias("vector"))
     points.write.mode("overwrite").parquet(f"{folder}/points")
-    weighted, df, stats = lexical.weighted_postings(docs, "id", "text")
-    weighted.withColumn("bucket", F.pmod(F.hash("term"), F.lit(TERM_BUCKETS))).repartition("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
-    df.write.mode("overwrite").parquet(f"{folder}/vocabulary")
+    documents, mean = lexical.write_index(docs, "id", "text", folder)
     rows, digest = ranged_digest(docs, "id", "text").first()
-    counted = stats.first()
     own = {"points": spark.read.parquet(f"{folder}/points").count(), "rows": rows, "digest": digest, "dimensions": 2, "model": model, "limit": limit}
-    own |= {"documents": counted["documents"], "average_length": counted["avgdl"], "vocabulary_sha256": vocabulary_digest(spark, folder)}
+    own |= {"documents": documents, "average_length": mean, "vocabulary_sha256": vocabulary_digest(spark, folder)}
     heads = [(r["id"], " ".join(r["text"].split()[:CANARY_TERMS])) for r in ordinals.every_nth(docs, "id", CANARIES).select("id", F.coalesce("text", F.lit("")).alias("text")).orderBy("id").collect()]
-    asked = canary_queries(spark, heads, folder, counted["documents"])
+    asked = canary_queries(spark, heads, folder, documents)
     found = search_canaries(spark, folder, asked, CANARY_LIMIT)
     return own | {"canaries": [a | found[k] for k, a in enumerate(asked)]}
 
@@ -150,7 +144,7 @@ def canary_queries(spark: SparkSession, heads: list[tuple[int, str]], folder: st
         return []
     rows = spark.createDataFrame(heads, "id long, text string")
     vectors = {r["id"]: [r["x"], r["y"]] for r in evidence.fixture_embedding(rows, "id", "text").collect()}
-    terms = rows.select("id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).join(spark.read.parquet(f"{folder}/vocabulary"), "term")
+    terms = rows.select("id", F.explode(F.array_distinct(lexical.terms(F.col("text")))).alias("term")).join(spark.read.parquet(f"{folder}/vocabulary"), "term")
     sparse: dict[int, dict[str, float]] = {}
     for r in terms.select("id", "term", lexical.idf(F.lit(documents), F.col("df")).alias("idf")).collect():
         sparse.setdefault(r["id"], {})[r["term"]] = r["idf"]
@@ -165,7 +159,7 @@ def search_canaries(spark: SparkSession, folder: str, asked: list[dict[str, Any]
     queries = spark.createDataFrame([(k, a["dense_query"]) for k, a in enumerate(asked)], "q long, vector array<double>")
     near = dense.search(spark.read.parquet(f"{folder}/points"), queries, "id", "vector", "q", limit)
     weights = [(k, t, w) for k, a in enumerate(asked) for t, w in sorted(a["sparse_query"].items())]
-    words = spark.createDataFrame(weights, "q long, term string, w double").withColumn("bucket", F.pmod(F.hash("term"), F.lit(TERM_BUCKETS)))
+    words = spark.createDataFrame(weights, "q long, term string, w double").withColumn("bucket", lexical.bucket_of(F.col("term")))
     buckets = [r[0] for r in words.select("bucket").distinct().collect()]
     stored = spark.read.parquet(f"{folder}/postings").where(F.col("bucket").isin(buckets))
     scores = stored.join(F.broadcast(words.drop("bucket")), "term").groupBy("q", "id").agg(F.sum(F.col("w") * F.col("weight")).alias("score"))  # a few words for each canary

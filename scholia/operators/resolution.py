@@ -4,9 +4,11 @@ A record joins the paper that owns its identifiers, or the one paper with its ti
 metadata, or founds a paper.  What it does depends on earlier records only, so the outcome of all
 records is the one fixed point of deciding() over a guess of it: every round decides all records
 against the last round's outcome, in a few joins, and a record is right as soon as those it depends
-on are.  Chains of owners are shortened between rounds, so rounds are few; the last one changes
-nothing.  Records equal in everything but id and arrival are one source record: later ones get the
-outcome of the first.
+on are.  To keep rounds few, chains of owners are shortened between them, and the title step only
+looks at sure founders: of those that found no paper of their title, one for each title, year and
+first author is made sure in a round, so that the others may join it in the next.  In the last round
+every founder is sure and nothing changes.  Records equal in everything but id and arrival are one
+source record: later ones get the outcome of the first.
 
 Each table that a hot key is looked up in has one row for the key and is written first, so that
 Spark can split the other side.  The title step compares records without a known identifier with the
@@ -42,7 +44,7 @@ def _compatible_years(paper_year: Column, year: Column) -> Column:
 
 
 def deciding(records: DataFrame, state: DataFrame) -> DataFrame:
-    """Each record's outcome (id, paper, how, other) if earlier records had the outcome in state (id, paper; null paper: conflict)."""
+    """Each record's outcome (id, paper, how, one, other, tie) if earlier records had the outcome in state (id, paper, sure; null paper: conflict)."""
     members = _cut(records.join(state.where("paper is not null").select("id", "paper"), "id"))
     owners = _cut(members.select("at", "paper", F.explode("keys").alias("k")).groupBy("k.ns", "k.value").agg(F.min_by("paper", "at").alias("paper"), F.min("at").alias("since")))
     first = lambda ok, value=None: F.min(F.when(ok, F.col("at"))) if value is None else F.min_by(value, F.when(ok, F.col("at")))
@@ -50,17 +52,17 @@ def deciding(records: DataFrame, state: DataFrame) -> DataFrame:
         first(F.col("year").isNotNull()).alias("year_since"), first(F.col("year").isNotNull(), "year").alias("paper_year"), first(F.size("authors") > 0).alias("authors_since"),
         *[first(F.array_contains(_ns(F.col("keys")), s)).alias(f"{s}_since") for s in STRONG],
     )
-    papers = _cut(facts.join(records.select(F.col("id").alias("paper"), F.col("title_key").alias("paper_title"), F.col("at").alias("founded")), "paper"))
+    founders = records.join(state.select("id", "sure"), "id").select(F.col("id").alias("paper"), F.col("title_key").alias("paper_title"), F.col("at").alias("founded"), "sure")
+    papers = _cut(facts.join(founders, "paper"))
     names = _cut(members.select("at", "paper", F.explode("authors").alias("author")).groupBy("paper", "author").agg(F.min("at").alias("since")))
 
     asked = records.select("id", "at", F.explode("keys").alias("k")).select("id", "at", "k.ns", "k.value")
     roots = asked.join(owners, ["ns", "value"]).where("since < at").groupBy("id").agg(F.min("paper").alias("paper"), F.max("paper").alias("last"))
     known = _cut(records.join(roots, "id"))
-    outcome = lambda df, paper, how, other=None: df.select("id", F.lit(paper).cast("long").alias("paper") if paper is None else F.col(paper).alias("paper"), F.lit(how).alias("how"), *(other or (F.lit(None).cast("long").alias("one"), F.lit(None).cast("long").alias("other"))))
 
     torn = known.where("paper <> last")
     strong = F.arrays_overlap(_ns(F.col("keys")), F.array(*map(F.lit, STRONG)))
-    torn = torn.select("id", F.lit(None).cast("long").alias("paper"), F.when(strong, "contradictory_strong_ids").otherwise("contradictory_identifiers").alias("how"), F.col("paper").alias("one"), F.col("last").alias("other"))
+    torn = torn.select("id", F.lit(None).cast("long").alias("paper"), F.when(strong, "contradictory_strong_ids").otherwise("contradictory_identifiers").alias("how"), F.col("paper").alias("one"), F.col("last").alias("other"), F.lit(False).alias("tie"))
 
     single = known.where("paper = last").join(papers, "paper")
     shared = single.select("id", "at", "paper", F.explode("authors").alias("author")).join(names, ["paper", "author"]).where("since < at").select("id").distinct()
@@ -68,7 +70,7 @@ def deciding(records: DataFrame, state: DataFrame) -> DataFrame:
     unnamed = (F.size("authors") == 0) | F.col("authors_since").isNull() | (F.col("authors_since") >= F.col("at"))
     year_then = F.when(F.col("year_since") < F.col("at"), F.col("paper_year"))
     fits = F.col("title_key").eqNullSafe(F.col("paper_title")) & _compatible_years(year_then, F.col("year")) & (unnamed | F.coalesce("shares", F.lit(False)))
-    single = single.select("id", F.when(fits, F.col("paper")).alias("paper"), F.when(fits, "joined").otherwise("incompatible_metadata").alias("how"), F.when(~fits, F.col("paper")).alias("one"), F.lit(None).cast("long").alias("other"))
+    single = single.select("id", F.when(fits, F.col("paper")).alias("paper"), F.when(fits, "joined").otherwise("incompatible_metadata").alias("how"), F.when(~fits, F.col("paper")).alias("one"), F.lit(None).cast("long").alias("other"), F.lit(False).alias("tie"))
 
     strays = _cut(records.join(known.select("id"), "id", "left_anti"))
     return torn.unionByName(single).unionByName(_by_title(strays, papers, names))
@@ -76,7 +78,7 @@ def deciding(records: DataFrame, state: DataFrame) -> DataFrame:
 
 def _by_title(strays: DataFrame, papers: DataFrame, names: DataFrame) -> DataFrame:
     """Records without a known identifier: joined to the one best paper of their title, or founders."""
-    titled = papers.withColumnRenamed("paper_title", "title_key").where("title_key <> ''")
+    titled = papers.withColumnRenamed("paper_title", "title_key").where("sure and title_key <> ''")
     then = lambda c: F.col(c).isNotNull() & (F.col(c) < F.col("at"))
     shared = strays.select("id", "at", "title_key", F.explode("authors").alias("author")).join(names.join(titled.select("paper", "title_key"), "paper"), ["title_key", "author"]).where("since < at")
     shared = shared.groupBy("id", "paper").agg(F.count("*").alias("overlap"))
@@ -89,9 +91,19 @@ def _by_title(strays: DataFrame, papers: DataFrame, names: DataFrame) -> DataFra
     cols = ["id", "paper", "overlap"]
     pairs = with_authors.where(fits).select(*cols).union(without.where(fits).select(*cols))
     best = pairs.groupBy("id", "overlap").agg(F.count("*").alias("n"), F.min("paper").alias("paper")).groupBy("id").agg(F.max(F.struct("overlap", "n", "paper")).alias("b"))
-    one = best.where("b.n = 1").select("id", F.col("b.paper").alias("paper"))
+    best = best.select("id", F.when(F.col("b.n") == 1, F.col("b.paper")).alias("paper"), (F.col("b.n") > 1).alias("tie"))
     none = F.lit(None).cast("long")
-    return strays.select("id").join(one, "id", "left").select("id", F.coalesce("paper", "id").alias("paper"), F.when(F.col("paper").isNull(), "created").otherwise("joined_by_title").alias("how"), none.alias("one"), none.alias("other"))
+    return strays.select("id").join(best, "id", "left").select("id", F.coalesce("paper", "id").alias("paper"), F.when(F.col("paper").isNull(), "created").otherwise("joined_by_title").alias("how"), none.alias("one"), none.alias("other"), F.coalesce("tie", F.lit(False)).alias("tie"))
+
+
+def _next_state(records: DataFrame, found: DataFrame, state: DataFrame) -> DataFrame:
+    """The outcome with owners of owners looked through, and with more sure founders: those without title, with several equal papers, and one of each title, year and first author."""
+    onward = found.select(F.col("id").alias("paper"), F.col("paper").alias("next"))
+    made = found.where("how = 'created'").join(state.select("id", F.col("sure").alias("was")), "id").join(records.select("id", "at", "title_key", "year", F.array_min("authors").alias("author")), "id")
+    open_ = made.where("not was and not tie and title_key <> ''").groupBy("title_key", "year", "author").agg(F.min_by("id", "at").alias("id"))
+    sure = made.where("was or tie or title_key is null or title_key = ''").select("id").union(open_.select("id")).withColumn("sure", F.lit(True))
+    short = found.join(onward, "paper", "left").select("id", F.when(F.col("paper").isNotNull(), F.coalesce("next", "paper")).alias("paper"), "how", "one", "other")
+    return short.join(sure, "id", "left").withColumn("sure", F.coalesce("sure", F.lit(False)))
 
 
 def source_records(records: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -114,14 +126,13 @@ def resolve(records: DataFrame) -> DataFrame:
     clean = records.withColumn("keys", F.array_distinct(F.filter(F.coalesce("keys", F.array()), lambda k: k["ns"].isNotNull() & k["value"].isNotNull()))).withColumn("authors", F.array_distinct(F.array_compact(F.coalesce("authors", F.array().cast("array<string>")))))
     first, pointers = source_records(clean)
     none = F.lit(None).cast("long")
-    state = first.select("id", F.col("id").alias("paper"), F.lit("created").alias("how"), none.alias("one"), none.alias("other"))
+    state = first.select("id", F.col("id").alias("paper"), F.lit("created").alias("how"), none.alias("one"), none.alias("other"), F.lit(False).alias("sure"))
     while True:
         found = _cut(deciding(first, state))
-        moved = found.alias("f").join(state.alias("s"), "id").where("not (f.paper <=> s.paper and f.how <=> s.how and f.one <=> s.one and f.other <=> s.other)")
+        moved = found.alias("f").join(state.alias("s"), "id").where("not (f.paper <=> s.paper and f.how <=> s.how and f.one <=> s.one and f.other <=> s.other) or (f.how = 'created' and not s.sure)")
         if moved.isEmpty():
             break
-        onward = found.select(F.col("id").alias("paper"), F.col("paper").alias("next"))
-        state = found.join(onward, "paper", "left").select("id", F.when(F.col("paper").isNotNull(), F.coalesce("next", "paper")).alias("paper"), "how", "one", "other")
+        state = _cut(_next_state(first, found, state))
     named = found.withColumnRenamed("id", "first")
     replay = (F.col("id") != F.col("first")) & (F.col("how") == "created")
     return pointers.join(named, "first").select("id", "paper", F.when(replay, "joined").otherwise(F.col("how")).alias("how"), "one", "other")

@@ -307,3 +307,12 @@ def f11_canary_rankings(spark, sf):
     built = releases.build(docs, folder, "angles-1")
     rows = [(c["id"], b, i, k + 1, s) for c in built["canaries"] for b in ("sparse", "dense") for k, (i, s) in enumerate(c[b])]
     return spark.createDataFrame(rows, "canary long, branch string, doc_id long, rank long, score double").withColumn("score", F.round("score", 6))
+
+
+@query(f"{_BM25} SELECT item_id, doc_id, round(score, 6) AS score, rank FROM bm WHERE rank <= 10")
+def i20_stored_index_search(spark, sf):
+    """An index written once by term buckets, and the search that reads the buckets of its terms only."""
+    t, folder = Tables(spark, sf), scratch(spark)
+    n, _ = lexical.write_index(t.documents, "doc_id", "text", folder)
+    found = lexical.search_index(spark, folder, n, t.benchmark, "doc_id", "item_id", "text", 10, digits=9)
+    return found.select("item_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))

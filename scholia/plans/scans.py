@@ -147,7 +147,8 @@ def a19_qrels_tsv(spark, sf):
 @query("SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name AS name, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey")
 def a20_keyed_objects(spark, sf):
     t = Tables(spark, sf)
-    obj = lambda df, k, v: df.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col(k).cast("string"), F.col(v).cast("string"))))).alias("j")).select(F.explode(F.from_json("j", "map<string,string>")).alias("id", v))
+    # each row is an object of one key, so no table is in one object
+    obj = lambda df, k, v: df.select(F.to_json(F.create_map(F.col(k).cast("string"), F.col(v).cast("string"))).alias("j")).select(F.explode(F.from_json("j", "map<string,string>")).alias("id", v))
     names, keys, regions = obj(t.nation, "n_nationkey", "n_name"), obj(t.nation, "n_nationkey", "n_regionkey"), obj(t.region, "r_regionkey", "r_name")
     joined = names.join(keys, "id").join(regions.withColumnRenamed("id", "n_regionkey"), "n_regionkey")
     return joined.select("id", F.col("n_name").alias("name"), F.col("r_name").alias("region"))

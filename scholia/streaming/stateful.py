@@ -5,17 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .live import Spend, folded
 
-def capped_spend(rows: DataFrame, keys: list[str], order: list[str], amount: Column, cap: float) -> DataFrame:
-    """Per key in order: a reservation is accepted if what was accepted so far and it fit the cap; a refused one adds nothing."""
-    items = F.array_sort(F.collect_list(F.struct(*order, amount.alias("amount"))))
-    start = F.struct(F.lit(0.0).alias("used"), F.lit(0).cast("long").alias("accepted"), F.lit(0).cast("long").alias("refused"))
 
-    def step(s, x):
-        fits = s["used"] + x["amount"] <= cap
-        return F.struct(F.when(fits, s["used"] + x["amount"]).otherwise(s["used"]).alias("used"), (s["accepted"] + fits.cast("long")).alias("accepted"), (s["refused"] + (~fits).cast("long")).alias("refused"))
+def capped_spend(rows: DataFrame, keys: list[str], order: list[str], amount: Column, cap: float) -> DataFrame:
+    """Per key in order (a time, and a number that tells rows of one time apart, if there is one): a reservation (of at least nothing) is accepted if what was accepted so far and it fit the cap; a refused one adds nothing.
 
-    return rows.groupBy(*keys).agg(F.aggregate(items, start, step).alias("s")).select(*keys, "s.*")
+    Rows of a key pass by sorted; only the sum is held.
+    """
+    number = F.col(order[1]).cast("long") if len(order) > 1 else F.monotonically_increasing_id()
+    own = rows.select(F.to_json(F.struct(*keys)).alias("key"), F.col(order[0]).cast("timestamp").alias("at"), number.alias("id"), amount.cast("double").alias("amount"))
+    events = own.select("key", "at", "id", F.lit("reserve").alias("kind"), F.col("id").cast("string").alias("ref"), "amount")
+    verdicts = folded(Spend(cap), events)
+    own = verdicts.groupBy("key").agg(F.max("spent").alias("used"), F.count_if(F.col("verdict") == "accepted").alias("accepted"), F.count_if(F.col("verdict") == "refused").alias("refused"))
+    back = F.from_json("key", ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)).alias("k")
+    return own.select(back, "used", "accepted", "refused").select("k.*", "used", "accepted", "refused")
 
 
 def daily_spend(stream: DataFrame, time: str, key: str, amount: str, late: str = "1 hour") -> DataFrame:

@@ -65,7 +65,7 @@ def doi(*names):
     return [("doi", n) for n in names]
 
 
-def test_cases_by_hand(spark):
+def test_cases_by_hand(spark, monkeypatch):
     rows = [
         (1, 1, doi("a"), "one", 2020, ["ann"]), (2, 2, doi("a"), "one", 2020, ["ann", "bob"]),  # a shared identifier
         (3, 3, [("arxiv", "x")], "two", 2019, ["cyd"]), (4, 4, doi("b"), "two", 2020, ["cyd"]),  # preprint and proceedings of two years
@@ -86,8 +86,15 @@ def test_cases_by_hand(spark):
     # beside them one identifier of most records, and a long chain of identifiers
     hot = [(100 + i, 100 + i, doi("hot"), "t", 2020 + (i % 7 == 0), ["a", f"b{i}"]) for i in range(300)]
     chain = [(1000 + i, 1000 + i, doi(f"c{i}", f"c{i + 1}"), "chain", None, []) for i in range(40)]
-    got = resolution.resolve(spark.createDataFrame([*rows, *hot, *chain], SCHEMA)).cache()
-    assert {r["id"]: (r["paper"], r["how"], r["one"], r["other"]) for r in got.collect()} == want | replay([*hot, *chain])
+    # one title of most records, of several years and authors, without identifiers; and one where two papers tie for all that follow
+    titled = [(2000 + i, 2000 + i, [], "hot title", [2020, 2021, None][i % 3 if i > 5 else 0], ["a", f"b{i % 7}", f"c{i}"]) for i in range(200)]
+    tied = [(3000 + i, 3000 + i, [], "tied", [2020, 2021][i] if i < 2 else None, []) for i in range(40)]
+    more = [*hot, *chain, *titled, *tied]
+    rounds = []
+    monkeypatch.setattr(resolution, "deciding", lambda *a, of=resolution.deciding: rounds.append(1) or of(*a))
+    got = resolution.resolve(spark.createDataFrame([*rows, *more], SCHEMA)).cache()
+    assert {r["id"]: (r["paper"], r["how"], r["one"], r["other"]) for r in got.collect()} == want | replay(more)
+    assert len(rounds) < 12
     assert {tuple(r) for r in resolution.conflicts(got).where("record < 100").collect()} == {(i, *w[1:]) for i, w in want.items() if w[0] is None}
 
 
