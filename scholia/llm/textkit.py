@@ -98,14 +98,19 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
         try:
             yield from run(parts)
         finally:
-            _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(AttributeError, OSError):  # the C library of Linux has this call
-                ctypes.CDLL(None).malloc_trim(0)
+            give_back()
 
     return task
 
 
+def give_back() -> None:
+    """Forget the power tables and return free memory to the system (a module's function, so that no table is sent with a task)."""
+    _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # the C library of Linux has this call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class Block:
     """Texts as one buffer; `offsets[d]` is where text d starts, `offsets[-1]` the buffer's end."""
 
