@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.readers import scratch
@@ -15,15 +15,61 @@ def document_aliases(docs: DataFrame, key: str = "doc_id", text: str = "text", h
     return docs.select(F.col(key).alias("id"), F.explode(F.array(whole, start)).alias("a")).select("id", "a.ns", "a.v")
 
 
+#: Records of more authors than this are compared pair by pair instead of by the subsets of their authors.
+SUBSETS_OF = 6
+
+
+def near_counts(records: DataFrame, by: list[str]) -> DataFrame:
+    """(by, n, x): for each (id, key, year, groups of (tag, members)) the records of another id with its key, a year at most one apart and a group of its own.
+
+    A record counts once for each group that both have; x is the exclusive or of their ids, so the
+    one id where n is 1.  Nothing is paired: records are counted by (key, group, year), looked up
+    at three years, and what the id itself has there is taken off.  A null year is near every year.
+    """
+    each = records.select("id", "key", F.col("year").cast("long").alias("year"), F.explode("groups").alias("g")).where("key is not null")
+    year = F.col("year")
+    own = F.when(year.isNull(), F.struct(F.lit(1).alias("kind"), F.lit(0).cast("long").alias("y"))).otherwise(F.struct(F.lit(0).alias("kind"), year.alias("y")))
+    place = lambda kind, y: F.struct(F.lit(kind).alias("kind"), y.cast("long").alias("y"))
+    seen = F.when(year.isNull(), F.array(place(2, F.lit(0)))).otherwise(F.array(place(0, year - 1), place(0, year), place(0, year + 1), place(1, F.lit(0))))
+    asking = each.select("id", "key", "g", F.explode(seen).alias("at"))
+
+    def counted(*keys: str) -> DataFrame:
+        at = each.groupBy(*keys, own.alias("at")).agg(F.count("*").alias("n"), F.bit_xor("id").alias("x"))
+        everywhere = at.groupBy(*keys).agg(F.sum("n").alias("n"), F.bit_xor("x").alias("x")).select(*keys, place(2, F.lit(0)).alias("at"), "n", "x")
+        return at.unionByName(everywhere)
+
+    others = asking.join(counted("key", "g"), ["key", "g", "at"]).select("id", "g", "n", "x")
+    itself = asking.join(counted("key", "g", "id"), ["key", "g", "at", "id"]).select("id", "g", (-F.col("n")).alias("n"), "x")
+    return others.unionByName(itself).select("id", "g.tag", "n", "x").groupBy(*by).agg(F.sum("n").alias("n"), F.bit_xor("x").alias("x"))
+
+
+def _subsets(members: Column) -> Column:
+    """All subsets of a sorted array but the empty one, as (tag: size, members)."""
+    grown = F.aggregate(members, F.array(F.array().cast("array<string>")), lambda s, m: F.concat(s, F.transform(s, lambda x: F.concat(x, F.array(m)))))
+    return F.transform(F.filter(grown, lambda x: F.size(x) > 0), lambda x: F.struct(F.size(x).alias("tag"), x.alias("members")))
+
+
 def title_candidates(records: DataFrame) -> DataFrame:
-    """For each (id, key, year, authors): the one record with the same key, a year at most one apart and most shared authors; none on a tie."""
-    a, b = records.alias("a"), records.alias("b")
-    years = F.col("a.year").isNull() | F.col("b.year").isNull() | (F.abs(F.col("a.year") - F.col("b.year")) <= 1)
-    overlap = F.size(F.array_intersect("a.authors", "b.authors"))
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") != F.col("b.id")) & years & F.arrays_overlap("a.authors", "b.authors"))
-    pairs = pairs.select(F.col("a.id").alias("id"), F.col("b.id").alias("cand"), overlap.alias("overlap"))
-    best = pairs.withColumn("m", F.max("overlap").over(Window.partitionBy("id"))).where("overlap = m")
-    return best.groupBy("id", "overlap").agg(F.when(F.count("*") == 1, F.min("cand")).alias("best"))
+    """For each (id, key, year, authors): the one record with the same key, a year at most one apart and most shared authors; none on a tie.
+
+    Ids are integers.  Records that share a key are not paired: those that hold a subset of a
+    record's authors are counted, and those that share most hold exactly one subset of that size.
+    Only pairs with a record of more than SUBSETS_OF authors are joined, by the authors they share.
+    """
+    known = records.select(F.col("id").cast("long").alias("id"), "key", "year", F.array_sort(F.array_compact(F.array_distinct(F.col("authors").cast("array<string>")))).alias("authors")).where("size(authors) > 0")
+    few = F.size("authors") <= SUBSETS_OF
+    near = near_counts(known.where(few).select("id", "key", "year", _subsets(F.col("authors")).alias("groups")), ["id", "tag"]).where("n > 0").withColumnRenamed("tag", "overlap")
+    one, two = known.withColumn("row", F.monotonically_increasing_id()), known.where(~few).withColumn("row", F.monotonically_increasing_id())
+    a = one.select("id", "key", "year", "row", few.alias("few"), F.explode("authors").alias("author"))
+    b = two.select(F.col("id").alias("cand"), "key", F.col("year").alias("other"), F.col("row").alias("at"), F.explode("authors").alias("author"))
+    years = F.col("year").isNull() | F.col("other").isNull() | (F.abs(F.col("year") - F.col("other")) <= 1)
+    shared = a.join(b, ["key", "author"]).where((F.col("id") != F.col("cand")) & years).groupBy("row", "at", "id", "cand", "few").agg(F.count("*").cast("int").alias("overlap"))
+    # a pair of a short and a long record counts for both, one of two long ones stands here both ways
+    long = shared.select("id", "cand", "overlap").unionByName(shared.where("few").select(F.col("cand").alias("id"), F.col("id").alias("cand"), "overlap"))
+    every = near.unionByName(long.groupBy("id", "overlap").agg(F.count("*").alias("n"), F.bit_xor("cand").alias("x")))
+    levels = every.groupBy("id", "overlap").agg(F.sum("n").alias("n"), F.bit_xor("x").alias("x"))
+    most = levels.groupBy("id").agg(F.max(F.struct("overlap", "n", "x")).alias("m"))
+    return most.select("id", "m.overlap", F.when(F.col("m.n") == 1, F.col("m.x")).alias("best"))
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
