@@ -28,6 +28,24 @@ def compare(spark, folder, name, **tables):
     return left
 
 
+def test_missed_halves_in_the_order_of_the_file(spark, tmp_path):
+    """A sum of floats beside a half falls where the file's order puts it, however the file is split into tasks."""
+    pa, pq = pytest.importorskip("pyarrow"), pytest.importorskip("pyarrow.parquet")
+    rows = [(1, 7, 1e16), (2, 7, 1.0), (3, 7, -1e16), (4, 7, 3.0)]
+    table = pa.table({"l_orderkey": [x[0] for x in rows], "l_suppkey": [x[1] for x in rows], "l_discount": [x[2] for x in rows], "l_quantity": [50.0] * len(rows)})
+    pq.write_table(table, f"{tmp_path}/lineitem.parquet", row_group_size=2)
+    duckdb = pytest.importorskip("duckdb")
+    c = duckdb.connect()
+    c.execute(f"SET threads=1; CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        got = {x["l_suppkey"]: (x["missed"], x["found"]) for x in QUERIES["d14_misses"](spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == {k: (m, f) for k, m, f in c.execute(SQL["d14_misses"]).fetchall()}
+
+
 def parts_of(seed):
     """Two names for all, ids that repeat, and nulls."""
     r = random.Random(seed)
