@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import words
+from ..sources.readers import bounded_batches
 
 TARGET, MAXIMUM, CARRY = 200, 320, 2
 # Fixed values of the chunk policy.
@@ -119,6 +120,7 @@ def packed(docs: DataFrame, key: str, text: str, target: int = TARGET, maximum:
             cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
             yield pa.RecordBatch.from_pydict({key: pa.array(cols[0], pa.int64()), "ordinal": pa.array(cols[1], pa.int32()), "token_count": pa.array(cols[2], pa.int64()), "chunk": pa.array(cols[3], pa.string())})
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(run, f"{key} long, ordinal int, token_count long, chunk string")
 
 
@@ -149,5 +151,6 @@ def reconstructed(chunks: DataFrame, key: str, most: int = 400) -> DataFrame:
                 texts.append(out)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], names=[key, "text"])
 
+    bounded_batches(chunks.sparkSession)
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "chunk"))), lambda r: r["chunk"])
     return chunks.groupBy(key).agg(ordered.alias("rows")).mapInArrow(run, f"{key} {chunks.schema[key].dataType.simpleString()}, text string")

@@ -24,6 +24,7 @@ def h2_whitespace_spans(spark, sf):
     def spans(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: [list(m.span()) for m in re.finditer(r"\S+", t or "")])
 
+    readers.bounded_batches(spark)
     return Tables(spark, sf).documents.select("doc_id", spans("text").alias("spans"))
 
 
@@ -110,6 +111,7 @@ def h15_split_sentences(spark, sf):
     def split(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: split_sentences(t or ""))
 
+    readers.bounded_batches(spark)
     return Tables(spark, sf).documents.select("doc_id", split("text").alias("sentences"))
 
 
@@ -121,6 +123,7 @@ def h16_split_paragraphs(spark, sf):
     def split(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: split_paragraphs(t or ""))
 
+    readers.bounded_batches(spark)
     return Tables(spark, sf).documents.select("doc_id", split("text").alias("paragraphs"))
 
 

@@ -25,6 +25,12 @@ def scratch(spark: SparkSession) -> str:
     return f"{_own_folder(spark)}/{uuid.uuid4().hex}"
 
 
+def bounded_batches(spark: SparkSession, rows: int = 256, size: str = "8m") -> None:
+    """Batches that go to Python hold few rows and bytes, so that a worker's memory does not follow the rows of its task."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def clean(spark: SparkSession) -> bool:
     """Delete all that this application wrote to scratch(); for the end of a job, when no result is read any more."""
     return remove(spark, _own_folder(spark))

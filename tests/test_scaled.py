@@ -115,3 +115,16 @@ def test_compatible_parts_are_counted_not_paired(spark, tmp_path):
     compare(spark, tmp_path / "hot", "k2_metadata_compatibility", part=(rows, PART))
     assert pairs_made(QUERIES["k2_metadata_compatibility"](spark, str(tmp_path / "hot"))) < 40 * len(rows)
     compare(spark, tmp_path / "odd", "k2_metadata_compatibility", part=(parts_of(1), PART))
+
+
+@pytest.mark.parametrize("name", ["h2_whitespace_spans", "h15_split_sentences", "h16_split_paragraphs", "j2_page_normalisation", "j4_sections", "j5_merge_small_sections", "j10_reconstruct_documents"])
+def test_batches_for_python_are_bounded(spark, name):
+    """What a worker holds is a batch of rows, not a task's rows."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(setting)
+    try:
+        spark.conf.set(setting, "10000")
+        QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert int(spark.conf.get(setting)) <= 256
+    finally:
+        spark.conf.set(setting, old)
