@@ -51,7 +51,7 @@ def test_missed_halves_in_the_order_of_the_file(spark, tmp_path):
     c = duckdb.connect()
     c.execute(f"SET threads=1; CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "250")
     try:
         got = {x["l_suppkey"]: (x["missed"], x["found"]) for x in QUERIES["d14_misses"](spark, str(tmp_path)).collect()}
     finally:
