@@ -55,7 +55,10 @@ def d5_run_spend(spark, sf):
 @query("""SELECT event_type, key AS stage, count(*) AS n, round(quantile_cont(v, 0.5), 6) AS p50, round(quantile_cont(v, 0.95), 6) AS p95 FROM (SELECT event_type, 'k' AS key, CAST(json_extract(props, '$.k') AS DOUBLE) AS v FROM events) GROUP BY 1, 2""")
 def d6_chat_stats(spark, sf):
     stages = Tables(spark, sf).events.select("event_type", F.explode(F.from_json("props", "map<string,double>")).alias("stage", "v")).where("v is not null")
-    return stages.groupBy("event_type", "stage").agg(F.count("*").alias("n"), F.round(F.percentile("v", 0.5), 6).alias("p50"), F.round(F.percentile("v", 0.95), 6).alias("p95"))
+    counts = stages.groupBy("event_type", "stage").agg(F.count("*").alias("n"))
+    places = order_statistics(stages, ["event_type", "stage"], "v", {"p50": (0.5, "linear"), "p95": (0.95, "linear")}).withColumnsRenamed({"event_type": "_type", "stage": "_stage"})
+    joined = counts.join(places, F.col("event_type").eqNullSafe(F.col("_type")) & F.col("stage").eqNullSafe(F.col("_stage")))
+    return joined.select("event_type", "stage", "n", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
 
 
 @query("SELECT c_nationkey, string_agg(c_name, '; ' ORDER BY c_custkey) AS names FROM customer GROUP BY 1")
@@ -133,9 +136,12 @@ def d15_summarize_qa(spark, sf):
  round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.95), 4) AS p95 FROM lineitem GROUP BY 1""")
 def d16_summarize_turns(spark, sf):
     said, true = F.col("l_discount") > 0.05, F.col("l_returnflag") == "R"
-    return Tables(spark, sf).lineitem.groupBy("l_linestatus").agg(
-        F.round(F.count_if(said & true) / F.nullif(F.count_if(said), F.lit(0)), 6).alias("precision"), F.round(F.count_if(said & true) / F.nullif(F.count_if(true), F.lit(0)), 6).alias("recall"),
-        F.round(F.percentile("l_extendedprice", 0.5), 4).alias("p50"), F.round(F.percentile("l_extendedprice", 0.95), 4).alias("p95"))
+    own = Tables(spark, sf).lineitem
+    shares = own.groupBy("l_linestatus").agg(
+        F.round(F.count_if(said & true) / F.nullif(F.count_if(said), F.lit(0)), 6).alias("precision"), F.round(F.count_if(said & true) / F.nullif(F.count_if(true), F.lit(0)), 6).alias("recall"))
+    places = order_statistics(own, ["l_linestatus"], "l_extendedprice", {"p50": (0.5, "linear"), "p95": (0.95, "linear")}).withColumnRenamed("l_linestatus", "_status")
+    joined = shares.join(places, F.col("l_linestatus").eqNullSafe(F.col("_status")), "left")
+    return joined.select("l_linestatus", "precision", "recall", F.round("p50", 4).alias("p50"), F.round("p95", 4).alias("p95"))
 
 
 @query("SELECT round(avg(CASE WHEN s > 0 THEN r * 1.0 / s END), 6) AS mean_supported, round(avg(CASE WHEN s > 0 THEN CASE WHEN r = s THEN 1.0 ELSE 0.0 END END), 6) AS fully, count(*) AS answers FROM (SELECT l_orderkey, count(*) FILTER (WHERE l_quantity > 5) AS r, count(*) AS s FROM lineitem GROUP BY 1)")

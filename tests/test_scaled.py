@@ -128,3 +128,11 @@ def test_batches_for_python_are_bounded(spark, name):
         assert int(spark.conf.get(setting)) <= 256
     finally:
         spark.conf.set(setting, old)
+
+
+@pytest.mark.parametrize("name, column", [("d6_chat_stats", "v"), ("d16_summarize_turns", "l_extendedprice"), ("l11_promotion_rule", "value")])
+def test_percentiles_are_not_gathered_in_one_task(spark, name, column):
+    """No aggregate holds all values of a group."""
+    import __spark_entry__ as entry
+
+    assert f"percentile({column}#" not in entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
