@@ -59,19 +59,26 @@ def pairs_sharing_names(questions: DataFrame, seed: int) -> DataFrame:
     """(paper, first, second): of each paper (paper, id, text) one pair whose second question has a name from the first.
 
     The second is the first in the seeded order of all that share a name with another question, the
-    first the first in that order of those it shares one with.  For each paper and word only its two
-    first holders matter, so nothing grows with the pairs of a paper; papers without pairs have no row.
+    first the first in that order of those it shares one with.  Papers without pairs have no row,
+    repeated rows are one question.  Only sums of a paper's words are shuffled: their least and
+    greatest places (60 bits of the order, 64 of the id's hash, which tell whether two questions hold
+    a word), so partial aggregation takes the common words; then one question of each paper meets the others.
     """
-    keyed = questions.select("paper", "id", draw(seed, F.col("id")).alias("key"), words_of(F.col("text")).alias("words"), marked(F.col("text")).alias("names"))
-    holders = keyed.select("paper", "id", "key", F.explode(F.array_distinct("words")).alias("term"))
-    holders = holders.withColumn("n", F.row_number().over(Window.partitionBy("paper", "term").orderBy("key", "id"))).where("n <= 2")
-    path = scratch(questions.sparkSession)
-    holders.select("paper", "term", F.struct("key", F.col("id").alias("holder")).alias("h")).write.parquet(path)
-    holders = questions.sparkSession.read.parquet(path)
-    named = keyed.select("paper", "id", "key", F.explode("names").alias("term")).join(holders, ["paper", "term"]).where("h.holder <> id")
-    best = named.groupBy("paper", "id", "key").agg(F.min("h").alias("h"))
-    chosen = best.groupBy("paper").agg(F.min(F.struct("key", "id", "h")).alias("b"))
-    return chosen.select("paper", F.col("b.h.holder").alias("first"), F.col("b.id").alias("second"))
+    keyed = questions.where("paper is not null and id is not null and text is not null").select("paper", "id", "text", draw(seed, F.col("id")).alias("key"))
+    placed = keyed.withColumn("place", F.conv(F.substring("key", 1, 15), 16, 10).cast("long"))
+    words = placed.select("paper", "place", F.xxhash64("id").alias("h"), marked(F.col("text")).alias("names"), F.explode(F.array_distinct(words_of(F.col("text")))).alias("term"))
+    named = F.when(F.array_contains("names", F.col("term")), F.col("place"))
+    ends = [F.min("place").alias("p0"), F.max("place").alias("p1"), F.min("h").alias("h0"), F.max("h").alias("h1"), F.min("named").alias("named")]
+    shared = words.select("paper", "term", "place", "h", named.alias("named")).groupBy("paper", "term").agg(*ends).where("named is not null and (p0 <> p1 or h0 <> h1)")
+    spark = questions.sparkSession
+    path, places = scratch(spark), scratch(spark)
+    shared.groupBy("paper").agg(F.min("named").alias("place")).write.parquet(places)  # its size is known to the join then
+    second = placed.join(spark.read.parquet(places), ["paper", "place"])
+    second = second.groupBy("paper").agg(F.min(F.struct("key", "id", marked(F.col("text")).alias("names"))).alias("b"))
+    second.select("paper", F.col("b.id").alias("second"), F.col("b.names").alias("names")).write.parquet(path)
+    others = keyed.join(spark.read.parquet(path), "paper").where(F.arrays_overlap(words_of(F.col("text")), F.col("names")) & (F.col("id") != F.col("second")))
+    chosen = others.groupBy("paper", "second").agg(F.min(F.struct("key", "id")).alias("b"))
+    return chosen.select("paper", F.col("b.id").alias("first"), "second")
 
 
 def split_pairs(pairs: DataFrame, seed: int, development: int, frozen: int) -> DataFrame:

@@ -52,6 +52,13 @@ def test_pairs_equal_a_search_of_all_pairs(spark):
     assert {r["paper"]: r["split"] for r in split} == {p: "development" if k < 2 else "frozen" for k, (_, p) in enumerate(order[:4])}
 
 
+def test_repeated_rows_are_one_question(spark):
+    """Rows that repeat hide no other holder of a word, and make no pair of their own."""
+    rows = [("p", "a", "about N1"), ("p", "b", "also N1"), ("p", "c", "and N1"), ("alone", "a", "about N1")]
+    got = followups.pairs_sharing_names(spark.createDataFrame(rows * 3, "paper string, id string, text string"), 5)
+    assert sorted(map(tuple, got.collect())) == plain_pairs(rows, 5)
+
+
 def test_registered_texts_are_checked_against_what_was_written(spark):
     rows = [(f"c{k}", "frozen" if k % 2 else "development", f"text {k}") for k in range(6)]
     table = spark.createDataFrame(rows, "conversation_id string, split string, followup string")
