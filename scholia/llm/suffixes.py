@@ -390,13 +390,18 @@ def remove(text: bytes, lo: np.ndarray, hi: np.ndarray, window: int = WINDOW) ->
     return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)), spans
 
 
+def _merged(df: DataFrame) -> DataFrame:
+    """For joins with what grows with the input: one plan at every size, and no broadcast."""
+    return df.hint("merge")
+
+
 def _marked(live: DataFrame, limit: int | None) -> DataFrame:
     """Runs that repeat as a whole, that go to the sort (one of each kind in a bucket of several kinds), or that are in a bucket of more than `limit` kinds."""
     kinds = cut(live.groupBy("anchor", "d1", "d2").agg(F.count("*").alias("n"), F.min(F.struct("h1", "h2", "first")).alias("lead")), "kinds")
-    kinds = cut(kinds.join(kinds.groupBy("anchor").agg(F.count("*").alias("m")), "anchor"), "kinds")
+    kinds = cut(kinds.join(_merged(kinds.groupBy("anchor").agg(F.count("*").alias("m"))), "anchor"), "kinds")
     send = (F.col("m") > 1) & (F.col("lead") == F.struct("h1", "h2", "first"))
     hot = send & (F.col("m") > limit) if limit else F.lit(False)
-    found = live.join(kinds, ["anchor", "d1", "d2"]).select("h1", "h2", "anchor", "first", "last", "off", (F.col("n") > 1).alias("whole"), (send & ~hot).alias("send"), hot.alias("hot"))
+    found = live.join(_merged(kinds), ["anchor", "d1", "d2"]).select("h1", "h2", "anchor", "first", "last", "off", (F.col("n") > 1).alias("whole"), (send & ~hot).alias("send"), hot.alias("hot"))
     return found.where("whole or send or hot")
 
 
@@ -407,18 +412,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     copies = cut(own.groupBy("h1", "h2").agg(F.min("key").alias("key"), F.count("*").alias("n")), "copies")
     rows = cut(own.select("h1", "h2", "text").mapInArrow(_run_rows(window), RUN), "runs")
     shared = cut(rows.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "shared")
-    marked = cut(_marked(cut(rows.join(shared, "anchor"), "live"), HOT), "marked")
+    marked = cut(_marked(cut(rows.join(_merged(shared), "anchor"), "live"), HOT), "marked")
 
     def listed(found: DataFrame, *fields: str) -> DataFrame:
         """One row of each text with its runs."""
-        lists = found.groupBy("h1", "h2").agg(F.collect_set(F.struct(*fields)).alias("runs")).join(copies, ["h1", "h2"])
-        return own.select(*TEXT, "text").join(lists, TEXT)
+        lists = found.groupBy("h1", "h2").agg(F.collect_set(F.struct(*fields)).alias("runs")).join(_merged(copies), ["h1", "h2"])
+        return own.select(*TEXT, "text").join(_merged(lists), TEXT)
 
     if marked.where("hot").limit(1).count():
         hot = cut(listed(marked.where("hot"), "first", "last", "off", "anchor").select("h1", "h2", "text", "runs"), "hot")
         windows = cut(hot.mapInArrow(_window_rows(window), "w long, anchor long, h1 long, h2 long, place int, at int"), "windows")
         twice = cut(windows.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w"), "twice")
-        left = cut(windows.join(twice, "w").groupBy("h1", "h2", "anchor", "place").agg(F.collect_list("at").alias("starts")), "left")
+        left = cut(windows.join(_merged(twice), "w").groupBy("h1", "h2", "anchor", "place").agg(F.collect_list("at").alias("starts")), "left")
         trimmed = listed(left, "anchor", "place", "starts").select("h1", "h2", "text", "runs").mapInArrow(_trimmed_rows(window), RUN)
         marked = marked.where("whole or send").union(_marked(cut(trimmed, "trimmed"), None))
     needed = F.when(F.col("n") > 1, F.filter("runs", lambda x: x.send)).otherwise(F.col("runs"))  # a text that occurs twice goes as a whole
@@ -429,12 +434,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = buckets.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sort_buckets(window), "h1 long, h2 long, key long, lo int, hi int")
     spans = found.groupBy(*TEXT).agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     none = F.array().cast("array<struct<lo: int, hi: int>>")
-    results = texts.join(spans, TEXT, "left").select("h1", "h2", "text", "runs", F.coalesce("ranges", none).alias("ranges"))
+    results = texts.join(_merged(spans), TEXT, "left").select("h1", "h2", "text", "runs", F.coalesce("ranges", none).alias("ranges"))
     results = cut(results.mapInArrow(_spans(window), "h1 long, h2 long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>"), "results").dropDuplicates(["h1", "h2"])
-    info = cut(copies.select("h1", "h2", "n").join(results, ["h1", "h2"], "left"), "info")
+    info = cut(copies.select("h1", "h2", "n").join(_merged(results), ["h1", "h2"], "left"), "info")
     all_rows = own.select("doc_id", "h1", "h2", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("whole"))
     gone = (F.col("n") > 1) & (F.col("n_bytes") >= window)
-    return all_rows.join(info, ["h1", "h2"]).select(
+    return all_rows.join(_merged(info), ["h1", "h2"]).select(
         "doc_id", "n_bytes", F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(gone, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(gone, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("kept_sha256", "whole")).alias("kept_sha256"),
