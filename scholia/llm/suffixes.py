@@ -424,7 +424,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         windows = cut(hot.mapInArrow(_window_rows(window), "w long, anchor long, h1 long, h2 long, place int, at int"), "windows")
         twice = cut(windows.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w"), "twice")
         left = cut(windows.join(_merged(twice), "w").groupBy("h1", "h2", "anchor", "place").agg(F.collect_list("at").alias("starts")), "left")
-        trimmed = listed(left, "anchor", "place", "starts").select("h1", "h2", "text", "runs").mapInArrow(_trimmed_rows(window), RUN)
+        lists = left.groupBy("h1", "h2").agg(F.collect_set(F.struct("anchor", "place", "starts")).alias("runs"))
+        trimmed = hot.select("h1", "h2", "text").join(_merged(lists), ["h1", "h2"]).mapInArrow(_trimmed_rows(window), RUN)  # only the texts of hot buckets, not all, are shuffled again
         marked = marked.where("whole or send").union(_marked(cut(trimmed, "trimmed"), None))
     needed = F.when(F.col("n") > 1, F.filter("runs", lambda x: x.send)).otherwise(F.col("runs"))  # a text that occurs twice goes as a whole
     texts = listed(marked, "first", "last", "off", "anchor", "whole", "send").select(*TEXT, "text", needed.alias("runs")).where("size(runs) > 0")
