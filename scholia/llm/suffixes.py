@@ -81,11 +81,11 @@ TEXT = ["h1", "h2", "key"]
 RUN = "anchor long, d1 long, d2 long, h1 long, h2 long, first int, last int, off int"
 
 
-def _run_batch(block: Block, doc: np.ndarray, first: np.ndarray, last: np.ndarray, off: np.ndarray, anchor: np.ndarray, names: list[np.ndarray], window: int) -> pa.RecordBatch:
-    """Rows of runs that start and end at these places of the block."""
+def _run_batch(block: Block, doc: np.ndarray, first: np.ndarray, last: np.ndarray, off: np.ndarray, anchor: np.ndarray, names: list[np.ndarray], window: int, begin: np.ndarray | None = None) -> pa.RecordBatch:
+    """Rows of runs that start and end at these places of the block; `begin` is where their texts start, if the block holds parts of texts."""
     raw, digest = block.raw, xxhash.xxh3_128_digest
     d = np.frombuffer(b"".join([digest(raw[a:b]) for a, b in zip(first.tolist(), (last + window).tolist(), strict=True)]), np.int64).reshape(-1, 2)
-    begin = block.offsets[doc]
+    begin = block.offsets[doc] if begin is None else begin
     return pa.RecordBatch.from_pydict({
         "anchor": pa.array(anchor.view(np.int64)), "d1": pa.array(d[:, 0]), "d2": pa.array(d[:, 1]), "h1": pa.array(names[0][doc]), "h2": pa.array(names[1][doc]),
         "first": pa.array((first - begin).astype(np.int32)), "last": pa.array((last - begin).astype(np.int32)), "off": pa.array(off.astype(np.int32)),
@@ -127,47 +127,64 @@ def _bucket_rows(window: int):
     return run
 
 
+def _hot_rows(window: int, anchors: np.ndarray):
+    """Of each text the runs of these buckets (a sorted array), with their bytes."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in gathered(parts, RUN_BYTES):
+            names, texts = [part.column(c).to_numpy() for c in (0, 1)], texts_of(part.column(2))
+            for x, y in groups(texts, RUN_BYTES):
+                block = Block(texts[x:y])
+                first, last, least, anchor, doc = minimiser_runs(block, window)
+                hot = np.isin(anchor.view(np.int64), anchors)
+                if not hot.any():
+                    continue
+                first, last, least, anchor, doc = (v[hot] for v in (first, last, least, anchor, doc))
+                size = last - first + window
+                data = spans_array(block.buf[ranges(first, size)], np.r_[0, np.cumsum(size)]).cast(pa.binary())
+                yield _run_batch(block, doc, first, last, least - first, anchor, [n[x:y] for n in names], window).append_column("data", data)
+
+    return run
+
+
 def _window_rows(window: int):
     """Every window of the runs in hot buckets: its hash, its text and run, and its start."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in gathered(parts, RUN_BYTES):
-            row, first, last, off, anchor = _listed(part.column("runs"), "first", "last", "off", "anchor")
-            block = Block(texts_of(part.column("text")))
+            first, last, off, anchor = (part.column(c).to_numpy() for c in ("first", "last", "off", "anchor"))
+            block = Block(texts_of(part.column("data")))
             size = (last - first + 1).astype(np.int64)
-            which = np.repeat(np.arange(len(row)), size)
-            at = ranges(first.astype(np.int64), size)
-            place = at + block.offsets[row[which]]
+            which = np.repeat(np.arange(len(size)), size)
+            inside = ranges(np.zeros(len(size), np.int64), size)
+            at = block.offsets[which] + inside
             prefix, inverse = block._sums()
-            w = mix((prefix[place + window] - prefix[place]) * inverse[place]) ^ mix(anchor.view(np.uint64).copy())[which]
+            w = mix((prefix[at + window] - prefix[at]) * inverse[at]) ^ mix(anchor.view(np.uint64).copy())[which]
             yield pa.RecordBatch.from_pydict({
-                "w": pa.array(w.view(np.int64)), "anchor": pa.array(anchor[which]), "h1": part.column("h1").take(pa.array(row[which])), "h2": part.column("h2").take(pa.array(row[which])),
-                "place": pa.array((first + off)[which].astype(np.int32)), "at": pa.array(at.astype(np.int32)),
+                "w": pa.array(w.view(np.int64)), "anchor": pa.array(anchor[which]), "h1": part.column("h1").take(pa.array(which)), "h2": part.column("h2").take(pa.array(which)),
+                "place": pa.array((first + off)[which].astype(np.int32)), "at": pa.array((first[which] + inside).astype(np.int32)),
             })
 
     return run
 
 
 def _trimmed_rows(window: int):
-    """Runs made of those starts of a run that are left; `place` is where the minimiser stands."""
+    """Runs made of those starts of a run that are left."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in gathered(parts, RUN_BYTES):
-            names, texts = [part.column(c).to_numpy() for c in ("h1", "h2")], texts_of(part.column("text"))
-            block = Block(texts)
-            row, anchor, place, starts = _listed(part.column("runs"), "anchor", "place", "starts")
-            if not len(row):
-                continue
-            at = np.concatenate(starts).astype(np.int64)
-            which = np.repeat(np.arange(len(row)), [len(x) for x in starts])
+            names = [part.column(c).to_numpy() for c in ("h1", "h2")]
+            first, off, anchor = (part.column(c).to_numpy() for c in ("first", "off", "anchor"))
+            block = Block(texts_of(part.column("data")))
+            lists = part.column("starts")
+            which, at = np.repeat(np.arange(len(first)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy().astype(np.int64)
             order = np.lexsort((at, which))
             at, which = at[order], which[order]
             edge = (at[1:] != at[:-1] + 1) | (which[1:] != which[:-1])
             head, tail = np.flatnonzero(np.r_[True, edge]), np.flatnonzero(np.r_[edge, True])
             k = which[head]
-            begin = block.offsets[row[k]]
-            order = np.argsort(row[k], kind="stable")
-            yield _run_batch(block, row[k][order], (begin + at[head])[order], (begin + at[tail])[order], (place[k] - at[head])[order], anchor[k].view(np.uint64)[order], names, window)
+            begin = block.offsets[k] - first[k]  # where the text of the run would start in the block
+            yield _run_batch(block, k, begin + at[head], begin + at[tail], (first + off)[k] - at[head], anchor.view(np.uint64)[k], names, window, begin)
 
     return run
 
@@ -419,13 +436,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         lists = found.groupBy("h1", "h2").agg(F.collect_set(F.struct(*fields)).alias("runs")).join(_merged(copies), ["h1", "h2"])
         return own.select(*TEXT, "text").join(_merged(lists), TEXT)
 
-    if marked.where("hot").limit(1).count():
-        hot = cut(listed(marked.where("hot"), "first", "last", "off", "anchor").select("h1", "h2", "text", "runs"), "hot")
+    anchors = np.array([r[0] for r in marked.where("hot").select("anchor").distinct().toLocalIterator()], np.int64)  # one for more than HOT runs
+    if len(anchors):
+        # the runs of these buckets are found once more where texts are read, so that only their own bytes are shuffled, one of each kind
+        sent = own.select("h1", "h2", "text").mapInArrow(_hot_rows(window, np.sort(anchors)), f"{RUN}, data binary")
+        hot = cut(sent.groupBy("anchor", "d1", "d2").agg(F.min(F.struct("h1", "h2", "first", "last", "off", "data")).alias("lead")).select("anchor", "lead.*"), "hot")
         windows = cut(hot.mapInArrow(_window_rows(window), "w long, anchor long, h1 long, h2 long, place int, at int"), "windows")
         twice = cut(windows.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w"), "twice")
         left = cut(windows.join(_merged(twice), "w").groupBy("h1", "h2", "anchor", "place").agg(F.collect_list("at").alias("starts")), "left")
-        lists = left.groupBy("h1", "h2").agg(F.collect_set(F.struct("anchor", "place", "starts")).alias("runs"))
-        trimmed = hot.select("h1", "h2", "text").join(_merged(lists), ["h1", "h2"]).mapInArrow(_trimmed_rows(window), RUN)  # only the texts of hot buckets, not all, are shuffled again
+        trimmed = hot.withColumn("place", F.col("first") + F.col("off")).join(_merged(left), ["h1", "h2", "anchor", "place"]).mapInArrow(_trimmed_rows(window), RUN)
         marked = marked.where("whole or send").union(_marked(cut(trimmed, "trimmed"), None))
     needed = F.when(F.col("n") > 1, F.filter("runs", lambda x: x.send)).otherwise(F.col("runs"))  # a text that occurs twice goes as a whole
     texts = listed(marked, "first", "last", "off", "anchor", "whole", "send").select(*TEXT, "text", needed.alias("runs")).where("size(runs) > 0")

@@ -15,6 +15,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from scholia.llm import chunks, decontaminate, licenses, mixing, neardup, pieces, quality, suffixes, tokenfiles, toxicity
 from scholia.llm.textkit import Block
@@ -345,6 +346,26 @@ def test_suffixes_with_hot_buckets(spark, monkeypatch, n, hot):
     assert sorted([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got], key=str) == repeats(rows)
 
 
+def test_hot_buckets_send_their_runs_not_their_texts(spark, monkeypatch):
+    """Of long texts that share one passage only the runs of its buckets are kept for trimming."""
+    monkeypatch.setattr(suffixes, "HOT", 8)
+    plain, kept = suffixes.cut, []
+
+    def watched(df, name="cut"):
+        out = plain(df, name)
+        if name == "hot":
+            kept.append(out.agg(F.sum(sum(F.octet_length(c) for c, kind in out.dtypes if kind in ("string", "binary")))).first()[0])
+        return out
+
+    monkeypatch.setattr(suffixes, "cut", watched)
+    shared = " ".join(words(21, 60))
+    rows = [(i, " ".join(words(10**5 + i, 1500, 10**6)) + " " + shared + " " + " ".join(words(2 * 10**5 + i, 10, 10**6))) for i in range(40)]
+    rows += [(100 + i, rows[0][1]) for i in range(3)] + [(200, rows[1][1] + " more")]
+    got = suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()
+    assert sorted([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got], key=str) == repeats(rows)
+    assert kept and kept[0] < sum(len(t) for _, t in rows) / 4
+
+
 def test_suffixes_of_ten_thousand_places(spark):
     shared = " ".join(words(21, 30))
     rows = [(i, f"{i:08x}{shared}{i * 7919:09x}") for i in range(10_000)]
