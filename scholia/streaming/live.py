@@ -7,8 +7,9 @@ arrival, and event-time timers end what no event ends.  Both give the same rows;
 later than the watermark allows is missing from the stream.  A restart goes on from its checkpoint.
 
 Events have the columns key, at, id, kind, ref and amount.  Rows without key or time are left out, a
-row that repeats the (key, time, id) of the one before counts once.  Both forms hold the state of a
-key, never its events: a table's rows pass by sorted, a stream's wait for the watermark only.
+row that repeats the (key, time, id) of the one before counts once.  A table's rows pass by sorted, so
+the state of one key is held; a stream's wait for the watermark, and a task holds those that wait for
+the keys of one of SLOTS groups.
 """
 
 from __future__ import annotations
@@ -25,6 +26,10 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 EVENT = "key string, at timestamp, id long, kind string, ref string, amount double"
 _ROW = ("us", "id", "kind", "ref", "amount")
 SECOND = 1_000_000
+#: Events that wait in one value of a stream's state.
+CHUNK = 8192
+#: A stream's keys are grouped by hash, as each group costs calls to the state store in each batch.
+SLOTS = 4096
 # Fixed values of the rules.
 LEASE_SECONDS, MAX_ATTEMPTS, BACKOFF_SECONDS = 60, 5, 60
 RESEND_SECONDS, CODES_PER_HOUR, CODE_SECONDS, CODE_ATTEMPTS = 60, 5, 600, 5
@@ -172,15 +177,20 @@ def _schema(fold: Fold) -> str:
     return f"key string, {fold.output}"
 
 
-def _plain(row: tuple) -> tuple:
-    us, number, kind, ref, amount = row
-    none = lambda v: None if v is None or v is pd.NA or (isinstance(v, float) and math.isnan(v)) else v
-    return int(us), None if none(number) is None else int(number), none(kind), none(ref), none(amount)
+def _rows(part: pd.DataFrame) -> list[tuple]:
+    """Rows (us, id, kind, ref, amount) of plain values, column by column."""
+    columns = []
+    for name in _ROW:
+        column = part[name]
+        values = column.tolist()
+        columns.append([None if gone else v for v, gone in zip(values, column.isna(), strict=True)] if column.hasnans else values)
+    columns[1] = [None if v is None else int(v) for v in columns[1]]
+    return list(zip(*columns, strict=True))
 
 
-def _frame(key: str, rows: list[tuple], fold: Fold) -> pd.DataFrame:
+def _frame(rows: list[tuple], fold: Fold) -> pd.DataFrame:
     names = [c.split()[0] for c in fold.output.split(", ")]
-    return pd.DataFrame([(key, *r) for r in rows], columns=["key", *names])
+    return pd.DataFrame(rows, columns=["key", *names])
 
 
 def folded(fold: Fold, events: DataFrame) -> DataFrame:
@@ -193,44 +203,70 @@ def folded(fold: Fold, events: DataFrame) -> DataFrame:
             for own, group in part.groupby("key", sort=False):
                 if own != key:
                     if key is not None:
-                        yield _frame(key, list(_advance(fold, state, (), math.inf)), fold)
+                        yield _frame([(key, *r) for r in _advance(fold, state, (), math.inf)], fold)
                     key, state = own, fold.start()
-                yield _frame(key, list(_advance(fold, state, map(_plain, group[list(_ROW)].astype(object).itertuples(index=False)), -math.inf)), fold)
+                yield _frame([(key, *r) for r in _advance(fold, state, _rows(group), -math.inf)], fold)
         if key is not None:
-            yield _frame(key, list(_advance(fold, state, (), math.inf)), fold)
+            yield _frame([(key, *r) for r in _advance(fold, state, (), math.inf)], fold)
 
     return rows.repartition("key").sortWithinPartitions("key", "us", "id").mapInPandas(run, _schema(fold))
 
 
 class _Live(StatefulProcessor):
+    """The keys of one slot: their waiting events in lists of CHUNK rows (or of one batch), so that a list, not an event, is a value of the state; the state of each key; and the keys with a deadline."""
+
     def __init__(self, fold: Fold):
         self.fold = fold
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "us long, id long, kind string, ref string, amount double")
-        self.state = handle.getValueState("state", "json string")
+        self.waiting = handle.getListState("waiting", "rows string")
+        self.states = handle.getMapState("states", "key string", "json string")
+        self.due = handle.getValueState("due", "json string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = [_plain(r) for part in rows for r in part[list(_ROW)].astype(object).itertuples(index=False)]
-        self.waiting.appendList(new)
-        self._wake(min(r[0] for r in new))
+        first = []
+        for part in rows:
+            if len(part):
+                self.waiting.appendValue((json.dumps(list(zip(part["key"].tolist(), _rows(part), strict=True))),))
+                first.append(int(part["us"].min()))
+        if first:
+            self._wake(min(first))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted((_plain(r) for r in self.waiting.get()), key=lambda r: (r[0], r[1] is not None, r[1] or 0))
-        ready, later = [r for r in rows if r[0] <= passed], [r for r in rows if r[0] > passed]
-        state = json.loads(self.state.get()[0]) if self.state.exists() else self.fold.start()
-        out = list(_advance(self.fold, state, ready, passed))
-        self.state.update((json.dumps(state),))
+        due = json.loads(self.due.get()[0]) if self.due.exists() else {}
+        ready: dict[str, list] = {own: [] for own, end in due.items() if end < passed}
+        later, some = [], False
+        for chunk in self.waiting.get():
+            for own, row in json.loads(chunk[0]):
+                if row[0] <= passed:
+                    ready.setdefault(own, []).append(row)
+                    some = True
+                else:
+                    later.append((own, row))
+        out = []
+        for own, rows in ready.items():
+            rows.sort(key=lambda r: (r[0], r[1] is not None, r[1] or 0))
+            old = self.states.getValue((own,))
+            state = self.fold.start() if old is None else json.loads(old[0])
+            out.extend((own, *r) for r in _advance(self.fold, state, rows, passed))
+            self.states.updateValue((own,), (json.dumps(state),))
+            due.pop(own, None)
+            if (end := self.fold.deadline(state)) is not None:
+                due[own] = end
         if ready:
-            self.waiting.put(later) if later else self.waiting.clear()
-        ends = [t for t in (later[0][0] if later else None, self.fold.deadline(state)) if t is not None]
+            self.due.update((json.dumps(due),))
+        if some:
+            self.waiting.clear()
+            for k in range(0, len(later), CHUNK):
+                self.waiting.appendValue((json.dumps(later[k : k + CHUNK]),))
+        ends = [*due.values(), *([min(row[0] for _, row in later)] if later else [])]
         if ends:
             self._wake(min(ends))
         if out:
-            yield _frame(key[0], out, self.fold)
+            yield _frame(out, self.fold)
 
     def _wake(self, us: int) -> None:
         self.handle.registerTimer(us // 1000 + 1)
@@ -243,7 +279,8 @@ def live(fold: Fold, events: DataFrame, late: str) -> DataFrame:
     """The fold of every key of a stream, its events put in order within the allowed lateness."""
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     rows = events.where("key is not null and at is not null").withWatermark("at", late).withColumn("us", F.unix_micros("at"))
-    return rows.groupBy("key").transformWithStateInPandas(_Live(fold), _schema(fold), "Append", "EventTime")
+    rows = rows.withColumn("slot", F.pmod(F.xxhash64("key"), F.lit(SLOTS)).cast("int"))
+    return rows.groupBy("slot").transformWithStateInPandas(_Live(fold), _schema(fold), "Append", "EventTime")
 
 
 def run_once(stream: DataFrame, folder: str) -> None:

@@ -95,3 +95,71 @@ def test_replay_of_a_table(spark):
     table.write.parquet(f"{folder}/in")
     got = live.replay(spark, live.Leases(), lambda: spark.readStream.schema(live.EVENT).parquet(f"{folder}/in"), f"{folder}/run", "1 hour")
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, live.folded(live.Leases(), table).collect()), key=repr)
+
+
+class _Store:
+    """A state handle that keeps values in memory and counts calls."""
+
+    def __init__(self):
+        self.calls, self.timers = 0, []
+
+    def getListState(self, name, schema):
+        return _Kept(self, [])
+
+    getMapState = lambda self, name, *schemas: _Kept(self, {})
+    getValueState = lambda self, name, schema: _Kept(self, [])
+
+    def registerTimer(self, ms):
+        self.calls += 1
+        self.timers.append(ms)
+
+
+class _Kept:
+    def __init__(self, store, value):
+        self.store, self.value = store, value
+
+    def _call(self, result=None):
+        self.store.calls += 1
+        return result
+
+    appendValue = lambda self, v: self._call(self.value.append(v))
+    appendList = lambda self, vs: [self.appendValue(v) for v in vs]
+    clear = lambda self: self._call(self.value.clear())
+    exists = lambda self: self._call(bool(self.value))
+    getValue = lambda self, k: self._call(self.value.get(k))
+    updateValue = lambda self, k, v: self._call(self.value.update({k: v}))
+
+    def get(self):
+        return self._call(iter(list(self.value)) if len(self.value) != 1 else self.value)
+
+    def update(self, v):
+        self.value[:] = v
+        self._call()
+
+
+def test_calls_to_the_state_follow_keys_not_events():
+    """30 keys of one group with 40 events each: a few calls a key, and the rows of each key's own fold."""
+    import pandas as pd
+
+    rows = [(f"k{i % 30}", 10_000_000 * (i * 7 % 1201), i, ("issue", "verify")[i % 2], str(i % 3), None) for i in range(1200)]
+    store, processor = _Store(), live._Live(live.Codes())
+    processor.init(store)
+    part = pd.DataFrame(rows, columns=["key", "us", "id", "kind", "ref", "amount"])
+    for x in (0, 600):
+        assert list(processor.handleInputRows((0,), iter([part[x : x + 600]]), None)) == []
+
+    class Passed:
+        ms = 6_000_000
+
+        def getCurrentWatermarkInMs(self):
+            return self.ms
+
+    got = list(processor.handleExpiredTimer((0,), Passed(), None))
+    Passed.ms = 10**10
+    got += list(processor.handleExpiredTimer((0,), Passed(), None))
+    want = []
+    for key in {r[0] for r in rows}:
+        own = sorted(r[1:] for r in rows if r[0] == key)
+        want += [(key, *r) for r in live._advance(live.Codes(), live.Codes().start(), own, float("inf"))]
+    assert sorted(pd.concat(got).itertuples(index=False, name=None)) == sorted(want)
+    assert store.calls < 6 * 30
