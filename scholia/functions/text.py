@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -33,6 +35,28 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[0-9a-z]+"), F.lit(0))
 
 
+#: Bytes of terms as they are, all others as blanks; bytes beyond ASCII separate.
+_TERM_BYTES = bytes(b if chr(b) in "0123456789abcdefghijklmnopqrstuvwxyz" else 32 for b in range(256))
+
+
+def token_arrays(texts: list, compatible: bool = False) -> tuple[pa.Array, np.ndarray]:
+    """tokens() of each of a batch of strings (null: none), one after another, and how many each has; compatible normalises before."""
+    import unicodedata
+
+    if compatible:
+        texts = [t if t is None or t.isascii() else unicodedata.normalize("NFKC", t) for t in texts]
+    parts = [b"" if t is None else t.lower().encode("utf-8", "surrogatepass").translate(_TERM_BYTES) for t in texts]
+    buf = np.frombuffer(b" ".join([b"", *parts, b""]), np.uint8)
+    is_term = buf != 32
+    edges = np.flatnonzero(is_term[1:] != is_term[:-1]) + 1
+    starts, ends = edges[0::2], edges[1::2]
+    begin = np.cumsum([1, *(len(x) + 1 for x in parts)])
+    offsets = np.r_[0, np.cumsum(ends - starts)]
+    kind, width = (pa.string(), np.int32) if offsets[-1] < 1 << 31 else (pa.large_string(), np.int64)
+    flat = pa.Array.from_buffers(kind, len(starts), [None, pa.py_buffer(offsets.astype(width)), pa.py_buffer(buf[is_term])])
+    return flat, np.diff(np.searchsorted(starts, begin))
+
+
 def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit("\\S+"), F.lit(0))
 

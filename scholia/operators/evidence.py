@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import above_floor
-from ..functions.text import tokens
+from ..functions.text import token_arrays
+from ..sources.readers import bounded_batches
 from .ranking import capped, fill_budget
 
 
@@ -50,10 +57,33 @@ def expand(hits: DataFrame, sections: DataFrame, key: str, budget: int) -> DataF
     return joined.select(key, "ordinal", chosen.alias("c")).select(key, "ordinal", F.size("c").alias("chunks"), F.array_join(F.transform("c", lambda p: p["chunk"]), "\n\n").alias("text"))
 
 
+#: Terms whose unit vectors a task keeps.
+KEPT_TERMS = 1 << 17
+
+
+def _unit(term: str) -> tuple[float, float]:
+    angle = int.from_bytes(hashlib.sha256(term.encode()).digest()[:4], "big") / 4294967296.0 * 6.283185307179586
+    return math.cos(angle), math.sin(angle)
+
+
+def _term_sums(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each text the sums of cosines and sines of its terms' angles, in the order of the text."""
+    known: dict[str, tuple[float, float]] = {}
+    for part in parts:
+        if len(known) > KEPT_TERMS:
+            known.clear()
+        flat, length = token_arrays(part.column(1).to_pylist())
+        encoded = flat.dictionary_encode()
+        units = np.array([known.get(t) or known.setdefault(t, _unit(t)) for t in encoded.dictionary.to_pylist()], float).reshape(-1, 2)
+        code, row = encoded.indices.to_numpy(), np.repeat(np.arange(len(length)), length)
+        sums = (np.bincount(row, units[code, k], len(length)).astype(float) for k in (0, 1))
+        yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, sums)], [part.schema.names[0], "a", "b"])
+
+
 def fixture_embedding(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, x, y): the normalised sum of unit vectors, each term's angle from its digest; (1, 0) without terms."""
-    terms = docs.select(key, F.explode_outer(tokens(F.col(text))).alias("t"))
-    angle = F.conv(F.substring(F.sha2(F.col("t").cast("binary"), 256), 1, 8), 16, 10).cast("double") / F.lit(2.0**32) * F.lit(6.283185307179586)
-    total = terms.groupBy(key).agg(F.coalesce(F.sum(F.cos(angle)), F.lit(0.0)).alias("a"), F.coalesce(F.sum(F.sin(angle)), F.lit(0.0)).alias("b"))
+    bounded_batches(docs.sparkSession)
+    own = docs.select(key, F.col(text).alias("_t")).mapInArrow(_term_sums, f"`{key}` {docs.schema[key].dataType.simpleString()}, a double, b double")
+    total = own.groupBy(key).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     n = F.sqrt(F.col("a") ** 2 + F.col("b") ** 2)
     return total.select(key, F.when(n > 0, F.col("a") / n).otherwise(1.0).alias("x"), F.when(n > 0, F.col("b") / n).otherwise(0.0).alias("y"))

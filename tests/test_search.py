@@ -106,3 +106,22 @@ def test_scores_and_products_are_not_joined_by_term(spark):
     found = lexical.dots(table, asked, "d", "t", "q", "t")
     assert sorted(map(tuple, found.collect())) == [(7, 1, 4), (7, 2, 1)]
     assert "term" not in str(found._jdf.queryExecution().optimizedPlan()).split("MapInArrow")[0]
+
+
+ODD = ["Ab1 c-d", "", None, "  ", "İstanbul \u212a9 ﬁn①x", "naïve e\u0301x", "x\x00y\tz", "ẞTRASSE ÅB", "９9 Ⅷ", "end"]
+
+
+def test_terms_of_batches_equal_the_column_functions(spark):
+    """Terms found in Arrow batches are those of the column functions; index builds do not match a pattern at every letter."""
+    from scholia.functions.text import token_arrays, tokens
+    from scholia.operators import evidence
+
+    rows = spark.createDataFrame(list(enumerate(ODD)), "id long, text string")
+    for compatible, column in ((False, tokens(F.col("text"))), (True, lexical.terms(F.col("text")))):
+        want = [r[0] or [] for r in rows.orderBy("id").select(column).collect()]
+        flat, length = token_arrays(ODD, compatible)
+        ends = length.cumsum().tolist()
+        assert [flat.to_pylist()[e - n : e] for e, n in zip(ends, length.tolist(), strict=True)] == want
+    for built in (lexical.counted(rows, "id", "text"), evidence.fixture_embedding(rows, "id", "text")):
+        assert "regexp_extract_all" not in built._jdf.queryExecution().toString()
+    assert [(r.x, r.y) for r in evidence.fixture_embedding(rows, "id", "text").orderBy("id").collect()][1:4] == [(1.0, 0.0)] * 3
