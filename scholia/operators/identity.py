@@ -19,28 +19,50 @@ def document_aliases(docs: DataFrame, key: str = "doc_id", text: str = "text", h
 SUBSETS_OF = 6
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _around(rows: DataFrame, *keys: str) -> DataFrame:
+    """(id, g, n, x): for each of the rows (id, keys, year, g) the number n of rows with its keys and a year at most one apart, itself among them, and the exclusive or x of their ids; a null year is near every year.
+
+    Counts are brought to the years around them and looked up once; both sides of that join are
+    written tables or scans, as large as they come, and neither is broadcast.
+    """
+    at = lambda year: F.struct(year.isNull().alias("any"), F.coalesce(year, F.lit(0).cast("long")).alias("y")).alias("at")
+    year = F.col("year")
+    counts = _cut(rows.groupBy(*keys, "year").agg(F.count("*").alias("n"), F.bit_xor("id").alias("x")))
+    spread = F.array_union(F.when(year.isNull(), F.array().cast("array<long>")).otherwise(F.array(year - 1, year, year + 1)), F.array(F.lit(None).cast("long")))
+    near = _cut(counts.select(*keys, F.explode(spread).alias("to"), "n", "x").groupBy(*keys, at(F.col("to"))).agg(F.sum("n").alias("n"), F.bit_xor("x").alias("x")))
+    found = rows.select("id", *keys, at(year)).join(near.hint("merge"), [*keys, "at"]).select("id", "g", "n", "x")
+    undated = counts.where(year.isNull()).drop("year")
+    if undated.isEmpty():
+        return found
+    return found.unionByName(rows.where(year.isNotNull()).select("id", *keys).join(undated.hint("merge"), list(keys)).select("id", "g", "n", "x"))
+
+
 def near_counts(records: DataFrame, by: list[str]) -> DataFrame:
     """(by, n, x): for each (id, key, year, groups of (tag, members)) the records of another id with its key, a year at most one apart and a group of its own.
 
     A record counts once for each group that both have; x is the exclusive or of their ids, so the
     one id where n is 1.  Nothing is paired: records are counted by (key, group, year), looked up
-    at three years, and what the id itself has there is taken off.  A null year is near every year.
+    by the same, and what the id itself has there is taken off: of an id that stands once, the
+    record; of others what is counted by id.  A null year is near every year.
     """
-    each = records.select("id", "key", F.col("year").cast("long").alias("year"), F.explode("groups").alias("g")).where("key is not null")
-    year = F.col("year")
-    own = F.when(year.isNull(), F.struct(F.lit(1).alias("kind"), F.lit(0).cast("long").alias("y"))).otherwise(F.struct(F.lit(0).alias("kind"), year.alias("y")))
-    place = lambda kind, y: F.struct(F.lit(kind).alias("kind"), y.cast("long").alias("y"))
-    seen = F.when(year.isNull(), F.array(place(2, F.lit(0)))).otherwise(F.array(place(0, year - 1), place(0, year), place(0, year + 1), place(1, F.lit(0))))
-    asking = each.select("id", "key", "g", F.explode(seen).alias("at"))
-
-    def counted(*keys: str) -> DataFrame:
-        at = each.groupBy(*keys, own.alias("at")).agg(F.count("*").alias("n"), F.bit_xor("id").alias("x"))
-        everywhere = at.groupBy(*keys).agg(F.sum("n").alias("n"), F.bit_xor("x").alias("x")).select(*keys, place(2, F.lit(0)).alias("at"), "n", "x")
-        return at.unionByName(everywhere)
-
-    others = asking.join(counted("key", "g"), ["key", "g", "at"]).select("id", "g", "n", "x")
-    itself = asking.join(counted("key", "g", "id"), ["key", "g", "at", "id"]).select("id", "g", (-F.col("n")).alias("n"), "x")
-    return others.unionByName(itself).select("id", "g.tag", "n", "x").groupBy(*by).agg(F.sum("n").alias("n"), F.bit_xor("x").alias("x"))
+    own = records.where("key is not null and id is not null").withColumn("year", F.col("year").cast("long"))
+    records = _cut(own.select("id", "key", "year", "groups"))
+    each = lambda rows: rows.select("id", "key", "year", F.explode("groups").alias("g"))
+    near = _around(each(records), "key", "g")
+    twice = _cut(records.groupBy("id").count().where("count > 1").select("id"))
+    if twice.isEmpty():
+        near = near.select("id", "g", (F.col("n") - 1).alias("n"), F.col("x").bitwiseXOR(F.col("id")).alias("x"))
+    else:
+        once = each(records.join(twice.hint("merge"), "id", "left_anti")).select("id", "g", F.lit(-1).cast("long").alias("n"), F.col("id").alias("x"))
+        itself = _around(each(records.join(twice.hint("merge"), "id", "left_semi")), "id", "key", "g").select("id", "g", (-F.col("n")).alias("n"), "x")
+        near = near.unionByName(once).unionByName(itself)
+    return near.select("id", "g.tag", "n", "x").groupBy(*by).agg(F.sum("n").alias("n"), F.bit_xor("x").alias("x"))
 
 
 def _subsets(members: Column) -> Column:
@@ -58,15 +80,18 @@ def title_candidates(records: DataFrame) -> DataFrame:
     """
     known = records.select(F.col("id").cast("long").alias("id"), "key", "year", F.array_sort(F.array_compact(F.array_distinct(F.col("authors").cast("array<string>")))).alias("authors")).where("size(authors) > 0")
     few = F.size("authors") <= SUBSETS_OF
-    near = near_counts(known.where(few).select("id", "key", "year", _subsets(F.col("authors")).alias("groups")), ["id", "tag"]).where("n > 0").withColumnRenamed("tag", "overlap")
-    one, two = known.withColumn("row", F.monotonically_increasing_id()), known.where(~few).withColumn("row", F.monotonically_increasing_id())
-    a = one.select("id", "key", "year", "row", few.alias("few"), F.explode("authors").alias("author"))
-    b = two.select(F.col("id").alias("cand"), "key", F.col("year").alias("other"), F.col("row").alias("at"), F.explode("authors").alias("author"))
-    years = F.col("year").isNull() | F.col("other").isNull() | (F.abs(F.col("year") - F.col("other")) <= 1)
-    shared = a.join(b, ["key", "author"]).where((F.col("id") != F.col("cand")) & years).groupBy("row", "at", "id", "cand", "few").agg(F.count("*").cast("int").alias("overlap"))
-    # a pair of a short and a long record counts for both, one of two long ones stands here both ways
-    long = shared.select("id", "cand", "overlap").unionByName(shared.where("few").select(F.col("cand").alias("id"), F.col("id").alias("cand"), "overlap"))
-    every = near.unionByName(long.groupBy("id", "overlap").agg(F.count("*").alias("n"), F.bit_xor("cand").alias("x")))
+    # a small file of many records is one task, so they are spread before subsets are made
+    near = near_counts(known.where(few).repartition("id").select("id", "key", "year", _subsets(F.col("authors")).alias("groups")), ["id", "tag"]).where("n > 0").withColumnRenamed("tag", "overlap")
+    every, several = near, known.where(~few)
+    if not several.isEmpty():
+        one, two = known.withColumn("row", F.monotonically_increasing_id()), several.withColumn("row", F.monotonically_increasing_id())
+        a = one.select("id", "key", "year", "row", few.alias("few"), F.explode("authors").alias("author"))
+        b = two.select(F.col("id").alias("cand"), "key", F.col("year").alias("other"), F.col("row").alias("at"), F.explode("authors").alias("author"))
+        years = F.col("year").isNull() | F.col("other").isNull() | (F.abs(F.col("year") - F.col("other")) <= 1)
+        shared = a.join(b.hint("merge"), ["key", "author"]).where((F.col("id") != F.col("cand")) & years).groupBy("row", "at", "id", "cand", "few").agg(F.count("*").cast("int").alias("overlap"))
+        # a pair of a short and a long record counts for both, one of two long ones stands here both ways
+        long = shared.select("id", "cand", "overlap").unionByName(shared.where("few").select(F.col("cand").alias("id"), F.col("id").alias("cand"), "overlap"))
+        every = near.unionByName(long.groupBy("id", "overlap").agg(F.count("*").alias("n"), F.bit_xor("cand").alias("x")))
     levels = every.groupBy("id", "overlap").agg(F.sum("n").alias("n"), F.bit_xor("x").alias("x"))
     most = levels.groupBy("id").agg(F.max(F.struct("overlap", "n", "x")).alias("m"))
     return most.select("id", "m.overlap", F.when(F.col("m.n") == 1, F.col("m.x")).alias("best"))
@@ -78,13 +103,7 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     Minimum labels with pointer jumping; each round is written to the shared folder, so lineage stays
     short and a lost executor costs one round.
     """
-    spark = nodes.sparkSession
-
-    def cut(df):
-        path = scratch(spark)
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
+    cut = _cut
     both = cut(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct())
     labels = cut(nodes.select("id", F.col("id").alias("root")))
     while True:

@@ -125,6 +125,14 @@ def test_compatible_parts_are_counted_not_paired(spark, tmp_path):
     compare(spark, tmp_path / "odd", "k2_metadata_compatibility", part=(parts_of(1), PART))
 
 
+@pytest.mark.parametrize("name", ["c8_title_candidates", "k2_metadata_compatibility"])
+def test_counts_of_near_records_are_not_broadcast(spark, tmp_path, name):
+    """Files are small for the rows that counts take in the driver; ids that are null are no one's candidates."""
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    compare(spark, tmp_path, name, part=([(None, "red", 1, "a", "t"), (1, "red", 1, "a", "t"), (2, "Red", 2, "a", "u"), (2, "red", 2, "a", "t")], PART))
+
+
 @pytest.mark.parametrize("name", ["h2_whitespace_spans", "h15_split_sentences", "h16_split_paragraphs", "j2_page_normalisation", "j4_sections", "j5_merge_small_sections", "j10_reconstruct_documents"])
 def test_batches_for_python_are_bounded(spark, name):
     """What a worker holds is a batch of rows, not a task's rows."""
